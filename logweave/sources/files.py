@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from logweave.functions.globs import glob_to_java, matches_any
 from logweave.functions.timespec import Period, expand_paths
-from logweave.operators.joins import BROADCAST_ROWS, stage
+from logweave.operators.joins import BROADCAST_ROWS, join_checked, stage
 
 LINE_COLUMNS = ["file", "file_mtime", "line_no", "raw"]
 
@@ -124,6 +124,28 @@ def scan_files(
     )
 
 
+def modified_since(lines: DataFrame, start: dt.datetime) -> DataFrame:
+    """Lines of files that were written to after ``start``: older ones hold nothing newer."""
+    return lines.filter(F.col("file_mtime") >= F.lit(start.isoformat(" ")).cast("timestamp"))
+
+
+def missing_inputs(requested: DataFrame, found: DataFrame) -> DataFrame:
+    """Requested paths (column ``path``) that no file was found for (column ``file``)."""
+    return join_checked(
+        requested, found.select(F.col("file").alias("path")).distinct(), ["path"], "left_anti"
+    )
+
+
+def decode_lines(df: DataFrame, file: str = "file", value: str = "value") -> DataFrame:
+    """Bytes of lines as text ``raw``: UTF-8, or Latin-1 for all lines of a file with other bytes."""
+    data = F.col(value).cast("binary")
+    text = F.col(value).cast("string")
+    bad = df.filter(~F.is_valid_utf8(text)).select(file).distinct().withColumn("_latin1", F.lit(True))
+    joined = join_checked(df, bad, [file], "left")
+    latin1 = F.decode(data, "ISO-8859-1")
+    return joined.withColumn("raw", F.when(F.col("_latin1"), latin1).otherwise(text)).drop("_latin1")
+
+
 def _pin_splits(spark: SparkSession) -> None:
     """Keep the split plan of a scan the same when executors come and go.
 
