@@ -26,6 +26,8 @@ _CLASSES = {
     rc.CATEGORY_SPACE: (r"\t-\r\x1c-\x20\x85\p{Z}", r"\t-\r\x20"),
     rc.CATEGORY_WORD: (WORD, ASCII_WORD),
 }
+# A plain dot is used only around printed patterns, which spell their own.
+_ANY_DOT = "(?s)"
 _NEGATED = {
     rc.CATEGORY_NOT_DIGIT: rc.CATEGORY_DIGIT,
     rc.CATEGORY_NOT_SPACE: rc.CATEGORY_SPACE,
@@ -79,8 +81,8 @@ class JavaRegex:
 
     def cutting(self, anchored: bool = False) -> str:
         """With ``pieces``: consumes the whole input, text around the match included."""
-        head = r"\A()" if anchored else r"\A((?s:.*?))"
-        return f"{self.flags}{head}{self.body}((?s:.*))\\z"
+        head = r"\A()" if anchored else r"\A(.*?)"
+        return f"{_ANY_DOT}{self.flags}{head}{self.body}(.*)\\z"
 
     def test(self, col: Column) -> Column:
         """True where the pattern is found; a plain substring test comes first
@@ -88,6 +90,11 @@ class JavaRegex:
         found = col.rlike(self.pattern)
         return F.contains(col, F.lit(self.literal)) & found if self.literal else found
 
+    def test_sql(self, column: str) -> str:
+        """The same as SQL text."""
+        found = f"rlike({column}, {sql_text(self.pattern)})"
+        return f"contains({column}, {sql_text(self.literal)}) AND {found}" if self.literal else found
+
 
 @dataclass
 class _Printer:
@@ -327,37 +334,32 @@ def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False) -> Ja
     )
 
 
-def _groups_text(regex: JavaRegex, label: str) -> str:
-    """Replacement that writes a label, then every group and its guard, one per line."""
-    wanted = [label]
-    for group in regex.groups:
-        wanted.append(f"${group.index}")
-        wanted.append(f"${group.guard}" if group.guard else "1")
-    return "\n".join(wanted)
+def sql_text(text: str) -> str:
+    """A SQL string literal; raw ones need no escapes, whatever the session settings."""
+    if "'" not in text:
+        return f"r'{text}'"
+    if '"' not in text:
+        return f'r"{text}"'
+    return "concat(" + ", '\"', ".join(f'r"{part}"' for part in text.split('"')) + ")"
 
 
-def captures(col: Column, regexes: dict[str, JavaRegex], anchored: bool = False) -> Column:
-    """``[label, group1, guard1, group2, guard2, ...]`` of the first regex that matches.
+def captures_sql(
+    column: str, regexes: list[tuple[JavaRegex, str]], anchored: bool = False
+) -> str:
+    """SQL for the lines written by the first regex that matches, as an array.
 
-    The groups are written out one per line and split again.  A log line holds
-    no line feed, so the split is exact, and a text that holds one has already
-    been rewritten and is left alone by the regexes that follow.  Without a match
-    the array has one element.  Each regex runs once.
+    Each regex comes with what it writes for a match, one value per line with
+    ``$n`` for its groups.  The values are split again; a log line holds no line
+    feed, so the split is exact, and a text that holds one has already been
+    rewritten and is left alone by the regexes that follow.  Without a match the
+    array has one element.  Each regex runs once.
     """
-    for label, regex in regexes.items():
-        unchanged = r"\A(?![^\n]*\n)" + ("" if anchored else "(?s:.*?)")
-        whole = f"{regex.flags}{unchanged}{regex.body}(?s:.*)\\z"
-        col = F.regexp_replace(col, F.lit(whole), F.lit(_groups_text(regex, label)))
-    return F.split(col, "\n", -1)
-
-
-def capture_value(parts: Column, regex: JavaRegex, name: str) -> Column:
-    """Value of a named group in an array made by ``captures``; null if it took no part."""
-    place = next(i for i, g in enumerate(regex.groups) if g.name == name)
-    value = parts[2 * place + 1]
-    if regex.groups[place].guard is None:
-        return value
-    return F.when(parts[2 * place + 2] != "", value)
+    for i, (regex, written) in enumerate(regexes):
+        unchanged = r"(?![^\n]*\n)" if i else ""
+        head = r"\A" + unchanged + ("" if anchored else ".*?")
+        whole = f"{_ANY_DOT}{regex.flags}{head}{regex.body}.*\\z"
+        column = f"regexp_replace({column}, {sql_text(whole)}, {sql_text(written)})"
+    return f"split({column}, '\n', -1)"
 
 
 def compute_once(df, name: str, value: Column):
@@ -367,4 +369,5 @@ def compute_once(df, name: str, value: Column):
     pushed below it.  A one-element ``explode`` stops that for this column only,
     while filters on other columns still reach the scan.
     """
+    value = F.expr(value) if isinstance(value, str) else value
     return df.select("*", F.explode(F.array(value)).alias(name))

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.regex import JavaRegex, capture_value, captures, compute_once, to_java
+from logweave.functions.regex import JavaRegex, captures_sql, compute_once, to_java
 from logweave.operators.joins import join_checked
 
 # Columns a header may give, in output order, with their types.
@@ -78,46 +78,47 @@ def parse_headers(
 ) -> DataFrame:
     """Add ``format``, the header columns and ``event_ts`` to raw lines.
 
-    Formats are tried in order; each costs at most one regex run per line.
-    ``reference`` is the date that a header without a year counts from
-    (``file_mtime`` by default).  ``format`` is null on lines of unknown format.
+    Formats are tried in order; each costs at most one regex run per line, and all
+    write the same columns in the same places.  ``reference`` is the date that a
+    header without a year counts from (``file_mtime`` by default).  ``format`` is
+    null on lines of unknown format.
     """
-    by_name = {fmt.name: fmt for fmt in formats}
-    df = compute_once(
-        lines, "_head", captures(F.col("raw"), {n: f.regex for n, f in by_name.items()}, True)
-    )
-    head = F.col("_head")
-    known = F.size(head) > 1
-    df = df.withColumn("format", F.when(known, head[0]))
-
-    def column(name: str) -> Column:
-        value = F.lit(None)
-        for fmt in reversed(formats):
-            if name in {g.name for g in fmt.regex.groups}:
-                got = capture_value(head, fmt.regex, name)
-                if name == "month":
-                    got = month_number(got)
-                value = F.when(F.col("format") == fmt.name, got).otherwise(value)
-        return value
-
-    out = {n: column(n).try_cast(t) for n, t in HEADER_COLUMNS.items()}
-    bound = {f.name: f.app for f in formats if f.app}
-    if bound:
-        value = F.lit(None)
-        for name, app in bound.items():
-            value = F.when(F.col("format") == name, app).otherwise(value)
-        out["format_app"] = value.cast("string")
-    df = df.withColumns(out).drop("_head")
+    written = []
+    for fmt in formats:
+        groups = {g.name: f"${g.index}" for g in fmt.regex.groups}
+        text = [fmt.name, *[groups.get(name, "") for name in HEADER_COLUMNS]]
+        written.append((fmt.regex, "\n".join(text)))
+    head = compute_once(lines, "_head", captures_sql("raw", written, anchored=True))
+    kept = [f"`{c}`" for c in lines.columns]
+    known = "size(_head) > 1"
+    columns = [f"CASE WHEN {known} THEN get(_head, 0) END AS format"]
+    for place, (name, kind) in enumerate(HEADER_COLUMNS.items(), 1):
+        value = f"nullif(get(_head, {place}), '')"
+        if name == "month":
+            value = _MONTH.format(f"get(_head, {place})")
+        elif name == "message":
+            # a message may be empty, a notice of repetition has none
+            repeat = list(HEADER_COLUMNS).index("repeat") + 1
+            value = f"CASE WHEN get(_head, {repeat}) = '' THEN get(_head, {place}) END"
+        elif kind != "string":
+            value = f"try_cast({value} AS {kind})"
+        columns.append(f"{value} AS `{name}`")
+    if any(f.app for f in formats):
+        cases = " ".join(f"WHEN '{f.name}' THEN '{f.app}'" for f in formats if f.app)
+        columns.append(f"CASE get(_head, 0) {cases} END AS format_app")
+    df = head.selectExpr(*kept, *columns)
     if reference is None:
         reference = F.col("file_mtime")
     return df.withColumn("event_ts", event_time(reference, use_offset))
 
 
-def month_number(month: Column) -> Column:
-    """Month names and numbers as a number; null for anything else."""
-    names = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
-    number = month.try_cast("int")
-    return F.coalesce(names[month], F.when(number.between(1, 12), number))
+# Month names and numbers as a number; null for anything else.
+_NAMES = "".join(MONTHS)
+_MONTH = (
+    f"CASE WHEN length({{0}}) = 3 AND instr('{_NAMES}', {{0}}) % 3 = 1"
+    f" THEN CAST((instr('{_NAMES}', {{0}}) + 2) DIV 3 AS INT)"
+    " WHEN try_cast({0} AS INT) BETWEEN 1 AND 12 THEN try_cast({0} AS INT) END"
+)
 
 
 def event_time(reference: Column, use_offset: bool = False) -> Column:

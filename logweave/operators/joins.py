@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +21,25 @@ def join_checked(
     on: list[str],
     how: str,
     staged: bool = True,
+    rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join a large left side to a right side that tends to be small.
 
-    The right side is counted: up to ``broadcast_rows`` rows it is broadcast.  A
-    larger one is shuffled, with ``salts`` copies of its rows, so that the left
-    rows of one hot key go to that many tasks.  ``staged`` keeps the right side
-    in shared storage first; leave it out for a table that is cheap to read
-    again.  ``how`` is one of ``inner``, ``left``, ``left_semi``, ``left_anti``;
-    under the first two the right side must hold each key once.
+    The right side is counted, unless the caller knows its ``rows``: up to
+    ``broadcast_rows`` it is broadcast.  A larger one is shuffled, with ``salts``
+    copies of its rows, so that the left rows of one hot key go to that many tasks.
+    ``staged`` keeps the right side in shared storage first; leave it out for a
+    table that is cheap to read again.  ``how`` is one of ``inner``, ``left``,
+    ``left_semi``, ``left_anti``; under the first two the right side must hold
+    each key once.
     """
     if staged:
         right = stage(right)
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if rows is None:
+        rows = right.count() if staged else right.limit(broadcast_rows + 1).count()
+    if rows <= broadcast_rows:
         return left.join(F.broadcast(right), on, how)
     spread = left.withColumn("_salt", row_salt(left, on, salts))
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
@@ -52,14 +57,14 @@ def row_salt(df: DataFrame, keys: list[str], salts: int) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for data between steps.
 
     It is the one the cluster names in ``spark.checkpoint.dir``.  Only a local
     session without that setting gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
+        return named.rstrip("/")
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -68,13 +73,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="logweave-")
     context.setCheckpointDir(own)
-    return own
+    return context.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared checkpoint folder."""
-    folder = checkpoint_dir(df.sparkSession)
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    """Compute ``df`` once and keep it as a table in the shared folder.
+
+    Later steps read only the columns they need, and a lost executor costs no more
+    than reading a part again.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores over all cores.
+
+    A small file is one split, and the regular expressions that follow would run
+    on one core.  An input with enough splits is left as it is.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

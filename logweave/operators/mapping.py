@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.regex import compute_once, expand, to_java
+from logweave.functions.regex import compute_once, expand, sql_text, to_java
 from logweave.operators.headers import BUILT_IN, HeaderFormat
 from logweave.operators.joins import join_checked, stage
 from logweave.operators.ordered import number_rows
@@ -63,19 +64,23 @@ def token_table(parsed: DataFrame, apps: Iterable[App], width: int = 4) -> DataF
     )
 
 
-def _map_values(parsed: DataFrame, names: list[str], lookup: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
-    """Replace the values of ``names`` by joining each with its lookup table.
+@dataclass(frozen=True)
+class _Lookup:
+    """Where the new value of a field comes from: ``key`` is looked up in ``table``."""
 
-    ``lookup`` gives, per name, a table of ``key`` and ``name`` with unique keys and
-    the column that holds the key and the text to write for a found name.
-    """
+    table: DataFrame  # columns key (unique), name
+    rows: int
+    key: Column
+
+
+def _map_values(parsed: DataFrame, lookups: dict[str, _Lookup]) -> DataFrame:
+    """Add ``_v_<name>`` for every field: the found name, or null."""
     df = parsed
-    for name in names:
-        table, key, _ = lookup[name]
-        keyed = df.withColumn(f"_k_{name}", key)
-        side = table.select(F.col("key").alias(f"_k_{name}"), F.col("name").alias(f"_v_{name}"))
-        df = join_checked(keyed, side, [f"_k_{name}"], "left", staged=False)
-    return df
+    for name, look in lookups.items():
+        df = df.withColumn(f"_k_{name}", look.key)
+        side = look.table.select(F.col("key").alias(f"_k_{name}"), F.col("name").alias(f"_v_{name}"))
+        df = join_checked(df, side, [f"_k_{name}"], "left", staged=False, rows=look.rows)
+    return df.drop(*[f"_k_{n}" for n in lookups])
 
 
 def _with_fields(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -104,18 +109,22 @@ def mask_fields(parsed: DataFrame, apps: Iterable[App], width: int = 4) -> DataF
     maskable = _maskable(apps)
     names = [n for n in group_names(apps) if base_field(n) in maskable] + ["host"]
     tokens = stage(token_table(parsed, apps, width))
-    lookup = {}
+    # one row per base field
+    sizes = dict(tokens.groupBy("base").count().collect())
+    lookups = {}
     for name in names:
+        base = base_field(name)
+        if base not in sizes:
+            continue
         value = F.col("host") if name == "host" else F.col("fields")[name]
-        table = tokens.filter(F.col("base") == base_field(name)).select(
+        table = tokens.filter(F.col("base") == base).select(
             F.col("value").alias("key"), F.col("token").alias("name")
         )
-        lookup[name] = (table, F.when(F.col("matched"), value), value)
-    joined = _map_values(parsed, names, lookup)
-    new = {n: F.col(f"_v_{n}") for n in names}
-    new["host"] = F.coalesce(F.col("_v_host"), F.col("host"))
-    out = _with_fields(joined, new)
-    return out.drop(*[f"_k_{n}" for n in names], *[f"_v_{n}" for n in names])
+        lookups[name] = _Lookup(table, sizes[base], F.when(F.col("matched"), value))
+    new = {n: F.col(f"_v_{n}") for n in lookups}
+    new["host"] = F.coalesce(F.col("_v_host"), F.col("host")) if "host" in lookups else F.col("host")
+    out = _with_fields(_map_values(parsed, lookups), new)
+    return out.drop(*[f"_v_{n}" for n in lookups])
 
 
 def address_pattern() -> str:
@@ -130,12 +139,13 @@ def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) ->
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in ADDRESS_FIELDS]
     table = names.select(F.col("address").alias("key"), "name")
+    rows = table.count()
     pattern = address_pattern()
-    lookup, new = {}, {}
+    lookups, new = {}, {}
     for g in groups:
         value = F.col("fields")[g]
         found = F.regexp_substr(value, F.lit(pattern))
-        lookup[g] = (table, F.regexp_replace(found, r"(?i)\A::ffff:", ""), value)
+        lookups[g] = _Lookup(table, rows, F.regexp_replace(found, r"(?i)\A::ffff:", ""))
         start = F.instr(value, found)
         replaced = F.concat(
             F.substring(value, F.lit(1), start - 1),
@@ -144,8 +154,8 @@ def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) ->
         )
         keep = F.col(f"_v_{g}").isNull() | F.startswith(value, F.col(f"_v_{g}"))
         new[g] = F.when(keep, value).otherwise(replaced)
-    out = _with_fields(_map_values(parsed, groups, lookup), new)
-    return out.drop(*[f"_k_{n}" for n in groups], *[f"_v_{n}" for n in groups])
+    out = _with_fields(_map_values(parsed, lookups), new)
+    return out.drop(*[f"_v_{n}" for n in groups])
 
 
 def name_uids(parsed: DataFrame, apps: Iterable[App], users: DataFrame) -> DataFrame:
@@ -155,15 +165,16 @@ def name_uids(parsed: DataFrame, apps: Iterable[App], users: DataFrame) -> DataF
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in UID_FIELDS]
     table = users.select(F.col("uid").cast("bigint").alias("key"), "name")
-    lookup, new = {}, {}
+    rows = table.count()
+    lookups, new = {}, {}
     for g in groups:
         value = F.col("fields")[g]
         number = F.when(value.rlike(r"\A[0-9]+\z"), value.try_cast("bigint"))
-        lookup[g] = (table, number, value)
+        lookups[g] = _Lookup(table, rows, number)
         unknown = F.when(number.isNotNull(), F.concat(F.lit("uid="), number.cast("string")))
         new[g] = F.coalesce(F.col(f"_v_{g}"), unknown, value)
-    out = _with_fields(_map_values(parsed, groups, lookup), new)
-    return out.drop(*[f"_k_{n}" for n in groups], *[f"_v_{n}" for n in groups])
+    out = _with_fields(_map_values(parsed, lookups), new)
+    return out.drop(*[f"_v_{n}" for n in groups])
 
 
 def map_fields(
@@ -208,45 +219,37 @@ def rewrite_raw(
     for the header and one for the rule, and put together around the new values.
     Of nested groups the outermost is written.
     """
-    message = _joined(
-        mapped,
-        "message",
-        {f"{r.app}/{r.name}": r.pattern for a in apps for r in bind_rules(a)},
-        F.concat_ws("/", "app", "rule"),
-        lambda name, old: F.coalesce(F.col("fields")[name], old),
-        anchored=False,
-    )
-    header = {f.name: f.pattern for f in formats}
-    fresh = {"host": F.col("host"), "message": F.col("_message")}
-    out = _joined(
-        message.withColumnRenamed("_new", "_message"),
-        "raw",
-        header,
-        F.col("format"),
-        lambda name, old: F.coalesce(fresh[name], old) if name in fresh else old,
-        anchored=True,
+    rules = {f"{r.app}/{r.name}": r.pattern for a in apps for r in bind_rules(a)}
+    df = _put_together(
+        mapped, "message", rules, "concat_ws('/', app, rule)", "fields", "_message", anchored=False
     )
-    changed = F.when(F.col("matched"), F.col("_new")).otherwise(F.col("raw"))
-    return out.withColumn("raw", changed).drop("_new", "_message")
+    df = df.withColumn("_values", F.expr("map('host', host, 'message', _message)"))
+    headers = {f.name: f.pattern for f in formats}
+    df = _put_together(df, "raw", headers, "format", "_values", "_raw", anchored=True)
+    changed = F.when(F.col("matched"), F.col("_raw")).otherwise(F.col("raw"))
+    return df.withColumn("raw", changed).drop("_raw", "_values", "_message")
 
 
-def _joined(df, column, patterns, which, new_value, anchored) -> DataFrame:
-    """Add ``_new``: the text of ``column`` around new values, by the pattern in ``which``."""
-    cut, layout = F.lit(None), {}
+def _put_together(
+    df: DataFrame, column: str, patterns: dict[str, str], which: str, values: str, name: str, anchored: bool
+) -> DataFrame:
+    """Add ``name``: the text of ``column`` with new values for the groups of a pattern.
+
+    ``which`` is the label of the pattern of a row, ``values`` a map by group name.
+    """
+    cuts, names = [], []
     for label, pattern in patterns.items():
         regex = to_java(pattern, pieces=True)
         numbers = "\n".join(f"${i}" for _, i in regex.pieces)
-        parts = F.split(
-            F.regexp_replace(column, F.lit(regex.cutting(anchored)), F.lit(numbers)), "\n", -1
+        cuts.append(
+            f"WHEN {sql_text(label)} THEN split(regexp_replace({column}, "
+            f"{sql_text(regex.cutting(anchored))}, {sql_text(numbers)}), '\n', -1)"
         )
-        cut = F.when(which == label, parts).otherwise(cut)
-        layout[label] = [name for name, _ in regex.pieces]
-    df = compute_once(df, "_cut", cut)
-    text = F.lit(None)
-    for label, names in layout.items():
-        pieces = [F.col("_cut")[i] for i in range(len(names))]
-        whole = F.concat(
-            *[p if n is None else new_value(n, p) for n, p in zip(names, pieces, strict=True)]
-        )
-        text = F.when(which == label, whole).otherwise(text)
-    return df.withColumn("_new", F.coalesce(text, F.col(column))).drop("_cut")
+        pieces = ", ".join(sql_text(n or "") for n, _ in regex.pieces)
+        names.append(f"WHEN {sql_text(label)} THEN array({pieces})")
+    df = compute_once(df, "_cut", f"CASE {which} {' '.join(cuts)} END")
+    new = (
+        f"array_join(zip_with(_cut, CASE {which} {' '.join(names)} END,"
+        f" (old, n) -> CASE WHEN n = '' THEN old ELSE coalesce({values}[n], old) END), '')"
+    )
+    return df.withColumn(name, F.expr(f"CASE WHEN _cut IS NULL THEN {column} ELSE {new} END")).drop("_cut")

@@ -23,18 +23,33 @@ CHUNK_LINES = 65_536
 ROWS_PER_RANGE = 1_000_000
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "line_no") -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    name: str = "line_no",
+    staged: bool = True,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
     """Exact row numbers from 1 per key in the given order.
 
-    Rows are range partitioned and sorted by (keys, order), which splits a hot key
-    over many tasks, and kept in shared storage so that later passes see the same
-    partitions.  The number is the position in the partition plus the count of
-    rows in earlier partitions, minus the position where the key begins.
+    Up to ``rows_per_range`` rows in all, a window does it.  More are range
+    partitioned and sorted by (keys, order), which splits a hot key over many
+    tasks, and kept in shared storage so that later passes see the same
+    partitions.  The number is then the position in the partition plus the rows of
+    earlier partitions, minus the position where the key begins.  ``staged`` keeps
+    the input too; leave it out for one that is cheap to read again.
     """
-    parts = _range_partitions(df)
-    ranged = df.repartitionByRange(parts, *keys, *order) if parts else df.repartitionByRange(*keys, *order)
+    if staged:
+        df = stage(df)
+    rows = df.count()
+    if rows <= rows_per_range:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(session, -(-rows // rows_per_range))
     placed = stage(
-        ranged.sortWithinPartitions(*keys, *order)
+        df.repartitionByRange(ranges, *keys, *order)
+        .sortWithinPartitions(*keys, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
@@ -56,14 +71,6 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "l
     )
 
 
-def _range_partitions(df: DataFrame) -> int | None:
-    """Let the session decide, except when that makes partitions too large."""
-    size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.count()
-    needed = -(-rows // ROWS_PER_RANGE)
-    return max(needed, size) if needed > size else None
-
-
 def chunk_of(order: str = "line_no", lines: int = CHUNK_LINES) -> Column:
     return F.floor(F.col(order) / F.lit(lines)).cast("bigint")
 

@@ -10,8 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.globs import any_of
-from logweave.functions.regex import JavaRegex, captures, compute_once, expand, to_java
+from logweave.functions.regex import JavaRegex, captures_sql, compute_once, expand, sql_text, to_java
 from logweave.operators.joins import join_checked, stage
 from logweave.operators.ordered import Running, running
 from logweave.packs.fields import FIELDS, FRAGMENTS
@@ -137,59 +136,102 @@ def choose_apps(apps: Iterable[App], names: Iterable[str] = ()) -> list[App]:
 
 @dataclass(frozen=True)
 class _Routes:
-    """Column expressions that tell which apps a line may belong to."""
+    """SQL conditions that tell which apps a line may belong to.
+
+    ``prepare`` adds what they share: whether the tag says nothing (``_no_tag``),
+    whether an app owns it (``_owned``), and the app to fall back on (``_first``).
+    """
 
     apps: tuple[App, ...]
     has_bound: bool = False
 
-    @property
-    def missing(self) -> Column:
-        tag = F.col("apptag")
-        return tag.isNull() | (tag == "-") | tag.rlike(r"\A\p{Nd}+\z")
-
-    def candidates(self) -> list[Column]:
-        tag = F.col("apptag")
-        exact = tag.isin([t for a in self.apps for t in a.tags])
-        out = []
-        for app in self.apps:
-            prefix = any_of([F.startswith(tag, F.lit(t)) for t in app.tags])
-            is_candidate = self.missing | F.when(exact, tag.isin(list(app.tags))).otherwise(prefix)
-            if self.has_bound:
-                bound = F.col("format_app")
-                is_candidate = F.when(bound.isNotNull(), bound == app.name).otherwise(is_candidate)
-            out.append(F.coalesce(is_candidate, F.lit(False)))
-        return out
-
-    def first(self) -> Column:
-        """The app a line falls to when no rule decides."""
-        value = F.lit(None).cast("string")
-        for app, ok in reversed(list(zip(self.apps, self.candidates(), strict=True))):
-            value = F.when(ok, F.lit(app.name)).otherwise(value)
-        open_tag = ~self.missing
+    @classmethod
+    def of(cls, events: DataFrame, apps: Iterable[App]) -> _Routes:
+        ordered = tuple(sorted(apps, key=lambda a: (a.priority, a.name)))
+        return cls(ordered, "format_app" in events.columns)
+
+    @staticmethod
+    def _owns(app: App) -> str:
+        return f"apptag IN ({', '.join(sql_text(t) for t in app.tags)})"
+
+    @staticmethod
+    def _begins(app: App) -> str:
+        return "(" + " OR ".join(f"startswith(apptag, {sql_text(t)})" for t in app.tags) + ")"
+
+    def prepare(self, events: DataFrame) -> DataFrame:
+        no_tag = r"(apptag IS NULL OR apptag = '-' OR rlike(apptag, r'\A\p{Nd}+\z'))"
+        owned = " OR ".join(self._owns(a) for a in self.apps)
+        first = f"CASE WHEN {no_tag} THEN NULL"
+        for test in (self._owns, self._begins):
+            first += "".join(f" WHEN {test(a)} THEN {sql_text(a.name)}" for a in self.apps)
+        first += " END"
         if self.has_bound:
-            open_tag = open_tag | F.col("format_app").isNotNull()
-        return F.when(open_tag, value)
-
-    def count(self) -> Column:
-        return sum((c.cast("int") for c in self.candidates()), F.lit(0))
+            names = ", ".join(sql_text(a.name) for a in self.apps)
+            first = f"CASE WHEN format_app IN ({names}) THEN format_app ELSE {first} END"
+        return events.selectExpr(
+            "*", f"{no_tag} AS _no_tag", f"coalesce({owned}, false) AS _owned", f"{first} AS _first"
+        )
 
+    def may_be(self, app: App) -> str:
+        test = f"(_no_tag OR CASE WHEN _owned THEN {self._owns(app)} ELSE {self._begins(app)} END)"
+        if self.has_bound:
+            test = f"CASE WHEN format_app IS NULL THEN {test} ELSE format_app = {sql_text(app.name)} END"
+        return test
 
-def _routes(events: DataFrame, apps: Iterable[App]) -> _Routes:
-    ordered = tuple(sorted(apps, key=lambda a: (a.priority, a.name)))
-    return _Routes(ordered, "format_app" in events.columns)
+    def candidates(self) -> str:
+        """Number of apps a line may belong to."""
+        return " + ".join(f"CAST({self.may_be(a)} AS INT)" for a in self.apps)
 
 
-def _chain(rules: list[BoundRule], numbers: dict[int, int]) -> Column:
+def _chain(rules: list[BoundRule], numbers: dict[int, int]) -> str:
     """First matching rule of an app: its number, then its groups; null without a match.
 
     A rule is tried only on lines that hold the text all its matches have, and the
     groups of the one rule that matches are taken in a single run.
     """
-    out, message = F, F.col("message")
+    cases = []
+    for rule in rules:
+        values = [f"${g.index}" for g in rule.regex.groups]
+        guards = [f"${g.guard}" for g in rule.regex.groups if g.guard]
+        text = "\n".join([str(numbers[id(rule)]), *values, *guards])
+        test = rule.regex.test_sql("message")
+        cases.append(f"WHEN {test} THEN {captures_sql('message', [(rule.regex, text)])}")
+    return f"CASE {' '.join(cases)} END"
+
+
+def _texts(values: Iterable[str]) -> str:
+    return f"array({', '.join(sql_text(v) for v in values)})"
+
+
+def _fields_sql(rules: list[BoundRule]) -> str:
+    """The map of group names to values; a group that took no part is null.
+
+    ``_hit`` holds the rule number, the values and then a guard for each group in
+    an optional part of the rule.
+    """
+    names = "array(" + ", ".join(
+        f"CAST({_texts(g.name for g in r.regex.groups)} AS array<string>)" for r in rules
+    ) + ")"
+    names = f"get({names}, _no)"
+    sizes = f"get(array({', '.join(str(len(r.regex.groups)) for r in rules)}), _no)"
+    plain = f"map_from_arrays({names}, slice(_hit, 2, {sizes}))"
+    guarded = [i for i, r in enumerate(rules) if any(g.guard for g in r.regex.groups)]
+    if not guarded:
+        return plain
+    # place of the guard of each group, 0 for a group that always takes part
+    places = []
     for rule in rules:
-        groups = captures(message, {str(numbers[id(rule)]): rule.regex})
-        out = out.when(rule.regex.test(message), groups)
-    return out
+        place, own = len(rule.regex.groups), []
+        for g in rule.regex.groups:
+            place += 1 if g.guard else 0
+            own.append(str(place if g.guard else 0))
+        places.append(f"CAST(array({', '.join(own)}) AS array<int>)")
+    guards = f"get(array({', '.join(places)}), _no)"
+    values = (
+        f"zip_with(slice(_hit, 2, {sizes}), {guards},"
+        " (v, g) -> CASE WHEN g = 0 OR get(_hit, g) <> '' THEN v END)"
+    )
+    return f"CASE WHEN _no IN ({', '.join(map(str, guarded))}) THEN map_from_arrays({names}, {values}) ELSE {plain} END"
 
 
 def apply_rules(
@@ -204,88 +246,73 @@ def apply_rules(
     owns decides alone.  With several candidates (a shared tag, a tag that starts
     with an owned one, or no usable tag) the first app with a matching rule wins;
     if none has one, a usable tag falls to the first candidate and the others
-    stay without app.  Everything is one projection: no join, no shuffle.
+    stay without app.  Everything is done row by row: no join, no shuffle.
     """
-    routes = _routes(events, apps)
+    routes = _Routes.of(events, apps)
+    filters = list(filters)
     bound = [bind_rules(a, filters, threads) for a in routes.apps]
     flat = [r for rules in bound for r in rules]
+    df = routes.prepare(events)
+    kept = [f"`{c}`" for c in events.columns]
+    if not flat:
+        none = ("rule string", "thread string", "fields map<string,string>")
+        return df.selectExpr(
+            *kept, "_first AS app", *[f"CAST(NULL AS {n.split()[1]}) AS {n.split()[0]}" for n in none],
+            "false AS matched", "false AS full_match",
+        )
     numbers = {id(r): i for i, r in enumerate(flat)}
     tries = [
-        F.when(ok, _chain(rules, numbers))
-        for ok, rules in zip(routes.candidates(), bound, strict=True)
+        f"CASE WHEN {routes.may_be(app)} THEN {_chain(rules, numbers)} END"
+        for app, rules in zip(routes.apps, bound, strict=True)
         if rules
     ]
-    none = F.lit(None).cast("array<string>")
-    hit = F.coalesce(*tries, none) if tries else none
-    df = compute_once(events, "_hit", hit)
-    number = F.col("_hit")[0].cast("int")
-
-    def per_rule(values: list, empty: str) -> Column:
-        if not values:
-            return F.lit(None).cast(empty)
-        return F.when(F.col("_hit").isNotNull(), F.array(*[F.lit(v) for v in values])[number])
-
-    names = F.when(
-        F.col("_hit").isNotNull(),
-        F.split(per_rule(["\n".join(g.name for g in r.regex.groups) for r in flat], "string"), "\n"),
-    )
-    sizes = per_rule([len(r.regex.groups) for r in flat], "int")
-    values = F.transform(
-        F.sequence(F.lit(0), sizes - 1),
-        lambda i: F.when(
-            F.get(F.col("_hit"), i * 2 + 2) != "", F.get(F.col("_hit"), i * 2 + 1)
-        ),
-    )
-    empty = F.create_map().cast("map<string,string>")
-    fields = F.when(sizes > 0, F.map_from_arrays(names, values)).when(sizes == 0, empty)
-    df = df.withColumns(
-        {
-            "app": F.coalesce(per_rule([r.app for r in flat], "string"), routes.first()),
-            "rule": per_rule([r.name for r in flat], "string"),
-            "_full": per_rule([r.full for r in flat], "boolean"),
-            "_keys": per_rule(["\n".join(r.filter_keys) for r in flat], "string"),
-            "fields": fields,
-        }
-    )
+    df = compute_once(df, "_hit", f"coalesce({', '.join(tries)})")
+    df = df.selectExpr("*", "CAST(get(_hit, 0) AS INT) AS _no")
+    columns = [
+        f"get({_texts(r.app for r in flat)}, _no) AS _app",
+        f"get({_texts(r.name for r in flat)}, _no) AS rule",
+        f"{_fields_sql(flat)} AS fields",
+    ]
+    if not filters:
+        df = df.selectExpr(*kept, "_first", "_no", *columns)
+        return df.selectExpr(
+            *kept, "coalesce(_app, _first) AS app", "rule", "fields['thread'] AS thread", "fields",
+            "_no IS NOT NULL AS matched", "_no IS NOT NULL AS full_match",
+        )
     # a filter rule whose field took no part is a miss, and later rules are not tried
-    part = F.forall(
-        F.filter(F.split("_keys", "\n"), lambda k: k != ""),
-        lambda k: F.col("fields")[k].isNotNull(),
-    )
-    matched = F.coalesce(F.col("_hit").isNotNull() & part, F.lit(False))
-    known_by_tag = routes.first()
-    return (
-        df.withColumn("matched", matched)
-        .withColumns(
-            {
-                "app": F.when(F.col("matched"), F.col("app")).otherwise(known_by_tag),
-                "rule": F.when(F.col("matched"), F.col("rule")),
-                "fields": F.when(F.col("matched"), F.col("fields")),
-                "full_match": F.col("matched") & F.coalesce(F.col("_full"), F.lit(False)),
-            }
-        )
-        .withColumn("thread", F.col("fields")["thread"])
-        .drop("_hit", "_full", "_keys")
-    )
+    keys = ", ".join(f"CAST({_texts(r.filter_keys)} AS array<string>)" for r in flat)
+    keys = f"get(array({keys}), _no)"
+    full = f"get(array({', '.join(str(r.full).lower() for r in flat)}), _no)"
+    part = f"coalesce(forall({keys}, k -> fields[k] IS NOT NULL), false) AS matched"
+    df = df.selectExpr(*kept, "_first", "_no", *columns).selectExpr("*", part)
+    hit = lambda c: f"CASE WHEN matched THEN {c} END"
+    return df.selectExpr(
+        *kept, f"coalesce({hit('_app')}, _first) AS app", f"{hit('rule')} AS rule",
+        f"{hit("fields['thread']")} AS thread", f"{hit('fields')} AS fields", "matched",
+        f"coalesce(matched AND {full}, false) AS full_match",
+    )
 
 
 def route(events: DataFrame, apps: Iterable[App]) -> DataFrame:
     """Only the ``app`` of each line: rules run where the tag alone does not decide."""
-    routes = _routes(events, apps)
-    df = compute_once(events, "_candidates", routes.count())
-    undecided = (F.col("_candidates") > 1) | F.coalesce(routes.missing, F.lit(True))
-    tries = []
-    for app, ok in zip(routes.apps, routes.candidates(), strict=True):
-        found = any_of([r.regex.test(F.col("message")) for r in bind_rules(app)])
-        tries.append(F.when(undecided & ok & found, F.lit(app.name)))
-    return df.withColumn("app", F.coalesce(*tries, routes.first())).drop("_candidates")
+    routes = _Routes.of(events, apps)
+    df = routes.prepare(events)
+    open_ = f"(_no_tag OR {routes.candidates()} > 1)"
+    if routes.has_bound:
+        open_ = f"(format_app IS NULL AND {open_})"
+    cases = []
+    for app in routes.apps:
+        found = " OR ".join(f"({r.regex.test_sql('message')})" for r in bind_rules(app))
+        cases.append(f"WHEN {routes.may_be(app)} AND ({found}) THEN {sql_text(app.name)}")
+    app = f"coalesce(CASE WHEN {open_} THEN CASE {' '.join(cases)} END END, _first)"
+    return compute_once(df, "app", app).drop("_no_tag", "_owned", "_first")
 
 
 def extra_tags(events: DataFrame, apps: Iterable[App]) -> DataFrame:
     """Tags that no app owns, with the number of lines."""
-    routes = _routes(events, apps)
-    lost = ~routes.missing & (routes.count() == 0)
-    return events.filter(lost).groupBy("apptag").agg(F.count(F.lit(1)).alias("lines"))
+    lost = "NOT _no_tag AND _first IS NULL"
+    found = _Routes.of(events, apps).prepare(events).filter(lost)
+    return found.groupBy("apptag").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def select_mode(parsed: DataFrame, mode: str = "ruled") -> Column:

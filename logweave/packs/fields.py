@@ -5,8 +5,8 @@ from __future__ import annotations
 # Building blocks, from RFC 1035 (names), RFC 791 and RFC 4291 (addresses) and
 # RFC 5322 (mail).
 FRAGMENTS = {
-    "LABEL": r"[0-9A-Za-z](?:[-0-9A-Za-z]*[0-9A-Za-z])?",
-    "DNSNAME": r"(?:${LABEL}\.)*${LABEL}\b",
+    "LABEL": r"[0-9A-Za-z]+(?:-+[0-9A-Za-z]+)*",
+    "DNSNAME": r"${LABEL}(?:\.${LABEL})*",
     "OCTET": r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])",
     "IPV4": r"${OCTET}(?:\.${OCTET}){3}",
     "IPV6": r"(?:[0-9A-Fa-f]{0,4}:){2,7}(?:${IPV4}|[0-9A-Fa-f]{0,4})",
