@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +55,6 @@ def read_globs(spark: SparkSession, path: str) -> list[str]:
 
 def distinct_globs(paths: Iterable[str]) -> list[str]:
     """Paths without those that another one covers, so no file is read twice."""
-    import re
-
     paths = list(dict.fromkeys(paths))
     kept = []
     for path in paths:
@@ -89,6 +88,30 @@ def find_files(
     return found, missing
 
 
+def _unique_paths(spark: SparkSession, paths: str | Iterable[str], recursive: bool) -> list[str]:
+    """Paths that cover every file once.
+
+    Spark reads a file again for each glob that matches it, so several globs are
+    resolved first.  The driver lists all files for the scan in any case.
+    """
+    paths = distinct_globs([paths] if isinstance(paths, str) else paths)
+    if len(paths) == 1:
+        return paths
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, None] = {}
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        statuses = p.getFileSystem(conf).globStatus(p)
+        for status in statuses if statuses is not None else ():
+            found[status.getPath().toString()] = None
+    kept = []
+    for path in found:
+        above = [path[:i] for i, ch in enumerate(path) if ch == "/"]
+        if not any(a in found for a in (above if recursive else above[-1:])):
+            kept.append(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
+    return kept or paths
+
+
 def scan_files(
     spark: SparkSession,
     paths: str | Iterable[str],
@@ -107,8 +130,7 @@ def scan_files(
     reader = spark.read.option("lineSep", "\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = reader.text(distinct_globs(paths))
+    df = reader.text(_unique_paths(spark, paths, recursive))
     path = F.col("_metadata.file_path")
     mtime = F.col("_metadata.file_modification_time")
     if include or exclude or exclude_dir:

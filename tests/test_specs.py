@@ -1,0 +1,182 @@
+"""Time specifications, globs, units, filters and report items."""
+
+import datetime as dt
+import fnmatch
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from logweave import App, Item, Pick, Rule, TimeRange, Where, parse_filter
+from logweave.functions.globs import glob_to_java
+from logweave.functions.timespec import date_period, expand_paths, last_period, last_seconds
+from logweave.functions.units import scale_unit
+from logweave.operators.rules import bind_rules, choose_apps
+from logweave.packs import default_sections, shipped
+
+
+@pytest.mark.parametrize(
+    "spec, seconds",
+    [("hour", 3600), ("1h", 3600), ("2h", 7200), ("day", 86400), ("1d", 86400), ("week", 604800),
+     ("1w", 604800), ("month", 2592000), ("1m", 2592000), ("3D", 259200)],
+)
+def test_last(spec, seconds):
+    assert last_seconds(spec) == seconds
+    now = dt.datetime(2024, 1, 31, 12)
+    assert last_period(spec, now) == (now - dt.timedelta(seconds=seconds), dt.datetime(2024, 1, 31, 13))
+
+
+@pytest.mark.parametrize("spec", ["", "h", "0h", "-1d", "1x", "1.5h"])
+def test_bad_last(spec):
+    with pytest.raises(ValueError):
+        last_seconds(spec)
+
+
+def test_date_period():
+    today = dt.date(2020, 6, 1)
+    assert date_period("0131", today) == (dt.datetime(2020, 1, 31), dt.datetime(2020, 1, 31, 23, 59, 59))
+    assert date_period("20150101,20150228")[1] == dt.datetime(2015, 2, 28, 23, 59, 59)
+    assert date_period("0101,0203", today)[0] == dt.datetime(2020, 1, 1)
+    for bad in ("1301", "20150230", "0101-0203", "20150228,20150101", "20150101,0203", "x"):
+        with pytest.raises(ValueError):
+            date_period(bad, today)
+
+
+def test_time_range(spark):
+    r = TimeRange.parse("10:00,10:59")
+    df = spark.createDataFrame([("09:59:59",), ("10:00:00",), ("10:59:59",), ("11:00:00",)], "t string")
+    assert [x[0] for x in df.select(r.contains(F.col("t"))).collect()] == [False, True, True, False]
+    late = TimeRange.parse("23:00,01:00")
+    assert [x[0] for x in df.select(late.contains(F.col("t"))).collect()] == [False] * 4
+    for bad in ("10:00", "10:00,10:00", "25:00,26:00"):
+        with pytest.raises(ValueError):
+            TimeRange.parse(bad)
+
+
+def test_expand_paths(spark):
+    period = (dt.datetime(2012, 8, 15, 23, 59, 59), dt.datetime(2012, 8, 18))
+    got = expand_paths(spark, ["/x/%Y/%m%d.log", "/y/%Y.log"], period, ["h1", "h2"])
+    paths = sorted(r.path for r in got.collect())
+    assert paths == ["/x/2012/0815.log", "/x/2012/0816.log", "/x/2012/0817.log", "/x/2012/0818.log", "/y/2012.log"]
+    hosts = expand_paths(spark, ["/${host}/%d%%"], (period[0], period[0]), ["h1", "h2"])
+    assert sorted(r.path for r in hosts.collect()) == ["/h1/15%", "/h2/15%"]
+
+
+def test_date_tokens_agree_with_strftime(spark):
+    template = "%Y|%y|%m|%d|%j|%a|%A|%b|%B|%w"
+    period = (dt.datetime(2024, 2, 25), dt.datetime(2024, 3, 4))
+    got = {r.path for r in expand_paths(spark, [template], period).collect()}
+    days = [dt.date(2024, 2, 25) + dt.timedelta(days=i) for i in range(9)]
+    assert got == {d.strftime(template) for d in days}
+
+
+def test_globs(spark):
+    names = ["host1", "host12", "a.b", "a-b", "x[1]", "velociraptor", "raptor", "a^b", "ab"]
+    globs = ["host?", "host*", "a.b", "[ax]*", "[!a]*", "raptor", "rapto?", "x[[]1]", "a[^]b", "*"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for glob in globs:
+        got = {r.n for r in df.filter(F.col("n").rlike(glob_to_java(glob))).collect()}
+        assert got == {n for n in names if fnmatch.fnmatchcase(n, glob)}, glob
+
+
+UNIT_CASES = [
+    # value, unit, prefix, expected
+    (9999, "B", "T", (9999, "B")),
+    (10000, "B", "T", (10, "kB")),
+    (10500, "B", "T", (10, "kB")),
+    (11500, "B", "T", (12, "kB")),
+    (123456789, "B", "k", (123457, "kB")),
+    (123456789, "B", "T", (123, "MB")),
+    (98765432109876, "B", "G", (98765, "GB")),
+    (20480, "B", "Ti", (20, "KiB")),
+    (20480, "KiB", "T", (20, "MiB")),
+    (5, "GB", "K", (5000000, "KB")),
+    (3, "MiB", "K", (3072, "KiB")),
+    (7, "", "T", (7, "")),
+    (15000, "Kbps", "M", (15, "Mbps")),
+    (1, "TB", "T", (1, "TB")),
+    (12000, "bits", "T", (12, "kbits")),
+]
+
+
+def test_scale_unit(spark):
+    one = spark.range(1)
+    for value, unit, prefix, expected in UNIT_CASES:
+        v, u = scale_unit(F.lit(value).cast("bigint"), unit, prefix)
+        assert tuple(one.select(v, u).first()) == expected, (value, unit, prefix)
+    for unit, prefix in (("Hz", "T"), ("kiB", "T"), ("B", "X")):
+        with pytest.raises(ValueError):
+            scale_unit(F.lit(1), unit, prefix)
+
+
+def test_filter_spec():
+    assert parse_filter("USER=root,client='10.*'") == {"user": "root", "client": "10.*"}
+    for bad in ("user", "=x", "user=", "user=("):
+        with pytest.raises(ValueError):
+            parse_filter(bad)
+
+
+def test_filters_narrow_rules():
+    app = App("a", "", ("a",), (Rule("both", "{user} from {client}"), Rule("one", "by {user}"), Rule("none", "x")))
+    bound = bind_rules(app, [{"user": "root", "client": "h1"}, {"user": "bob"}])
+    assert [(r.name, r.filter_keys) for r in bound] == [
+        ("both", ("user", "client")), ("both", ("user",)), ("one", ("user",)),
+    ]
+    assert re.search(bound[0].pattern, "root from h1") and not re.search(bound[0].pattern, "bob from h1")
+    threads = bind_rules(app, [{"user": "bob"}], threads=True)
+    assert [r.full for r in threads] == [True, True, False, False, False]
+    with pytest.raises(ValueError, match="undefined"):
+        bind_rules(app, [{"colour": "red"}])
+
+
+def test_choose_apps():
+    names = [a.name for a in choose_apps(shipped())]
+    assert names == ["sshd", "dovecot", "crond", "asa", "barracuda", "postfix"]
+    assert [a.name for a in choose_apps(shipped(), ["ntpd"])] == ["ntpd"]
+    with pytest.raises(ValueError, match="unknown apps"):
+        choose_apps(shipped(), ["none"])
+
+
+def test_app_checks():
+    with pytest.raises(ValueError):
+        App("a", "", ("a",), ())
+    with pytest.raises(ValueError):
+        App("a", "", ("",), (Rule("r", "x"),))
+    with pytest.raises(ValueError, match="unknown name"):
+        bind_rules(App("a", "", ("a",), (Rule("r", "(?P<x>${NOPE})"),)))
+
+
+def test_shipped_items_are_valid():
+    titles = {s.name for s in default_sections()}
+    for app in shipped():
+        rules = {r.name: r.group_names for r in app.rules}
+        for r in bind_rules(app):
+            assert set(rules[r.name]) <= {g.name for g in r.regex.groups}
+        for item in app.items:
+            item.check({r.name: tuple(g.name for g in r.regex.groups) for r in bind_rules(app)})
+            assert item.subreport in titles
+
+
+@pytest.mark.parametrize(
+    "item",
+    [
+        Item("", "t", "total", (Pick("r", ('"x"',)),)),
+        Item("s", "t", "sum", (Pick("r", ('"x"',)),)),
+        Item("s", "t", "total", (Pick("r", ("user",)),)),
+        Item("s", "t", "total", (Pick("r", ('"x"',)),), ("H",)),
+        Item("s", "t", "total", (Pick("r", ('"x"',), value="nope"),)),
+        Item("s", "t", "total", (Pick("r", ('"x"',), unit="Hz", value="user"),)),
+        Item("s", "t", "top", (Pick("r", ("user",)),), ("H",), 0),
+        Item("s", "t", "top", (Pick("r", ('"user"',)),), ("H",), 5),
+        Item("s", "t", "top", (Pick("r", ("user",)),), (), 5),
+        Item("s", "t", "table", (Pick("r", ("user",)),), ("A", "B")),
+        Item("s", "t", "table", (Pick("r", ("user", "nope")),), ("A", "B")),
+        Item("s", "t", "table", (Pick("r", ("user", "client"), value="user"),), ("A", "B")),
+        Item("s", "t", "table", (Pick("q", ("user", "client")),), ("A", "B")),
+        Item("s", "t", "table", (Pick("r", ("user", "client"), Where("nope", "x")),), ("A", "B")),
+        Item("s", "t", "table", (Pick("r", ("user", "client"), Where("user", "(")),), ("A", "B")),
+    ],
+)
+def test_bad_items(item):
+    with pytest.raises(ValueError):
+        item.check({"r": ("user", "client")})
