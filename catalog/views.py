@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave import from_table, from_text_column
+from logweave.operators.joins import spread
 
 # All events lie in January 2024.
 REFERENCE = "2024-01-31 00:00:00"
@@ -44,7 +45,7 @@ _numbered: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet")).selectExpr(
         "event_id",
         "ts",
         "user_id",

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from re import _constants as rc
 from re import _parser as rp
 
@@ -295,6 +296,7 @@ def _required_text(nodes) -> str:
     return best
 
 
+@lru_cache(maxsize=4096)
 def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False) -> JavaRegex:
     """Translate a Python pattern.
 

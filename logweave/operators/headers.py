@@ -112,12 +112,11 @@ def parse_headers(
     return df.withColumn("event_ts", event_time(reference, use_offset))
 
 
-# Month names and numbers as a number; null for anything else.
-_NAMES = "".join(MONTHS)
+# Month names and two-digit numbers as a number; null for anything else.
 _MONTH = (
-    f"CASE WHEN length({{0}}) = 3 AND instr('{_NAMES}', {{0}}) % 3 = 1"
-    f" THEN CAST((instr('{_NAMES}', {{0}}) + 2) DIV 3 AS INT)"
-    " WHEN try_cast({0} AS INT) BETWEEN 1 AND 12 THEN try_cast({0} AS INT) END"
+    "map("
+    + ", ".join(f"'{m}', {i}, '{i:02d}', {i}" for i, m in enumerate(MONTHS, 1))
+    + ")[{0}]"
 )
 
 
@@ -128,25 +127,17 @@ def event_time(reference: Column, use_offset: bool = False) -> Column:
     when the reference lies in January and the header does not.  The fraction is
     ignored; the offset too, unless ``use_offset`` moves the time to UTC.
     """
-    year = F.year(reference) - F.when(
-        (F.month(reference) == 1) & (F.col("month") != 1), F.lit(1)
-    ).otherwise(F.lit(0))
-    ltime = F.col("ltime")
+    before = (F.month(reference) == 1) & (F.col("month") != 1)
+    assumed = F.year(reference) - F.when(before, 1).otherwise(0)
+    hour, minute, second = (F.expr(f"CAST(substr(ltime, {i}, 2) AS INT)") for i in (1, 4, 7))
     ts = F.try_make_timestamp_ntz(
-        F.coalesce(F.col("year"), year),
-        F.col("month"),
-        F.col("day"),
-        F.substring(ltime, 1, 2).cast("int"),
-        F.substring(ltime, 4, 2).cast("int"),
-        F.substring(ltime, 7, 2).cast("double").cast("decimal(8,6)"),
+        F.coalesce("year", assumed), F.col("month"), F.col("day"), hour, minute, second
     )
     if not use_offset:
         return ts
-    offset = F.col("offset")
-    minutes = F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")
-    signed = F.when(F.startswith(offset, F.lit("-")), -minutes).otherwise(minutes)
-    shift = F.make_interval(mins=F.coalesce(signed, F.lit(0)))
-    return ts - shift
+    minutes = "CAST(substr(offset, 2, 2) AS INT) * 60 + CAST(substr(offset, 5, 2) AS INT)"
+    signed = f"CASE WHEN offset LIKE '-%' THEN -({minutes}) ELSE {minutes} END"
+    return ts - F.expr(f"make_interval(0, 0, 0, 0, 0, coalesce({signed}, 0))")
 
 
 def known_lines(parsed: DataFrame, skip_unknown_files: bool = True) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql.types import AtomicType
 
 # A side with more rows than this is never broadcast.
 BROADCAST_ROWS = 500_000
-# Partitions that the rows of one key are spread over in a shuffled join.
-SALTS = 32
+# Rows of one key that go to one task in a shuffled join.
+HOT_ROWS = 4_000_000
 
 
 def join_checked(
@@ -23,17 +23,17 @@ def join_checked(
     staged: bool = True,
     rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join a large left side to a right side that tends to be small.
 
     The right side is counted, unless the caller knows its ``rows``: up to
-    ``broadcast_rows`` it is broadcast.  A larger one is shuffled, with ``salts``
-    copies of its rows, so that the left rows of one hot key go to that many tasks.
-    ``staged`` keeps the right side in shared storage first; leave it out for a
-    table that is cheap to read again.  ``how`` is one of ``inner``, ``left``,
-    ``left_semi``, ``left_anti``; under the first two the right side must hold
-    each key once.
+    ``broadcast_rows`` it is broadcast, and the left side is not shuffled.  Beyond
+    that both are, and left rows of a key that has more than ``hot_rows`` of them
+    are spread over several tasks.  ``staged`` keeps the right side in shared
+    storage first; leave it out for a table that is cheap to read again.  ``how``
+    is one of ``inner``, ``left``, ``left_semi``, ``left_anti``; under the first
+    two the right side must hold each key once.
     """
     if staged:
         right = stage(right)
@@ -41,19 +41,38 @@ def join_checked(
         rows = right.count() if staged else right.limit(broadcast_rows + 1).count()
     if rows <= broadcast_rows:
         return left.join(F.broadcast(right), on, how)
-    spread = left.withColumn("_salt", row_salt(left, on, salts))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    return spread.join(right.withColumn("_salt", copies), [*on, "_salt"], how).drop("_salt")
+    return _join_salted(left, right, on, how, hot_rows)
 
 
-def row_salt(df: DataFrame, keys: list[str], salts: int) -> Column:
-    """Bucket of a row from its other columns: the same in every retry of a task."""
+def _join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, hot_rows: int) -> DataFrame:
+    """Shuffled join in which a hot key takes as many tasks as it has rows for.
+
+    The left keys are counted first.  A hot key gets one salt per ``hot_rows``
+    rows, and only its row of the right side is copied.  The table of hot keys has
+    at most (left rows / ``hot_rows``) rows, so it is broadcast.
+    """
+    counts = left.select(*on).groupBy(*on).count().filter(F.col("count") > hot_rows).dropna()
+    salts = F.ceil(F.col("count") / hot_rows).cast("int")
+    hot = F.broadcast(stage(counts.select(*on, salts.alias("_salts"))))
+    no_key = F.lit(False)
+    for key in on:
+        no_key = no_key | F.col(key).isNull()
+    # rows without key never match; they are spread to keep them out of one task
+    buckets = F.coalesce(F.col("_salts"), F.when(no_key, 1024), F.lit(1))
+    left = left.join(hot, on, "left").withColumn("_salt", F.pmod(row_hash(left, on), buckets).cast("int"))
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies))
+    return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
+
+
+def row_hash(df: DataFrame, keys: list[str]) -> Column:
+    """Hash of the other columns of a row: the same in every retry of a task."""
     plain = [
         f.name
         for f in df.schema.fields
         if f.name not in keys and isinstance(f.dataType, AtomicType)
     ]
-    return F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
+    return F.xxhash64(*plain) if plain else F.lit(0).cast("bigint")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -76,6 +95,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _stage_dir(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/logweave-{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the tables this application has staged, once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and keep it as a table in the shared folder.
 
@@ -83,7 +112,7 @@ def stage(df: DataFrame) -> DataFrame:
     than reading a part again.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = f"{_stage_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,5 +126,5 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(cores) if splits < cores else df

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from logweave.functions.timespec import Period, TimeRange
 from logweave.operators import output, reports
-from logweave.operators.headers import BUILT_IN, HeaderFormat, known_lines, parse_headers
+from logweave.operators.headers import BUILT_IN, HeaderFormat, known_lines, parse_headers, unknown_files
+from logweave.operators.joins import join_checked
 from logweave.operators.mapping import map_fields, rewrite_raw
 from logweave.operators.rules import (
     App,
@@ -24,7 +25,7 @@ from logweave.operators.rules import (
     rule_results,
     select_mode,
 )
-from logweave.operators.scope import host_matches, in_period, in_time_range, on_hosts, until_newer
+from logweave.operators.scope import in_period, in_time_range, on_hosts, until_newer
 from logweave.operators.search import Patterns
 from logweave.packs import default_sections, shipped
 from logweave.streaming.stream import require_batch
@@ -84,10 +85,7 @@ class LogSearch:
         if self.skip_unknown_files:
             require_batch(lines, "skipping files of unknown format")
             if self.repeats:
-                bad = parsed.filter("line_no = 1 and format is null").select("file")
-                from logweave.operators.joins import join_checked
-
-                parsed = join_checked(parsed, bad, ["file"], "left_anti")
+                parsed = join_checked(parsed, unknown_files(parsed), ["file"], "left_anti")
             else:
                 parsed = known_lines(parsed)
         if self.repeats:
@@ -151,11 +149,9 @@ class LogSearch:
 
     def counts(self, lines: DataFrame) -> DataFrame:
         """Matches per file, files without any included."""
-        names = lines.select("file").distinct()
         found = output.count_per_file(self.flagged(lines), self.selected)
-        return names.join(found, "file", "left").select(
-            "file", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches")
-        )
+        zero = lines.select("file", F.lit(0).cast("bigint").alias("matches")).distinct()
+        return found.unionByName(zero).groupBy("file").agg(F.sum("matches").alias("matches"))
 
     def stats(self, lines: DataFrame) -> DataFrame:
         """Run statistics over the lines in scope."""
@@ -178,6 +174,3 @@ class LogSearch:
         """All report rows of the selected lines."""
         sections = default_sections() if sections is None else sections
         return reports.report(self.results(lines), self.active_apps, sections, limit)
-
-
-__all__ = ["LogSearch", "host_matches"]

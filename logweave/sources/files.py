@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from logweave.functions.globs import glob_to_java, matches_any
-from logweave.functions.timespec import Period, expand_paths
+from logweave.functions.timespec import Period, expand_paths, last_period
 from logweave.operators.joins import BROADCAST_ROWS, join_checked, stage
 
 LINE_COLUMNS = ["file", "file_mtime", "line_no", "raw"]
@@ -234,15 +234,17 @@ def read_apps(
     spark: SparkSession,
     apps: Iterable,
     logdir: str,
-    period: Period = (None, None),
+    period: Period | None = None,
     hosts: Iterable[str] = (),
     **options,
 ) -> tuple[DataFrame, list[str]]:
     """Lines of the files that the given apps name, and the paths that were missing.
 
+    Without a period it is the last day that is read.
     Files come in order of app priority; ``source_app`` is the first app that
     names a file.  Date and host templates are filled from the period and hosts.
     """
+    period = last_period("day") if period is None else period
     start = period[0]
     if start is not None:
         options.setdefault("modified_after", start)

@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def test_stream(spark, tmp_path):
             sinks.to_directory(str(tmp_path / "json"), "json", dt.date(2015, 1, 6)),
             sinks.to_directory(str(tmp_path / "raw"), "text", dt.date(2015, 1, 6), gzip=True),
         ],
-        f"test-{tmp_path.name}",
+        f"test-{uuid.uuid4().hex}",
     )
     run_.awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).select("user", "rule").collect() == [("eve", "login_password")]
