@@ -72,7 +72,7 @@ def number_rows(
 
 
 def chunk_of(order: str = "line_no", lines: int = CHUNK_LINES) -> Column:
-    return F.floor(F.col(order) / F.lit(lines)).cast("bigint")
+    return F.expr(f"`{order}` DIV {lines}")
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.regex import to_java
 from logweave.functions.units import scale_unit, split_unit
-from logweave.operators.joins import stage
+from logweave.operators.joins import join_checked, stage
 from logweave.operators.ordered import number_rows
 
 # Entries of a cell that are written into one row.
@@ -207,32 +207,37 @@ def _top_summed(results: DataFrame, picks) -> DataFrame:
     key = ["list_no", "pick_no", "_size"]
     sums = _exploded(results, picks, _amount).groupBy(*key, "value").agg(F.sum("total").alias("total"))
     sums = sums.filter("total is not null")
-    by_total = W.partitionBy(*key).orderBy(F.col("total").desc())
-    biggest = max(size for _, _, size, _ in picks)
-    # at most `size` rows per pick are left, so they can be broadcast
-    highest = (
-        sums.select(*key, "total")
-        .distinct()
-        .withColumn("rank", F.row_number().over(by_total))
-        .filter(F.col("rank") <= biggest)
-        .filter("rank <= _size")
-    )
-    return sums.join(F.broadcast(highest), [*key, "total"]).select(
-        "list_no", "pick_no", "rank", "total", "value"
-    )
+    highest = _ranked(sums.select(*key, "total").distinct(), key, ["total"], picks)
+    # at most `size` totals per pick are left
+    bound = sum(size for _, _, size, _ in picks)
+    found = join_checked(sums, highest, [*key, "total"], "inner", staged=False, rows=bound)
+    return found.select("list_no", "pick_no", "rank", "total", "value")
 
 
 def _top_largest(results: DataFrame, picks) -> DataFrame:
+    key = ["list_no", "pick_no", "_size"]
     rows = _exploded(results, picks, lambda p: value_of(p.value).try_cast("bigint"))
-    order = W.partitionBy("list_no", "pick_no").orderBy(F.col("total").desc(), F.col("value").desc())
+    ranked = _ranked(rows.filter("total is not null"), key, ["total", "value"], picks)
+    return ranked.select("list_no", "pick_no", "rank", "total", "value")
+
+
+def _ranked(rows: DataFrame, key: list[str], falling: list[str], picks) -> DataFrame:
+    """The first ``_size`` rows of a key by falling columns, with their ``rank``.
+
+    Small lists are cut in each task before the shuffle.  For long ones the chunks
+    of an exact numbering stand in for one sort per list.
+    """
     biggest = max(size for _, _, size, _ in picks)
-    return (
-        rows.filter("total is not null")
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= biggest)
-        .filter("rank <= _size")
-        .select("list_no", "pick_no", "rank", "total", "value")
-    )
+    by = W.partitionBy(*key).orderBy(*[F.col(c).desc() for c in falling])
+    if biggest > 1000:
+        # rows of a list in rising order, counted from its end
+        rows = number_rows(rows, key, falling, "_up")
+        counts = rows.groupBy(*key).agg(F.max("_up").alias("_all"))
+        rows = join_checked(rows, counts, key, "inner", staged=False, rows=len(picks))
+        rows = rows.withColumn("rank", (F.col("_all") - F.col("_up") + 1).cast("int")).drop("_up", "_all")
+    else:
+        rows = rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= biggest)
+    return rows.filter("rank <= _size")
 
 
 # -- table -------------------------------------------------------------------

@@ -417,6 +417,14 @@ def test_tops(counters):
     ]
 
 
+def test_long_tops(counters):
+    """Lists beyond the limit that a task can cut to are numbered instead."""
+    for pick in (Pick("r", ("u",)), Pick("r", ("u",), value="n", add=True), Pick("r", ("c",), value="n")):
+        short = Item("s", "L", "top", (pick,), ("H",), 100)
+        long = Item("s", "L", "top", (pick,), ("H",), 5000)
+        assert make(counters, long) == make(counters, short)
+
+
 def test_tables(counters):
     two = Item("s", "T", "table", (Pick("r", ("host", '"svc"', "u", "c")),), ("Host", "Service", "User"))
     assert make(counters, two, limit=2) == [
