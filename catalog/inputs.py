@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from catalog import views
+from catalog import apps, views
 from catalog.registry import query
-from logweave.functions.timespec import date_path, host_path
+from logweave.functions.timespec import date_path, date_period, host_path
 from logweave.operators.joins import checkpoint_dir
 from logweave.operators.search import Patterns
 from logweave.sources.files import (
@@ -17,8 +18,10 @@ from logweave.sources.files import (
     file_included,
     missing_inputs,
     modified_since,
+    read_apps,
     read_lines,
 )
+from logweave.sources.sinks import to_directory
 from logweave.streaming import read_line_stream
 
 
@@ -64,6 +67,26 @@ def read_files_by_glob(spark, sf_dir):
     return found.groupBy(day).agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query(
+    f"""WITH {views.EVENTS} SELECT 'shop' AS source_app, file AS day, count(*) AS lines FROM e
+    WHERE file BETWEEN 'day-20240108' AND 'day-20240112' GROUP BY file
+    UNION ALL SELECT 'web', file, count(*) FROM e WHERE file = 'day-20240120' GROUP BY file"""
+)
+def read_app_files(spark, sf_dir):
+    """Files come from the rule packs, with the days of a period filled in.
+
+    A file that two packs name belongs to the first by priority.
+    """
+    root = _written(spark, sf_dir)
+    packs = [
+        replace(apps.SHOP, files=("${logdir}/file=day-%Y%m%d/*.txt",)),
+        replace(apps.WEB, files=("${logdir}/file=day-20240110/*.txt", "${logdir}/file=day-20240120/*.txt")),
+    ]
+    found, _ = read_apps(spark, packs, root, date_period("20240108,20240112"))
+    day = F.regexp_extract("file", "file=([^/]+)/", 1).alias("day")
+    return found.groupBy("source_app", day).agg(F.count(F.lit(1)).alias("lines"))
+
+
 @query(
     """SELECT page_id, url FROM pages
     WHERE NOT regexp_matches(regexp_extract(url, '^(.*)/[^/]*$', 1, 's'), '^https://[^\\n]*\\.org/[^\\n]*$')
@@ -150,6 +173,15 @@ def number_text_lines(spark, sf_dir):
     return views.corpus(spark, sf_dir).select("file", "line_no", "raw")
 
 
+@query(f"WITH {views.NUMBERED} SELECT DATE '2024-01-31' AS run_date, raw FROM l WHERE event_type = 'error'")
+def archive_raw_lines(spark, sf_dir):
+    """Matched lines as compressed text below a dated folder, read back."""
+    path = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
+    found = views.lines(spark, sf_dir).filter(Patterns.of(r"error\[").selects())
+    to_directory(path, "text", dt.date(2024, 1, 31), gzip=True)(found)
+    return spark.read.text(path).select("run_date", F.col("value").alias("raw"))
+
+
 @query(
     f"""WITH {views.NUMBERED} SELECT raw, count(*) AS copies FROM l
     WHERE event_type = 'error' AND k BETWEEN 40 AND 49 GROUP BY raw"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import apps, daemons, views
@@ -10,8 +12,10 @@ from catalog.registry import query
 from logweave import Item, LogSearch, Pick, Section, Where
 from logweave.functions.units import scale_unit
 from logweave.operators import reports
+from logweave.operators.joins import checkpoint_dir
 from logweave.operators.output import run_stats
 from logweave.packs import barracuda, crond, dovecot, ntpd, postfix, sshd
+from logweave.sources.sinks import write_csv_tables
 
 
 def _results(spark, sf_dir):
@@ -336,6 +340,19 @@ def report_ntpd(spark, sf_dir):
     return _report(spark, sf_dir, ntpd.APP, daemons.NTPD, names=("ntpd",))
 
 
+@query(
+    f"""WITH {views.EVENTS} SELECT c1 AS "Hostname", c2 AS "User", cell AS "Commands"
+    FROM ({_cells('c1, c2', _JOBS, 'e1', 'e1', 10)})"""
+)
+def write_csv_report(spark, sf_dir):
+    """A report table written as CSV and read back; cells show ten entries."""
+    run = LogSearch(apps=(crond.APP,))
+    table = run.report(daemons.read(spark, sf_dir, daemons.CRON), limit=10)
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    (written,) = write_csv_tables(table, {1: crond.APP.items[0]}, path)
+    return spark.read.csv(written, sep="|", header=True)
+
+
 _MERGED = [Section("login", "Logins")]
 
 

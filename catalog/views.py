@@ -100,7 +100,7 @@ def numbered(spark: SparkSession, sf_dir: str, message: str = SYSLOG_TEXT, raw:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text lines of documents; a document is a file."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return from_text_column(docs, "doc_id", "text", F.lit(REFERENCE), keep=["doc_id", "lang"])
 
 

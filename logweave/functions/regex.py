@@ -13,12 +13,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
-from re import _constants as rc
-from re import _parser as rp
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:
+    from re import _constants as rc
+    from re import _parser as rp
+except ImportError:  # before Python 3.11
+    import sre_constants as rc
+    import sre_parse as rp
+
 # Python's idea of these classes for str patterns, spelled for Java.
 WORD = r"\p{L}\p{N}_"
 ASCII_WORD = "0-9A-Z_a-z"
@@ -27,6 +32,8 @@ _CLASSES = {
     rc.CATEGORY_SPACE: (r"\t-\r\x1c-\x20\x85\p{Z}", r"\t-\r\x20"),
     rc.CATEGORY_WORD: (WORD, ASCII_WORD),
 }
+_ATOMIC = getattr(rc, "ATOMIC_GROUP", None)
+_POSSESSIVE = getattr(rc, "POSSESSIVE_REPEAT", None)
 # A plain dot is used only around printed patterns, which spell their own.
 _ANY_DOT = "(?s)"
 _NEGATED = {
@@ -208,9 +215,9 @@ class _Printer:
             return f"(?:{'|'.join(inner)})"
         if op is rc.SUBPATTERN:
             return self.group(arg, guard, named)
-        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
+        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, _POSSESSIVE):
             return self.repeat(op, arg, guard, named)
-        if op is rc.ATOMIC_GROUP:
+        if op is _ATOMIC:
             return f"(?>{self.sequence(arg, guard, named)})"
         if op in (rc.ASSERT, rc.ASSERT_NOT):
             sign = "=" if op is rc.ASSERT else "!"
@@ -260,7 +267,7 @@ class _Printer:
         span = f"{{{low},}}" if high is rc.MAXREPEAT else f"{{{low},{high}}}"
         span = f"{{{low}}}" if low == high else span
         span = {"{1}": "", "{0,}": "*", "{1,}": "+", "{0,1}": "?"}.get(span, span)
-        return body + span + {rc.MIN_REPEAT: "?", rc.POSSESSIVE_REPEAT: "+"}.get(op, "")
+        return body + span + {rc.MIN_REPEAT: "?", _POSSESSIVE: "+"}.get(op, "")
 
 
 def _has_named(op, arg, named) -> bool:
@@ -269,11 +276,11 @@ def _has_named(op, arg, named) -> bool:
         return arg[0] in named or any(_has_named(o, a, named) for o, a in arg[3])
     if op is rc.BRANCH:
         return any(_has_named(o, a, named) for branch in arg[1] for o, a in branch)
-    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
+    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, _POSSESSIVE):
         return any(_has_named(o, a, named) for o, a in arg[2])
     if op in (rc.ASSERT, rc.ASSERT_NOT):
         return any(_has_named(o, a, named) for o, a in arg[1])
-    if op is rc.ATOMIC_GROUP:
+    if op is _ATOMIC:
         return any(_has_named(o, a, named) for o, a in arg)
     return False
 

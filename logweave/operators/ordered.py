@@ -21,6 +21,8 @@ from logweave.operators.joins import join_checked, stage
 CHUNK_LINES = 65_536
 # Sorted rows per task when lines are numbered.
 ROWS_PER_RANGE = 1_000_000
+# Tasks that a numbering is spread over at most; more would burden the shuffle.
+MAX_RANGES = 20_000
 
 
 def number_rows(
@@ -46,7 +48,7 @@ def number_rows(
     if rows <= rows_per_range:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(session, -(-rows // rows_per_range))
+    ranges = max(session, min(-(-rows // rows_per_range), MAX_RANGES))
     placed = stage(
         df.repartitionByRange(ranges, *keys, *order)
         .sortWithinPartitions(*keys, *order)

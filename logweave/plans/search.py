@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.regex import compute_once
 from logweave.functions.timespec import Period, TimeRange
 from logweave.operators import output, reports
 from logweave.operators.headers import BUILT_IN, HeaderFormat, known_lines, parse_headers, unknown_files
@@ -102,17 +103,23 @@ class LogSearch:
         return on_hosts(events, list(self.hosts))
 
     def flagged(self, lines: DataFrame) -> DataFrame:
-        """Lines in scope with ``selected``, and ``app`` and the rule columns.
+        """Lines in scope with ``hit`` (by the patterns), ``selected``, ``app`` and the rule columns.
 
         Rules run only on lines that the patterns hit, unless threads are wanted.
         """
-        scope = self.in_scope(lines)
-        hit = self.patterns.selects()
+        scope = compute_once(self.in_scope(lines), "hit", self.patterns.selects())
         if self.mode == "unruled":
-            routed = route(scope, self.active_apps)
-            return routed.withColumn("selected", hit & select_mode(routed, "unruled"))
-        ruled = apply_rules(scope, self.active_apps, self.filters, self.threads)
-        return ruled.withColumn("selected", hit & select_mode(ruled, self.mode))
+            found = route(scope, self.active_apps)
+        elif self.threads:
+            found = apply_rules(scope, self.active_apps, self.filters, threads=True)
+        else:
+            # a line without message matches no rule
+            hidden = scope.withColumn("_message", F.col("message")).withColumn(
+                "message", F.when(F.col("hit"), F.col("message"))
+            )
+            found = apply_rules(hidden, self.active_apps, self.filters)
+            found = found.withColumn("message", F.col("_message")).drop("_message")
+        return found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
 
     def select(self, lines: DataFrame) -> DataFrame:
         """The selected lines, mapped if a mapping is asked for."""
@@ -136,7 +143,7 @@ class LogSearch:
         """Selected lines with neighbours; lines of unknown tag that the patterns hit are no neighbours."""
         require_batch(lines, "context")
         flagged = self.flagged(lines)
-        near = flagged.filter(F.col("app").isNotNull() | ~self.patterns.selects())
+        near = flagged.filter(F.col("app").isNotNull() | ~F.col("hit"))
         return output.context(near, self.selected, before, after, around)
 
     def threads_of(self, lines: DataFrame, before: int | None = None, after: int | None = None) -> DataFrame:

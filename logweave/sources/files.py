@@ -12,9 +12,10 @@ from pyspark.sql import Window as W
 
 from logweave.functions.globs import glob_to_java, matches_any
 from logweave.functions.timespec import Period, expand_paths, last_period
-from logweave.operators.joins import BROADCAST_ROWS, join_checked, stage
+from logweave.operators.joins import join_checked, stage
 
-LINE_COLUMNS = ["file", "file_mtime", "line_no", "raw"]
+# Blocks whose line counts are broadcast, at some 150 bytes each.
+BROADCAST_BLOCKS = 2_000_000
 
 
 def file_name(path: Column) -> Column:
@@ -187,7 +188,7 @@ def read_lines(
     exclude: Iterable[str] = (),
     exclude_dir: Iterable[str] = (),
     modified_after: dt.datetime | None = None,
-    block_rows: int = BROADCAST_ROWS,
+    block_rows: int = BROADCAST_BLOCKS,
 ) -> DataFrame:
     """Lines with exact numbers: ``file, file_mtime, line_no, raw``.
 
@@ -213,8 +214,9 @@ def read_lines(
         F.min("_utf8").over(file).alias("_utf8"),
         F.col("_first"),
         F.col("_n"),
+        file_name(F.col("_path")).alias("file"),
     )
-    if blocks.limit(block_rows + 1).count() <= block_rows:
+    if blocks.count() <= block_rows:
         blocks = F.broadcast(blocks)
     joined = scan.join(blocks, ["_path", "_block"], "left")
     place = F.col("_row") - F.col("_first")
@@ -223,7 +225,7 @@ def read_lines(
     )
     latin1 = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     return joined.select(
-        file_name(F.col("_path")).alias("file"),
+        "file",
         "file_mtime",
         line_no.alias("line_no"),
         F.when(F.col("_utf8"), F.col("value")).otherwise(latin1).alias("raw"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.joins import spread
 from logweave.operators.ordered import number_rows
 
 
@@ -36,9 +35,9 @@ def from_table(
         *[F.col(k) for k in keep],
     ]
     if line_no is not None:
-        return spread(df.select(*columns, _col(line_no).cast("bigint").alias("line_no")))
+        return df.select(*columns, _col(line_no).cast("bigint").alias("line_no"))
     if not order:
-        return spread(df.select(*columns))
+        return df.select(*columns)
     sort = [_col(c).alias(f"_o{i}") for i, c in enumerate(order)]
     names = [f"_o{i}" for i in range(len(sort))]
     ordered = df.select(*columns, *sort)
@@ -49,7 +48,7 @@ def from_text_column(
     df: DataFrame, file: Column | str, text: Column | str, mtime: Column | str, keep: list[str] = ()
 ) -> DataFrame:
     """One line per line feed of a text column, numbered from 1 within each row."""
-    lines = spread(df).select(
+    lines = df.select(
         _col(file).cast("string").alias("file"),
         _col(mtime).cast("timestamp").alias("file_mtime"),
         *[F.col(k) for k in keep],
