@@ -31,6 +31,7 @@ def number_rows(
     order: list[str],
     name: str = "line_no",
     staged: bool = True,
+    bound: int | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Exact row numbers from 1 per key in the given order.
@@ -40,11 +41,13 @@ def number_rows(
     tasks, and kept in shared storage so that later passes see the same
     partitions.  The number is then the position in the partition plus the rows of
     earlier partitions, minus the position where the key begins.  ``staged`` keeps
-    the input too; leave it out for one that is cheap to read again.
+    the input too; leave it out for one that is cheap to read again.  A caller who
+    knows that there are at most ``bound`` rows saves the count of a small input.
     """
-    if staged:
+    small = bound is not None and bound <= rows_per_range
+    if staged and not small:
         df = stage(df)
-    rows = df.count()
+    rows = bound if small else df.count()
     if rows <= rows_per_range:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     session = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,19 +178,7 @@ def with_distance(
     df = df.withColumn("_chunk", chunk_of(order, lines))
     hit = F.col(selected)
     near = stage(df.join(_near_chunks(df, keys, chunk, hit, before, after), chunk))
-    edges = near.join(_marks(near, chunk, hit, order), chunk).groupBy(*chunk)
-    edges = edges.agg(
-        F.count_if(F.col(order) < F.col("_first")).alias("_head"),
-        F.count_if(F.col(order) > F.col("_last")).alias("_tail"),
-    )
-    starts = near.select(*chunk, "_start", "_n").distinct()
-    return _by_distance(near, starts.join(edges, chunk, "left"), keys, chunk, hit, before, after, order)
-
-
-def _marks(df: DataFrame, chunk: list[str], hit: Column, order: str) -> DataFrame:
-    return df.filter(hit).groupBy(*chunk).agg(
-        F.min(order).alias("_first"), F.max(order).alias("_last")
-    )
+    return _by_distance(near, keys, chunk, hit, before, after, order)
 
 
 def _near_chunks(df, keys, chunk, hit, before, after) -> DataFrame:
@@ -207,28 +198,28 @@ def _near_chunks(df, keys, chunk, hit, before, after) -> DataFrame:
             | (F.col("_start") - F.col("_end_hit") < after)
             | (F.col("_start_hit") - end < before)
         )
-        .select(*chunk, "_start", "_n")
+        .select(*chunk, "_start")
     )
 
 
-def _by_distance(near, table, keys, chunk, hit, before, after, order) -> DataFrame:
+def _by_distance(near, keys, chunk, hit, before, after, order) -> DataFrame:
+    """Exact distances: in the chunk itself, and by its table to the chunks around it."""
+    in_chunk = W.partitionBy(*chunk).orderBy(order)
+    near = near.withColumn("_at", F.col("_start") + F.row_number().over(in_chunk))
+    mark = F.when(hit, F.col("_at"))
     up = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     down = W.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(W.unboundedPreceding, -1)
-    last_at = F.col("_start") + F.col("_n") - F.col("_tail")
-    first_at = F.col("_start") + F.col("_head") + 1
-    table = table.withColumn("_prev", F.max(last_at).over(up)).withColumn(
-        "_next", F.min(first_at).over(down)
+    table = near.groupBy(*chunk).agg(F.max(mark).alias("_last"), F.min(mark).alias("_first"))
+    table = table.select(
+        *chunk, F.max("_last").over(up).alias("_prev"), F.min("_first").over(down).alias("_next")
     )
-    near = near.join(table.select(*chunk, "_prev", "_next"), chunk)
-    here = W.partitionBy(*chunk).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    near = near.join(table, chunk)
+    here = in_chunk.rowsBetween(W.unboundedPreceding, 0)
     back = W.partitionBy(*chunk).orderBy(F.col(order).desc()).rowsBetween(W.unboundedPreceding, 0)
-    at = F.col("_start") + F.row_number().over(W.partitionBy(*chunk).orderBy(order))
-    near = near.withColumn("_at", at)
-    mark = F.when(hit, F.col("_at"))
     near = near.withColumn("_prev", F.greatest(F.max(mark).over(here), F.col("_prev"))).withColumn(
         "_next", F.least(F.min(mark).over(back), F.col("_next"))
     )
     kept = (F.col("_at") - F.col("_prev") <= after) | (F.col("_next") - F.col("_at") <= before)
     return near.filter(hit | F.coalesce(kept, F.lit(False))).drop(
-        "_chunk", "_start", "_n", "_prev", "_next", "_at"
+        "_chunk", "_start", "_prev", "_next", "_at"
     )

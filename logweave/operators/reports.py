@@ -274,13 +274,19 @@ def table_entries(results: DataFrame, items: Iterable[tuple[int, Item]]) -> Data
 
 
 def counted_cells(
-    entries: DataFrame, keys: list[str], limit: int = 10, sep: str = "::", per_row: int = CELL_ENTRIES
+    entries: DataFrame,
+    keys: list[str],
+    limit: int = 10,
+    sep: str = "::",
+    per_row: int = CELL_ENTRIES,
+    bound: int | None = None,
 ) -> DataFrame:
     """Write the entries of a key as one text: ``a::b(3), c::d(1) [2 more skipped]``.
 
     Entries come by falling count, then by name.  The first ``limit`` are shown,
     and beyond them all that happened more than once; the rest is counted.  A
     text of more than ``per_row`` entries goes on in further rows (``part``).
+    ``bound`` is a known limit of the number of entries, if there is one.
     """
     key = W.partitionBy(*keys).orderBy(F.col("events").desc(), F.col("entry"))
     # the first `limit` per key are cut in each task before the shuffle
@@ -290,7 +296,7 @@ def counted_cells(
         .unionByName(first.filter("events <= 1").drop("_rn"))
         .withColumn("_down", -F.col("events"))
     )
-    shown = number_rows(shown, keys, ["_down", "entry"], "_no")
+    shown = number_rows(shown, keys, ["_down", "entry"], "_no", bound=bound)
     counts = (
         entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
         .join(shown.groupBy(*keys).agg(F.max("_no").alias("_shown")), keys)
@@ -381,6 +387,8 @@ def report(
     results = stage(results)
     rows = []
     flat = []
+    # every pick makes at most one row of a counter
+    bound = results.count() * sum(len(e.item.picks) for e in placed)
     for entry in placed:
         for pick in entry.item.picks:
             flat.append((entry, pick))
@@ -389,13 +397,13 @@ def report(
     if tops := [(i, e, p) for i, (e, p) in enumerate(flat) if e.item.function == "top"]:
         rows.append(_top_rows(results, tops))
     if any(e.item.function == "table" for e in placed):
-        rows.append(_table_rows(results, [e for e in placed if e.item.function == "table"], limit))
+        rows.append(_table_rows(results, [e for e in placed if e.item.function == "table"], limit, bound))
     if not rows:
         raise ValueError("no report item can be made from the given apps")
     out = rows[0]
     for part in rows[1:]:
         out = out.unionByName(part)
-    out = number_rows(out, ["item_no"], ["_order", "cols"], "row_no")
+    out = number_rows(out, ["item_no"], ["_order", "cols"], "row_no", bound=bound)
     info = _item_info(results.sparkSession, placed)
     return out.join(F.broadcast(info), "item_no").select(
         "item_no", "subreport", "title", "app", "row_no", "cols"
@@ -468,13 +476,13 @@ def _top_rows(results: DataFrame, entries) -> DataFrame:
     )
 
 
-def _table_rows(results: DataFrame, placed: list[_Placed], limit: int) -> DataFrame:
+def _table_rows(results: DataFrame, placed: list[_Placed], limit: int, bound: int) -> DataFrame:
     items = []
     for position, e in enumerate(placed):
         picks = tuple(_scoped(e, p) for p in e.item.picks)
         items.append((position, Item(e.item.subreport, e.item.title, "table", picks, e.item.headers)))
     keys = ["list_no", "pick_no", "cols"]
-    cells = counted_cells(table_entries(_qualified(results), items), keys, limit)
+    cells = counted_cells(table_entries(_qualified(results), items), keys, limit, bound=bound)
     number = F.array(*[F.lit(e.no) for e in placed])[F.col("list_no")]
     return cells.select(
         number.cast("int").alias("item_no"),

@@ -364,7 +364,7 @@ def fold_repeats(parsed: DataFrame) -> DataFrame:
     )
     plain = parsed.filter(F.col("format").isNotNull() & F.col("repeat").isNull())
     return (
-        join_checked(plain, about, ["file", "line_no"], "left")
+        join_checked(plain, about, ["file", "line_no"], "left", staged=False, rows=odd.count())
         .withColumn("weight", (F.lit(1) + F.coalesce("_times", F.lit(0))).cast("bigint"))
         .drop("_times")
     )

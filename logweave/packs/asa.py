@@ -3,6 +3,7 @@
 from logweave.operators.reports import Item, Pick
 from logweave.operators.rules import App, Rule
 
+# The texts of the appliance's messages and the title of its report.
 APP = App(
     name="asa",
     description="Cisco ASA security appliance",

@@ -17,6 +17,7 @@ def _top(size: int, title: str, header: str, field: str) -> Item:
     return Item("mail", f"[BSVF] {title}", "top", (Pick("scanned", (field,)),), (header,), size)
 
 
+# The layout of the appliance's messages and the titles of its report.
 APP = App(
     name="barracuda",
     description="Barracuda spam and virus firewall",

@@ -3,6 +3,7 @@
 from logweave.operators.reports import Item, Pick
 from logweave.operators.rules import App, Rule
 
+# The text of the daemon's messages and the title of its report.
 APP = App(
     name="crond",
     description="Cron daemon",

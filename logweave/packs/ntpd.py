@@ -3,6 +3,7 @@
 from logweave.operators.reports import Item, Pick, Where
 from logweave.operators.rules import App, Rule
 
+# The text of the daemon's messages and the titles of its report.
 APP = App(
     name="ntpd",
     description="NTP daemon",

@@ -27,6 +27,7 @@ def _logins(title: str, rules: dict[str, str], root: bool) -> Item:
 _ACCEPTED = {"login_publickey": "sshd(pk)", "login_password": "sshd(pw)"}
 _FAILED = {"failed_publickey": "sshd(pk)", "failed_password": "sshd(pw)"}
 
+# The texts of the daemon's messages and the titles of its report.
 APP = App(
     name="sshd",
     description="SSH daemon",
