@@ -368,6 +368,31 @@ def _place_items(apps, sections: Iterable[Section], active: dict[str, set[str]])
     return placed
 
 
+def needed_fields(
+    apps, sections: Iterable[Section], active: dict[str, set[str]] | None = None
+) -> dict[tuple[str, str], set[str] | None]:
+    """What a report asks of ``rule_results``: rules, and the fields of each.
+
+    A list of largest values shows single counters, so it needs all fields.
+    """
+    apps = list(apps)
+    needed: dict[tuple[str, str], set[str] | None] = {}
+    for entry in _place_items(apps, sections, active or _all_rules(apps)):
+        for pick in entry.item.picks:
+            key = (entry.app, pick.rule)
+            used = {*pick.fields, *([pick.value] if pick.value else [])}
+            used |= {pick.where.field} if pick.where else set()
+            if entry.item.function == "top" and pick.value and not pick.add:
+                needed[key] = None
+            elif needed.get(key, used) is not None:
+                needed[key] = needed.get(key, set()) | used
+    return needed
+
+
+def _all_rules(apps) -> dict[str, set[str]]:
+    return {a.name: {r.name for r in a.rules} for a in apps}
+
+
 def report(
     results: DataFrame,
     apps,
@@ -382,7 +407,7 @@ def report(
     rows do not appear.
     """
     apps = list(apps)
-    active = active or {a.name: {r.name for r in a.rules} for a in apps}
+    active = active or _all_rules(apps)
     placed = _place_items(apps, sections, active)
     results = stage(results)
     rows = []

@@ -370,14 +370,42 @@ def fold_repeats(parsed: DataFrame) -> DataFrame:
     )
 
 
-def rule_results(selected: DataFrame) -> DataFrame:
-    """Events per (app, rule, host, fields): the counters all reports are made from."""
+def rule_results(
+    selected: DataFrame, needed: dict[tuple[str, str], set[str] | None] | None = None
+) -> DataFrame:
+    """Events per (app, rule, host, fields): the counters all reports are made from.
+
+    ``needed`` names, per app and rule, the fields that will be asked for (None for
+    all).  Other rules are left out, and other fields do not keep counters apart: a
+    process id in the key would make a counter of nearly every line.
+    """
     weight = F.col("weight") if "weight" in selected.columns else F.lit(1)
+    if needed is not None:
+        selected = _only_needed(selected, needed)
     return selected.groupBy("app", "rule", "host", "fields").agg(
         F.sum(weight).cast("bigint").alias("events")
     )
 
 
+def _only_needed(selected: DataFrame, needed: dict[tuple[str, str], set[str] | None]) -> DataFrame:
+    label = "concat_ws('/', app, rule)"
+    labels = {f"{app}/{rule}": fields for (app, rule), fields in needed.items()}
+    hosts, cases = [], []
+    for name, fields in labels.items():
+        if fields is None or "host" in fields:
+            hosts.append(sql_text(name))
+        if fields is not None:
+            kept = ", ".join(sql_text(f) for f in sorted(fields - {"host"})) or "NULL"
+            cases.append(f"WHEN {sql_text(name)} THEN map_filter(fields, (k, v) -> k IN ({kept}))")
+    host = f"CASE WHEN {label} IN ({', '.join(hosts) or 'NULL'}) THEN host END"
+    fields = f"CASE {label} {' '.join(cases)} ELSE fields END" if cases else "fields"
+    wanted = ", ".join(sql_text(n) for n in labels) or "NULL"
+    weight = ["weight"] if "weight" in selected.columns else []
+    return selected.filter(f"{label} IN ({wanted})").selectExpr(
+        "app", "rule", f"{host} AS host", f"{fields} AS fields", *weight
+    )
+
+
 def fields_json(fields: Column | str = "fields") -> Column:
     """The fields that took part, as JSON text with sorted names."""
     col = F.col(fields) if isinstance(fields, str) else fields

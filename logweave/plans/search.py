@@ -179,5 +179,7 @@ class LogSearch:
         self, lines: DataFrame, sections: Iterable[reports.Section] | None = None, limit: int = 5
     ) -> DataFrame:
         """All report rows of the selected lines."""
-        sections = default_sections() if sections is None else sections
-        return reports.report(self.results(lines), self.active_apps, sections, limit)
+        sections = list(default_sections() if sections is None else sections)
+        needed = reports.needed_fields(self.active_apps, sections)
+        results = rule_results(self.select(lines), needed)
+        return reports.report(results, self.active_apps, sections, limit)

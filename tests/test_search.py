@@ -459,6 +459,27 @@ def test_entries_of_a_hot_key(spark):
     assert "partial_sum" in plan
 
 
+def test_counters_of_a_report(lines_of):
+    """A report counts only its rules, and only by the fields it shows."""
+    texts = [
+        f"Jan  5 10:00:{i:02d} h{i % 2} sshd[{i}]: {m}"
+        for i in range(20)
+        for m in ("Accepted password for bob from 10.0.0.1", "Connection closed by 10.0.0.1")
+    ]
+    run = LogSearch(apps=(sshd.APP,))
+    from logweave.operators.reports import needed_fields
+
+    needed = needed_fields(run.active_apps, [Section("login", "L")])
+    assert needed[("sshd", "login_password")] == {"host", "user", "client"}
+    few = rules.rule_results(run.select(lines_of(texts)), needed).collect()
+    assert sorted((r.host, r.events) for r in few) == [("h0", 10), ("h1", 10)]
+    assert run.results(lines_of(texts)).count() == 40
+    largest = Item("s", "M", "top", (Pick("r", ("c",), value="n"),), ("C",), 3)
+    total = Item("s", "T", "total", (Pick("r", ('"x"',), Where("u", "a")),))
+    app = App("a", "", ("a",), (Rule("r", "(?P<u>.)(?P<c>.)(?P<n>.)"),), items=(total, largest))
+    assert needed_fields([app], [Section("s", "S")]) == {("a", "r"): None}
+
+
 def test_report_order_and_activity(spark, lines_of):
     lines = lines_of([*log("sshd[1]", "Accepted password for bob from 10.0.0.1"), *log("CROND[1]", "(root) CMD (x)")])
     run = LogSearch()
