@@ -173,13 +173,14 @@ def number_text_lines(spark, sf_dir):
     return views.corpus(spark, sf_dir).select("file", "line_no", "raw")
 
 
-@query(f"WITH {views.NUMBERED} SELECT DATE '2024-01-31' AS run_date, raw FROM l WHERE event_type = 'error'")
+@query(f"WITH {views.NUMBERED} SELECT '2024-01-31' AS run_date, raw FROM l WHERE event_type = 'error'")
 def archive_raw_lines(spark, sf_dir):
     """Matched lines as compressed text below a dated folder, read back."""
     path = f"{checkpoint_dir(spark)}/archive-{uuid.uuid4().hex}"
     found = views.lines(spark, sf_dir).filter(Patterns.of(r"error\[").selects())
     to_directory(path, "text", dt.date(2024, 1, 31), gzip=True)(found)
-    return spark.read.text(path).select("run_date", F.col("value").alias("raw"))
+    back = spark.read.text(path)
+    return back.select(F.col("run_date").cast("string").alias("run_date"), F.col("value").alias("raw"))
 
 
 @query(

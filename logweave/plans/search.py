@@ -132,7 +132,8 @@ class LogSearch:
         if self.max_count:
             require_batch(lines, "a limit per file")
             found = output.max_count(found, self.max_count)
-        if self.mode != "unruled" and (self.mask or self.addresses or self.users):
+        mapped = self.mask or self.addresses is not None or self.users is not None
+        if mapped and self.mode != "unruled":
             if self.mask:
                 require_batch(lines, "masking")
             found = map_fields(found, self.active_apps, self.mask, self.addresses, self.users)
