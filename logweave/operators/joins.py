@@ -23,7 +23,7 @@ def join_checked(
     staged: bool = True,
     rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Join a large left side to a right side that tends to be small.
 
@@ -33,7 +33,8 @@ def join_checked(
     are spread over several tasks.  ``staged`` keeps the right side in shared
     storage first; leave it out for a table that is cheap to read again.  ``how``
     is one of ``inner``, ``left``, ``left_semi``, ``left_anti``; under the first
-    two the right side must hold each key once.
+    two the right side must hold each key once.  With ``hot_rows=None`` the caller
+    vouches that no key has many rows.
     """
     if staged:
         right = stage(right)
@@ -41,6 +42,8 @@ def join_checked(
         rows = right.count() if staged else right.limit(broadcast_rows + 1).count()
     if rows <= broadcast_rows:
         return left.join(F.broadcast(right), on, how)
+    if hot_rows is None:
+        return left.join(right, on, how)
     return _join_salted(left, right, on, how, hot_rows)
 
 

@@ -19,6 +19,8 @@ from logweave.operators.joins import join_checked, stage
 
 # Consecutive line numbers handled together by one task.
 CHUNK_LINES = 65_536
+# For context the chunks are smaller, as all lines of a chunk near a match are kept.
+CONTEXT_LINES = 8_192
 # Sorted rows per task when lines are numbered.
 ROWS_PER_RANGE = 1_000_000
 # Tasks that a numbering is spread over at most; more would burden the shuffle.
@@ -122,10 +124,13 @@ def running(
         by = F.col("_chunk").desc() if s.backward else F.col("_chunk").asc()
         earlier = W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
         table = table.withColumn(f"_c_{s.name}", _AGG[s.agg](s.name).over(earlier))
-    if needed is not None:
-        table = needed(table)
     carried = [f"_c_{s.name}" for s in scans]
-    out = df.join(table.select(*chunk, *carried), chunk)
+    if needed is None:
+        # the windows below need the same partitions as this join
+        out = df.join(table.select(*chunk, *carried), chunk)
+    else:
+        some = needed(table).select(*chunk, *carried)
+        out = join_checked(df, some, chunk, "inner", hot_rows=None)
     for s in scans:
         by = F.col(order).desc() if s.backward else F.col(order).asc()
         here = W.partitionBy(*chunk).orderBy(by)
@@ -164,20 +169,27 @@ def first_rows(df: DataFrame, keys: list[str], n: int, order: str = "line_no") -
 
 
 def with_distance(
-    df: DataFrame, keys: list[str], selected: str, before: int, after: int, order: str = "line_no",
-    lines: int = CHUNK_LINES,
+    df: DataFrame,
+    keys: list[str],
+    selected: str,
+    before: int,
+    after: int,
+    order: str = "line_no",
+    lines: int = CONTEXT_LINES,
 ) -> DataFrame:
     """Rows that are selected or near a selected row of the same key.
 
     Distance counts the rows of ``df``: the ``before`` rows ahead of a selected
     one and the ``after`` rows behind it stay.  A first pass finds the chunks that
-    hold a selected row or may touch one; only their rows are shuffled and kept
-    in shared storage, where the exact distances are taken.
+    hold a selected row or may touch one; only their rows are kept, in shared
+    storage, and shuffled to take the exact distances.
     """
     chunk = [*keys, "_chunk"]
     df = df.withColumn("_chunk", chunk_of(order, lines))
     hit = F.col(selected)
-    near = stage(df.join(_near_chunks(df, keys, chunk, hit, before, after), chunk))
+    chunks = _near_chunks(df, keys, chunk, hit, before, after)
+    # a chunk has at most `lines` rows, so none is hot
+    near = stage(join_checked(df, chunks, chunk, "inner", hot_rows=None))
     return _by_distance(near, keys, chunk, hit, before, after, order)
 
 

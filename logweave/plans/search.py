@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logweave.functions.regex import compute_once
 from logweave.functions.timespec import Period, TimeRange
 from logweave.operators import output, reports
-from logweave.operators.headers import BUILT_IN, HeaderFormat, known_lines, parse_headers, unknown_files
+from logweave.operators.headers import BUILT_IN, HEADER_COLUMNS, HeaderFormat, known_lines, parse_headers, unknown_files
 from logweave.operators.joins import join_checked
 from logweave.operators.mapping import map_fields, rewrite_raw
 from logweave.operators.rules import (
@@ -145,6 +145,8 @@ class LogSearch:
         require_batch(lines, "context")
         flagged = self.flagged(lines)
         near = flagged.filter(F.col("app").isNotNull() | ~F.col("hit"))
+        # neighbours are shown as they are: the parts of their headers are not kept
+        near = near.drop(*[c for c in HEADER_COLUMNS if c != "host"], "fields")
         return output.context(near, self.selected, before, after, around)
 
     def threads_of(self, lines: DataFrame, before: int | None = None, after: int | None = None) -> DataFrame:
