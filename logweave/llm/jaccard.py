@@ -11,9 +11,10 @@ How the work is spread:
   there, and a set with fewer than the required overlap left cannot link at all;
 * hashes in more than a thousandth of the sets are known before.  There are at most a thousand times
   the mean set size of them, so they are broadcast, and their lists are never gathered in a shard;
-* the other sets meet in blocks of at most ``BLOCK`` by one hash each, and what links there becomes
-  one component.  Then a second pass compares the sets in every inverted list that the prefix filter
-  keeps and that still holds several components, in pairs of blocks.  Only links that connect
+* the other sets meet in blocks of at most ``BLOCK`` by a few least hashes each, and what links there
+  becomes one component.  Then a second pass compares the sets in every inverted list that the prefix
+  filter keeps and that still holds several components; lists that share sets are one block while that
+  is of bounded size.  Only links that connect
   something new are written, so a group of copies gives as many rows as it has members.
 """
 
@@ -21,13 +22,13 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush, heapreplace
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import text as T
@@ -40,6 +41,12 @@ BLOCK = 128
 SHARD_VALUES = 4_000_000
 #: A hash is common if it is in this share of sets, and in so many at least.
 COMMON_SHARE, COMMON_LEAST = 0.001, 64
+#: Hash values of sets that are searched together because lists tie them, at most.
+CLUSTER_VALUES = 2_000_000
+#: Entries of short lists up to which they are merged with a heap.
+HEAP_ENTRIES = 4096
+#: Least hashes, each by an order of its own, by which sets meet first.
+FIRST_KEYS = 3
 #: How much a binary probe costs against a step of the merge.
 PROBE_COST = 0.01
 _COMMON = np.uint32(0xFFFFFFFF)
@@ -95,25 +102,34 @@ def signatures(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tuple(out)
 
 
-def divide_skip(lists: list[list[int]], least: int, probe_cost: float = PROBE_COST) -> dict[int, int]:
-    """Members of at least ``least`` of the sorted lists, each with its number of lists.
+def divide_skip(lists: list[np.ndarray], least: int, probe_cost: float = PROBE_COST) -> tuple[np.ndarray, np.ndarray]:
+    """Members of at least ``least`` of the sorted lists, and each one's number of lists.
 
     The longest lists, ``least / (probe_cost * log2(longest) + 1)`` of them, are put aside.  The rest
     are merged with a heap that skips members which cannot reach ``least`` less the lists put aside;
-    what remains is probed in the long lists.
+    what remains is probed in the long lists by binary search.
     """
-    lists = sorted((x for x in lists if x), key=len, reverse=True)
+    none = np.empty(0, np.int64)
+    lists = sorted((x for x in lists if len(x)), key=len, reverse=True)
     if least < 1 or len(lists) < least:
-        return {}
+        return none, none
     aside = min(least - 1, int(least / (probe_cost * math.log2(len(lists[0]) + 1) + 1)))
-    found = {}
-    for member, count in _merge_skip(lists[aside:], least - aside):
-        for one in lists[:aside]:
-            at = bisect_left(one, member)
-            count += at < len(one) and one[at] == member
-        if count >= least:
-            found[member] = count
-    return found
+    short, needed = lists[aside:], least - aside
+    if sum(map(len, short)) <= HEAP_ENTRIES:
+        merged = list(_merge_skip([x.tolist() for x in short], needed))
+        members = np.array([m for m, _ in merged], np.int64)
+        counts = np.array([n for _, n in merged], np.int64)
+    else:  # the same merge as one counting pass, for lists too long for a loop
+        counts = np.bincount(np.concatenate(short))
+        members = np.flatnonzero(counts >= needed)
+        counts = counts[members]
+    for one in lists[:aside]:
+        if not len(members):
+            break
+        place = np.minimum(np.searchsorted(one, members), len(one) - 1)
+        counts = counts + (one[place] == members)
+    kept = counts >= least
+    return members[kept], counts[kept]
 
 
 def _merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
@@ -148,9 +164,19 @@ def new_links(
 ) -> list[tuple[int, int]]:
     """Links of a block that connect different groups, as few as connect all that link.
 
-    Each set in turn searches the inverted lists of those before it.  A set whose group already has
-    all of them need not.  With ``sides`` only sets of different sides are compared.
+    Each set in turn searches the inverted lists for sets before it, largest groups first.  A set whose
+    group already has all of them need not.  With ``sides`` only sets of different sides are compared.
     """
+    often = Counter(groups)
+    order = sorted(range(len(sets)), key=lambda i: (sides[i] if sides else 0, -often[groups[i]], groups[i]))
+    values = np.concatenate([sets[i] for i in order])
+    owner = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
+    by = np.argsort(values, kind="stable")
+    values, owner = values[by], owner[by]
+    begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    ends = np.r_[begins[1:], len(values)]
+    keys = values[begins]
+
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -158,25 +184,29 @@ def new_links(
             parent[x] = x = parent.get(parent[x], parent[x])
         return x
 
-    out = []
-    index: dict[int, list[int]] = defaultdict(list)
+    before_other = sum(1 for i in order if sides and sides[i] == 0)
+    out: list[tuple[int, int]] = []
     known: set[int] = set()
-    order = range(len(sets)) if sides is None else sorted(range(len(sets)), key=lambda i: sides[i])
-    for i in order:
-        values = sets[i].tolist()
-        roots = {root(g) for g in known}
-        if roots - {root(groups[i])}:
-            lists = [index[v] for v in values if v in index]
-            found = divide_skip(lists, required(sizes[i], percent))
-            for j, overlap in found.items():
+    for k, i in enumerate(order):
+        if not sides or sides[i] == 0:
+            here = k
+        else:
+            here = before_other
+        known = {root(g) for g in known}
+        if known - {root(groups[i])} and not (sides and sides[i] == 0):
+            lists = []
+            for at in np.searchsorted(keys, sets[i]).tolist():
+                own = owner[begins[at] : ends[at]]
+                if own[0] < here:
+                    lists.append(own if own[-1] < here else own[: np.searchsorted(own, here)])
+            for j, overlap in zip(*(x.tolist() for x in divide_skip(lists, required(sizes[i], percent))), strict=True):
+                j = order[j]
                 a, b = root(groups[i]), root(groups[j])
                 if a != b and links(overlap, sizes[i], sizes[j], percent):
                     parent[max(a, b)] = min(a, b)
                     out.append((i, j))
-        if sides is None or sides[i] == 0:
+        if not sides or sides[i] == 0:
             known.add(groups[i])
-            for v in values:
-                index[v].append(i)
     return out
 
 
@@ -210,13 +240,13 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     repeated = dealt.mapInArrow(_repeated, _ENTRY).repartition(parts, "sid").sortWithinPartitions("sid")
     live = stage(repeated.mapInArrow(lambda rows: _live(rows, percent), _LIVE))
 
-    first = live.selectExpr("sid", "first AS key")
-    found = stage(_search(live, _blocks(first.withColumn("root", F.col("sid")), False), percent, parts))
+    first = live.selectExpr("sid", "sid AS root", "explode(first) AS key")
+    found = stage(_search(live, _first_blocks(first), percent, parts))
     grouped = connected(found)
     routed = live.selectExpr("sid", "explode(routed) AS key")
     routed = routed.join(grouped.selectExpr("node AS sid", "root"), "sid", "left")
     routed = routed.withColumn("root", F.coalesce("root", "sid"))
-    more = stage(_search(live, _blocks(routed, True), percent, parts))
+    more = stage(_search(live, _clusters(stage(_tied(routed)), live), percent, parts))
     if not more.isEmpty():
         grouped = connected(grouped.selectExpr("root AS a", "node AS b").union(more))
     tied = grouped.selectExpr("node AS sid", "root")
@@ -233,40 +263,89 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     )
 
 
-def _blocks(members: DataFrame, every: bool) -> DataFrame:
-    """Members ``sid``, ``root`` of each ``key`` that holds several roots, dealt to blocks.
+def _lists(members: DataFrame) -> DataFrame:
+    """Lists with several roots; of lists with the same members one.
 
-    Lists with the same members are one.  A list of more than ``BLOCK`` members is cut by hash into
-    parts.  With ``every``, every two parts meet, the part itself included.  Else each part meets only
-    the members with the least and the greatest root.
+    ``main`` is the root with most members, ``others`` the number of members with other roots.
     """
-    lists = members.groupBy("key").agg(
+    roots = members.groupBy("key", "root").agg(
         F.count("*").alias("n"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
         F.bit_xor(F.xxhash64("sid")).alias("x"),
         F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"),
     )
+    lists = roots.groupBy("key").agg(
+        F.sum("n").alias("n"),
+        F.max("n").alias("most"),
+        F.max_by("root", F.struct("n", "root")).alias("main"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.bit_xor("x").alias("x"),
+        F.bit_xor("y").alias("y"),
+    )
     lists = lists.filter("low < high").groupBy("n", "x", "y").agg(
-        F.min("key").alias("key"), F.first("low").alias("low"), F.first("high").alias("high")
+        *(F.min_by(c, "key").alias(c) for c in ("main", "most", "low", "high")), F.min("key").alias("key")
     )
-    lists = stage(lists.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), "low", "high"))
-    found = members.join(lists.select("key", "parts"), "key")
-    part = F.pmod(F.xxhash64("sid", F.lit(2)), F.col("parts"))
-    found = found.withColumn("part", part)
-    if not every:
-        ends = lists.filter("parts > 1").select(
-            "key", F.explode(F.array("low", "high")).alias("sid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-        )
-        found = found.select("key", "sid", "part").union(ends.select("key", "sid", "part")).distinct()
-        return found.select("sid", F.col("sid").alias("root"), F.xxhash64("key", "part").alias("block"), F.lit(-1).alias("side"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    found = found.withColumn("other", other)
+    parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
+    return stage(lists.select("key", "main", (F.col("n") - F.col("most")).alias("others"), "low", "high", parts))
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("sid", F.lit(2)), F.col("parts")).cast("int")
+
+
+def _first_blocks(members: DataFrame) -> DataFrame:
+    """Blocks of the lists in ``members``; a long list is cut by hash, and the sets with the least and
+    the greatest root are in all its parts."""
+    lists = _lists(members)
+    found = members.join(lists.select("key", "parts"), "key").select("key", "sid", _part().alias("part"))
+    ends = lists.filter("parts > 1").select(
+        "key",
+        F.explode(F.array("low", "high")).alias("sid"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+    )
+    found = found.union(ends).distinct()
+    return found.select("sid", F.col("sid").alias("root"), F.xxhash64("key", "part").alias("block"), F.lit(-1).alias("side"))
+
+
+def _tied(members: DataFrame) -> DataFrame:
+    """Members of lists that hold several roots, with the list's figures and its least member."""
+    lists = _lists(members)
+    return members.join(lists, "key")
+
+
+def _clusters(tied: DataFrame, live: DataFrame) -> DataFrame:
+    """Blocks in which every two members of a list that have different roots meet.
+
+    Sets that lists tie together, directly or by others, are a block if they have at most
+    ``CLUSTER_VALUES`` hashes.  Else each list has blocks of its own.
+    """
+    least = tied.groupBy("key").agg(F.min("sid").alias("b"))
+    bound = connected(tied.select("key", F.col("sid").alias("a")).join(least, "key"))
+    bound = bound.select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
+    bound = bound.union(bound.selectExpr("cluster AS sid", "cluster").distinct())
+    weights = bound.join(live.select("sid", "n"), "sid").groupBy("cluster").agg(F.sum("n").alias("weight"))
+    bound = stage(bound.join(weights, "cluster").selectExpr("sid", "cluster", f"weight <= {CLUSTER_VALUES} AS small"))
+    small = bound.filter("small").join(tied.select("sid", "root").distinct(), "sid")
+    small = small.select("sid", "root", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"))
+    return small.union(_list_blocks(tied.join(bound.filter("not small").select("sid"), "sid", "left_semi")))
+
+
+def _list_blocks(tied: DataFrame) -> DataFrame:
+    """Blocks of each list.
+
+    A list of more than ``BLOCK`` members is cut by hash into parts.  If at most ``BLOCK`` are not of
+    its main root, they are in all parts.  Else every two parts meet, the part itself included.
+    """
+    few = F.col("others") <= BLOCK
+    other = F.sequence(F.lit(0), F.col("parts") - 1)
+    own = F.when(few & (F.col("root") == F.col("main")), F.array(_part())).otherwise(other)
+    found = tied.select("sid", "root", "key", few.alias("few"), _part().alias("part"), F.explode(own).alias("other"))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
     return found.select(
         "sid",
         "root",
-        F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("block"),
-        F.when(F.col("part") == F.col("other"), -1).otherwise(F.expr("int(part > other)")).alias("side"),
+        F.when(F.col("few"), F.xxhash64("key", "other")).otherwise(F.xxhash64("key", low, high)).alias("block"),
+        F.when(F.col("few") | (F.col("part") == F.col("other")), -1).otherwise(F.expr("int(part > other)")).alias("side"),
     )
 
 
@@ -280,7 +359,7 @@ def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> Dat
 _SUMMARY = "kind int, id long, n long, sid long, other long"
 _POSTING = "shard int, docs binary, values binary"
 _ENTRY = "sid long, n int, tokens binary, sets binary"
-_LIVE = "sid long, n int, tokens binary, first long, routed array<long>"
+_LIVE = "sid long, n int, tokens binary, first array<long>, routed array<long>"
 _DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
 
 
@@ -441,7 +520,7 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
         sets = sets[at]
         prefix = len(values) - least + 1
         routed = values[np.lexsort((values, sets))[:prefix]]
-        out.append((table.column("sid")[0].as_py(), n, values.tobytes(), int(values[:1].astype(np.int64)[0]), routed.astype(np.int64)))
+        out.append((table.column("sid")[0].as_py(), n, values.tobytes(), _least(values), routed.astype(np.int64)))
         if len(out) >= 256:
             yield _live_batch(out)
             out = []
@@ -449,10 +528,16 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
         yield _live_batch(out)
 
 
+def _least(values: np.ndarray) -> np.ndarray:
+    """The hashes that come first, each by an order of its own."""
+    orders = (T.mix(values ^ np.uint64(k)) for k in range(FIRST_KEYS))
+    return np.unique([values[np.argmin(o)] for o in orders]).astype(np.int64)
+
+
 def _live_batch(rows: list) -> pa.RecordBatch:
     sid, n, tokens, first, routed = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary()), pa.array(first, pa.int64()), pa.array(routed, pa.list_(pa.int64()))],
+        [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(routed, pa.list_(pa.int64()))],
         ["sid", "n", "tokens", "first", "routed"],
     )
 
