@@ -150,15 +150,16 @@ class WordEncoder(dict):
         ranks = {}
         for token, i in model["vocab"].items():
             if token not in special:
-                plain = token.removesuffix(suffix)
-                ranks[bytes(letters[c] for c in plain) + b"\xff" * (plain != token)] = i
+                plain = bytes(letters[c] for c in token.removesuffix(suffix))
+                if b"\xff" not in plain:
+                    ranks[plain + b"\xff" * token.endswith(suffix)] = i
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         ids = [model["vocab"]["".join(m)] for m in merges]
-        self.latin = kinds == ["NFC", "Replace", "Lowercase"] and ids == sorted(ids) and b"\xff" not in ranks
+        self.latin = kinds == ["NFC", "Replace", "Lowercase"] and ids == sorted(ids)
         if self.latin:
             ranks[b"\xff"] = len(model["vocab"])  # never left over: it merges first with any byte
             first = [b for b in ranks if len(b) == 2 and b[1:] == b"\xff"]
-            self.latin = len(first) == 256 and max(ranks[b] for b in first) < min(ids)
+            self.latin = len(first) == 255 and max(ranks[b] for b in first) < min(ids)
         if self.latin:
             self.core = tiktoken.Encoding("own", pat_str="x", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.special = special
