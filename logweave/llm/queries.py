@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, packing
+from logweave.llm import bpe, language, packing, quality
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,22 @@ def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@query()
+def op6_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fitted(docs, table(spark, sf_dir, "labels")), kept=["doc_id"])
+    return scored.select(
+        "doc_id",
+        F.expr(quality.HELD_OUT).alias("held_out"),
+        "score",
+        F.expr(f"int(score >= {quality.KEPT_FROM})").alias("predicted"),
+    )
+
+
+@query()
+def op10_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fitted(docs), kept=["doc_id"])
+    return found.select("doc_id", F.expr(language.HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
