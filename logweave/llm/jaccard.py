@@ -237,7 +237,8 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     shards = max(parts, math.ceil(totals[1] / SHARD_VALUES))
     dealt = docs.select("text").mapInArrow(lambda rows: _postings(rows, size, shards, common.value), _POSTING)
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
-    repeated = dealt.mapInArrow(_repeated, _ENTRY).repartition(parts, "sid").sortWithinPartitions("sid")
+    repeated = dealt.mapInArrow(lambda rows: _repeated(rows, shards), _ENTRY)
+    repeated = repeated.repartition(parts, "bucket").sortWithinPartitions("bucket")
     live = stage(repeated.mapInArrow(lambda rows: _live(rows, percent), _LIVE))
 
     first = live.selectExpr("sid", "sid AS root", "explode(first) AS key")
@@ -358,7 +359,7 @@ def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> Dat
 
 _SUMMARY = "kind int, id long, n long, sid long, other long"
 _POSTING = "shard int, docs binary, values binary"
-_ENTRY = "sid long, n int, tokens binary, sets binary"
+_ENTRY = "bucket int, docs binary, tokens binary, sets binary"
 _LIVE = "sid long, n int, tokens binary, first array<long>, routed array<long>"
 _DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
 
@@ -462,42 +463,38 @@ def _runs(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Of each shard's lists, those of two or more sets, dealt out by set with the lists' lengths."""
     for table in _runs(rows, "shard"):
         heads = np.concatenate([np.frombuffer(x, _DOC) for x in table.column("docs").to_pylist()])
         values = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("values").to_pylist()])
-        sid = np.repeat(heads["sid"], heads["count"])
-        n = np.repeat(heads["n"], heads["count"])
-        common = table.column("shard")[0].as_py() < 0
-        order = np.lexsort((sid, values))
-        values, sid, n = values[order], sid[order], n[order]
-        fresh = np.ones(len(values), bool)  # the same set in another task
-        fresh[1:] = (values[1:] != values[:-1]) | (sid[1:] != sid[:-1])
-        values, sid, n = values[fresh], sid[fresh], n[fresh]
-        begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-        length = np.diff(np.r_[begins, len(values)])
-        sets = np.repeat(length, length).astype(np.uint32)
-        if common:
-            sets[:] = _COMMON
-        kept = sets > 1
-        values, sid, n, sets = values[kept], sid[kept], n[kept], sets[kept]
-        order = np.argsort(sid, kind="stable")
-        values, sid, n, sets = values[order], sid[order], n[order], sets[order]
-        if not len(sid):
-            continue
-        begins = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
-        ends = np.r_[begins[1:], len(sid)]
-        for a in range(0, len(begins), 4096):
-            b = min(a + 4096, len(begins))
-            cut = slice(begins[a], ends[b - 1])
-            at = np.r_[begins[a:b], ends[b - 1]] - begins[a]
-            yield _batch(_ENTRY, sid[begins[a:b]], n[begins[a:b]].astype(np.int32), _binary(values[cut], at), _binary(sets[cut], at))
-
-
-def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    offsets = (at * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+        doc = np.repeat(np.arange(len(heads)), heads["count"])
+        if table.column("shard")[0].as_py() < 0:
+            sets = np.full(len(values), _COMMON)
+        else:
+            sid = heads["sid"][doc]
+            order = np.lexsort((sid, values))
+            values, sid, doc = values[order], sid[order], doc[order]
+            fresh = np.ones(len(values), bool)  # else the same set in another task
+            fresh[1:] = (values[1:] != values[:-1]) | (sid[1:] != sid[:-1])
+            values, doc = values[fresh], doc[fresh]
+            begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            length = np.diff(np.r_[begins, len(values)])
+            sets = np.repeat(length, length).astype(np.uint32)
+            kept = sets > 1
+            values, doc, sets = values[kept], doc[kept], sets[kept]
+            if not len(doc):
+                continue
+        bucket = (T.mix(heads["sid"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)[doc]
+        order = np.lexsort((doc, bucket))
+        values, doc, sets, bucket = values[order], doc[order], sets[order], bucket[order]
+        begins = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(bucket)], strict=True):
+            firsts = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
+            own = heads[doc[a:b][firsts]]
+            own["count"] = np.diff(np.r_[firsts, b - a])
+            blobs = (pa.array([x.tobytes()]) for x in (own, values[a:b], sets[a:b]))
+            yield _batch(_ENTRY, bucket[a : a + 1], *blobs)
 
 
 def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -507,23 +504,26 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
     many of the rarest as a linked set may lack, two linked sets still share one of them.
     """
     out: list = []
-    for table in _runs(rows, "sid"):
-        n = table.column("n")[0].as_py()
-        values = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint64)
-        least = required(n, percent)
-        if len(values) < least:
-            continue
-        sets = np.frombuffer(b"".join(table.column("sets").to_pylist()), np.uint32)
-        values, at = np.unique(values, return_index=True)  # sorted; a common hash comes once for each task
-        if len(values) < least:
-            continue
-        sets = sets[at]
-        prefix = len(values) - least + 1
-        routed = values[np.lexsort((values, sets))[:prefix]]
-        out.append((table.column("sid")[0].as_py(), n, values.tobytes(), _least(values), routed.astype(np.int64)))
-        if len(out) >= 256:
-            yield _live_batch(out)
-            out = []
+    for table in _runs(rows, "bucket"):
+        heads = np.concatenate([np.frombuffer(x, _DOC) for x in table.column("docs").to_pylist()])
+        values = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
+        sets = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("sets").to_pylist()])
+        sid, n = (np.repeat(heads[c], heads["count"]) for c in ("sid", "n"))
+        order = np.lexsort((values, sid))
+        values, sets, sid, n = values[order], sets[order], sid[order], n[order]
+        fresh = np.ones(len(values), bool)  # a common hash comes once for each task
+        fresh[1:] = (values[1:] != values[:-1]) | (sid[1:] != sid[:-1])
+        values, sets, sid, n = values[fresh], sets[fresh], sid[fresh], n[fresh]
+        begins = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]])
+        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(sid)], strict=True):
+            least = required(int(n[a]), percent)
+            if b - a >= least:
+                own = values[a:b]
+                routed = own[np.lexsort((own, sets[a:b]))[: b - a - least + 1]]
+                out.append((int(sid[a]), int(n[a]), own.tobytes(), _least(own), routed.astype(np.int64)))
+            if len(out) >= 256:
+                yield _live_batch(out)
+                out = []
     if out:
         yield _live_batch(out)
 
