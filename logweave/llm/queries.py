@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, fingerprints, language, licenses, packing, quality
+from logweave.llm import bpe, chat, fingerprints, language, licenses, packing, quality
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,12 @@ def op5_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.schema)
+    records = chat.records_of_turns(turns.union(own), "conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chats(records, "conv_id", "turn", "record"), "conv_id")
