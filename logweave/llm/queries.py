@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, chat, fingerprints, language, licenses, packing, quality
+from logweave.llm import bpe, chat, fingerprints, fixity, language, licenses, packing, quality
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,36 @@ def op1_schema_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)], turns.schema)
     records = chat.records_of_turns(turns.union(own), "conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_chats(records, "conv_id", "turn", "record"), "conv_id")
+
+
+# A replica of the pages, 128 in a file, with bytes changed in place, records lost and stray ones.
+_DAMAGED = "CASE WHEN page_id % 97 = 13 AND length(html) > 0 THEN concat(left(html, length(html) - 1), '~') ELSE html END"
+
+
+@query(
+    f"""
+    WITH damaged AS (SELECT page_id, url, html, {_DAMAGED} AS html2 FROM pages),
+    bodies AS (
+        SELECT page_id, page_id // 128 AS file,
+            coalesce('=' || url, '-') || chr(30) || coalesce('=' || html, '-') AS body,
+            coalesce('=' || url, '-') || chr(30) || coalesce('=' || html2, '-') AS body2
+        FROM damaged
+    ),
+    one AS (
+        SELECT page_id, file, sha256(body) AS digest, sha256(body2) AS digest2, strlen(body) AS length, strlen(body2) AS length2,
+            coalesce(sum(strlen(body)) OVER before, 0)::BIGINT AS "offset"
+        FROM bodies WINDOW before AS (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    )
+    SELECT file, "offset", 'changed' AS kind, length AS one_length, digest AS one_digest, length2 AS two_length, digest2 AS two_digest
+    FROM one WHERE page_id % 193 != 7 AND digest != digest2
+    UNION ALL SELECT file, "offset", 'missing', length, digest, NULL, NULL FROM one WHERE page_id % 193 = 7
+    UNION ALL SELECT file, "offset" + 1, 'extra', NULL, NULL, length2, digest2 FROM one WHERE page_id % 211 = 5
+    """
+)
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").withColumn("file", F.expr("page_id div 128"))
+    one = fixity.records_of(pages, "file", "page_id", ["url", "html"])
+    two = fixity.records_of(pages.withColumn("html", F.expr(_DAMAGED)), "file", "page_id", ["url", "html"])
+    stray = two.filter("place % 211 = 5").withColumn("offset", F.expr("offset + 1"))
+    two = two.filter("place % 193 != 7").union(stray)
+    return fixity.audit(one, two, range_bytes=1 << 14, fanout=8)
