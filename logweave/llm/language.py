@@ -157,14 +157,16 @@ def nearest(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
     return languages, value, ~letters | (value < model.least[best])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", kept: list[str] | None = None) -> DataFrame:
-    """The columns ``kept``, or all, of ``docs`` with ``lang_pred``, ``score`` and ``rejected``.
+NAMES = ("lang_pred", "score", "rejected")
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", kept: list[str] | None = None, names: tuple = NAMES) -> DataFrame:
+    """The columns ``kept``, or all, of ``docs`` with ``names``: language, score, whether it is rejected.
 
     A null text or one without letter is ``und`` with score 0, and rejected; so are all texts if there
     was nothing to learn from.  Columns of these names are replaced.  Repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["lang_pred", "score", "rejected"]
     docs = docs.drop(*names)
     kept = [c for c in docs.columns if kept is None or c in kept]
     added = [F.lit(None).cast(t).alias(n) for n, t in zip(names, ("string", "double", "boolean"), strict=True)]

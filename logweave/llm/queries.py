@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, chat, fingerprints, fixity, language, licenses, packing, quality
+from logweave.llm import bpe, chat, fingerprints, fixity, language, licenses, neighbours, packing, quality
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     stray = two.filter("place % 211 = 5").withColumn("offset", F.expr("offset + 1"))
     two = two.filter("place % 193 != 7").union(stray)
     return fixity.audit(one, two, range_bytes=1 << 14, fanout=8)
+
+
+@query()
+def op4_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
