@@ -29,7 +29,7 @@ CENTROIDS = 3
 MAX_ROWS = 1500
 ROUNDS = 8
 #: A text is rejected below this part of what the least hundredth of the sample reaches.
-REJECT_PART = 0.3
+REJECT_PART = 0.15
 #: Texts whose vectors are made together.
 TEXTS = 256
 UNKNOWN = "und"

@@ -113,7 +113,7 @@ _cache: dict = {}
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     key = int(base)
-    if len(_cache.get(key, ())) < n:
+    if key not in _cache or len(_cache[key]) < n:
         size = max(n, 1 << 16)
         out = np.full(size, base, np.uint64)
         if size:
