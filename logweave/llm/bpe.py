@@ -162,7 +162,7 @@ class Encoder:
                 continue
             # one word more on either side comes out as in the chunks
             after = int(safe[j + 1]) if j + 1 < len(safe) and safe[j + 1] + 1 < bounds[into + 1] else right
-            more = self._chunk(data[right:after])[0] if after > right else ids[:0]
+            more = self._chunk(data[right:after])[0] if after > right else np.empty(0, np.int32)
             if np.array_equal(more, self._between(chunks[into], bounds[into], right, after)):
                 return left, right, into
             j += 1
