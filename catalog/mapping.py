@@ -74,22 +74,21 @@ def mask_raw_lines(spark, sf_dir):
 
 def _names(spark, sf_dir):
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return suppliers.select(
-        F.expr("concat('10.0.', s_suppkey % 5, '.', s_suppkey div 5)").alias("address"),
-        F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("name"),
-    )
+    name = F.lower(F.replace("s_name", F.lit("#"), F.lit("-")))
+    one = suppliers.select(F.expr("concat('10.0.', s_suppkey % 5, '.', s_suppkey div 5)").alias("address"), name.alias("name"))
+    # every address has a second name
+    return one.union(one.select("address", F.concat(F.lit("z-"), "name")))
 
 
 def _users(spark, sf_dir):
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return customers.filter("c_custkey % 2 = 0").select(
-        F.col("c_custkey").alias("uid"), F.col("c_name").alias("name")
-    )
+    # odd ids have no name
+    return customers.select((F.col("c_custkey") * 2).alias("uid"), F.col("c_name").alias("name"))
 
 
 _NAMED = f"""LEFT JOIN (SELECT '10.0.' || (s_suppkey % 5) || '.' || (s_suppkey // 5) AS address,
         lower(replace(s_name, '#', '-')) AS name FROM supplier) AS s ON s.address = {ADDRESS}"""
-_USERS = "LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0) AS c ON c.c_custkey = e.k"
+_USERS = "LEFT JOIN (SELECT c_custkey * 2 AS uid, c_name FROM customer) AS c ON c.uid = e.k"
 
 
 @query(

@@ -14,7 +14,7 @@ from logweave.functions.units import scale_unit
 from logweave.operators import reports
 from logweave.operators.joins import checkpoint_dir
 from logweave.operators.output import run_stats
-from logweave.packs import barracuda, crond, dovecot, ntpd, postfix, sshd
+from logweave.packs import asa, barracuda, crond, dovecot, ntpd, postfix, sshd
 from logweave.sources.sinks import write_csv_tables
 
 
@@ -186,17 +186,17 @@ def _login_table(title: str, services: dict[str, str], root: bool) -> str:
     FROM ({_cells('c1, c2', source, entry, order, 5)})"""
 
 
-_ACCEPTED = {"signup": "sshd(pk)", "purchase": "sshd(pw)"}
+_ACCEPTED = {"signup": "publickey", "purchase": "password"}
 
 
 @query(
     f"WITH {views.EVENTS} "
     + " UNION ALL ".join(
         [
-            _login_table("ROOT FAILURES", {"error": "sshd(pw)"}, True),
-            _login_table("ROOT Logins", _ACCEPTED, True),
-            _login_table("User Failures", {"error": "sshd(pw)"}, False),
-            _login_table("User Logins", _ACCEPTED, False),
+            _login_table("Logins of users", _ACCEPTED, False),
+            _login_table("Logins of root", _ACCEPTED, True),
+            _login_table("Failed logins of users", {"error": "password"}, False),
+            _login_table("Failed logins of root", {"error": "password"}, True),
         ]
     )
 )
@@ -206,9 +206,9 @@ def report_sshd(spark, sf_dir):
 
 @query(
     f"WITH {views.EVENTS} "
-    + _login_table("User Logins", {"signup": "imap(dc)", "purchase": "pop3(dc)"}, False)
+    + _login_table("Logins of users", {"signup": "imap", "purchase": "pop3"}, False)
     + " UNION ALL "
-    + _login_table("User Failures", {"error": "imap(dc)"}, False)
+    + _login_table("Failed logins of users", {"error": "imap"}, False)
 )
 def report_dovecot(spark, sf_dir):
     return _report(spark, sf_dir, dovecot.APP, daemons.DOVECOT)
@@ -241,7 +241,7 @@ def _bytes(total: str) -> str:
     return f"(({value}) || ' ' || {label})"
 
 
-_SIZES = f"""SELECT 'Mail report' AS subreport, 'Top 10 message size' AS title,
+_SIZES = f"""SELECT 'Mail report' AS subreport, 'Largest mails' AS title,
     row_number() OVER (ORDER BY t DESC, text, value) AS row_no, text || ' | ' || value AS row
     FROM (SELECT *, {_bytes('t')} AS text FROM (
         SELECT {MAIL} AS value, v * 100 AS t FROM e WHERE event_type = 'purchase' ORDER BY t DESC, value DESC LIMIT 10))"""
@@ -252,23 +252,23 @@ _SIZES = f"""SELECT 'Mail report' AS subreport, 'Top 10 message size' AS title,
     + " UNION ALL ".join(
         [
             _total_item(
-                "General Mail Report",
+                "Mail in numbers",
                 [
-                    ("CAST(count(*) FILTER (WHERE event_type = 'purchase') AS VARCHAR)", "Total Messages Processed"),
-                    ("CAST(count(*) FILTER (WHERE event_type = 'view') AS VARCHAR)", "Total Successful Deliveries"),
-                    ("CAST(count(*) FILTER (WHERE event_type = 'error') AS VARCHAR)", "Total Deferred Messages"),
+                    ("CAST(count(*) FILTER (WHERE event_type = 'purchase') AS VARCHAR)", "Messages queued"),
+                    ("CAST(count(*) FILTER (WHERE event_type = 'view') AS VARCHAR)", "Deliveries"),
+                    ("CAST(count(*) FILTER (WHERE event_type = 'error') AS VARCHAR)", "Deliveries put off"),
                     (
                         _bytes("CAST(sum(CASE WHEN event_type = 'purchase' THEN v * 100 ELSE 0 END) AS BIGINT)"),
-                        "Total Transferred Size",
+                        "Size of all messages",
                     ),
                 ],
             ),
-            _top_item("Top 5 active systems", "event_type = 'purchase'", "'host' || h", 5),
-            _top_item("Top 5 connecting hosts", "event_type = 'signup'", CLIENT, 5),
-            _top_item("Top 10 senders", "event_type = 'purchase'", MAIL, 10),
-            _top_item("Top 10 recipients", "event_type = 'view'", MAIL, 10),
+            _top_item("Busiest servers", "event_type = 'purchase'", "'host' || h", 5),
+            _top_item("Clients with most mails", "event_type = 'signup'", CLIENT, 5),
+            _top_item("Senders with most mails", "event_type = 'purchase'", MAIL, 10),
+            _top_item("Recipients with most mails", "event_type = 'view'", MAIL, 10),
             _SIZES,
-            _top_item("Top 10 total size", "event_type = 'purchase'", MAIL, 10, "sum(v * 100)", _bytes("t")),
+            _top_item("Senders with most bytes", "event_type = 'purchase'", MAIL, 10, "sum(v * 100)", _bytes("t")),
         ]
     )
 )
@@ -286,23 +286,24 @@ _BSVF_CLIENT = f"{CLIENT} || '[10.0.0.' || k || ']'"
     + " UNION ALL ".join(
         [
             _total_item(
-                "[BSVF] General anti-SPAM Report",
-                [(f"count(*) FILTER (WHERE {_SCAN})", "Total Messages Scanned")]
+                "Spam firewall in numbers",
+                [(f"count(*) FILTER (WHERE {_SCAN})", "Scanned")]
                 + [
                     (f"count(*) FILTER (WHERE {_SCAN} AND {_ACTION} = {code})", text)
                     for code, text in (
-                        (0, "Allowed Messages"),
-                        (2, "Blocked Messages"),
-                        (1, "Aborted Messages"),
-                        (4, "Tagged Messages"),
-                        (5, "Deferred Messages at Scan level"),
+                        (0, "Allowed"),
+                        (1, "Aborted"),
+                        (2, "Blocked"),
+                        (3, "Quarantined"),
+                        (4, "Tagged"),
+                        (5, "Deferred"),
                     )
                 ]
-                + [("count(*) FILTER (WHERE event_type = 'view' AND k % 5 = 3)", "Deferred Messages at Send level")],
+                + [("count(*) FILTER (WHERE event_type = 'view' AND k % 5 = 3)", "Sending put off")],
             ),
-            _top_item("[BSVF] Top 5 connecting hosts", _SCAN, _BSVF_CLIENT, 5),
-            _top_item("[BSVF] Top 10 senders", _SCAN, MAIL, 10),
-            _top_item("[BSVF] Top 10 recipients", _SCAN, "'to@example.com'", 10),
+            _top_item("Spam firewall: clients", _SCAN, _BSVF_CLIENT, 5),
+            _top_item("Spam firewall: senders", _SCAN, MAIL, 10),
+            _top_item("Spam firewall: recipients", _SCAN, "'to@example.com'", 10),
         ]
     )
 )
@@ -310,6 +311,14 @@ def report_barracuda(spark, sf_dir):
     return _report(spark, sf_dir, barracuda.APP, daemons.BARRACUDA)
 
 
+_ENVELOPES = "count(*) FILTER (WHERE event_type = 'error')"
+
+
+@query(f"WITH {views.EVENTS} " + _total_item("Inspected mail", [(_ENVELOPES, "Messages seen")]))
+def report_asa(spark, sf_dir):
+    return _report(spark, sf_dir, asa.APP, daemons.ASA)
+
+
 _JOBS = f"""(SELECT 'host' || h AS c1, {USER} AS c2, CASE event_type WHEN 'signup' THEN '/usr/bin/job ' || (k % 3)
     ELSE '/usr/bin/sync' END AS e1, count(*) AS n FROM e WHERE event_type IN ('signup', 'purchase') GROUP BY ALL)"""
 
@@ -326,12 +335,12 @@ def report_crond(spark, sf_dir):
 @query(
     f"WITH {views.EVENTS} "
     + _total_item(
-        "NTP server (ntp.example.com) stats",
-        [("count(*) FILTER (WHERE event_type IN ('signup', 'purchase'))", "Total Syncronizations")],
+        "Time server",
+        [("count(*) FILTER (WHERE event_type IN ('signup', 'purchase'))", "Times synchronized")],
     ).replace("'Mail report'", "'Database lookups'")
     + " UNION ALL "
     + _top_item(
-        "Top 5 NTP clients syncronizations", "event_type = 'signup'", "'10.0.0.' || (k % 8)", 5,
+        "Peers most synchronized to", "event_type = 'signup'", "'10.0.0.' || (k % 8)", 5,
         section="Database lookups",
     )
 )
@@ -360,8 +369,8 @@ _MERGED = [Section("login", "Logins")]
     f"WITH {views.EVENTS}, u AS ("
     + " UNION ALL ".join(
         [
-            _login_table("User Logins", _ACCEPTED, False),
-            _login_table("User Logins", {"view": "imap(dc)", "click": "pop3(dc)"}, False),
+            _login_table("Logins of users", _ACCEPTED, False),
+            _login_table("Logins of users", {"view": "imap", "click": "pop3"}, False),
         ]
     )
     + ") SELECT title, row_number() OVER (ORDER BY row) AS row_no, row FROM u"
@@ -376,7 +385,7 @@ def merge_tables(spark, sf_dir):
         + " ELSE 'kernel: up' END"
     )
     run = LogSearch(apps=(sshd.APP, dovecot.APP))
-    rows = run.report(daemons.read(spark, sf_dir, both), _MERGED).filter("title = 'User Logins'")
+    rows = run.report(daemons.read(spark, sf_dir, both), _MERGED).filter("title = 'Logins of users'")
     return rows.select("title", "row_no", F.array_join("cols", " | ").alias("row"))
 
 

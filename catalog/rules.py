@@ -207,20 +207,21 @@ def _fields(parsed, *names):
 
 @query(
     f"""WITH {views.EVENTS} SELECT event_id,
-        CASE event_type WHEN 'signup' THEN 'login_publickey' WHEN 'purchase' THEN 'login_password'
-             WHEN 'error' THEN 'failed_password' WHEN 'view' THEN 'connection_closed' ELSE 'session_opened' END AS rule,
+        CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'closed' WHEN 'click' THEN 'session_opened'
+             ELSE 'accepted' END AS rule,
+        CASE event_type WHEN 'signup' THEN 'publickey' WHEN 'purchase' THEN 'password' WHEN 'error' THEN 'password' END AS method,
         CAST(event_id AS VARCHAR) AS thread, CASE WHEN event_type <> 'view' THEN {USER} END AS user,
         CASE WHEN event_type <> 'click' THEN {ADDRESS} END AS client,
         CASE WHEN event_type = 'click' THEN CAST(k AS VARCHAR) END AS uid FROM e"""
 )
 def pack_sshd(spark, sf_dir):
-    return _fields(_parsed(spark, sf_dir, daemons.SSHD, sshd.APP), "thread", "user", "client", "uid")
+    return _fields(_parsed(spark, sf_dir, daemons.SSHD, sshd.APP), "method", "thread", "user", "client", "uid")
 
 
 @query(
     f"""WITH {views.EVENTS} SELECT event_id,
-        CASE event_type WHEN 'purchase' THEN 'received' WHEN 'view' THEN 'sent' WHEN 'error' THEN 'deferred'
-             WHEN 'signup' THEN 'client' ELSE 'connect_from' END AS rule,
+        CASE event_type WHEN 'purchase' THEN 'queued' WHEN 'view' THEN 'sent' WHEN 'error' THEN 'deferred'
+             WHEN 'signup' THEN 'accepted' ELSE 'connect' END AS rule,
         CASE WHEN event_type <> 'click' THEN {QUEUE} END AS thread,
         CASE WHEN event_type = 'purchase' THEN {MAIL} END AS "from",
         CASE WHEN event_type IN ('view', 'error') THEN {MAIL} END AS rcpt,
@@ -234,22 +235,23 @@ def pack_postfix(spark, sf_dir):
 
 @query(
     f"""WITH {views.EVENTS} SELECT event_id,
-        CASE event_type WHEN 'signup' THEN 'imap_login' WHEN 'purchase' THEN 'pop3_login'
-             WHEN 'error' THEN 'imap_login_failure' WHEN 'view' THEN 'saved' ELSE 'imap_closed' END AS rule,
+        CASE event_type WHEN 'signup' THEN 'login' WHEN 'purchase' THEN 'login'
+             WHEN 'error' THEN 'login_failed' WHEN 'view' THEN 'saved' ELSE 'closed' END AS rule,
+        CASE event_type WHEN 'purchase' THEN 'pop3' WHEN 'view' THEN 'deliver' ELSE 'imap' END AS protocol,
         CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN CAST(event_id AS VARCHAR) END AS thread,
         {USER} AS user, CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN {ADDRESS} END AS client,
-        CASE WHEN event_type = 'error' THEN 'auth failed, 1 attempts' END AS reason,
+        CASE event_type WHEN 'error' THEN 'auth failed, 1 attempts' WHEN 'click' THEN ' bytes=' || v END AS reason,
         CASE WHEN event_type = 'view' THEN 'INBOX' END AS folder FROM e"""
 )
 def pack_dovecot(spark, sf_dir):
     parsed = _parsed(spark, sf_dir, daemons.DOVECOT, dovecot.APP)
-    return _fields(parsed, "thread", "user", "client", "reason", "folder")
+    return _fields(parsed, "protocol", "thread", "user", "client", "reason", "folder")
 
 
 @query(
     f"""WITH {views.EVENTS} SELECT event_id,
-        CASE event_type WHEN 'signup' THEN 'inbound_denied' WHEN 'purchase' THEN 'command_executed'
-             WHEN 'view' THEN 'connect_from' WHEN 'error' THEN 'received' END AS rule,
+        CASE event_type WHEN 'signup' THEN 'denied' WHEN 'purchase' THEN 'command'
+             WHEN 'view' THEN 'connect' WHEN 'error' THEN 'envelope' END AS rule,
         CASE WHEN event_type = 'signup' THEN {ADDRESS} END AS client1,
         CASE WHEN event_type = 'signup' THEN 'udp' END AS protocol,
         CASE WHEN event_type = 'purchase' THEN {USER} END AS user,
@@ -266,8 +268,8 @@ def pack_asa(spark, sf_dir):
         CASE event_type WHEN 'signup' THEN 'scanned' WHEN 'purchase' THEN 'scanned' WHEN 'view' THEN 'sent'
              WHEN 'error' THEN 'received' END AS rule,
         CASE WHEN event_type IN ('signup', 'view', 'error') THEN CAST(user_id AS VARCHAR) END AS pid,
-        CASE event_type WHEN 'signup' THEN {CLIENT} || '[10.0.0.' || k || ']'
-             WHEN 'purchase' THEN {CLIENT} || '[10.0.0.' || k || ']' WHEN 'error' THEN {CLIENT} END AS client,
+        CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN {CLIENT} || '[10.0.0.' || k || ']'
+             WHEN event_type = 'view' THEN '127.0.0.1' END AS client,
         CASE WHEN event_type <> 'click' THEN 'id-' || event_id END AS thread,
         CASE event_type WHEN 'signup' THEN CAST(k % 6 AS VARCHAR) WHEN 'purchase' THEN '2'
              WHEN 'view' THEN CAST(k % 5 AS VARCHAR) WHEN 'error' THEN '1' END AS action FROM e"""

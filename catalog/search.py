@@ -45,17 +45,17 @@ def search_inverted(spark, sf_dir):
 
 
 @query(
-    f"""WITH {views.CORPUS}, p AS (SELECT DISTINCT lower(substr(text, 1, 6)) AS start FROM benchmark)
+    f"""WITH {views.CORPUS}, p AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS phrase FROM benchmark)
     SELECT {_LINE} FROM c
-    WHERE EXISTS (SELECT 1 FROM p WHERE contains(c.raw, p.start)) OR regexp_matches(raw, 'qu.n')"""
+    WHERE EXISTS (SELECT 1 FROM p WHERE phrase <> '' AND contains(c.raw, p.phrase)) OR regexp_matches(raw, 'qu.n')"""
 )
 def search_pattern_file(spark, sf_dir):
-    """Patterns from a file, one per line, next to a given one."""
+    """Whole phrases from a file, one per line, next to a given pattern."""
     path = f"{checkpoint_dir(spark)}/patterns-{uuid.uuid4().hex}"
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    start = F.lower(F.substring("text", 1, 6))
-    # a pattern per line, without the letters that mean something in patterns
-    items.select(F.regexp_replace(start, r"([^\pL\pN ])", r"\\$1").alias("value")).distinct().write.text(path)
+    phrases = items.select(F.explode(F.split("text", "\n")).alias("phrase")).filter("phrase <> ''")
+    # letters that mean something in patterns stand for themselves
+    phrases.select(F.regexp_replace("phrase", r"([^\pL\pN ])", r"\\$1").alias("value")).distinct().write.text(path)
     patterns = Patterns.of("qu.n", *read_patterns(spark, path))
     return select_lines(views.corpus(spark, sf_dir), patterns).select("file", "line_no")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,7 +30,13 @@ def glob_to_java(glob: str) -> str:
 
 
 def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    """Whether one of the conditions holds; a balanced tree, so that thousands are no deep expression."""
+    if not conditions:
+        return F.lit(False)
+    while len(conditions) > 1:
+        pairs = zip(conditions[::2], conditions[1::2], strict=False)
+        conditions = [a | b for a, b in pairs] + conditions[len(conditions) & ~1 :]
+    return conditions[0]
 
 
 def matches_any(col: Column, globs: list[str]) -> Column:

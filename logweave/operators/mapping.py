@@ -135,10 +135,12 @@ def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) ->
     """Write host names for addresses: ``names`` has the columns ``address, name``.
 
     The first address in a client, mail or user value is replaced; an IPv4 address
-    written as IPv6 (``::ffff:``) is looked up as IPv4.  Unknown ones stay.
+    written as IPv6 (``::ffff:``) is looked up as IPv4.  Unknown ones stay.  Of
+    several names the first in order counts.
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in ADDRESS_FIELDS]
-    table = names.select(F.col("address").alias("key"), "name")
+    # one name per address, or lines would multiply
+    table = stage(names.filter("address is not null").groupBy(F.col("address").alias("key")).agg(F.min("name").alias("name")))
     rows = table.count()
     pattern = address_pattern()
     lookups, new = {}, {}
@@ -161,10 +163,12 @@ def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) ->
 def name_uids(parsed: DataFrame, apps: Iterable[App], users: DataFrame) -> DataFrame:
     """Write user names for numeric ids: ``users`` has the columns ``uid, name``.
 
-    An id without a name becomes ``uid=N``; what is not a number stays.
+    An id without a name becomes ``uid=N``; what is not a number stays.  Of several
+    names the first in order counts.
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in UID_FIELDS]
-    table = users.select(F.col("uid").cast("bigint").alias("key"), "name")
+    uid = F.col("uid").cast("bigint").alias("key")
+    table = stage(users.filter("uid is not null").groupBy(uid).agg(F.min("name").alias("name")))
     rows = table.count()
     lookups, new = {}, {}
     for g in groups:
@@ -213,7 +217,7 @@ def rewrite_raw(
     apps: Iterable[App],
     formats: tuple[HeaderFormat, ...] = BUILT_IN,
 ) -> DataFrame:
-    """Write mapped host and field values into ``raw`` in place of the old ones.
+    """Write mapped host and field values into ``raw`` and ``message`` in place of the old ones.
 
     The line is cut at its groups by the same patterns that found them, in one run
     for the header and one for the rule, and put together around the new values.
@@ -227,7 +231,8 @@ def rewrite_raw(
     headers = {f.name: f.pattern for f in formats}
     df = _put_together(df, "raw", headers, "format", "_values", "_raw", anchored=True)
     changed = F.when(F.col("matched"), F.col("_raw")).otherwise(F.col("raw"))
-    return df.withColumn("raw", changed).drop("_raw", "_values", "_message")
+    message = F.when(F.col("matched"), F.col("_message")).otherwise(F.col("message"))
+    return df.withColumns({"raw": changed, "message": message}).drop("_raw", "_values", "_message")
 
 
 def _put_together(

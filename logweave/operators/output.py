@@ -39,6 +39,15 @@ def max_count(selected: DataFrame, n: int) -> DataFrame:
     return first_rows(selected, ["file"], n)
 
 
+def first_selected(lines: DataFrame, selected: str, n: int) -> DataFrame:
+    """Lines of which only the first ``n`` selected ones of each file stay selected."""
+    first = max_count(lines.filter(selected).select("file", "line_no"), n)
+    last = first.groupBy("file").agg(F.max("line_no").alias("_last"))
+    found = join_checked(lines, last, ["file"], "left")
+    kept = F.coalesce(F.expr(selected) & (F.col("line_no") <= F.col("_last")), F.lit(False))
+    return found.withColumn(selected, kept).drop("_last")
+
+
 def any_match(lines: DataFrame, selected: Column) -> DataFrame:
     """One row that tells whether a line is selected."""
     return lines.agg(F.coalesce(F.bool_or(selected), F.lit(False)).alias("any_match"))
@@ -119,9 +128,11 @@ def thread_context(parsed: DataFrame, selected: Column, before: int = 0, after:
 
 
 def whole_threads(parsed: DataFrame, selected: Column) -> DataFrame:
-    """All lines of the threads that hold a selected line."""
-    threads = parsed.filter(selected).select(*THREAD).dropna().distinct()
-    return join_checked(parsed, threads, THREAD, "left_semi")
+    """All lines of the threads that hold a selected line, and selected lines without thread."""
+    flagged = parsed.withColumn("_selected", F.coalesce(selected, F.lit(False)))
+    alone = flagged.filter("(thread is null or app is null) and _selected").drop("_selected")
+    threads = flagged.filter("_selected").select(*THREAD).dropna().distinct()
+    return join_checked(parsed, threads, THREAD, "left_semi").unionByName(alone)
 
 
 def run_stats(lines: DataFrame, selected: Column) -> DataFrame:

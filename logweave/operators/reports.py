@@ -278,7 +278,7 @@ def counted_cells(
     keys: list[str],
     limit: int = 10,
     sep: str = "::",
-    per_row: int = CELL_ENTRIES,
+    per_row: int | None = None,
     bound: int | None = None,
 ) -> DataFrame:
     """Write the entries of a key as one text: ``a::b(3), c::d(1) [2 more skipped]``.
@@ -288,6 +288,7 @@ def counted_cells(
     text of more than ``per_row`` entries goes on in further rows (``part``).
     ``bound`` is a known limit of the number of entries, if there is one.
     """
+    per_row = per_row or CELL_ENTRIES
     key = W.partitionBy(*keys).orderBy(F.col("events").desc(), F.col("entry"))
     # the first `limit` per key are cut in each task before the shuffle
     first = entries.withColumn("_rn", F.row_number().over(key)).filter(F.col("_rn") <= limit)
@@ -400,7 +401,10 @@ def report(
     limit: int = 5,
     active: dict[str, set[str]] | None = None,
 ) -> DataFrame:
-    """All rows of a report: ``item_no, subreport, title, app, row_no, cols``.
+    """All rows of a report: ``item_no, subreport, title, app, row_no, part, cols``.
+
+    A table cell of more than ``CELL_ENTRIES`` entries goes on in further rows, which
+    follow each other and are told apart by ``part``; other rows have part 0.
 
     ``results`` is the output of ``rule_results``.  The counters are staged once and
     read three times, by the totals, the top lists and the tables.  Items without
@@ -428,10 +432,10 @@ def report(
     out = rows[0]
     for part in rows[1:]:
         out = out.unionByName(part)
-    out = number_rows(out, ["item_no"], ["_order", "cols"], "row_no", bound=bound)
+    out = number_rows(out, ["item_no"], ["_order", "_key", "part"], "row_no", bound=bound)
     info = _item_info(results.sparkSession, placed)
     return out.join(F.broadcast(info), "item_no").select(
-        "item_no", "subreport", "title", "app", "row_no", "cols"
+        "item_no", "subreport", "title", "app", "row_no", "part", "cols"
     )
 
 
@@ -483,10 +487,13 @@ def _with_unit(total: Column, entries) -> Column:
 def _total_rows(results: DataFrame, entries) -> DataFrame:
     found = totals(_qualified(results), [_scoped(e, p) for _, e, p in entries])
     entries = [(i, e, p) for i, (_, e, p) in enumerate(entries)]
+    cols = F.array(_with_unit(F.col("total"), entries), F.col("description"))
     return found.select(
         _per_pick(entries, lambda e, p: e.no).cast("int").alias("item_no"),
         F.col("pick_no").cast("bigint").alias("_order"),
-        F.array(_with_unit(F.col("total"), entries), F.col("description")).alias("cols"),
+        cols.alias("_key"),
+        F.lit(0).cast("bigint").alias("part"),
+        cols.alias("cols"),
     )
 
 
@@ -494,10 +501,13 @@ def _top_rows(results: DataFrame, entries) -> DataFrame:
     triples = [(e.no, e.item.top, _scoped(e, p)) for _, e, p in entries]
     found = top_values(_qualified(results), triples)
     entries = [(i, e, p) for i, (_, e, p) in enumerate(entries)]
+    cols = F.array(_with_unit(F.col("total"), entries), F.col("value"))
     return found.select(
         F.col("list_no").cast("int").alias("item_no"),
         (-F.col("total")).alias("_order"),
-        F.array(_with_unit(F.col("total"), entries), F.col("value")).alias("cols"),
+        cols.alias("_key"),
+        F.lit(0).cast("bigint").alias("part"),
+        cols.alias("cols"),
     )
 
 
@@ -512,6 +522,8 @@ def _table_rows(results: DataFrame, placed: list[_Placed], limit: int, bound: in
     return cells.select(
         number.cast("int").alias("item_no"),
         F.lit(0).cast("bigint").alias("_order"),
+        F.col("cols").alias("_key"),
+        F.col("part").cast("bigint").alias("part"),
         F.concat("cols", F.array("cell")).alias("cols"),
     )
 

@@ -75,13 +75,17 @@ def _literal(text: str) -> str:
 
 
 def read_patterns(spark: SparkSession, paths: str | list[str]) -> list[str]:
-    """Patterns of a pattern file, one per line, without duplicates.
+    """Patterns of pattern files, one per line, in the given order without duplicates.
 
     A pattern list is part of the query, like the rule packs, so it is read on the
     driver.  A blank line is an empty pattern, which hits every line.
     """
-    lines = spark.read.option("lineSep", "\n").text(paths).distinct()
-    return [row.value for row in lines.orderBy("value").toLocalIterator()]
+    found: dict[str, None] = {}
+    for path in [paths] if isinstance(paths, str) else paths:
+        lines = spark.read.option("lineSep", "\n").text(path)
+        ordered = lines.select("value", F.monotonically_increasing_id().alias("place")).orderBy("place")
+        found |= dict.fromkeys(row.value for row in ordered.toLocalIterator())
+    return list(found)
 
 
 def select_lines(lines: DataFrame, patterns: Patterns) -> DataFrame:

@@ -1,9 +1,16 @@
-"""Cisco ASA security appliance."""
+"""Cisco ASA security appliance.
+
+Every message has a number, documented in the vendor's list of system messages; a rule takes the messages
+of one or a few numbers.  ``connect`` and ``envelope`` are of the mail inspection.
+"""
 
 from logweave.operators.reports import Item, Pick
 from logweave.operators.rules import App, Rule
 
-# The texts of the appliance's messages and the title of its report.
+def _message(name: str, numbers: str, text: str) -> Rule:
+    return Rule(name, rf"^%ASA-\d-(?:{numbers}): {text}")
+
+
 APP = App(
     name="asa",
     description="Cisco ASA security appliance",
@@ -12,41 +19,27 @@ APP = App(
     files=("${logdir}/${host}/%Y/%m/messages-%Y%m%d.log*",),
     priority=10,
     rules=(
-        Rule(
-            "fragmentation_policy",
-            r": Group = .+, Username = {user}, IP = {client}, IKE could not recognize the version of the"
-            r" client!\s{2}IPSec Fragmentation Policy will be ignored for this connection!",
-        ),
-        Rule(
-            "inbound_denied",
-            r": Deny inbound {protocol:text} from {client1:client}/\d+ to {client2:client}/\d+ on interface",
-        ),
-        Rule(
-            "console_login_failed",
-            ": Attempted console login failed user '{user}' did NOT have appropriate Admin Rights.",
+        _message("command", "111008", "User '{user}' executed the '{command:quoted}' command"),
+        _message("command_from", "111010", "User '{user}', running '[^']*' from IP {client}, executed '{command:quoted}'"),
+        _message(
+            "denied",
+            "106\\d+",
+            r"Deny (?:inbound )?{protocol:word} (?:src |from )(?:[^\s:/]+:)?{client1:client}/{port1:number} "
+            r"(?:dst |to )(?:[^\s:/]+:)?{client2:client}/{port2:number}",
         ),
-        Rule("command_executed", ": User '{user}' executed the '{command:text}' command"),
-        Rule(
-            "command_from",
-            ": User '{user}', running 'CLI' from IP {client:text}, executed '{command:text}'",
-        ),
-        Rule(
-            "outbound_built",
-            r": Built outbound UDP connection \d+ for inside:{client1:client}/\d+ \(?{client2:client}/\d+\)?"
-            r" to {interface:text}:{client3:client}/\d+ \(?{client4:client}/42115\)?",
-        ),
-        Rule("connect_from", ": connect from {client}"),
-        Rule(
-            "received",
-            ": {thread:queue}: from=<{from}>, size={size:number}, nrcpt={mult:number}",
-        ),
-    ),
-    items=(
-        Item(
-            "mail",
-            "General Traffic Report",
-            "total",
-            (Pick("received", ('"Total Messages Processed"',)),),
+        _message(
+            "built",
+            "3020\\d\\d",
+            r"Built (?:inbound|outbound) {protocol:word} connection {thread:number} for "
+            r"{interface:interface}:{client1:client}/\d+ .*to [^\s:]+:{client2:client}/\d+",
         ),
+        _message("torn_down", "3020\\d\\d", r"Teardown {protocol:word} connection {thread:number} .*bytes {size:number}"),
+        _message("login_denied", "605004", r"Login denied from {client}/\d+ to \S+ for user [\"']{user}[\"']"),
+        _message("authentication_rejected", "113005|113015", "AAA user authentication Rejected : reason = {reason:clause} : .*user = {user}"),
+        _message("login_permitted", "605005", r"Login permitted from {client}/\d+ to \S+ for user [\"']{user}[\"']"),
+        Rule("connect", ": connect from {client}"),
+        Rule("envelope", ": {thread:queue}: from=<{from}>, size={size:number}, nrcpt={mult:number}"),
     ),
+    fragments={"quoted": "[^']*", "clause": "[^:]+", "interface": r"[^\s:]+"},
+    items=(Item("mail", "Inspected mail", "total", (Pick("envelope", ('"Messages seen"',)),)),),
 )

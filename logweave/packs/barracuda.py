@@ -1,59 +1,57 @@
-"""Barracuda spam and virus firewall."""
+"""Barracuda spam and virus firewall.
+
+A line of the mail log names a process, the peer, the message id, begin and end, and one of three services
+with its parts: ``RECV``/``RCVD``, ``SCAN`` or ``SEND``.  The codes of actions are those of the vendor's
+syslog documentation.
+"""
 
 from logweave.operators.reports import Item, Pick, Where
 from logweave.operators.rules import App, Rule
 
-# The action codes of the scan log.
+# The action codes of the documentation.
 _ACTIONS = {
-    "0": "Allowed Messages",
-    "2": "Blocked Messages",
-    "1": "Aborted Messages",
-    "4": "Tagged Messages",
-    "5": "Deferred Messages at Scan level",
+    "0": "Allowed",
+    "1": "Aborted",
+    "2": "Blocked",
+    "3": "Quarantined",
+    "4": "Tagged",
+    "5": "Deferred",
+    "6": "Deferred by user",
+    "7": "Allowed by user",
+    "8": "Whitelisted",
 }
+_HEAD = r"^[\w/]+(?:\[{pid}\])?: {client} {thread:message} \d+ \d+ "
 
 
 def _top(size: int, title: str, header: str, field: str) -> Item:
-    return Item("mail", f"[BSVF] {title}", "top", (Pick("scanned", (field,)),), (header,), size)
+    return Item("mail", f"Spam firewall: {title}", "top", (Pick("scanned", (field,)),), (header,), size)
 
 
-# The layout of the appliance's messages and the titles of its report.
 APP = App(
     name="barracuda",
     description="Barracuda spam and virus firewall",
     tags=("scan", "outbound/smtp", "inbound/pass1"),
     files=("${logdir}/${host}/%Y/%m/maillog-%Y%m%d.log*",),
     priority=10,
-    fragments={"message_id": "[-0-9A-Za-z]+", "digit": r"\d"},
+    fragments={"message": "[-0-9A-Za-z]+", "code": r"\d"},
     rules=(
-        Rule(
-            "scanned",
-            r"^(?:scan|inbound/pass1)(?:\[{pid}\])?: {client} {thread:message_id} \d+ \d+ SCAN - "
-            r"{from} {rcpt} \S+ {action:digit} {reason:number}",
-        ),
-        Rule(
-            "sent",
-            r"^outbound/smtp(?:\[{pid}\])?: 127\.0\.0\.1 {thread:message_id} 0 0 SEND \S+ {action:digit}",
-        ),
-        Rule(
-            "received",
-            r"^inbound/pass1(?:\[{pid}\])?: {client}\[[0-9.]+\] {thread:message_id} \d+ \d+ RCVD "
-            r"{from} {rcpt} {action:digit} {reason:number}",
-        ),
+        Rule("scanned", _HEAD + r"SCAN \S+ {from} {rcpt} \S+ {action:code} {reason:number}"),
+        Rule("received", _HEAD + r"(?:RECV|RCVD) {from} {rcpt} {action:code} {reason:number}"),
+        Rule("sent", _HEAD + r"SEND \S+ {action:code}"),
     ),
     items=(
         Item(
             "mail",
-            "[BSVF] General anti-SPAM Report",
+            "Spam firewall in numbers",
             "total",
             (
-                Pick("scanned", ('"Total Messages Scanned"',)),
-                *(Pick("scanned", (f'"{t}"',), Where("action", c)) for c, t in _ACTIONS.items()),
-                Pick("sent", ('"Deferred Messages at Send level"',), Where("action", "3")),
+                Pick("scanned", ('"Scanned"',)),
+                *(Pick("scanned", (f'"{t}"',), Where("action", f"^{c}$")) for c, t in _ACTIONS.items()),
+                Pick("sent", ('"Sending put off"',), Where("action", "^3$")),
             ),
         ),
-        _top(5, "Top 5 connecting hosts", "Client host", "client"),
-        _top(10, "Top 10 senders", "Sender", "from"),
-        _top(10, "Top 10 recipients", "Recipient", "rcpt"),
+        _top(5, "clients", "Client", "client"),
+        _top(10, "senders", "Sender", "from"),
+        _top(10, "recipients", "Recipient", "rcpt"),
     ),
 )

@@ -1,114 +1,77 @@
-"""Dovecot IMAP and POP3 daemon."""
+"""Dovecot mail server.
+
+Login processes write an event and then ``key=value`` parts; mail processes write the protocol, the user
+and the event.  Both shapes are the same for all protocols, so a rule is about an event and takes the
+protocol as a field.
+"""
 
 from logweave.operators.reports import Item, Pick, Where
 from logweave.operators.rules import App, Rule
 
-_PID = "PID={thread:session}"
-_ADDRESSES = "rip={rip:client}, lip={lip:client}"
-
-
-def _login(name: str, protocol: str) -> Rule:
-    return Rule(
-        name,
-        rf"dovecot: {protocol}-login: Login: user=<{{user}}>, {_PID}, \S+, rip={{client}}",
-    )
-
+# One or two parts may come before those that a rule takes.
+_PARTS = r"(?:[a-zA-Z]+(?:=[^,]*)?, )*"
+_PEER = rf"{_PARTS}rip={{client}}(?:, lip={{lip:client}})?"
+_SESSION = rf"user=<{{user}}>, {_PARTS}(?:m?pid|PID)={{thread:session}}"
+_ENDED = r"(?:Login )?(?:[Aa]borted|Disconnected)[^(]*\({reason:attempts}\)"
+_ATTEMPT = rf"(?:{_PARTS}(?:m?pid|PID)={{thread:session}}, )?{_PEER}"
+# older versions write the process in upper case; newer ones add process and session ids
+_PROCESS = r"^(?:dovecot(?:\[\d+\])?: )?{protocol:protocol}\({user}\)(?:<[^>]*><[^>]*>)?: "
 
-def _auth_failure(name: str, protocol: str) -> Rule:
-    return Rule(
-        name,
-        rf"dovecot: {protocol}-login: Disconnected \(auth failed, \d+ attempts\): "
-        rf"user=<{{user:mail}}>, PID={{pid}}, method=PLAIN, {_ADDRESSES}",
-    )
 
+def _login(name: str, text: str) -> Rule:
+    return Rule(name, "{protocol:protocol}-login: " + text)
 
-def _login_failure(name: str, protocol: str, ways: str) -> Rule:
-    return Rule(
-        name,
-        rf"dovecot: {protocol}-login: (?:{ways}) \({{reason:text}}\):(?: user=<{{user}}>,)? {_PID}"
-        r"(?:, method={method:text})?, rip={client}, lip={lip:client}",
-    )
 
+def _process(name: str, text: str) -> Rule:
+    return Rule(name, _PROCESS + text)
 
-def _session(name: str, protocol: str, text: str) -> Rule:
-    # both spellings of the protocol occur
-    return Rule(name, rf"dovecot: (?:{protocol.upper()}|{protocol})\({{user}}\): {text}")
 
-
-def _deliver(name: str, text: str, with_id: bool = True) -> Rule:
-    return Rule(name, r"deliver\({user}\): " + ("msgid={msgid}: " if with_id else "") + text)
+_LOGINS = (
+    _login("login", rf"Login: {_SESSION}, {_PEER}"),
+    # a field that a filter can name takes part in every match, so attempts without a user are another rule
+    _login("login_failed", rf"{_ENDED}: user=<{{user}}>, {_ATTEMPT}"),
+    _login("login_not_tried", rf"{_ENDED}: {_ATTEMPT}"),
+    _login("login_refused", rf"Maximum number of connections[^:]*: user=<{{user}}>, {_PEER}"),
+    _login("login_ended", r"(?:Disconnected|Aborted login)(?:: {reason:clause})?"),
+)
+_MAILBOXES = (
+    _process("saved", r"(?:sieve: )?msgid=<?{msgid:message}>?: (?:saved mail to|stored mail into mailbox) {folder:text}"),
+    _process("save_failed", r"(?:sieve: )?msgid=<?{msgid:message}>?: (?:save failed to|failed to store into mailbox) {folder:text}"),
+    _process("forwarded", r"(?:sieve: )?msgid=<?{msgid:message}>?: forwarded to <{mail}>"),
+    _process("answered", r"(?:sieve: )?msgid=<?{msgid:message}>?: sent vacation response to <{mail}>"),
+    _process("other_action", r"(?:sieve: )?msgid=<?{msgid:message}>?: {action:text}"),
+    _process("indexed", "Indexed {num:number} messages in {folder:text}"),
+)
+_PROCESSES = (
+    _process("closed", "(?:Connection closed|Logged out|Disconnected){reason:rest}"),
+    _process("problem", "(?:Error|Warning|Fatal|Panic): {reason:text}"),
+    Rule("server_problem", r"(?:Error|Warning|Fatal|Panic): {reason:text}"),
+    Rule("child_ended", r"child {pid} \(\w+\) killed with signal {signal:number}"),
+    Rule("started", r"(?:master: )?Dovecot v{version:word} .*starting up"),
+)
 
 
-def _by_user(title: str, rules: dict[str, str]) -> Item:
-    where = Where("user", r"\broot\b", negate=True)
-    picks = tuple(Pick(r, ("user", f'"{s}"', "host", "client"), where) for r, s in rules.items())
-    return Item("login", title, "table", picks, ("Username", "Service", "Server::client"))
+def _by_user(title: str, rule: str) -> Item:
+    where = Where("user", r"^root$", negate=True)
+    pick = Pick(rule, ("user", "protocol", "host", "client"), where)
+    return Item("login", title, "table", (pick,), ("Username", "Service", "Server::client"))
 
 
-# The texts of the daemon's messages and the titles of its report.
 APP = App(
     name="dovecot",
-    description="Dovecot IMAP/POP daemon",
+    description="Dovecot mail server",
     tags=("dovecot", "deliver"),
     files=("${logdir}/maillog*", "${logdir}/dovecot*", "${logdir}/${host}/%Y/%m/dovecot-%Y%m%d.log*"),
     priority=2,
-    # the process id of a login also names its thread
-    fragments={"session": "(?P<pid>${pid})"},
-    rules=(
-        _login("imap_login", "imap"),
-        _login("pop3_login", "pop3"),
-        _auth_failure("imap_auth_failure", "imap"),
-        _auth_failure("pop3_auth_failure", "pop3"),
-        _deliver("forwarded", r"forwarded to <{mail}(?:\.\.\.)?>"),
-        _login_failure("imap_login_failure", "imap", "Disconnected|Aborted login"),
-        _login_failure("pop3_login_failure", "pop3", "Disconnected(?:: Inactivity)?|Aborted login"),
-        Rule(
-            "imap_max_connections",
-            r"dovecot: imap-login: Maximum number of connections from user\+IP exceeded "
-            r"\(mail_max_userip_connections\): user=<{user}>, PID={pid}, method=PLAIN, "
-            + _ADDRESSES + ", TLS",
-        ),
-        _session("imap_disconnected", "imap", "Disconnected{reason:text}"),
-        Rule("imap_login_disconnected", "dovecot: imap-login: Disconnected{reason:text}"),
-        Rule("imap_error", r"dovecot: imap\({user}\): Error: {reason:text}"),
-        _session("pop3_disconnected", "pop3", "Disconnected{reason:text}"),
-        _session("imap_closed", "imap", "Connection closed"),
-        _session("pop3_closed", "pop3", "Connection closed"),
-        _deliver("saved", "saved mail to {folder:text}"),
-        _deliver("forwarded_to", "forwarded to <{mail}>"),
-        _deliver("save_failed", "save failed to {folder:text}"),
-        _deliver("mkdir_failed", r"mkdir\({folder:text}\) failed: Permission denied", with_id=False),
-        _deliver("sieve_error", "sieve runtime error: {reason:text}", with_id=False),
-        _deliver("sieve_failed", r"sieve_execute_bytecode\(.+\) failed", with_id=False),
-        _deliver("discarded", "discarded(?P<reason>.*)"),
-        _deliver("vacation", r"sent vacation response to <{mail}(?:\.\.\.)?>"),
-        Rule(
-            "sieve_login",
-            "dovecot: managesieve-login: Login: user=<{user:mail}>, PID={pid}, method=PLAIN, " + _ADDRESSES,
-        ),
-        _session("sieve_disconnected", "managesieve", "Disconnected: Logged out"),
-        _session("sieve_closed", "managesieve", "Connection closed"),
-        Rule("sieve_delivery", r"dovecot: lda\({user}\): sieve: msgid={msgid}: {action:text}"),
-        Rule("sieve_script_failed", r"dovecot: lda\({user}\): sieve: execution of script .+ failed"),
-        Rule("tls_parameters", "dovecot: ssl-build-param: SSL parameters regeneration completed"),
-        Rule("imap_panic", r"dovecot: Panic: IMAP\({user}\): {reason:text}"),
-        Rule("imap_message", r"dovecot: IMAP\({user}\): {message:text}"),
-        Rule("child_killed", r"dovecot: child {pid} \(imap\) killed with signal {signal:number}"),
-        Rule("indexed", r"dovecot: indexer-worker\({user}\): Indexed {num:number} messages in "),
-        Rule(
-            "indexer_error",
-            r"dovecot: indexer-worker\({user}\): (?:Panic|Error|Fatal): {reason:text}$",
-        ),
-        Rule(
-            "indexer_disconnected",
-            "dovecot: indexer: Error: Indexer worker disconnected, "
-            "discarding {num:number} requests for {user}",
-        ),
-    ),
-    items=(
-        _by_user("User Logins", {"imap_login": "imap(dc)", "pop3_login": "pop3(dc)"}),
-        _by_user(
-            "User Failures", {"imap_login_failure": "imap(dc)", "pop3_login_failure": "pop3(dc)"}
-        ),
-    ),
+    fragments={
+        # the process id of a login also names its thread
+        "session": "(?P<pid>${pid})",
+        "protocol": "[A-Za-z0-9-]+",
+        "attempts": "[^()]+",
+        "clause": "[^:(]+",
+        "rest": ".*",
+        "message": "[^>:]+",
+    },
+    rules=(*_LOGINS, *_MAILBOXES, *_PROCESSES),
+    items=(_by_user("Logins of users", "login"), _by_user("Failed logins of users", "login_failed")),
 )

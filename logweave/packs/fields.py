@@ -17,7 +17,8 @@ FRAGMENTS = {
     "number": r"[0-9]+",
     "text": r".+",
     "word": r"\S+",
-    "queue": r"[0-9A-Z]{9,14}",
+    # Postfix: hexadecimal short ids or long ones in base 52
+    "queue": r"[0-9A-Za-z]{5,20}",
 }
 
 # Fields that a filter can name.

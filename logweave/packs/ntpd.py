@@ -3,7 +3,6 @@
 from logweave.operators.reports import Item, Pick, Where
 from logweave.operators.rules import App, Rule
 
-# The text of the daemon's messages and the titles of its report.
 APP = App(
     name="ntpd",
     description="NTP daemon",
@@ -15,16 +14,16 @@ APP = App(
     items=(
         Item(
             "query",
-            "NTP server (ntp.example.com) stats",
+            "Time server",
             "total",
-            (Pick("synchronized", ('"Total Syncronizations"',)),),
+            (Pick("synchronized", ('"Times synchronized"',)),),
         ),
         Item(
             "query",
-            "Top 5 NTP clients syncronizations",
+            "Peers most synchronized to",
             "top",
             (Pick("synchronized", ("client",), Where("client", "ntp.example.com", negate=True)),),
-            ("NTP Client",),
+            ("Peer",),
             5,
         ),
     ),

@@ -1,76 +1,86 @@
-"""SSH daemon."""
+"""SSH daemon.
+
+The rules follow the messages that OpenSSH's server writes, one for each kind of event: an
+authentication attempt names its outcome and method, other messages name the peer.
+"""
 
 from logweave.operators.reports import Item, Pick, Where
 from logweave.operators.rules import App, Rule
 
+# A peer is an address and, in newer versions, a port; its user may be named as not valid or as
+# already known.  A field that a filter can name takes part in every match of its rule, so messages with
+# and without a user are different rules.
+_PEER = "{client}(?: port {port:number})?"
+_WHO = "(?:(?:invalid|authenticating) user )?{user}"
+
 
 def _rule(name: str, text: str) -> Rule:
     # every message begins with the process id, which ties a session together
     return Rule(name, r"\[{thread:number}\]: " + text)
 
 
-_NOT_ROOT = Where("user", r"\broot\b", negate=True)
-_ROOT = Where("user", r"\broot\b")
+_AUTHENTICATION = (
+    _rule("accepted", f"Accepted {{method:word}} for {{user}} from {_PEER}"),
+    _rule("failed", f"Failed {{method:word}} for {_WHO} from {_PEER}"),
+    _rule("unfinished", f"(?:Postponed|Partial) {{method:word}} for {_WHO} from {_PEER}"),
+    _rule("too_many_failures", f"(?:error: )?maximum authentication attempts exceeded for {_WHO} from {_PEER}"),
+    _rule("unknown_user", f"Invalid user {{user}} from {_PEER}"),
+    _rule("not_allowed", f"User {{user}} from {{client}} not allowed because {{reason:text}}"),
+    _rule("root_refused", f"ROOT LOGIN REFUSED FROM {_PEER}"),
+)
+_CONNECTION = (
+    _rule("connection", f"Connection from {_PEER}"),
+    _rule("closed_for_user", f"Connection (?:closed|reset) by (?:invalid|authenticating) user {{user}} {_PEER}"),
+    _rule("closed", f"Connection (?:closed|reset) by {_PEER}"),
+    _rule("disconnected_user", f"Disconnected from (?:(?:invalid|authenticating) )?user {{user}} {_PEER}"),
+    _rule("disconnected", f"Disconnected from {_PEER}"),
+    _rule("disconnect_by_peer", f"Received disconnect from {_PEER}: ?{{reason:text}}"),
+    _rule("disconnecting", "Disconnecting[^:]*: {reason:text}"),
+    _rule("no_banner", f"(?:Did not receive identification string from|banner exchange: Connection from) {_PEER}"),
+    _rule("bad_banner", "Bad protocol version identification .* from " + _PEER),
+    _rule("no_common_algorithm", f"Unable to negotiate with {_PEER}: {{reason:text}}"),
+    _rule("timeout", f"(?:Timeout, client not responding|fatal: Timeout before authentication)[^0-9]* {_PEER}"),
+    _rule("name_mismatch", r"reverse mapping checking getaddrinfo for {name:word} \[{client}\] failed"),
+)
+_SESSION = (
+    # newer versions of the module add the id to the name
+    _rule("session_opened", r"pam_unix\(\S+\): session opened for user {user}(?:\(uid=\d+\))? by .*\(uid={uid}\)"),
+    _rule("session_closed", r"pam_unix\(\S+\): session closed for user {user}"),
+    _rule("module_failure_of_user", r"pam_\w+\(\S+\): authentication failure; .*rhost={client}\s+user={user}"),
+    _rule("module_failure", r"pam_\w+\(\S+\): authentication failure; .*rhost={client}"),
+    _rule("session_started", f"Starting session: {{object:text}} for {{user}} from {_PEER}"),
+    _rule("subsystem_of_user", "subsystem request for {object:word} by user {user}"),
+    _rule("subsystem", "subsystem request for {object:word}"),
+    _rule("traffic", "Transferred: sent {sent:number}, received {received:number} bytes"),
+)
+_SERVER = (
+    _rule("listening", "Server listening on {client} port {port:number}"),
+    _rule("terminated", "Received signal {signal:number}; terminating"),
+    _rule("error", "(?:error|fatal): {reason:text}"),
+)
 
 
-def _logins(title: str, rules: dict[str, str], root: bool) -> Item:
-    """Table of logins, by user and place, or for root by host."""
+def _logins(title: str, rule: str, root: bool) -> Item:
+    """Table of one outcome by user, method, server and client; for root without the user."""
+    where = Where("user", r"^root$", negate=not root)
     if root:
-        headers, where = ("Hostname", "Service", "Client"), _ROOT
-        picks = [Pick(r, ("host", f'"{s}"', "client"), where) for r, s in rules.items()]
+        pick, headers = Pick(rule, ("host", "method", "client"), where), ("Server", "Method", "Client")
     else:
-        headers, where = ("Username", "Service", "Server::client"), _NOT_ROOT
-        picks = [Pick(r, ("user", f'"{s}"', "host", "client"), where) for r, s in rules.items()]
-    return Item("login", title, "table", tuple(picks), headers)
+        pick, headers = Pick(rule, ("user", "method", "host", "client"), where), ("Username", "Service", "Server::client")
+    return Item("login", title, "table", (pick,), headers)
 
 
-_ACCEPTED = {"login_publickey": "sshd(pk)", "login_password": "sshd(pw)"}
-_FAILED = {"failed_publickey": "sshd(pk)", "failed_password": "sshd(pw)"}
-
-# The texts of the daemon's messages and the titles of its report.
 APP = App(
     name="sshd",
     description="SSH daemon",
     tags=("sshd",),
     files=("${logdir}/secure*", "${logdir}/sshd*", "${logdir}/${host}/%Y/%m/secure-%Y%m%d.log*"),
     priority=0,
-    rules=(
-        _rule("login_publickey", "Accepted publickey for {user} from {client}"),
-        _rule("login_password", "Accepted password for {user} from {client}"),
-        _rule("failed_publickey", "Failed publickey for {user} from {client}"),
-        _rule("failed_password", "Failed password for {user} from {client}"),
-        _rule("failed_invalid_user", "Failed password for invalid user {user} from {client}"),
-        _rule("connection_from", r"Connection from {client} port {port:number}"),
-        _rule("connection_closing", "Closing connection to {client}"),
-        _rule("connection_closed", "Connection closed by {client}"),
-        _rule("session_opened", r"pam_unix\(.+\): session opened for user {user} by \(uid={uid}\)"),
-        _rule("session_closed", r"pam_unix\(.+\): session closed for user {user}"),
-        _rule("key_found", r"Found matching (?P<algorithm>[-\w]+) key: (?P<key>[0-9a-f]{2}(?::[0-9a-f]{2})+)"),
-        _rule("key_postponed", "Postponed publickey for {user} from {client} port {port:number} ssh2"),
-        _rule("disconnect_received", "Received disconnect from {client}: {reason:text}"),
-        _rule("connection_timeout", "Read error from remote host {client}: Connection timed out"),
-        _rule(
-            "auth_failure",
-            r"(?:pam_unix\(.+\):|PAM \d+ more) authentication failures?; .+ rhost={client}\s+user={user}",
-        ),
-        _rule("value_set", "Set {object:text} to {value:number}"),
-        _rule("transferred", r"Transferred: sent (?P<sent>\d.+), received {received:number}"),
-        _rule("child_pid", "User child is on pid {pid}"),
-        _rule("sftp_request", "subsystem request for sftp"),
-        _rule("disconnecting", "Disconnecting: {reason:text}"),
-        _rule("reverse_mapping", "reverse mapping checking getaddrinfo for {client} failed"),
-        _rule("ldap_reconnected", "nss_ldap: reconnected to LDAP server"),
-        _rule("ldap_bind_error", 'pam_ldap: error trying to bind as user "{user:text}"'),
-        _rule("invalid_user", "Invalid user {user} from {client}"),
-        _rule("auth_invalid_user", "input_userauth_request: invalid user {user}"),
-        _rule("pam_error", r"pam_succeed_if\(.+\): error retrieving information about user {user}"),
-        _rule("no_identification", "Did not receive identification string from {client}"),
-        _rule("unknown_host", "error: connect_to {user}@{client}: unknown host"),
-    ),
+    rules=(*_AUTHENTICATION, *_CONNECTION, *_SESSION, *_SERVER),
     items=(
-        _logins("ROOT FAILURES", _FAILED, root=True),
-        _logins("ROOT Logins", _ACCEPTED, root=True),
-        _logins("User Failures", _FAILED, root=False),
-        _logins("User Logins", _ACCEPTED, root=False),
+        _logins("Logins of users", "accepted", root=False),
+        _logins("Logins of root", "accepted", root=True),
+        _logins("Failed logins of users", "failed", root=False),
+        _logins("Failed logins of root", "failed", root=True),
     ),
 )

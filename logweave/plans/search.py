@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from logweave.functions.regex import compute_once
 from logweave.functions.timespec import Period, TimeRange
 from logweave.operators import output, reports
-from logweave.operators.headers import BUILT_IN, HEADER_COLUMNS, HeaderFormat, known_lines, parse_headers, unknown_files
+from logweave.operators.headers import (
+    BUILT_IN,
+    HEADER_COLUMNS,
+    HeaderFormat,
+    file_counts,
+    known_lines,
+    parse_headers,
+    unknown_files,
+)
 from logweave.operators.joins import join_checked
 from logweave.operators.mapping import map_fields, rewrite_raw
 from logweave.operators.rules import (
     App,
     app_counters,
     apply_rules,
+    bind_rules,
     choose_apps,
     extra_tags,
     fold_repeats,
@@ -40,6 +49,12 @@ class LogSearch:
     ``unruled`` (only the tag must belong to an app).  ``filters`` are groups of
     field patterns: all of a group, any of the groups.  With ``repeats`` the lines
     need a ``line_no``; a notice of repetition then adds to the line before it.
+    ``use_offset`` moves event times to UTC, ``wrap`` lets a time range go over
+    midnight.  ``max_count`` limits the selected lines of each file, for all results.
+
+    With ``mask``, ``addresses`` or ``users`` all lines that are given out are mapped,
+    neighbours too.  Masked lines that no rule matched have no known values, so their
+    text is withheld.  A mode without rules cannot be mapped.
     """
 
     patterns: Patterns = Patterns()
@@ -53,6 +68,8 @@ class LogSearch:
     threads: bool = False
     formats: tuple[HeaderFormat, ...] = BUILT_IN
     reference: Column | None = None
+    use_offset: bool = False
+    wrap: bool = False
     repeats: bool = False
     skip_unknown_files: bool = False
     stop_at_newer: bool = False
@@ -64,6 +81,14 @@ class LogSearch:
     def but(self, **changes) -> LogSearch:
         return replace(self, **changes)
 
+    def __post_init__(self):
+        if self.mapped and self.mode != "ruled":
+            raise ValueError("values are mapped by the rules that find them: use mode 'ruled'")
+
+    @property
+    def mapped(self) -> bool:
+        return self.mask or self.addresses is not None or self.users is not None
+
     @cached_property
     def active_apps(self) -> list[App]:
         return choose_apps(self.apps, self.app_names)
@@ -75,7 +100,7 @@ class LogSearch:
 
     def parse(self, lines: DataFrame) -> DataFrame:
         """Lines with header columns; unknown lines stay unless the file is skipped."""
-        return parse_headers(lines, self.formats, reference=self.reference)
+        return parse_headers(lines, self.formats, self.use_offset, self.reference)
 
     def in_scope(self, lines: DataFrame) -> DataFrame:
         """Lines of known format within period, time range and hosts.
@@ -99,18 +124,19 @@ class LogSearch:
             events = until_newer(events, self.period[1])
         events = in_period(events, self.period)
         if self.time_range is not None:
-            events = in_time_range(events, self.time_range)
+            events = in_time_range(events, self.time_range, self.wrap)
         return on_hosts(events, list(self.hosts))
 
     def flagged(self, lines: DataFrame) -> DataFrame:
         """Lines in scope with ``hit`` (by the patterns), ``selected``, ``app`` and the rule columns.
 
-        Rules run only on lines that the patterns hit, unless threads are wanted.
+        Rules run only on lines that the patterns hit, unless threads are wanted or
+        lines are mapped.
         """
         scope = compute_once(self.in_scope(lines), "hit", self.patterns.selects())
         if self.mode == "unruled":
             found = route(scope, self.active_apps)
-        elif self.threads:
+        elif self.threads or self.mapped:
             found = apply_rules(scope, self.active_apps, self.filters, threads=True)
         else:
             # a line without message matches no rule
@@ -119,7 +145,26 @@ class LogSearch:
             )
             found = apply_rules(hidden, self.active_apps, self.filters)
             found = found.withColumn("message", F.col("_message")).drop("_message")
-        return found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
+        found = found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
+        if self.max_count:
+            require_batch(lines, "a limit per file")
+            found = output.first_selected(found, "selected", self.max_count)
+        return found
+
+    def _shown(self, found: DataFrame) -> DataFrame:
+        """Lines as they are given out: mapped if a mapping is asked for."""
+        if not self.mapped:
+            return found
+        if self.mask:
+            require_batch(found, "masking")
+        found = map_fields(found, self.active_apps, self.mask, self.addresses, self.users)
+        found = rewrite_raw(found, self.active_apps, self.formats)
+        if not self.mask:
+            return found
+        hidden = [c for c in ("raw", "message", "host") if c in found.columns]
+        found = found.withColumns({c: F.when(F.col("matched"), F.col(c)) for c in hidden})
+        # a process id may be the thread
+        return found.withColumn("procid", F.lit(None).cast("string"))
 
     def select(self, lines: DataFrame) -> DataFrame:
         """The selected lines, mapped if a mapping is asked for."""
@@ -132,19 +177,13 @@ class LogSearch:
         if self.max_count:
             require_batch(lines, "a limit per file")
             found = output.max_count(found, self.max_count)
-        mapped = self.mask or self.addresses is not None or self.users is not None
-        if mapped and self.mode != "unruled":
-            if self.mask:
-                require_batch(lines, "masking")
-            found = map_fields(found, self.active_apps, self.mask, self.addresses, self.users)
-            found = rewrite_raw(found, self.active_apps, self.formats)
-        return found
+        return self._shown(found)
 
     def context(self, lines: DataFrame, before: int = 0, after: int = 0, around: int = 0) -> DataFrame:
         """Selected lines with neighbours; lines of unknown tag that the patterns hit are no neighbours."""
         require_batch(lines, "context")
         flagged = self.flagged(lines)
-        near = flagged.filter(F.col("app").isNotNull() | ~F.col("hit"))
+        near = self._shown(flagged.filter(F.col("app").isNotNull() | ~F.col("hit")))
         # neighbours are shown as they are: the parts of their headers are not kept
         near = near.drop(*[c for c in HEADER_COLUMNS if c != "host"], "fields")
         return output.context(near, self.selected, before, after, around)
@@ -152,20 +191,39 @@ class LogSearch:
     def threads_of(self, lines: DataFrame, before: int | None = None, after: int | None = None) -> DataFrame:
         """Whole threads with a selected line, or a part of them around it."""
         require_batch(lines, "threads")
-        flagged = self.but(threads=True).flagged(lines).filter("matched")
+        flagged = self._shown(self.but(threads=True).flagged(lines).filter("matched"))
         if before is None and after is None:
             return output.whole_threads(flagged, self.selected)
         return output.thread_context(flagged, self.selected, before or 0, after or 0)
 
     def counts(self, lines: DataFrame) -> DataFrame:
-        """Matches per file, files without any included."""
+        """Matches per file, files without any included.
+
+        Repetitions count, but not towards a limit of lines.
+        """
         found = output.count_per_file(self.flagged(lines), self.selected)
-        zero = lines.select("file", F.lit(0).cast("bigint").alias("matches")).distinct()
-        return found.unionByName(zero).groupBy("file").agg(F.sum("matches").alias("matches"))
+        files = lines.select("file").distinct()
+        return files.join(found, "file", "left").select("file", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"))
 
     def stats(self, lines: DataFrame) -> DataFrame:
-        """Run statistics over the lines in scope."""
-        return output.run_stats(self.flagged(lines), self.selected)
+        """Run statistics: files and lines read, lines of unknown format, and what was selected.
+
+        Of a file that is skipped for its unknown format one line counts as read.
+        """
+        read = file_counts(self.parse(lines), self.skip_unknown_files)
+        flagged = self.flagged(lines).filter("selected")
+        weight = F.col("weight") if "weight" in flagged.columns else F.lit(1)
+        matches = flagged.groupBy("file").agg(
+            F.sum(weight).alias("matches"), F.min("event_ts").alias("first_event"), F.max("event_ts").alias("last_event")
+        )
+        return read.join(matches, "file", "left").agg(
+            F.count(F.lit(1)).alias("files"),
+            F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines"),
+            F.coalesce(F.sum("matches"), F.lit(0)).cast("bigint").alias("matches"),
+            F.coalesce(F.sum("unknown"), F.lit(0)).cast("bigint").alias("unknown"),
+            F.min("first_event").alias("first_event"),
+            F.max("last_event").alias("last_event"),
+        )
 
     def app_counters(self, lines: DataFrame) -> DataFrame:
         scope = self.in_scope(lines).filter(self.patterns.selects())
@@ -183,6 +241,8 @@ class LogSearch:
     ) -> DataFrame:
         """All report rows of the selected lines."""
         sections = list(default_sections() if sections is None else sections)
-        needed = reports.needed_fields(self.active_apps, sections)
+        # under filters only rules that use all fields of a group can select
+        active = {a.name: {r.name for r in bind_rules(a, self.filters) if r.full} for a in self.active_apps}
+        needed = reports.needed_fields(self.active_apps, sections, active)
         results = rule_results(self.select(lines), needed)
-        return reports.report(results, self.active_apps, sections, limit)
+        return reports.report(results, self.active_apps, sections, limit, active)

@@ -57,27 +57,18 @@ def read_globs(spark: SparkSession, path: str) -> list[str]:
 def distinct_globs(paths: Iterable[str]) -> list[str]:
     """Paths without those that another one covers, so no file is read twice."""
     paths = list(dict.fromkeys(paths))
-    kept = []
-    for path in paths:
-        others = [p for p in paths if p != path]
-        if not any(
-            re.match(glob_to_java(p).replace(r"\z", r"\Z"), path)
-            and not (re.match(glob_to_java(path).replace(r"\z", r"\Z"), p) and p > path)
-            for p in others
-        ):
-            kept.append(path)
-    return kept
+    globs = {p: re.compile(glob_to_java(p).replace(r"\z", r"\Z")) for p in paths if any(c in p for c in "*?[")}
 
+    def covered(path: str) -> bool:
+        # of two globs that cover each other the first in order stays; plain paths cover nothing else
+        return any(
+            g.match(path) and not (path in globs and globs[path].match(p) and p > path) for p, g in globs.items() if p != path
+        )
 
-def find_files(
-    spark: SparkSession,
-    paths: str | Iterable[str],
-    recursive: bool = False,
-    include: Iterable[str] = (),
-    exclude: Iterable[str] = (),
-    exclude_dir: Iterable[str] = (),
-    modified_after: dt.datetime | None = None,
-) -> tuple[list[str], list[str]]:
+    return [p for p in paths if not covered(p)]
+
+
+def find_files(spark: SparkSession, paths: str | Iterable[str]) -> tuple[list[str], list[str]]:
     """Existing paths and globs, and those that match nothing."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -242,25 +233,42 @@ def read_apps(
 ) -> tuple[DataFrame, list[str]]:
     """Lines of the files that the given apps name, and the paths that were missing.
 
-    Without a period it is the last day that is read.
-    Files come in order of app priority; ``source_app`` is the first app that
-    names a file.  Date and host templates are filled from the period and hosts.
+    Without a period it is the last day that is read.  Every file is read once, in one
+    scan, however many apps name it: ``source_apps`` has them in order of priority,
+    ``source_app`` is the first.  Date and host templates are filled from the period
+    and hosts.
     """
     period = last_period("day") if period is None else period
     start = period[0]
     if start is not None:
         options.setdefault("modified_after", start)
-    out, missing, seen = None, [], []
+    existing: dict[str, list[str] | None] = {}  # path -> files below it
+    named: dict[str, dict[str, None]] = {}  # file -> apps
+    missing: dict[str, None] = {}
     for app in sorted(apps, key=lambda a: (a.priority, a.name)):
         templates = [f.replace("${logdir}", logdir.rstrip("/")) for f in app.files]
-        globs = [r.path for r in expand_paths(spark, templates, period, list(hosts)).collect()]
-        found, lost = find_files(spark, [g for g in sorted(globs) if g not in seen])
-        missing += lost
-        seen += found
-        if not found:
-            continue
-        lines = read_lines(spark, found, **options).withColumn("source_app", F.lit(app.name))
-        out = lines if out is None else out.unionByName(lines)
-    if out is None:
+        for row in expand_paths(spark, templates, period, list(hosts)).orderBy("path").toLocalIterator():
+            if row.path not in existing:
+                existing[row.path] = _files_at(spark, row.path)
+            for file in existing[row.path] or ():
+                named.setdefault(file, {})[app.name] = None
+            if not existing[row.path]:
+                missing[row.path] = None
+    if not named:
         raise ValueError("no file of the selected apps exists in the period")
-    return out, missing
+    found = distinct_globs(p for p, files in existing.items() if files)
+    # one row per file; the driver lists the files for the scan in any case
+    table = spark.createDataFrame([(f, list(a)) for f, a in named.items()], "file string, source_apps array<string>")
+    lines = join_checked(read_lines(spark, found, **options), table, ["file"], "left", staged=False, rows=len(named))
+    return lines.withColumn("source_app", F.get("source_apps", F.lit(0))), list(missing)
+
+
+def _files_at(spark: SparkSession, path: str) -> list[str]:
+    """Plain names of the files that a path or glob matches, those directly in matched folders too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(p) or ():
+        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [re.sub(r"\Afile:/+", "/", s.getPath().toString()) for s in inside if s.isFile()]
+    return out

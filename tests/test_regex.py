@@ -116,118 +116,105 @@ def test_expand():
 # one line or more for every rule of every pack
 RULE_LINES = {
     "sshd": [
-        "sshd[1]: Accepted publickey for ann from 10.0.0.1 port 2 ssh2",
-        "sshd[1]: Accepted password for bob.x from host-1.example.com port 2",
-        "sshd[2]: Failed publickey for ann from ::1 port 2",
-        "sshd[2]: Failed password for ann from gate port 2",
-        "sshd[2]: Failed password for invalid user eve from 10.0.0.9 port 3",
-        "sshd[3]: Connection from 10.0.0.9 port 3",
-        "sshd[3]: Closing connection to 10.0.0.9",
+        "sshd[1]: Accepted publickey for ann from 10.0.0.1 port 2 ssh2: ED25519 SHA256:abc",
+        "sshd[1]: Accepted password for bob.x from host-1.example.com",
+        "sshd[1]: Accepted keyboard-interactive/pam for ann from ::1 port 2 ssh2",
+        "sshd[2]: Failed password for ann from gate port 2 ssh2",
+        "sshd[2]: Failed password for invalid user eve from 10.0.0.9 port 3 ssh2",
+        "sshd[2]: Postponed publickey for ann from 10.0.0.9 port 3 ssh2 [preauth]",
+        "sshd[2]: error: maximum authentication attempts exceeded for invalid user eve from 10.0.0.9 port 3 ssh2",
+        "sshd[2]: Invalid user eve from 10.0.0.9 port 3",
+        "sshd[2]: User ann from 10.0.0.9 not allowed because not listed in AllowUsers",
+        "sshd[2]: ROOT LOGIN REFUSED FROM 10.0.0.9 port 3",
+        "sshd[3]: Connection from 10.0.0.9 port 3 on 10.0.0.1 port 22",
         "sshd[3]: Connection closed by 10.0.0.9 [preauth]",
-        "sshd[3]: pam_unix(sshd:session): session opened for user ann by (uid=0)",
+        "sshd[3]: Connection reset by invalid user eve 10.0.0.9 port 3 [preauth]",
+        "sshd[3]: Disconnected from user ann 10.0.0.9 port 3",
+        "sshd[3]: Disconnected from 10.0.0.9 port 3",
+        "sshd[3]: Received disconnect from 10.0.0.9 port 3:11: disconnected by user",
+        "sshd[3]: Disconnecting invalid user eve 10.0.0.9 port 3: Too many authentication failures",
+        "sshd[3]: Did not receive identification string from 10.0.0.9 port 3",
+        "sshd[3]: Bad protocol version identification 'GET / HTTP' from 10.0.0.9 port 3",
+        "sshd[3]: Unable to negotiate with 10.0.0.9 port 3: no matching key exchange method found.",
+        "sshd[3]: fatal: Timeout before authentication for 10.0.0.9 port 3",
+        "sshd[3]: reverse mapping checking getaddrinfo for h.example.com [10.0.0.9] failed.",
+        "sshd[3]: pam_unix(sshd:session): session opened for user ann(uid=7) by (uid=0)",
         "sshd[3]: pam_unix(sshd:session): session closed for user ann",
-        "sshd[3]: Found matching RSA key: 01:ab:cd:ef",
-        "sshd[3]: Postponed publickey for ann from 10.0.0.9 port 3 ssh2",
-        "sshd[3]: Received disconnect from 10.0.0.9: 11: bye",
-        "sshd[3]: Read error from remote host 10.0.0.9: Connection timed out",
-        "sshd[3]: pam_unix(sshd:auth): authentication failure; uid=0 rhost=h1  user=ann",
-        "sshd[3]: PAM 2 more authentication failures; tty=ssh rhost=10.0.0.9 user=root",
-        "sshd[3]: Set /proc/self/oom_adj to 0",
-        "sshd[3]: Transferred: sent 1000, received 2000 bytes",
-        "sshd[3]: User child is on pid 77",
+        "sshd[3]: pam_unix(sshd:auth): authentication failure; uid=0 tty=ssh ruser= rhost=h1  user=ann",
+        "sshd[3]: pam_unix(sshd:auth): authentication failure; uid=0 tty=ssh ruser= rhost=h1",
         "sshd[3]: subsystem request for sftp",
-        "sshd[3]: Disconnecting: Too many failures",
-        "sshd[3]: reverse mapping checking getaddrinfo for h.example.com failed - x",
-        "sshd[3]: nss_ldap: reconnected to LDAP server ldaps://x",
-        'sshd[3]: pam_ldap: error trying to bind as user "uid=x,dc=y" (no)',
-        "sshd[3]: Invalid user eve from 10.0.0.9",
-        "sshd[3]: input_userauth_request: invalid user eve",
-        "sshd[3]: pam_succeed_if(sshd:auth): error retrieving information about user eve",
-        "sshd[3]: Did not receive identification string from 10.0.0.9",
-        "sshd[3]: error: connect_to ann@h1: unknown host (x)",
+        "sshd[3]: Starting session: shell on pts/0 for ann from 10.0.0.9 port 3 id 0",
+        "sshd[3]: subsystem request for sftp by user ann",
+        "sshd[3]: Transferred: sent 1000, received 2000 bytes",
+        "sshd[3]: Server listening on 0.0.0.0 port 22.",
+        "sshd[3]: Received signal 15; terminating.",
+        "sshd[3]: error: kex_exchange_identification: read: x",
         "sshd: something else",
     ],
     "postfix": [
-        "postfix/smtpd[9]: connect from h1.example.com[10.0.0.1]",
+        "postfix/smtpd[9]: 0123456789A: client=h1.example.com[10.0.0.1]",
+        "postfix/pickup[9]: 4bXyZk2wQzz1: uid=0 from=<root>",
+        "postfix/cleanup[9]: 0123456789A: message-id=<1@x>",
         "postfix/qmgr[9]: 0123456789A: from=<ann@example.com>, size=120, nrcpt=2 (queue active)",
+        "postfix/qmgr[9]: 0123456789A: from=<a@x.org>, status=expired, returned to sender",
+        "postfix/bounce[9]: 0123456789A: sender non-delivery notification: 0123456789B",
+        "postfix/qmgr[9]: 0123456789A: removed",
         "postfix/smtp[9]: 0123456789A: to=<bob@x.org>, relay=r[1.2.3.4]:25, delay=1, delays=1/0/0/1, dsn=2.0.0, status=sent (ok)",
         "postfix/smtp[9]: 0123456789A: to=<bob@x.org>, relay=none, delay=1, delays=1/0/0/1, dsn=4.0.0, status=deferred (no)",
-        "postfix/smtpd[9]: 0123456789A: client=h1.example.com[10.0.0.1]",
-        "postfix/pickup[9]: 0123456789A: uid=0 from=<root>",
-        "postfix/qmgr[9]: 0123456789A: removed",
-        "postfix/qmgr[9]: 0123456789A: resent-message-id=<1@x>",
-        "postfix/cleanup[9]: 0123456789A: message-id=<1@x>",
-        "postfix/smtpd[9]: disconnect from h1.example.com",
-        "postfix/smtp[9]: connect to mx.x.org:25: Connection refused",
-        "postfix/smtp[9]: connect to mx.x.org:25: Connection timed out",
-        "postfix/smtpd[9]: lost connection after DATA from h1",
-        "postfix/smtpd[9]: timeout after END-OF-MESSAGE from h1",
-        "postfix/smtpd[9]: setting up TLS connection from h1",
-        "postfix/smtpd[9]: TLS connection established from h1: TLSv1",
-        "postfix/smtpd[9]: warning: dict_nis_init: x",
-        "postfix/smtpd[9]: table hash:/etc/aliases(0,34) has changed -- restarting",
-        "postfix/smtp[9]: 0123456789A: host mx said: 420 deferred due to suspect content, please try again later (in reply to end of DATA command)",
-        "postfix/smtp[9]: 0123456789A: to=<b@x.org>, relay=mx:25, delay=1, dsn=5.0.0, status=bounced (host mx said: 550 no)",
         "postfix/local[9]: 0123456789A: to=<b@x.org>, orig_to=<c@x.org>, relay=local, delay=1, dsn=5.0.0, status=bounced (user unknown)",
-        "postfix/smtpd[9]: NOQUEUE: reject: RCPT from h1: 554 x",
-        "postfix/smtpd[9]: SSL_accept error from h1: -1",
-        "postfix/smtp[9]: 0123456789A: host mx said: 450 too many mails from this sender (rate controlled)",
-        "postfix/anvil[9]: statistics: max connection rate 1/60s for (smtp:10.0.0.1) at Jan 1",
-        "postfix/anvil[9]: statistics: max cache size 1 at Jan 1",
-        "postfix/bounce[9]: 0123456789A: sender non-delivery notification: 0123456789B",
-        "postfix/smtp[9]: 0123456789A: host mx said: 421 Temporary failure, please try again later.",
+        "postfix/smtp[9]: 0123456789A: host mx[1.2.3.4] said: 450 too many mails (in reply to RCPT TO command)",
+        "postfix/smtp[9]: 0123456789A: lost connection with mx[1.2.3.4] while receiving the initial server greeting",
+        "postfix/smtpd[9]: NOQUEUE: reject: RCPT from h1[10.0.0.1]: 554 5.7.1 x",
         "postfix/cleanup[9]: 0123456789A: milter-reject: END-OF-MESSAGE from h1: 5.7.1 x",
-        "postfix/cleanup[9]: NOQUEUE: milter-reject: RCPT from h1: 5.7.1 x",
-        "postfix/policy-spf[9]: Policy action=PREPEND",
-        "postfix/scache[9]: statistics: domain lookup hits=0",
-        "postfix/qmgr[9]: 0123456789A: from=<a@x.org>, status=expired, returned to sender",
-        "postfix/master[9]: terminating on signal 15",
-        "postfix/postfix-script[9]: starting the Postfix mail system",
-        "postfix/smtp[9]: 0123456789A: enabling PIX workarounds: disable_esmtp for mx:25",
+        "postfix/smtpd[9]: NOQUEUE: discard: RCPT from h1: x",
+        "postfix/smtpd[9]: connect from h1.example.com[10.0.0.1]",
+        "postfix/smtpd[9]: disconnect from h1.example.com ehlo=1 quit=1 commands=2",
+        "postfix/smtp[9]: connect to mx.x.org[1.2.3.4]:25: Connection timed out",
+        "postfix/smtpd[9]: lost connection after DATA from h1",
+        "postfix/smtpd[9]: Anonymous TLS connection established from h1[10.0.0.1]: TLSv1.3 with cipher x",
+        "postfix/smtpd[9]: SSL_accept error from h1[10.0.0.1]: -1",
+        "postfix/anvil[9]: statistics: max connection rate 1/60s for (smtp:10.0.0.1) at Jan 1",
+        "postfix/smtpd[9]: table hash:/etc/aliases(0,34) has changed -- restarting",
+        "postfix/smtpd[9]: warning: hostname x does not resolve",
+        "postfix/master[9]: daemon started -- version 3.8.1, configuration /etc/postfix",
+        "postfix/smtpd[9]: something else",
     ],
     "dovecot": [
+        "dovecot: imap-login: Login: user=<ann>, method=PLAIN, rip=10.0.0.1, lip=10.0.0.2, mpid=12, TLS",
         "dovecot: imap-login: Login: user=<ann>, PID=12, TLS, rip=10.0.0.1, lip=10.0.0.2",
-        "dovecot: pop3-login: Login: user=<ann>, PID=12, TLS, rip=10.0.0.1, lip=10.0.0.2",
-        "dovecot: imap-login: Disconnected (auth failed, 1 attempts): user=<a@x.org>, PID=1, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2",
+        "dovecot: pop3-login: Login: user=<ann>, method=PLAIN, mpid=12, rip=10.0.0.1",
+        "dovecot: imap-login: Disconnected (auth failed, 1 attempts in 2 secs): user=<ann>, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2",
         "dovecot: imap-login: Aborted login (no auth attempts): PID=1, rip=1.1.1.1, lip=2.2.2.2",
-        "dovecot: pop3-login: Disconnected: Inactivity (auth failed): user=<ann>, PID=1, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2",
-        "dovecot: imap-login: Maximum number of connections from user+IP exceeded (mail_max_userip_connections): user=<ann>, PID=1, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2, TLS",
-        "dovecot: IMAP(ann): Disconnected: Logged out",
-        "dovecot: imap-login: Disconnected: x",
-        "dovecot: imap(ann): Error: x",
-        "dovecot: POP3(ann): Disconnected: x",
-        "dovecot: imap(ann): Connection closed",
-        "dovecot: pop3(ann): Connection closed",
+        "dovecot: imap-login: Maximum number of connections from user+IP exceeded (mail_max_userip_connections=10): user=<ann>, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2",
+        "dovecot: imap-login: Disconnected: Connection closed: SSL_accept failed",
+        "dovecot: lda(ann)<7><ab+c>: sieve: msgid=<1@x>: stored mail into mailbox 'INBOX'",
         "deliver(ann): msgid=<1@x>: saved mail to INBOX",
-        "deliver(ann): msgid=<1@x>: forwarded to <b@x.org>",
         "deliver(ann): msgid=<1@x>: save failed to INBOX: x",
-        "deliver(ann): mkdir(/x) failed: Permission denied",
-        "deliver(ann): sieve runtime error: x",
-        "deliver(ann): sieve_execute_bytecode(/x) failed",
-        "deliver(ann): msgid=<1@x>: discarded duplicate",
+        "deliver(ann): msgid=<1@x>: forwarded to <b@x.org>",
         "deliver(ann): msgid=<1@x>: sent vacation response to <b@x.org>",
-        "dovecot: managesieve-login: Login: user=<ann>, PID=1, method=PLAIN, rip=1.1.1.1, lip=2.2.2.2",
-        "dovecot: managesieve(ann): Disconnected: Logged out",
-        "dovecot: MANAGESIEVE(ann): Connection closed",
-        "dovecot: lda(ann): sieve: msgid=<1@x>: stored mail",
-        "dovecot: lda(ann): sieve: execution of script /x failed",
-        "dovecot: ssl-build-param: SSL parameters regeneration completed",
-        "dovecot: Panic: IMAP(ann): x",
-        "dovecot: IMAP(ann): x",
+        "deliver(ann): msgid=<1@x>: discarded duplicate",
+        "dovecot: indexer-worker(ann)<7><x>: Indexed 5 messages in INBOX",
+        "dovecot: imap(ann)<7><x>: Logged out in=10 out=20",
+        "dovecot: IMAP(ann): Disconnected: Logged out",
+        "dovecot: pop3(ann): Error: x",
+        "dovecot: master: Error: service(imap): x",
         "dovecot: child 12 (imap) killed with signal 9",
-        "dovecot: indexer-worker(ann): Indexed 5 messages in INBOX",
-        "dovecot: indexer-worker(ann): Panic: x",
-        "dovecot: indexer: Error: Indexer worker disconnected, discarding 3 requests for ann",
+        "dovecot: master: Dovecot v2.3.20 (x) starting up for imap, lmtp",
+        "dovecot: something else",
     ],
     "asa": [
-        "%ASA-5-1: Group = x, Username = ann, IP = 1.1.1.1, IKE could not recognize the version of the client!  IPSec Fragmentation Policy will be ignored for this connection!",
-        "%ASA-4-106023: Deny inbound udp from 1.1.1.1/53 to 2.2.2.2/99 on interface x",
-        "%ASA-3-1: Attempted console login failed user 'ann' did NOT have appropriate Admin Rights.",
         "%ASA-5-111008: User 'ann' executed the 'show run' command",
         "%ASA-5-111010: User 'ann', running 'CLI' from IP 1.1.1.1, executed 'show run'",
-        "%ASA-6-302015: Built outbound UDP connection 5 for inside:1.1.1.1/53 (1.1.1.1/53) to outside:2.2.2.2/53 (2.2.2.2/42115)",
+        "%ASA-4-106023: Deny inbound udp from 1.1.1.1/53 to 2.2.2.2/99 on interface x",
+        "%ASA-4-106023: Deny tcp src outside:1.1.1.1/53 dst inside:2.2.2.2/99 by access-group x",
+        "%ASA-6-302015: Built outbound UDP connection 5 for outside:1.1.1.1/53 (1.1.1.1/53) to inside:2.2.2.2/53 (2.2.2.2/99)",
+        "%ASA-6-302014: Teardown TCP connection 5 for outside:1.1.1.1/53 to inside:2.2.2.2/53 duration 0:00:30 bytes 4711 TCP FINs",
+        "%ASA-4-605004: Login denied from 1.1.1.1/99 to inside:2.2.2.2/ssh for user \"ann\"",
+        "%ASA-6-113005: AAA user authentication Rejected : reason = Invalid password : server = 3.3.3.3 : user = ann",
+        "%ASA-6-605005: Login permitted from 1.1.1.1/99 to inside:2.2.2.2/ssh for user \"ann\"",
         "%ASA-6-1: connect from 1.1.1.1",
         "%ASA-6-1: 0123456789A: from=<a@x.org>, size=12, nrcpt=1",
+        "%ASA-7-609001: Built local-host inside:1.1.1.1",
     ],
     "barracuda": [
         "scan[7]: h1[1.1.1.1] 123-456 1 2 SCAN - a@x.org b@x.org - 2 17",
@@ -260,9 +247,7 @@ def test_rules_agree_with_python(spark, app):
         if first:
             assert row.fields == re.search(first.pattern, row.message).groupdict(), row.message
             reached.add(first.name)
-    alone = {r.name for r in rules if any(re.search(r.pattern, t) for t in texts)}
-    shadowed = {"forwarded_to", "imap_message", "pop3_auth_failure", "pop3_login_failure", "sieve_script_failed"}
-    assert {r.name for r in rules} - reached <= shadowed | ({r.name for r in rules} - alone)
+    assert reached == {r.name for r in rules}
 
 
 @pytest.mark.parametrize("fmt", BUILT_IN, ids=lambda f: f.name)

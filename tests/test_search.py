@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave import App, HeaderFormat, LogSearch, Patterns, Rule, TimeRange
-from logweave.operators import mapping, output, rules
+from logweave.operators import mapping, output, reports, rules
 from logweave.operators.headers import file_counts, known_lines, parse_headers
 from logweave.operators.reports import Item, Pick, Section, Where, counted_cells, report, table_entries
 from logweave.operators.scope import in_period, on_hosts, until_newer
@@ -39,14 +39,14 @@ def test_event_times(lines_of):
         "Foo  5 10:00:00 h a: no such month",
         "Jan 05 25:00:00 h a: no such hour",
         "2014-07-08T09:10:11.123456+02:00 h a - - offset is not applied",
-        "-09:10:11Z h a - - no date",
+        "-09:10:11Z h a - - half a time",
         "2014-13-08T09:10:11Z h a - - no such month",
     ]
     got = parse_headers(lines_of(texts, "2015-01-10 00:00:00")).orderBy("line_no").collect()
     assert [r.event_ts and r.event_ts.isoformat(" ") for r in got] == [
         "2015-01-05 10:00:00", "2014-12-31 23:59:59", None, None, None, "2014-07-08 09:10:11", None, None,
     ]
-    assert [r.format for r in got] == ["rfc3164"] * 4 + [None] + ["rfc5424"] * 3
+    assert [r.format for r in got] == ["rfc3164"] * 3 + [None, None, "rfc5424", None, None]
     later = parse_headers(lines_of(texts[1:2], "2015-06-10 00:00:00")).first()
     assert later.event_ts == dt.datetime(2015, 12, 31, 23, 59, 59)
     utc = parse_headers(lines_of(texts[5:6]), use_offset=True).first()
@@ -470,7 +470,7 @@ def test_counters_of_a_report(lines_of):
     from logweave.operators.reports import needed_fields
 
     needed = needed_fields(run.active_apps, [Section("login", "L")])
-    assert needed[("sshd", "login_password")] == {"host", "user", "client"}
+    assert needed[("sshd", "accepted")] == {"host", "user", "client", "method"}
     few = rules.rule_results(run.select(lines_of(texts)), needed).collect()
     assert sorted((r.host, r.events) for r in few) == [("h0", 10), ("h1", 10)]
     assert run.results(lines_of(texts)).count() == 40
@@ -485,7 +485,7 @@ def test_report_order_and_activity(spark, lines_of):
     run = LogSearch()
     rows = run.report(lines, [Section("command", "Commands"), Section("login", "Logins")]).orderBy("item_no", "row_no")
     assert [(r.subreport, r.title, r.app) for r in rows.collect()] == [
-        ("Commands", "Cron Commands", "crond"), ("Logins", "User Logins", "sshd"),
+        ("Commands", "Cron Commands", "crond"), ("Logins", "Logins of users", "sshd"),
     ]
     results = run.results(lines)
     active = {a.name: set() for a in shipped()} | {"crond": {"command"}}
@@ -493,3 +493,95 @@ def test_report_order_and_activity(spark, lines_of):
     assert [r.title for r in only.collect()] == ["Cron Commands"]
     with pytest.raises(ValueError):
         report(results, shipped(), [Section("none", "N")])
+
+
+# -- whole runs --------------------------------------------------------------
+
+
+def test_mapped_context_and_threads(lines_of):
+    """No value comes out as it was, in neighbours neither; lines without rule are withheld."""
+    texts = [
+        *log("sshd[7]", "Accepted password for bob from 10.0.0.2 port 1"),
+        *log("sshd[8]", "no rule knows bob here"),
+        *log("sshd[7]", "Failed password for ann from 10.0.0.3 port 1"),
+        *log("sshd[7]", "Connection closed by 10.0.0.2"),
+    ]
+    run = LogSearch(apps=(sshd.APP,), patterns=Patterns.of("Failed"), mask=True)
+    for shown in (run.context(lines_of(texts), around=3), run.threads_of(lines_of(texts)), run.select(lines_of(texts))):
+        rows = shown.collect()
+        assert rows and not any(w in str(r) for r in rows for w in ("bob", "ann", "10.0.0."))
+    raws = [r.raw for r in run.context(lines_of(texts), around=3).orderBy("line_no").collect()]
+    assert len(raws) == 4 and raws[1] is None
+    assert raws[2].endswith("Failed password for USER_0001 from CLIENT_0002 port 1")
+    with pytest.raises(ValueError, match="mapped"):
+        run.but(mode="unruled")
+
+
+def test_whole_statistics(lines_of):
+    lines = lines_of({"f": [*log("sshd[1]", "Connection closed by h", "x"), "junk"], "g": ["junk", "junk"], "h": log("cron", "y")})
+    run = LogSearch(apps=(sshd.APP,))
+    s = run.stats(lines).first()
+    assert (s.files, s.lines, s.matches, s.unknown) == (3, 6, 1, 3)
+    s = run.but(skip_unknown_files=True).stats(lines).first()
+    assert (s.files, s.lines, s.matches, s.unknown) == (3, 5, 1, 1)
+
+
+def test_a_limit_holds_for_all_results(lines_of):
+    closed = [f"Connection closed by h{i}" for i in range(4)]
+    lines = lines_of({"f": log("sshd[1]", *closed), "g": log("sshd[2]", closed[0]), "h": log("x", "y")})
+    run = LogSearch(apps=(sshd.APP,), max_count=2)
+    assert sorted((r.file, r.matches) for r in run.counts(lines).collect()) == [("f", 2), ("g", 1), ("h", 0)]
+    assert run.stats(lines).first().matches == 3
+    shown = run.context(lines, after=1).filter("file = 'f'").orderBy("line_no").collect()
+    assert [r.kind for r in shown] == ["match", "match", "context"]
+
+
+def test_selected_lines_without_thread_are_shown(lines_of):
+    lines = lines_of([*log("crond", "(root) CMD (x)"), *log("sshd[1]", "Connection closed by h"), *log("sshd[2]", "Connection closed by g")])
+    run = LogSearch(patterns=Patterns.of("CMD|by h"))
+    assert numbers(run.threads_of(lines)) == [("a.log", 1), ("a.log", 2)]
+
+
+def test_inactive_items_are_left_out(lines_of):
+    rules_ = (Rule("one", "a {user}"), Rule("two", "b {pid}"))
+    both = Item("s", "Both", "total", (Pick("one", ('"x"',)), Pick("two", ('"y"',))))
+    only = Item("s", "Only", "total", (Pick("one", ('"x"',)),))
+    app = App("t", "", ("t",), rules_, items=(both, only))
+    lines = lines_of([*log("t", "a bob"), *log("t", "b 7")])
+    sections = [Section("s", "S")]
+    assert sorted({r.title for r in LogSearch(apps=(app,)).report(lines, sections).collect()}) == ["Both", "Only"]
+    run = LogSearch(apps=(app,), filters=({"user": "b.*"},))
+    assert [r.title for r in run.report(lines, sections).collect()] == ["Only"]
+
+
+def test_a_line_feed_is_no_header(lines_of):
+    parsed = parse_headers(lines_of(["hello\nworld", "Jan  5 10:00:00 h a: x\ny", "Jan  5 10:00:00 h a: x"]))
+    rows = parsed.orderBy("line_no").collect()
+    assert [r.format for r in rows] == [None, None, "rfc3164"]
+    assert all(r.host is None and r.message is None and r.event_ts is None for r in rows[:2])
+
+
+def test_thousands_of_patterns(lines_of):
+    patterns = Patterns.of(*[f"word{i}x" for i in range(5000)])
+    found = lines_of(["a word4999x b", "word5000x", "word1 x"]).filter(patterns.selects())
+    assert [r.line_no for r in found.collect()] == [1]
+
+
+def test_names_of_repeated_keys(spark, lines_of):
+    parsed = rules.apply_rules(parse_headers(lines_of(log("sshd[1]", "Accepted password for bob from 10.0.0.2"))), [sshd.APP])
+    names = spark.createDataFrame([("10.0.0.2", "b"), ("10.0.0.2", "a"), (None, "c")], "address string, name string")
+    got = mapping.name_addresses(parsed, [sshd.APP], names).collect()
+    assert [r.fields["client"] for r in got] == ["a"]
+
+
+def test_long_cells_follow_each_other(spark, monkeypatch):
+    monkeypatch.setattr(reports, "CELL_ENTRIES", 3)
+    rows = [("t", "r", "h", {"u": "k", "e": f"e{i:02d}"}, 2 + i % 3) for i in range(8)] + [("t", "r", "h", {"u": "k", "e": f"s{i}"}, 1) for i in range(4)]
+    results = spark.createDataFrame(rows, "app string, rule string, host string, fields map<string,string>, events bigint")
+    item = Item("s", "T", "table", (Pick("r", ("u", "e")),), ("U", "E"))
+    app = App("t", "", ("t",), (Rule("r", "(?P<u>.)(?P<e>.)"),), items=(item,))
+    got = report(results, [app], [Section("s", "S")]).orderBy("row_no").collect()
+    assert [r.part for r in got] == [0, 1, 2]
+    entries = [e for r in got for e in r.cols[1].split(" [")[0].split(", ")]
+    assert entries == [f"e{i:02d}({2 + i % 3})" for i in sorted(range(8), key=lambda i: (-(i % 3), i))]
+    assert got[-1].cols[1].endswith(" [4 more skipped]")

@@ -170,7 +170,7 @@ def test_stream(spark, tmp_path):
         f"test-{uuid.uuid4().hex}",
     )
     run_.awaitTermination()
-    assert spark.read.json(str(tmp_path / "json")).select("user", "rule").collect() == [("eve", "login_password")]
+    assert spark.read.json(str(tmp_path / "json")).select("user", "rule").collect() == [("eve", "accepted")]
     assert [r.value for r in spark.read.text(str(tmp_path / "raw")).collect()] == [LOG[1]]
     assert list((tmp_path / "raw" / "run_date=2015-01-06").glob("*.gz"))
 
@@ -212,14 +212,14 @@ def test_csv_tables(spark, tmp_path, lines_of):
     from logweave.packs import sshd
 
     report = LogSearch(apps=(sshd.APP,)).report(lines_of(LOG * 2))
-    no = report.filter("title = 'User Logins'").first().item_no
-    item = next(i for i in sshd.APP.items if i.title == "User Logins")
+    no = report.filter("title = 'Logins of users'").first().item_no
+    item = next(i for i in sshd.APP.items if i.title == "Logins of users")
     (path,) = sinks.write_csv_tables(report, {no: item}, str(tmp_path / "csv"))
     texts = [r.value for r in spark.read.text(path).collect()]
     assert texts == [
         "Username|Service|Server::client",
-        "bob|sshd(pw)|gate::10.0.0.1(2)",
-        "eve|sshd(pw)|gate::10.0.0.2(2)",
+        "bob|password|gate::10.0.0.1(2)",
+        "eve|password|gate::10.0.0.2(2)",
     ]
 
 
