@@ -159,3 +159,28 @@ def run_statistics(spark, sf_dir):
 def print_lines_with_prefix(spark, sf_dir):
     shown = output.format_lines(_context(spark, sf_dir), with_filename=True, line_number=True)
     return shown.select(F.col("text"))
+
+
+_NOISY = "CASE WHEN event_id % 10 = 9 THEN 'noise ' || v ELSE " + views.stamped(views.SYSLOG_TEXT) + " END"
+_FOUND = "event_type = 'error' AND event_id % 10 <> 9"
+
+
+@query(
+    f"""WITH {views.EVENTS} SELECT count(DISTINCT file) AS files, count(*) AS lines,
+        count(*) FILTER (WHERE {_FOUND}) AS matches, count(*) FILTER (WHERE event_id % 10 = 9) AS unknown,
+        min(sec) FILTER (WHERE {_FOUND}) AS first_event, max(sec) FILTER (WHERE {_FOUND}) AS last_event FROM e"""
+)
+def search_statistics(spark, sf_dir):
+    """Of a whole run: lines read, unknown ones too, and what was selected."""
+    run = LogSearch(apps=apps.ALL, patterns=Patterns.of(r"error\["))
+    return run.stats(views.lines(spark, sf_dir, raw=_NOISY))
+
+
+@query(
+    f"""WITH {views.EVENTS} SELECT file, least(count(*) FILTER (WHERE event_type = 'error'), 3) AS matches
+    FROM e GROUP BY file"""
+)
+def max_count_counts(spark, sf_dir):
+    """Counts of a run that stops after three lines of each file."""
+    run = LogSearch(apps=apps.ALL, patterns=Patterns.of(r"error\["), max_count=3)
+    return run.counts(views.numbered(spark, sf_dir))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from logweave.operators.joins import stage
 from logweave.operators.reports import Item, item_headers
 
-Channel = Callable[[DataFrame], None]
+# Takes a result, or a micro-batch and its number.
+Channel = Callable[..., None]
 
 
 def write_all(df: DataFrame, channels: Iterable[Channel]) -> None:
@@ -32,17 +33,23 @@ def to_directory(
     """A channel that writes below ``path/run_date=YYYY-MM-DD``.
 
     ``fmt`` is ``text`` (the column ``text``), ``json`` or ``parquet``; ``gzip``
-    compresses text, which makes it an archive of raw lines.
+    compresses text, which makes it an archive of raw lines.  A micro-batch has a
+    folder of its own, ``batch=N`` of the day it is first sent, so that one that is
+    sent again replaces what it wrote; name the ``run_date`` if a stream may be
+    taken up on another day.
     """
 
-    def send(df: DataFrame) -> None:
+    def send(df: DataFrame, batch: int | None = None) -> None:
         day = (run_date or dt.date.today()).isoformat()
         if fmt == "text":
             df = df.select(F.col(text).alias("value"))
-        writer = df.withColumn("run_date", F.lit(day)).write.mode("append").partitionBy("run_date")
+        if batch is None:
+            writer, target = df.withColumn("run_date", F.lit(day)).write.mode("append").partitionBy("run_date"), path
+        else:
+            writer, target = df.write.mode("overwrite"), f"{path}/run_date={day}/batch={batch}"
         if gzip:
             writer = writer.option("compression", "gzip")
-        writer.format(fmt).save(path)
+        writer.format(fmt).save(target)
 
     return send
 
@@ -50,7 +57,7 @@ def to_directory(
 def to_console(n: int = 20) -> Channel:
     """Print the first ``n`` lines."""
 
-    def send(df: DataFrame) -> None:
+    def send(df: DataFrame, batch: int | None = None) -> None:
         df.show(n, truncate=False)
 
     return send

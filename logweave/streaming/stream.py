@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.joins import checkpoint_dir
+from logweave.operators.joins import checkpoint_dir, stage
 from logweave.sources.files import file_name
 
 
@@ -36,15 +36,19 @@ def require_batch(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} needs a batch, not a stream")
 
 
-def stream_to(df: DataFrame, channels: Iterable[Callable[[DataFrame], None]], name: str, **trigger):
-    """Send every micro-batch to all channels; progress is kept in the shared folder."""
+def stream_to(df: DataFrame, channels: Iterable[Callable[[DataFrame, int], None]], name: str, **trigger):
+    """Send every micro-batch, with its number, to all channels.
+
+    Progress, and a batch for several channels, are kept in the shared folder.  A
+    batch may be sent again after a failure; channels that write replace it then.
+    """
     channels = list(channels)
 
-    def send(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
+    def send(batch: DataFrame, number: int) -> None:
+        if len(channels) > 1:
+            batch = stage(batch)
         for channel in channels:
-            channel(batch)
-        batch.unpersist()
+            channel(batch, number)
 
     return (
         df.writeStream.foreachBatch(send)

@@ -172,7 +172,10 @@ def test_stream(spark, tmp_path):
     run_.awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).select("user", "rule").collect() == [("eve", "accepted")]
     assert [r.value for r in spark.read.text(str(tmp_path / "raw")).collect()] == [LOG[1]]
-    assert list((tmp_path / "raw" / "run_date=2015-01-06").glob("*.gz"))
+    assert list((tmp_path / "raw" / "run_date=2015-01-06" / "batch=0").glob("*.gz"))
+    again = sinks.to_directory(str(tmp_path / "raw"), "text", dt.date(2015, 1, 6), gzip=True)
+    again(spark.createDataFrame([(LOG[1],)], "raw string"), 0)  # a batch sent once more
+    assert [r.value for r in spark.read.text(str(tmp_path / "raw")).collect()] == [LOG[1]]
 
 
 @pytest.mark.parametrize(
