@@ -173,14 +173,14 @@ def file_counts(parsed: DataFrame, skip_unknown_files: bool = True) -> DataFrame
 
     A file of unknown format counts as one line read and none unknown.
     """
-    bad_first = (F.col("line_no") == 1) & F.col("format").isNull()
+    # only skipping needs line numbers
+    first = F.col("line_no") == 1 if skip_unknown_files else F.lit(False)
+    bad_first = first & F.col("format").isNull()
     counts = parsed.groupBy("file").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("format").isNull()).alias("unknown"),
         F.bool_or(bad_first).alias("skipped"),
     )
-    if not skip_unknown_files:
-        return counts.withColumn("skipped", F.lit(False))
     return counts.withColumn("lines", F.when(F.col("skipped"), 1).otherwise(F.col("lines"))).withColumn(
         "unknown", F.when(F.col("skipped"), 0).otherwise(F.col("unknown"))
     )
