@@ -24,7 +24,7 @@ from logweave.llm.bpe import byte_of_letter
 #: Windows a task keeps open; beyond, they are closed as at its end.
 OPEN_WINDOWS = 4096
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 
 Piece = tuple  # row number, start, ids
 
