@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm import language, packing, quality
 from logweave.llm.jaccard import jaccard_join
-from logweave.operators.joins import stage
+from logweave.operators.joins import join_checked, stage
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +28,20 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id.
+    """Of each group of near copies exactly one row: that with the smallest id, no id coming last.
 
-    Documents without words are in no group.  Rows that repeat an id are one document.
+    Rows are judged one by one, also if they repeat an id or a whole row; of one id's rows the one with the
+    smallest hash of all columns comes first.  Rows without words are in no group and all stay.
     """
-    others = jaccard_join(docs, size=5, percent=75).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    columns = [F.col(c) for c in docs.columns]
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*columns, *(c.isNull() for c in columns)))
+    # the number differs between equal rows and is read from the table from here on, never made again
+    rows = stage(docs.select(*columns, order.alias("_order"), F.monotonically_increasing_id().alias("_row")))
+    grouped = jaccard_join(rows, id="_row", size=5, percent=75).filter("n_shingles > 0").drop("n_shingles")
+    grouped = stage(grouped.join(rows.select("_row", "_order"), "_row"))
+    firsts = grouped.groupBy("component_id").agg(F.min(F.struct("_order", "_row"))["_row"].alias("_row"))
+    others = grouped.select("_row").join(firsts.select("_row"), "_row", "left_anti")
+    return join_checked(rows, others, ["_row"], "left_anti", hot_rows=None).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
