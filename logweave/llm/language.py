@@ -2,11 +2,12 @@
 
 A text is a vector of hashed byte n-grams of one to three bytes, square roots of counts times inverse
 document frequency, of length 1.  Each language has a few centroids from spherical k-means.  A text gets the
-language of the centroid with the largest cosine; it is rejected if that is less than the language's
-threshold, a part of what texts of the training sample reach.
+language of the centroid with the largest cosine; it is rejected if that is less than the centroid's
+threshold for texts with about as many distinct n-grams.
 
-Training takes at most about ``MAX_ROWS`` texts of each language, chosen by a hash of the id; what it
-gives has ``CENTROIDS * 2 ** BITS`` numbers per language.
+Centroids come from at most about ``MAX_ROWS`` texts of each language, chosen by a hash of the id, and have
+``CENTROIDS * 2 ** BITS`` numbers per language.  Thresholds come from all texts to learn from: counts of
+their cosines, at most ``CENTROIDS * CLASSES * BINS`` numbers per language.
 """
 
 from __future__ import annotations
@@ -23,15 +24,20 @@ from pyspark.sql import functions as F
 
 from logweave.llm import text as T
 
-BITS = 12
+#: A text of m distinct n-grams in random buckets has a cosine of about sqrt(m / 2 ** BITS) to dense centroids.
+BITS = 14
 CENTROIDS = 3
 #: Texts of a language that training uses, about.
 MAX_ROWS = 1500
 ROUNDS = 8
-#: A text is rejected below this part of what the least hundredth of the sample reaches.
-REJECT_PART = 0.15
+#: A text is rejected below what all but this share of a centroid's members reach, less a tenth for texts unseen.
+REJECT_SHARE, REJECT_PART = 0.001, 0.9
+#: Members a share is taken of, at least; with fewer, those of the language count, then of all languages.
+LEAST_MEMBERS = 1000
+#: Thresholds are apart for 2, 4, 8... distinct n-grams; cosines are counted in so many bins.
+CLASSES, BINS = BITS + 1, 250
 #: Texts whose vectors are made together.
-TEXTS = 256
+TEXTS = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters in lower case, bytes beyond ASCII as they are, all else a space.
@@ -43,7 +49,7 @@ _PLAIN = np.array(
 @dataclass
 class Model:
     languages: list[str]
-    #: Of each centroid: language, vector, threshold.
+    #: Of each centroid: language, vector, threshold of each class.
     owner: np.ndarray
     centroids: np.ndarray
     least: np.ndarray
@@ -78,8 +84,17 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
+def weighted(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return unit(np.sqrt(found.astype(np.float32)) * idf)
+
+
 def vectors(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
-    return unit(np.sqrt(counts(texts).astype(np.float32)) * idf)
+    return weighted(counts(texts), idf)
+
+
+def classes(found: np.ndarray) -> np.ndarray:
+    """Class of each row of n-gram counts: the logarithm of how many it has."""
+    return np.log2(np.maximum((found > 0).sum(axis=1), 1)).astype(np.int64)
 
 
 def cluster(rows: np.ndarray, count: int) -> np.ndarray:
@@ -89,8 +104,9 @@ def cluster(rows: np.ndarray, count: int) -> np.ndarray:
     centres = rows[order[((np.arange(count) + 0.5) / count * len(rows)).astype(int)]]
     for _ in range(ROUNDS):
         nearest = np.argmax(rows @ centres.T, axis=1)
-        members = [rows[nearest == k] for k in range(len(centres))]
-        centres = unit(np.array([m.mean(axis=0) for m in members if len(m) and len(m) >= len(rows) / 100]))
+        members = np.arange(len(centres))[:, None] == nearest
+        size = members.sum(axis=1)
+        centres = unit((members.astype(np.float32) @ rows)[(size > 0) & (size >= len(rows) / 100)])
     return centres.astype(np.float32)
 
 
@@ -101,6 +117,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     place = F.pmod(F.xxhash64(F.lit(11), id), F.lit(1 << 30))
     known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
     known = known.join(F.broadcast(sizes), "lang")  # a row per language
+    every = known.select("lang", "text")
     known = known.filter(F.col("place").cast("double") * F.col("count") < float(max_rows << 30)).select("lang", "place", "text")
 
     def seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +141,68 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
         texts = pa.array(rows["text"], pa.string())
         found = np.concatenate([vectors(texts[i : i + TEXTS], idf) for i in range(0, len(texts), TEXTS)])
         centres = cluster(found, CENTROIDS)
-        least = float(np.quantile((found @ centres.T).max(axis=1), 0.01)) * REJECT_PART
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "least": least})
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centres]})
 
-    rows = known.groupBy("lang").applyInPandas(clustered, "lang string, centre binary, least double").collect()
+    rows = known.groupBy("lang").applyInPandas(clustered, "lang string, centre binary").collect()
     rows.sort(key=lambda r: (r.lang, r.centre))
     languages = sorted({r.lang for r in rows})
-    return Model(
+    model = Model(
         languages,
         np.array([languages.index(r.lang) for r in rows], np.int64),
         np.array([np.frombuffer(r.centre, np.float32) for r in rows], np.float32).reshape(-1, 1 << BITS),
-        np.array([r.least for r in rows]),
+        np.zeros((len(rows), CLASSES)),
         idf,
     )
+    if rows:
+        model.least = thresholds(reached(every, model), model.owner)
+    return model
+
+
+def reached(known: DataFrame, model: Model) -> np.ndarray:
+    """How many texts have which cosine, by centroid and class; texts whose nearest centroid is of another
+    language or that have no letter do not count."""
+    shape = (len(model.owner), CLASSES, BINS)
+    shared = known.sparkSession.sparkContext.broadcast(model)
+
+    def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = shared.value, np.zeros(shape, np.int64)
+        own = np.array(model.languages, object)
+        for batch in rows:
+            for part in _parts(batch, "text"):
+                found = counts(part.column("text"))
+                cosines = weighted(found, model.idf) @ model.centroids.T
+                best, value = cosines.argmax(axis=1), cosines.max(axis=1)
+                ok = (own[model.owner[best]] == np.array(part.column("lang").to_pylist(), object)) & lettered(part.column("text"))
+                bins = np.clip((value * BINS).astype(np.int64), 0, BINS - 1)
+                np.add.at(total, (best[ok], classes(found)[ok], bins[ok]), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["place", "n"])
+
+    found = known.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(shape, np.int64)
+    for row in found.collect():
+        out.flat[row.place] = row.n
+    return out
+
+
+def thresholds(found: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Least cosine by centroid and class.
+
+    A class without members of any language takes the next smaller class's threshold, which is lower as a rule,
+    or else what the next larger one's comes to when cosines shrink with the root of the number of n-grams.
+    """
+    out = np.full(found.shape[:2], np.nan)
+    for c, k in np.ndindex(out.shape):
+        pools = found[c, k], found[owner == owner[c], k].sum(axis=0), found[:, k].sum(axis=0)
+        pool = next((p for p in pools if p.sum() >= LEAST_MEMBERS), pools[-1])
+        if pool.any():
+            below = np.cumsum(pool)
+            out[c, k] = np.searchsorted(below, REJECT_SHARE * below[-1], "right") / BINS * REJECT_PART
+    some = np.flatnonzero(~np.isnan(out).any(axis=0))
+    for k in range(out.shape[1]) if len(some) else ():
+        smaller = some[some <= k]
+        out[:, k] = out[:, smaller[-1]] if len(smaller) else out[:, some[0]] * 2.0 ** ((k - some[0]) / 2)
+    return np.nan_to_num(out)
 
 
 def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
@@ -145,16 +211,21 @@ def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
             yield part.slice(i, TEXTS)
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    return np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+
+
 def nearest(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine, and whether the text is rejected."""
-    letters = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
+    letters = lettered(texts)
     if not len(model.owner):
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    cosines = vectors(texts, model.idf) @ model.centroids.T
+    found = counts(texts)
+    cosines = weighted(found, model.idf) @ model.centroids.T
     best = cosines.argmax(axis=1)
     value = np.clip(np.where(letters, cosines[np.arange(len(best)), best], 0.0), 0.0, 1.0).astype(np.float64)
     languages = [model.languages[model.owner[b]] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-    return languages, value, ~letters | (value < model.least[best])
+    return languages, value, ~letters | (value < model.least[best, classes(found)])
 
 
 NAMES = ("lang_pred", "score", "rejected")
