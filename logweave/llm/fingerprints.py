@@ -1,7 +1,8 @@
 """Context-triggered piecewise hashing.
 
 A rolling hash over the last seven bytes cuts a text into pieces; each piece gives one character of a
-signature.  The block size, three times a power of two, grows with the length, and a text has a signature
+signature; of pieces that repeat in a row, singly or as a sequence, the first count.  The block size, three times a power of two, grows with the
+length and is halved until the signature has at least half of ``LENGTH`` characters.  A text has a signature
 for its block size and one for twice that, so texts up to twice as long can still be compared.  Likeness is
 one minus the edit distance of two signatures of the same block size over the longer one's length, the
 best of those sizes they share.
@@ -53,18 +54,37 @@ def fingerprint(data: bytes) -> str:
     if not len(raw):
         return f"{block}::"
     h, sums = rolling(raw), T.prefix_sums(raw)
-    return f"{block}:{_signature(h, sums, block)}:{_signature(h, sums, 2 * block)}"
+    double, own = _signature(h, sums, 2 * block), _signature(h, sums, block)
+    while block > LEAST_BLOCK and len(own) < LENGTH // 2:
+        block //= 2
+        double, own = own, _signature(h, sums, block)
+    return f"{block}:{own}:{double}"
 
 
 def _signature(h: np.ndarray, sums, block: int) -> str:
-    cuts = np.flatnonzero(h % np.uint32(block) == block - 1) + 1
-    if len(cuts) >= LENGTH:
-        cuts = cuts[: LENGTH - 1]  # the last piece takes the rest of the text
-    bounds = np.unique(np.r_[0, cuts, len(h)])
+    bounds = np.unique(np.r_[0, np.flatnonzero(h % np.uint32(block) == block - 1) + 1, len(h)])
     pieces = T.hashes_between(sums, bounds[:-1], bounds[1:])
+    fresh = first_of_runs(pieces)
+    pieces = pieces[fresh]
+    if len(pieces) > LENGTH:  # the last piece takes the rest of the text
+        begin = bounds[:-1][fresh][LENGTH - 1 : LENGTH]
+        pieces = np.r_[pieces[: LENGTH - 1], T.hashes_between(sums, begin, np.array([len(h)]))]
     return _ALPHABET[(pieces >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
+def first_of_runs(pieces: np.ndarray) -> np.ndarray:
+    """Which pieces are not part of a repetition, as a whole, of up to ``LENGTH`` pieces right before it."""
+    fresh = np.ones(len(pieces), bool)
+    if len(np.unique(pieces)) == len(pieces):
+        return fresh
+    for period in range(1, min(LENGTH, len(pieces) // 2) + 1):
+        same = np.flatnonzero(np.diff(np.r_[False, pieces[period:] == pieces[:-period], False]))
+        for begin, end in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
+            if end - begin >= period:
+                fresh[period + begin : period + end] = False
+    return fresh
+
+
 def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Edit distance of each pair of signatures, by bit vectors over all pairs at once."""
     n = len(pairs)
