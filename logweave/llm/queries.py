@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, chat, fingerprints, fixity, language, licenses, neighbours, packing, quality
+from logweave.llm import bpe, chat, fingerprints, fixity, language, lexical, licenses, neighbours, packing, quality, sentencepieces
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,42 @@ def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
+@query()
+def op12_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepieces.digests(sentencepieces.encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@query(
+    r"""
+    WITH found AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents
+    ),
+    docs AS (SELECT row_number() OVER () AS d, doc_id, terms, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+    total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM docs),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ),
+    counts AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY d, term),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM counts, total GROUP BY term
+    ),
+    scored AS (
+        SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN docs USING (d), total
+        GROUP BY item_id, d, doc_id
+    )
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0
+    QUALIFY rank <= 50
+    """
+)
+def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
