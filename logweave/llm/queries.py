@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import bpe, chat, fingerprints, fixity, language, lexical, licenses, neighbours, packing, quality, sentencepieces
+from logweave.llm import bpe, chat, fingerprints, fixity, language, lexical, licenses, neighbours, packing, quality, sentencepieces, whitening
 from logweave.llm.jaccard import jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,12 @@ def op4_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
 
 
+@query()
+def op11_blockmatrix_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @query()
 def op12_sentencepiece_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
