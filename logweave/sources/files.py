@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logweave.functions.globs import glob_to_java, matches_any
+from logweave.functions.globs import matches_any
 from logweave.functions.timespec import Period, expand_paths, last_period
 from logweave.operators.joins import join_checked, stage
+from logweave.sources.selection import Selection, plain_name
 
 # Blocks whose line counts are broadcast, at some 150 bytes each.
 BROADCAST_BLOCKS = 2_000_000
@@ -54,59 +54,15 @@ def read_globs(spark: SparkSession, path: str) -> list[str]:
     return [r.value for r in spark.read.text(path).filter("value != ''").toLocalIterator()]
 
 
-def distinct_globs(paths: Iterable[str]) -> list[str]:
-    """Paths without those that another one covers, so no file is read twice."""
-    paths = list(dict.fromkeys(paths))
-    globs = {p: re.compile(glob_to_java(p).replace(r"\z", r"\Z")) for p in paths if any(c in p for c in "*?[")}
-
-    def covered(path: str) -> bool:
-        # of two globs that cover each other the first in order stays; plain paths cover nothing else
-        return any(
-            g.match(path) and not (path in globs and globs[path].match(p) and p > path) for p, g in globs.items() if p != path
-        )
-
-    return [p for p in paths if not covered(p)]
-
-
-def find_files(spark: SparkSession, paths: str | Iterable[str]) -> tuple[list[str], list[str]]:
-    """Existing paths and globs, and those that match nothing."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found, missing = [], []
-    for path in distinct_globs(paths):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        hits = p.getFileSystem(conf).globStatus(p)
-        (found if hits is not None and len(hits) else missing).append(path)
-    return found, missing
-
-
-def _unique_paths(spark: SparkSession, paths: str | Iterable[str], recursive: bool) -> list[str]:
-    """Paths that cover every file once.
-
-    Spark reads a file again for each glob that matches it, so several globs are
-    resolved first.  The driver lists all files for the scan in any case.
-    """
-    paths = distinct_globs([paths] if isinstance(paths, str) else paths)
-    if len(paths) == 1:
-        return paths
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    found: dict[str, None] = {}
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        statuses = p.getFileSystem(conf).globStatus(p)
-        for status in statuses if statuses is not None else ():
-            found[status.getPath().toString()] = None
-    kept = []
-    for path in found:
-        above = [path[:i] for i, ch in enumerate(path) if ch == "/"]
-        if not any(a in found for a in (above if recursive else above[-1:])):
-            kept.append(re.sub(r"([\\{}\[\]*?])", r"\\\1", path))
-    return kept or paths
+def find_files(spark: SparkSession, paths: str | Iterable[str], recursive: bool = False) -> tuple[list[str], list[str]]:
+    """Paths and globs that mean some file, and those that mean none (S9); every path is judged by itself."""
+    selection = Selection(spark, paths, recursive)
+    return selection.found, selection.missing
 
 
 def scan_files(
     spark: SparkSession,
-    paths: str | Iterable[str],
+    paths: str | Iterable[str] | Selection,
     recursive: bool = False,
     include: Iterable[str] = (),
     exclude: Iterable[str] = (),
@@ -115,14 +71,22 @@ def scan_files(
 ) -> DataFrame:
     """Bytes of every line with its file, without line numbers.
 
-    Conditions on the name and on the modification time are conditions on file
-    metadata, so Spark drops the files when it plans the scan.
+    Of several paths each file is read once, however many of them mean it; paths that
+    mean none are passed over, unless all do.  Conditions on the name and on the
+    modification time are conditions on file metadata, so Spark drops the files when
+    it plans the scan.
     """
+    if not isinstance(paths, Selection):
+        paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
+        if len(paths) > 1:  # alone, a path means no file twice
+            paths = Selection(spark, paths, recursive)
+    if isinstance(paths, Selection):
+        paths, recursive = paths.to_read() or paths.paths, True
     _pin_splits(spark)
     reader = spark.read.option("lineSep", "\n")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    df = reader.text(_unique_paths(spark, paths, recursive))
+    df = reader.text(paths)
     path = F.col("_metadata.file_path")
     mtime = F.col("_metadata.file_modification_time")
     if include or exclude or exclude_dir:
@@ -173,7 +137,7 @@ def _pin_splits(spark: SparkSession) -> None:
 
 def read_lines(
     spark: SparkSession,
-    paths: str | Iterable[str],
+    paths: str | Iterable[str] | Selection,
     recursive: bool = False,
     include: Iterable[str] = (),
     exclude: Iterable[str] = (),
@@ -239,36 +203,19 @@ def read_apps(
     and hosts.
     """
     period = last_period("day") if period is None else period
-    start = period[0]
-    if start is not None:
-        options.setdefault("modified_after", start)
-    existing: dict[str, list[str] | None] = {}  # path -> files below it
-    named: dict[str, dict[str, None]] = {}  # file -> apps
-    missing: dict[str, None] = {}
-    for app in sorted(apps, key=lambda a: (a.priority, a.name)):
+    if period[0] is not None:
+        options.setdefault("modified_after", period[0])
+    named: dict[str, list[tuple[int, str]]] = {}  # path -> apps
+    for place, app in enumerate(sorted(apps, key=lambda a: (a.priority, a.name))):
         templates = [f.replace("${logdir}", logdir.rstrip("/")) for f in app.files]
         for row in expand_paths(spark, templates, period, list(hosts)).orderBy("path").toLocalIterator():
-            if row.path not in existing:
-                existing[row.path] = _files_at(spark, row.path)
-            for file in existing[row.path] or ():
-                named.setdefault(file, {})[app.name] = None
-            if not existing[row.path]:
-                missing[row.path] = None
-    if not named:
+            named.setdefault(row.path, []).append((place, app.name))
+    selection = Selection(spark, named, options.pop("recursive", False))
+    if not selection.globs or len(selection.missing) == len(named):
         raise ValueError("no file of the selected apps exists in the period")
-    found = distinct_globs(p for p, files in existing.items() if files)
-    # one row per file; the driver lists the files for the scan in any case
-    table = spark.createDataFrame([(f, list(a)) for f, a in named.items()], "file string, source_apps array<string>")
-    lines = join_checked(read_lines(spark, found, **options), table, ["file"], "left", staged=False, rows=len(named))
-    return lines.withColumn("source_app", F.get("source_apps", F.lit(0))), list(missing)
-
-
-def _files_at(spark: SparkSession, path: str) -> list[str]:
-    """Plain names of the files that a path or glob matches, those directly in matched folders too."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = []
-    for status in fs.globStatus(p) or ():
-        inside = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
-        out += [re.sub(r"\Afile:/+", "/", s.getPath().toString()) for s in inside if s.isFile()]
-    return out
+    rows = [(k, place, name) for k, path in enumerate(selection.paths) for place, name in named[path]]
+    asked = F.broadcast(spark.createDataFrame(rows, "given int, place int, app string"))
+    of_file = selection.matches.join(asked, "given").groupBy(plain_name(F.col("path")).alias("file"))
+    table = of_file.agg(F.array_sort(F.collect_set(F.struct("place", "app")))["app"].alias("source_apps"))
+    lines = join_checked(read_lines(spark, selection, **options), table, ["file"], "left")
+    return lines.withColumn("source_app", F.get("source_apps", F.lit(0))), selection.missing

@@ -13,7 +13,7 @@ from logweave.functions.timespec import date_period
 from logweave.operators import output
 from logweave.operators.rules import App, Rule
 from logweave.sources import sinks
-from logweave.sources.files import distinct_globs, file_included, find_files, read_globs
+from logweave.sources.files import file_included, find_files, read_globs
 from logweave.streaming import read_line_stream, stream_to
 
 
@@ -89,11 +89,6 @@ def test_selection(spark, tmp_path):
     assert find_files(spark, [f"{root}/a.log", f"{root}/none*"]) == ([f"{root}/a.log"], [f"{root}/none*"])
 
 
-def test_distinct_globs():
-    assert distinct_globs(["a*", "ab", "a*", "b?", "bc", "c"]) == ["a*", "b?", "c"]
-    assert len(distinct_globs(["a*", "a**"])) == 1
-
-
 def test_pruned_files_are_not_planned(spark, tmp_path):
     """Conditions on names and times are evaluated when files are listed."""
     from logweave.sources.files import scan_files
