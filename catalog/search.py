@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from catalog import views
 from catalog.registry import query
 from logweave.operators.joins import checkpoint_dir
+from logweave.operators.patternindex import PatternTable
 from logweave.operators.search import Patterns, read_patterns, select_lines
 
 _LINE = "file, CAST(line_no AS BIGINT) AS line_no"
@@ -60,6 +61,20 @@ def search_pattern_file(spark, sf_dir):
     return select_lines(views.corpus(spark, sf_dir), patterns).select("file", "line_no")
 
 
+@query(
+    f"""WITH {views.CORPUS}, words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\\pL\\pN_]+')) AS word FROM benchmark)
+    SELECT DISTINCT {_LINE}
+    FROM (SELECT file, line_no, unnest(regexp_extract_all(raw, '[\\pL\\pN_]+')) AS word FROM c) JOIN words USING (word)
+    WHERE length(word) > 5"""
+)
+def search_pattern_table(spark, sf_dir):
+    """Whole words from a table of patterns that stays a table."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\pL\pN_]+"), F.lit(0))).alias("pattern"))
+    table = PatternTable(words.filter(F.length("pattern") > 5), word=True)
+    return select_lines(views.corpus(spark, sf_dir), table).select("file", "line_no")
+
+
 @query(
     f"""WITH {views.CORPUS} SELECT {_LINE},
         CASE WHEN regexp_matches(raw, 'th[a-z]+') THEN regexp_extract(raw, 'th[a-z]+')

@@ -303,6 +303,71 @@ def _required_text(nodes) -> str:
     return best
 
 
+#: Capitals as small letters; and the letters beyond ASCII that equal an ASCII letter when case is ignored.
+FOLDED = {chr(c): chr(c + 32) for c in range(65, 91)} | {"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"}
+
+
+def required_texts(pattern: str, ignore_case: bool = False, least: int = 3) -> list[str] | None:
+    """Texts of ``least`` letters or more of which every match holds one; None if there are none such.
+
+    With ``ignore_case`` they are in ASCII, written as ``FOLDED`` has it, and so must be the text searched.
+    """
+    tree = rp.parse(pattern, re.IGNORECASE if ignore_case else 0)
+    if not ignore_case and tree.state.flags & re.IGNORECASE:
+        return None
+
+    def indexed(text: str) -> str:
+        if not ignore_case:
+            return text
+        folded = "".join(FOLDED.get(c, c) for c in text)
+        return max(re.split(r"[^\x00-\x7f]+", folded), key=len)
+
+    def best(found: list[list[str]]) -> list[str] | None:
+        found = [texts for texts in (sorted({indexed(t) for t in texts}) for texts in found) if min(map(len, texts)) >= least]
+        return max(found, key=lambda texts: (min(map(len, texts)), -len(texts)), default=None)
+
+    def of(nodes) -> list[str] | None:
+        found, run = [], ""
+        nodes = list(_flat(nodes))
+        for op, arg in nodes:
+            if op is rc.LITERAL:
+                run += chr(arg)
+                continue
+            inner = None
+            if op is rc.BRANCH:
+                found.append([run + _leading(branch) for branch in arg[1]])
+                each = [of(branch) for branch in arg[1]]
+                inner = [t for texts in each for t in texts] if all(each) else None
+            elif op in (rc.MAX_REPEAT, rc.MIN_REPEAT, _POSSESSIVE) and arg[0] > 0:
+                inner = of(arg[2])
+            elif op is _ATOMIC:
+                inner = of(arg)
+            found += [[run], *([inner] if inner else [])]
+            run = ""
+        return best([*found, [run]])
+
+    return of(tree)
+
+
+def _flat(nodes):
+    """Nodes with those of groups that change no flag in their place."""
+    for op, arg in nodes:
+        if op is rc.SUBPATTERN and not (arg[1] | arg[2]):
+            yield from _flat(arg[3])
+        else:
+            yield op, arg
+
+
+def _leading(nodes) -> str:
+    """The text that all matches begin with."""
+    out = ""
+    for op, arg in _flat(nodes):
+        if op is not rc.LITERAL:
+            break
+        out += chr(arg)
+    return out
+
+
 @lru_cache(maxsize=4096)
 def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False) -> JavaRegex:
     """Translate a Python pattern.

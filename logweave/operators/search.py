@@ -78,7 +78,7 @@ def read_patterns(spark: SparkSession, paths: str | list[str]) -> list[str]:
     """Patterns of pattern files, one per line, in the given order without duplicates.
 
     A pattern list is part of the query, like the rule packs, so it is read on the
-    driver.  A blank line is an empty pattern, which hits every line.
+    driver; ``patternindex`` takes lists of any size as tables.  A blank line is an empty pattern, which hits every line.
     """
     found: dict[str, None] = {}
     for path in [paths] if isinstance(paths, str) else paths:
@@ -88,5 +88,6 @@ def read_patterns(spark: SparkSession, paths: str | list[str]) -> list[str]:
     return list(found)
 
 
-def select_lines(lines: DataFrame, patterns: Patterns) -> DataFrame:
-    return lines.filter(patterns.selects())
+def select_lines(lines: DataFrame, patterns) -> DataFrame:
+    """The lines that ``patterns`` hit: a list, or a table of them (``PatternTable``)."""
+    return lines.filter(patterns.selects()) if isinstance(patterns, Patterns) else patterns.select(lines)

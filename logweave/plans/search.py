@@ -23,6 +23,7 @@ from logweave.operators.headers import (
 )
 from logweave.operators.joins import join_checked
 from logweave.operators.mapping import map_fields, rewrite_raw
+from logweave.operators.patternindex import PatternTable
 from logweave.operators.rules import (
     App,
     app_counters,
@@ -45,6 +46,7 @@ from logweave.streaming.stream import require_batch
 class LogSearch:
     """What to look for in log lines.
 
+    ``patterns`` are a list, or a table if they are many.
     ``mode`` is ``ruled`` (a rule must match), ``unparsed`` (no rule may match) or
     ``unruled`` (only the tag must belong to an app).  ``filters`` are groups of
     field patterns: all of a group, any of the groups.  With ``repeats`` the lines
@@ -57,7 +59,7 @@ class LogSearch:
     text is withheld.  A mode without rules cannot be mapped.
     """
 
-    patterns: Patterns = Patterns()
+    patterns: Patterns | PatternTable = Patterns()
     period: Period = (None, None)
     time_range: TimeRange | None = None
     hosts: tuple[str, ...] = ()
@@ -127,13 +129,26 @@ class LogSearch:
             events = in_time_range(events, self.time_range, self.wrap)
         return on_hosts(events, list(self.hosts))
 
+    def _flag_hits(self, scope: DataFrame) -> DataFrame:
+        if isinstance(self.patterns, PatternTable):
+            require_batch(scope, "a table of patterns")
+            return self.patterns.flag(scope)
+        return compute_once(scope, "hit", self.patterns.selects())
+
+    def hits(self, lines: DataFrame) -> DataFrame:
+        """Lines in scope that the patterns hit."""
+        scope = self.in_scope(lines)
+        if isinstance(self.patterns, PatternTable):
+            return self._flag_hits(scope).filter("hit").drop("hit")
+        return scope.filter(self.patterns.selects())
+
     def flagged(self, lines: DataFrame) -> DataFrame:
         """Lines in scope with ``hit`` (by the patterns), ``selected``, ``app`` and the rule columns.
 
         Rules run only on lines that the patterns hit, unless threads are wanted or
         lines are mapped.
         """
-        scope = compute_once(self.in_scope(lines), "hit", self.patterns.selects())
+        scope = self._flag_hits(self.in_scope(lines))
         if self.mode == "unruled":
             found = route(scope, self.active_apps)
         elif self.threads or self.mapped:
@@ -168,7 +183,7 @@ class LogSearch:
 
     def select(self, lines: DataFrame) -> DataFrame:
         """The selected lines, mapped if a mapping is asked for."""
-        scope = self.in_scope(lines).filter(self.patterns.selects())
+        scope = self.hits(lines)
         if self.mode == "unruled":
             found = route(scope, self.active_apps).filter("app is not null")
         else:
@@ -226,11 +241,11 @@ class LogSearch:
         )
 
     def app_counters(self, lines: DataFrame) -> DataFrame:
-        scope = self.in_scope(lines).filter(self.patterns.selects())
+        scope = self.hits(lines)
         return app_counters(apply_rules(scope, self.active_apps, self.filters))
 
     def extra_tags(self, lines: DataFrame) -> DataFrame:
-        return extra_tags(self.in_scope(lines).filter(self.patterns.selects()), self.active_apps)
+        return extra_tags(self.hits(lines), self.active_apps)
 
     def results(self, lines: DataFrame) -> DataFrame:
         """Events per rule, host and fields."""
