@@ -17,7 +17,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +26,10 @@ from logweave.llm import text as T
 from logweave.llm.bpe import id_arrays
 
 #: Stretches whose ids a worker keeps, and the longest of them in characters.
-KEPT_STRETCHES, KEPT_LENGTH = 400_000, 64
-#: Characters of a text that are cut into stretches at once.
-CUT_CHARS = 1 << 20
-#: Symbols up to which the agenda of a stretch is an array; beyond, it is a heap.  Both give the same.
-ARRAY_LENGTH = 40
-_NEVER = 1 << 40
+KEPT_STRETCHES, KEPT_LENGTH = 800_000, 64
+#: Symbols of stretches that are worked off together, as rows of a matrix; those of more have a heap each, which
+#: gives the same.
+ROW_LENGTHS = (1, 6, 8, 10, 12, 16, 24, 40)
 #: The letter that vocabularies write a space with.
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6  # kinds of pieces in a model file
@@ -41,7 +38,7 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6  # kinds of pieces in a model fi
 class Encoder(dict):
     """Encodes and decodes with a model file, given as its bytes.
 
-    A mapping from stretches (with plain spaces) to their ids, filled as stretches come.
+    A mapping from stretches (with plain spaces) to the bytes of their ids, filled as stretches come.
     """
 
     def __init__(self, model: bytes):
@@ -61,6 +58,7 @@ class Encoder(dict):
         longer = [p for p in spec.pieces if p.type == _NORMAL and len(p.piece) > 1]
         places = {score: k for k, score in enumerate(sorted({p.score for p in longer}, reverse=True))}
         self.order = {p.piece: places[p.score] for p in longer}
+        self._number(len(spec.pieces))
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == _BYTE}
         self.special = {i for i, p in enumerate(spec.pieces) if p.type in (_UNKNOWN, _CONTROL)}
         self.bytes_of = [b"" if i in self.special else bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.replace(SPACE, " ").encode() for i, p in enumerate(spec.pieces)]
@@ -69,7 +67,22 @@ class Encoder(dict):
         #: Neighbours in some piece; all other neighbours are in different stretches.
         self.inside = {piece[k : k + 2] for piece in self.order for k in range(len(piece) - 1)}
         self.cut = re.compile(self._pattern())
-        self.differing: dict[str, tuple[int, ...]] = {}
+        self.differing: dict[str, bytes] = {}
+
+    def _number(self, count: int) -> None:
+        """Numbers of symbols: ids of pieces, ``pad``, then letters that are part of pieces only; and all pairs that make a piece."""
+        self.pad = count
+        number = dict(self.ids)
+        for letter in sorted({c for piece in self.order for c in piece} - number.keys()):
+            number[letter] = count + 1 + len(number) - len(self.ids)
+        self.symbols = count + 2 + len(number) - len(self.ids)
+        self.letters = np.full(0x110000, -1, np.int64)
+        for symbol, k in number.items():
+            if len(symbol) == 1:
+                self.letters[ord(symbol)] = k
+        made = sorted((number[piece[:k]] * self.symbols + number[piece[k:]], place, self.ids[piece]) for piece, place in self.order.items() for k in range(1, len(piece)) if piece[:k] in number and piece[k:] in number)
+        never = (np.iinfo(np.int64).max, np.iinfo(np.int64).max, 0)
+        self.pair_keys, self.place_of, self.made_of = (np.array(x, np.int64) for x in zip(*made, never, strict=True))
 
     def _pattern(self) -> str:
         """Stretches that a regular expression finds: cuts before spaces and around line feeds, where allowed."""
@@ -84,10 +97,9 @@ class Encoder(dict):
         if not text:
             return []
         text = " " + text.replace(SPACE, " ")
-        if len(text) <= CUT_CHARS:
-            found = self.cut.findall(text)
-        else:
-            found = [m.group() for m in self.cut.finditer(text)]
+        found = self.cut.findall(text)
+        if max(map(len, found)) <= KEPT_LENGTH:
+            return found
         return [part for long in found for part in (self.cuts(long) if len(long) > KEPT_LENGTH else (long,))]
 
     def cuts(self, stretch: str) -> list[str]:
@@ -96,30 +108,70 @@ class Encoder(dict):
         at = [0, *(k for k in range(1, len(own)) if own[k - 1 : k + 1] not in self.inside), len(own)]
         return [stretch[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def merged(self, stretch: str) -> list[str]:
-        """The symbols of a stretch when the agenda is empty; spaces are written as in the vocabulary."""
-        return self._by_array(stretch) if len(stretch) <= ARRAY_LENGTH else self._by_heap(stretch)
+    def merge_all(self, stretches: list[str]) -> None:
+        """Put the ids of new stretches into the mapping.
+
+        Short ones of known letters are worked off together: each is a row of a matrix, the agenda of a row
+        are the places of its pairs, and a step merges the best pair of every row that has one.
+        """
+        sizes = np.array([len(s) for s in stretches], np.int64)
+        code = np.frombuffer("".join(stretches).replace(" ", SPACE).encode("utf-32-le"), np.uint32)
+        letters, end = self.letters[code], np.cumsum(sizes)
+        known = np.add.reduceat(letters < 0, end - sizes) == 0 if len(stretches) else np.empty(0, bool)
+        least = 0
+        for width in ROW_LENGTHS:
+            rows = np.flatnonzero(known & (sizes > least) & (sizes <= width))
+            least = width
+            if len(rows):
+                at = (end - sizes)[rows, None] + np.arange(width)
+                inside = at < end[rows, None]
+                matrix = np.where(inside, letters[np.where(inside, at, 0)], self.pad)
+                for row, ids in self._by_rows(matrix.astype(np.int64)):
+                    self[stretches[rows[row]]] = ids
+        for stretch in stretches:
+            self[stretch]  # the rest one by one
+
+    def _by_rows(self, symbols: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """Rows of symbols, with the bytes of their ids when no pair is left; not those that need bytes of letters."""
+        of = np.arange(len(symbols))
+        pairs = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        while len(of):
+            row = np.arange(len(of))
+            best = self.place_of[pairs].argmin(axis=1) if pairs.shape[1] else None
+            taken = pairs[row, best] if best is not None else np.full(len(of), len(self.place_of) - 1)
+            done = taken == len(self.place_of) - 1
+            if done.any():
+                ready = symbols[done]
+                count, plain = (ready != self.pad).sum(axis=1), ((ready < self.pad) | (ready == self.pad)).all(axis=1)
+                data, width = ready.astype(np.int32).tobytes(), 4 * ready.shape[1]
+                for k, (n, r) in enumerate(zip(count.tolist(), of[done].tolist(), strict=True)):
+                    if plain[k]:
+                        yield r, data[k * width : k * width + 4 * n]
+                of, symbols, pairs = of[~done], symbols[~done], pairs[~done]
+                if not len(of):
+                    return
+                row, best, taken = np.arange(len(of)), best[~done], taken[~done]
+            width = symbols.shape[1]
+            symbols[row, best] = self.made_of[taken]
+            stay = np.ones(symbols.shape, bool)
+            stay[row, best + 1] = False
+            symbols = symbols[stay].reshape(len(of), width - 1)
+            stay = np.ones(pairs.shape, bool)
+            stay[row, best] = False
+            pairs = pairs[stay].reshape(len(of), width - 2)
+            right = np.flatnonzero(best < width - 2)
+            pairs[right, best[right]] = self._pairs(symbols[right, best[right]], symbols[right, best[right] + 1])
+            left = np.flatnonzero(best > 0)
+            pairs[left, best[left] - 1] = self._pairs(symbols[left, best[left] - 1], symbols[left, best[left]])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs that make a piece; the last number for those that make none."""
+        key = left * self.symbols + right
+        near = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[near] == key, near, len(self.pair_keys) - 1)
 
-    def _by_array(self, stretch: str) -> list[str]:
-        """With the agenda as an array by place in the text, searched for the first of the best."""
-        symbols = list(stretch)
-        of = self.order.get
-        agenda = [of(a + b, _NEVER) for a, b in zip(stretch, stretch[1:], strict=False)]
-        while agenda:
-            best = min(agenda)
-            if best == _NEVER:
-                break
-            left = agenda.index(best)
-            symbol = symbols[left] = symbols[left] + symbols.pop(left + 1)
-            del agenda[left]
-            if left < len(agenda):
-                agenda[left] = of(symbol + symbols[left + 1], _NEVER)
-            if left:
-                agenda[left - 1] = of(symbols[left - 1] + symbol, _NEVER)
-        return symbols
-
-    def _by_heap(self, stretch: str) -> list[str]:
-        """With the agenda as a heap."""
+    def merged(self, stretch: str) -> list[str]:
+        """The symbols of a stretch when its agenda, a heap, is empty; spaces are written as in the vocabulary."""
         symbols = list(stretch)
         order, last = self.order, len(symbols) - 1
         # of each symbol, the place in the order of the pair it makes with the next; an entry that says
@@ -152,51 +204,48 @@ class Encoder(dict):
                     heappush(agenda, place << 32 | left)
         return [s for s in symbols if s]
 
-    def __missing__(self, stretch: str) -> tuple[int, ...]:
+    def __missing__(self, stretch: str) -> bytes:
         found: list[int] = []
         for symbol in self.merged(stretch.replace(" ", SPACE)):
             if symbol in self.ids:
                 found.append(self.ids[symbol])
             else:
                 found += [self.byte_ids[b] for b in symbol.encode()]
-        out = tuple(found)
-        if len(stretch) <= KEPT_LENGTH:
-            self[stretch] = out
+        out = self[stretch] = _packed(found)
         return out
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[array, int]]:
+    def encode_batch(self, texts: list[str | None]) -> list[tuple[np.ndarray, int]]:
         """Of each text its ids, and the number of stretches in which the library gave others, which then hold."""
         parts = [self.stretches(text or "") for text in texts]
         if len(self) > KEPT_STRETCHES:
             self.clear()
-        new = [s for s in set(chain.from_iterable(parts)) if s not in self]
-        # long stretches are not kept in the mapping, only for this batch
-        own = {s: self[s] for s in new if len(s) > KEPT_LENGTH}
-        for s in new:
-            self[s]
-        self._check(new, own)
-        lookup = self if not own else _Both(own, self)
+        new = [s for s in set().union(*parts) if s not in self]
+        self.merge_all(new)
+        self._check(new)
         out = []
         for part in parts:
-            ids = array("i", chain.from_iterable(map(lookup.__getitem__, part)))
+            ids = np.frombuffer(b"".join(map(self.__getitem__, part)), np.int32)
             out.append((ids, sum(s in self.differing for s in part) if self.differing else 0))
+        for stretch in new:
+            if len(stretch) > KEPT_LENGTH:
+                del self[stretch]
         return out
 
-    def _check(self, new: list[str], own: dict[str, tuple[int, ...]]) -> None:
-        """Hold new stretches against the library; it puts a space in front of each text itself."""
-        spaced = [s[0] == " " for s in new]
-        # behind a line feed, a stretch without a space is what a text of both has after the line feed
-        asked = [s[1:] if space else "\n" + s for s, space in zip(new, spaced, strict=True)]
-        front = self.library.encode("\n")
-        for s, space, ids in zip(new, spaced, self.library.encode(asked, num_threads=1), strict=True):
-            known = own if s in own else self
-            want = tuple(ids) if space else tuple(ids[len(front) :])
-            if not s[1:] and space:  # the library takes a text of no characters as none at all
+    def _check(self, new: list[str]) -> None:
+        """Hold new stretches against the library, which puts a space in front of each text itself."""
+        # a stretch without a space in front is what comes behind a line feed
+        asked = [s[1:] if s[0] == " " else "\n" + s for s in new]
+        front = _packed(self.library.encode("\n"))
+        for stretch, ids in zip(new, self.library.encode(asked, num_threads=1), strict=True):
+            want = _packed(ids)
+            if stretch[0] != " ":
+                if not want.startswith(front):
+                    continue  # this vocabulary merges over line feeds: nothing to hold it against
+                want = want[len(front) :]
+            elif stretch == " ":  # the library takes a text of no characters as none at all
                 continue
-            if not space and tuple(ids[: len(front)]) != tuple(front):
-                continue  # this vocabulary merges over line feeds: nothing to hold it against
-            if known[s] != want:
-                known[s] = self.differing[s] = want
+            if self[stretch] != want:
+                self[stretch] = self.differing[stretch] = want
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, as the library gives it."""
@@ -211,15 +260,8 @@ class Encoder(dict):
         return self.library.decode(listed)
 
 
-class _Both:
-    """A look-up in one mapping, then another."""
-
-    def __init__(self, first: dict, then: dict):
-        self.first, self.then = first, then
-
-    def __getitem__(self, key: str) -> tuple[int, ...]:
-        found = self.first.get(key)
-        return self.then[key] if found is None else found
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -254,17 +296,22 @@ def encode(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -
     model = _shared(docs, path)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
-        for batch in rows:
-            for part in T.batches(batch, "text"):
-                found = encoder.encode_batch(part.column("text").to_pylist())
-                at = np.r_[0, np.cumsum([len(ids) for ids, _ in found])].astype(np.int32)
-                values = np.concatenate([np.frombuffer(ids, np.int32) for ids, _ in found if ids] or [np.empty(0, np.int32)])
-                differing = pa.array([n for _, n in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(at, values), differing], ["id", "ids", "differing"])
+        for id, found in _encoded(rows, _encoder(model.value)):
+            at = np.r_[0, np.cumsum([len(ids) for ids, _ in found])].astype(np.int32)
+            lists = pa.ListArray.from_arrays(at, np.concatenate([np.empty(0, np.int32), *(ids for ids, _ in found)]))
+            yield pa.RecordBatch.from_arrays([id, lists, pa.array([n for _, n in found], pa.int64())], ["id", "ids", "differing"])
+
+    return _texts(docs, id, text).mapInArrow(run, "id long, ids array<int>, differing long").withColumnRenamed("id", id)
 
-    docs = docs.selectExpr(f"cast(`{id}` AS bigint) AS id", f"`{text}` AS text")
-    return docs.mapInArrow(run, "id long, ids array<int>, differing long").withColumnRenamed("id", id)
+
+def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.selectExpr(f"cast(`{id}` AS bigint) AS id", f"`{text}` AS text")
+
+
+def _encoded(rows: Iterator[pa.RecordBatch], encoder: Encoder) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, int]]]]:
+    for batch in rows:
+        for part in T.batches(batch, "text"):
+            yield part.column("id"), encoder.encode_batch(part.column("text").to_pylist())
 
 
 def decode(encoded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
@@ -281,26 +328,26 @@ def decode(encoded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
     return rows.mapInArrow(run, "id long, ids array<int>, decoded string").withColumnRenamed("id", id)
 
 
-def digests(encoded: DataFrame, path: str, id: str = "doc_id") -> DataFrame:
-    """Digests of the ids and of the text decoded from them, without moving the text."""
-    model = _shared(encoded, path)
+def digests(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each row's ids and of the text decoded from them the number and SHA-256 digests.
+
+    Encodes and decodes in one pass, as ``encode`` and ``decode`` do, so that ids need not leave the task.
+    """
+    model = _shared(docs, path)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
-        for batch in rows:
+        for id, found in _encoded(rows, encoder):
             n, of_ids, of_text = [], [], []
-            for x in id_arrays(batch.column("ids")):
-                n.append(len(x))
-                of_ids.append(hashlib.sha256(",".join(map(encoder.texts.__getitem__, x.tolist())).encode()).hexdigest())
-                of_text.append(hashlib.sha256(encoder.decode(x).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), batch.column("differing")],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "differing"],
-            )
-
-    rows = encoded.selectExpr(f"`{id}` AS id", "ids", "differing")
+            for ids, _ in found:
+                n.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join(map(encoder.texts.__getitem__, ids.tolist())).encode()).hexdigest())
+                of_text.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+            columns = [id, pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string()), pa.array([k for _, k in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "differing"])
+
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, differing long"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return _texts(docs, id, text).mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
 def disagreements(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,5 +367,4 @@ def disagreements(docs: DataFrame, path: str, id: str = "doc_id", text: str = "t
                     ["id", "ids", "library_ids"],
                 )
 
-    docs = docs.selectExpr(f"cast(`{id}` AS bigint) AS id", f"`{text}` AS text")
-    return docs.mapInArrow(run, "id long, ids array<int>, library_ids array<int>").withColumnRenamed("id", id)
+    return _texts(docs, id, text).mapInArrow(run, "id long, ids array<int>, library_ids array<int>").withColumnRenamed("id", id)
