@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.regex import compute_once, expand, sql_text, to_java
 from logweave.operators.headers import BUILT_IN, HeaderFormat
-from logweave.operators.joins import join_checked, stage
+from logweave.operators.joins import BROADCAST_ROWS, HOT_ROWS, stage
 from logweave.operators.ordered import number_rows
 from logweave.operators.rules import App, bind_rules
 from logweave.packs.fields import FIELDS, FRAGMENTS
@@ -43,6 +43,11 @@ def token_table(parsed: DataFrame, apps: Iterable[App], width: int = 4) -> DataF
     Values are numbered by their order within a base field.  Numbers beyond
     ``width`` digits get longer, so two values never share a token.
     """
+    return _tokens(parsed, apps, width).select("base", "value", "token")
+
+
+def _tokens(parsed: DataFrame, apps: Iterable[App], width: int) -> DataFrame:
+    """The tokens with ``uses``, the number of values that each is written for."""
     apps = list(apps)
     maskable = _maskable(apps)
     wanted = [n for n in group_names(apps) if base_field(n) in maskable]
@@ -55,32 +60,75 @@ def token_table(parsed: DataFrame, apps: Iterable[App], width: int = 4) -> DataF
         parsed.filter("matched")
         .select(F.inline(F.array(*pairs)))
         .filter(F.col("value").isNotNull())
-        .distinct()
+        .groupBy("base", "value")
+        .agg(F.count(F.lit(1)).alias("uses"))
     )
     number = F.col("_no").cast("string")
     padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
-    return number_rows(values, ["base"], ["value"], "_no").select(
-        "base", "value", F.concat(F.upper("base"), F.lit("_"), padded).alias("token")
-    )
+    token = F.concat(F.upper("base"), F.lit("_"), padded).alias("token")
+    return number_rows(values, ["base"], ["value"], "_no").select("base", "value", token, "uses")
 
 
 @dataclass(frozen=True)
-class _Lookup:
-    """Where the new value of a field comes from: ``key`` is looked up in ``table``."""
+class _Key:
+    """What a field is looked up by: ``value`` among the values of ``base``."""
 
-    table: DataFrame  # columns key (unique), name
-    rows: int
-    key: Column
+    base: str
+    value: Column
 
 
-def _map_values(parsed: DataFrame, lookups: dict[str, _Lookup]) -> DataFrame:
-    """Add ``_v_<name>`` for every field: the found name, or null."""
-    df = parsed
-    for name, look in lookups.items():
-        df = df.withColumn(f"_k_{name}", look.key)
-        side = look.table.select(F.col("key").alias(f"_k_{name}"), F.col("name").alias(f"_v_{name}"))
-        df = join_checked(df, side, [f"_k_{name}"], "left", staged=False, rows=look.rows)
-    return df.drop(*[f"_k_{n}" for n in lookups])
+def _looked_up(
+    df: DataFrame,
+    keys: dict[str, _Key],
+    table: DataFrame,
+    rows: int,
+    broadcast_rows: int,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add ``_v_<name>`` for every field: the ``name`` that ``table`` has for its key, or null.
+
+    ``table`` has one row per (``base``, ``value``).  If its ``rows`` may be broadcast,
+    each field is looked up where the line is.  Otherwise all fields are looked up
+    at once: a line becomes one entry for itself and one for each of its keys,
+    entries are shuffled to the table by key, and once more by line to be put
+    together.  ``uses`` in the table, if there, tells which keys are hot.
+    """
+    if rows <= broadcast_rows:
+        for name, key in keys.items():
+            df = df.withColumn(f"_k_{name}", key.value)
+            of_base = table.filter(F.col("base") == key.base) if "base" in table.columns else table
+            side = of_base.select(F.col("value").alias(f"_k_{name}"), F.col("name").alias(f"_v_{name}"))
+            df = df.join(F.broadcast(side), f"_k_{name}", "left")
+        return df.drop(*[f"_k_{n}" for n in keys])
+    columns = [F.col(c) for c in df.columns]
+    found = [
+        F.struct(F.lit(n).alias("field"), F.lit(k.base).alias("base"), k.value.cast("string").alias("value"))
+        for n, k in keys.items()
+    ]
+    # lines are numbered once, in a table: numbers made again need not be the same
+    df = stage(df.select(F.monotonically_increasing_id().alias("_id"), F.struct(*columns).alias("_line"), F.array(*found).alias("_keys")))
+    line = F.struct(
+        F.lit(None).cast("string").alias("field"), F.lit("").alias("base"), F.col("_id").cast("string").alias("value"), F.col("_line").alias("line")
+    )
+    keys_of = F.transform(
+        F.filter("_keys", lambda k: k["value"].isNotNull()),
+        lambda k: F.struct(k["field"].alias("field"), k["base"].alias("base"), k["value"].alias("value"), F.lit(None).cast(df.schema["_line"].dataType).alias("line")),
+    )
+    entries = df.select("_id", F.inline(F.concat(F.array(line), keys_of)))
+    hot = table.select("base", "value", F.ceil(F.col("uses") / hot_rows).cast("int").alias("_salts")) if "uses" in table.columns else None
+    if hot is None:
+        counts = entries.filter("field IS NOT NULL").groupBy("base", "value").agg(F.count(F.lit(1)).alias("uses"))
+        hot = counts.select("base", "value", F.ceil(F.col("uses") / hot_rows).cast("int").alias("_salts"))
+    # at most one row for each ``hot_rows`` entries
+    hot = F.broadcast(stage(hot.filter("_salts > 1")))
+    salt = F.pmod(F.xxhash64("_id"), F.coalesce("_salts", F.lit(1))).cast("int")
+    entries = entries.join(hot, ["base", "value"], "left").withColumn("_salt", salt).drop("_salts")
+    names = table.select("base", F.col("value").cast("string").alias("value"), "name").join(hot, ["base", "value"], "left")
+    names = names.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    met = entries.join(names, ["base", "value", "_salt"], "left")
+    pair = F.when(F.col("name").isNotNull(), F.struct("field", "name"))
+    whole = met.groupBy("_id").agg(F.first("line", ignorenulls=True).alias("_line"), F.map_from_entries(F.collect_list(pair)).alias("_names"))
+    return whole.select("_line.*", *[F.col("_names")[n].alias(f"_v_{n}") for n in keys])
 
 
 def _with_fields(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -103,35 +151,88 @@ def _with_fields(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df
 
 
-def mask_fields(parsed: DataFrame, apps: Iterable[App], width: int = 4) -> DataFrame:
+def mask_fields(
+    parsed: DataFrame, apps: Iterable[App], width: int = 4, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Replace field values and the host of matched lines by tokens."""
     apps = list(apps)
     maskable = _maskable(apps)
     names = [n for n in group_names(apps) if base_field(n) in maskable] + ["host"]
-    tokens = stage(token_table(parsed, apps, width))
+    tokens = stage(_tokens(parsed, apps, width).withColumnRenamed("token", "name"))
     # one row per base field
     sizes = dict(tokens.groupBy("base").count().collect())
-    lookups = {}
+    keys = {}
     for name in names:
-        base = base_field(name)
-        if base not in sizes:
-            continue
-        value = F.col("host") if name == "host" else F.col("fields")[name]
-        table = tokens.filter(F.col("base") == base).select(
-            F.col("value").alias("key"), F.col("token").alias("name")
-        )
-        lookups[name] = _Lookup(table, sizes[base], F.when(F.col("matched"), value))
-    new = {n: F.col(f"_v_{n}") for n in lookups}
-    new["host"] = F.coalesce(F.col("_v_host"), F.col("host")) if "host" in lookups else F.col("host")
-    out = _with_fields(_map_values(parsed, lookups), new)
-    return out.drop(*[f"_v_{n}" for n in lookups])
+        if base_field(name) in sizes:
+            value = F.col("host") if name == "host" else F.col("fields")[name]
+            keys[name] = _Key(base_field(name), F.when(F.col("matched"), value))
+    new = {n: F.col(f"_v_{n}") for n in keys}
+    new["host"] = F.coalesce(F.col("_v_host"), F.col("host")) if "host" in keys else F.col("host")
+    found = _looked_up(parsed, keys, tokens, max(sizes.values(), default=0), broadcast_rows) if keys else parsed
+    return _with_fields(found, new).drop(*[f"_v_{n}" for n in keys])
 
 
 def address_pattern() -> str:
     return to_java(expand("(?:${IPV4}|${IPV6})", FRAGMENTS)).pattern
 
 
-def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) -> DataFrame:
+def _address_names(names: DataFrame) -> DataFrame:
+    """One name per address, or lines would multiply."""
+    table = names.filter("address is not null").groupBy(F.col("address").cast("string").alias("value"))
+    return table.agg(F.min("name").alias("name"))
+
+
+def _user_names(users: DataFrame) -> DataFrame:
+    table = users.filter("uid is not null").groupBy(F.col("uid").cast("bigint").cast("string").alias("value"))
+    return table.agg(F.min("name").alias("name"))
+
+
+def _address_key(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_substr(value, F.lit(address_pattern())), r"(?i)\A::ffff:", "")
+
+
+def _address_written(value: Column, name: Column) -> Column:
+    """A value with the name in place of its first address."""
+    found = F.regexp_substr(value, F.lit(address_pattern()))
+    start = F.instr(value, found)
+    replaced = F.concat(
+        F.substring(value, F.lit(1), start - 1), name, F.substring(value, start + F.length(found), F.length(value))
+    )
+    return F.when(name.isNull() | F.startswith(value, name), value).otherwise(replaced)
+
+
+def _user_key(value: Column) -> Column:
+    return F.when(value.rlike(r"\A[0-9]+\z"), value.try_cast("bigint").cast("string"))
+
+
+def _user_written(value: Column, name: Column) -> Column:
+    number = _user_key(value)
+    return F.coalesce(name, F.when(number.isNotNull(), F.concat(F.lit("uid="), number)), value)
+
+
+def _name_values(parsed: DataFrame, addresses: tuple[list[str], DataFrame | None], users: tuple[list[str], DataFrame | None], broadcast_rows: int) -> DataFrame:
+    """Write names for the values of fields: some by address, some by user id, all looked up at once."""
+    keys, new, tables, rows = {}, {}, [], 0
+    sides = (("address", addresses, _address_names, _address_key, _address_written), ("uid", users, _user_names, _user_key, _user_written))
+    for base, (groups, table), names, key, written in sides:
+        if table is None:
+            continue
+        tables.append(names(table).withColumn("base", F.lit(base)))
+        # the rows that there may be; they are not counted further than it matters
+        rows += table.limit(broadcast_rows + 1).count()
+        for g in groups:
+            value = F.col("fields")[g]
+            keys[g] = _Key(base, key(value))
+            new[g] = written(value, F.col(f"_v_{g}"))
+    if not keys:
+        return parsed
+    table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    return _with_fields(_looked_up(parsed, keys, table, rows, broadcast_rows), new).drop(*[f"_v_{n}" for n in keys])
+
+
+def name_addresses(
+    parsed: DataFrame, apps: Iterable[App], names: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Write host names for addresses: ``names`` has the columns ``address, name``.
 
     The first address in a client, mail or user value is replaced; an IPv4 address
@@ -139,46 +240,19 @@ def name_addresses(parsed: DataFrame, apps: Iterable[App], names: DataFrame) ->
     several names the first in order counts.
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in ADDRESS_FIELDS]
-    # one name per address, or lines would multiply
-    table = stage(names.filter("address is not null").groupBy(F.col("address").alias("key")).agg(F.min("name").alias("name")))
-    rows = table.count()
-    pattern = address_pattern()
-    lookups, new = {}, {}
-    for g in groups:
-        value = F.col("fields")[g]
-        found = F.regexp_substr(value, F.lit(pattern))
-        lookups[g] = _Lookup(table, rows, F.regexp_replace(found, r"(?i)\A::ffff:", ""))
-        start = F.instr(value, found)
-        replaced = F.concat(
-            F.substring(value, F.lit(1), start - 1),
-            F.col(f"_v_{g}"),
-            F.substring(value, start + F.length(found), F.length(value)),
-        )
-        keep = F.col(f"_v_{g}").isNull() | F.startswith(value, F.col(f"_v_{g}"))
-        new[g] = F.when(keep, value).otherwise(replaced)
-    out = _with_fields(_map_values(parsed, lookups), new)
-    return out.drop(*[f"_v_{n}" for n in groups])
+    return _name_values(parsed, (groups, names), ([], None), broadcast_rows)
 
 
-def name_uids(parsed: DataFrame, apps: Iterable[App], users: DataFrame) -> DataFrame:
+def name_uids(
+    parsed: DataFrame, apps: Iterable[App], users: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Write user names for numeric ids: ``users`` has the columns ``uid, name``.
 
     An id without a name becomes ``uid=N``; what is not a number stays.  Of several
     names the first in order counts.
     """
     groups = [n for n in group_names(list(apps)) if base_field(n) in UID_FIELDS]
-    uid = F.col("uid").cast("bigint").alias("key")
-    table = stage(users.filter("uid is not null").groupBy(uid).agg(F.min("name").alias("name")))
-    rows = table.count()
-    lookups, new = {}, {}
-    for g in groups:
-        value = F.col("fields")[g]
-        number = F.when(value.rlike(r"\A[0-9]+\z"), value.try_cast("bigint"))
-        lookups[g] = _Lookup(table, rows, number)
-        unknown = F.when(number.isNotNull(), F.concat(F.lit("uid="), number.cast("string")))
-        new[g] = F.coalesce(F.col(f"_v_{g}"), unknown, value)
-    out = _with_fields(_map_values(parsed, lookups), new)
-    return out.drop(*[f"_v_{n}" for n in groups])
+    return _name_values(parsed, ([], None), (groups, users), broadcast_rows)
 
 
 def map_fields(
@@ -196,20 +270,10 @@ def map_fields(
     apps = list(apps)
     if mask:
         return mask_fields(parsed, apps, width)
-    if users is not None:
-        if addresses is not None:
-            only_uid = [g for g in group_names(apps) if base_field(g) == "uid"]
-            kept = parsed.withColumn("_all", F.col("fields"))
-            named = name_uids(kept, apps, users)
-            merged = F.transform_values(
-                "_all", lambda k, v: F.when(k.isin(only_uid), F.col("fields")[k]).otherwise(v)
-            )
-            parsed = named.withColumn("fields", merged).drop("_all")
-        else:
-            parsed = name_uids(parsed, apps, users)
-    if addresses is not None:
-        parsed = name_addresses(parsed, apps, addresses)
-    return parsed
+    groups = group_names(apps)
+    by_address = [g for g in groups if base_field(g) in ADDRESS_FIELDS] if addresses is not None else []
+    by_uid = [g for g in groups if base_field(g) in UID_FIELDS and g not in by_address] if users is not None else []
+    return _name_values(parsed, (by_address, addresses), (by_uid, users), BROADCAST_ROWS)
 
 
 def rewrite_raw(
