@@ -168,8 +168,8 @@ def unknown_files(parsed: DataFrame) -> DataFrame:
     return parsed.filter((F.col("line_no") == 1) & F.col("format").isNull()).select("file")
 
 
-def file_counts(parsed: DataFrame, skip_unknown_files: bool = True) -> DataFrame:
-    """Per file: lines read and lines of unknown format.
+def file_counts(parsed: DataFrame, skip_unknown_files: bool = True, *more: Column) -> DataFrame:
+    """Per file: lines read and lines of unknown format, and ``more`` aggregates.
 
     A file of unknown format counts as one line read and none unknown.
     """
@@ -180,6 +180,7 @@ def file_counts(parsed: DataFrame, skip_unknown_files: bool = True) -> DataFrame
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("format").isNull()).alias("unknown"),
         F.bool_or(bad_first).alias("skipped"),
+        *more,
     )
     return counts.withColumn("lines", F.when(F.col("skipped"), 1).otherwise(F.col("lines"))).withColumn(
         "unknown", F.when(F.col("skipped"), 0).otherwise(F.col("unknown"))

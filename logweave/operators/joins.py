@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.types import AtomicType
 
 # A side with more rows than this is never broadcast.
 BROADCAST_ROWS = 500_000
+# Bits that tell which keys a semi-join may have; their numbers take 32 bytes each where they are broadcast.
+BITMAP_BITS = 1 << 22
 # Rows of one key that go to one task in a shuffled join.
 HOT_ROWS = 4_000_000
 
@@ -68,6 +71,24 @@ def _join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, hot
     return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+def semi_join(left: DataFrame, right: DataFrame, on: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``left`` whose key is in ``right``, which tends to have few of the keys.
+
+    Beyond ``broadcast_rows`` keys, the keys are first thinned out by a bitmap of
+    ``BITMAP_BITS`` bits: the numbers of the bits that are set are broadcast, and
+    only rows whose key has its bit set are shuffled to the keys themselves.
+    """
+    right = stage(right.select(*on))
+    rows = right.count()
+    if rows <= broadcast_rows:
+        return left.join(F.broadcast(right), on, "left_semi")
+    bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS)).cast("int").alias("_bit")
+    set_ = stage(right.select(bit).distinct())
+    columns = left.columns
+    left = left.withColumn("_bit", bit).join(F.broadcast(set_), ["_bit"], "left_semi").select(*columns)
+    return join_checked(left, right, on, "left_semi", staged=False, rows=rows, broadcast_rows=broadcast_rows)
+
+
 def row_hash(df: DataFrame, keys: list[str]) -> Column:
     """Hash of the other columns of a row: the same in every retry of a task."""
     plain = [
@@ -104,8 +125,7 @@ def _stage_dir(spark: SparkSession) -> str:
 
 def drop_stages(spark: SparkSession) -> None:
     """Delete the tables this application has staged, once their results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_path(spark, _stage_dir(spark))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -114,10 +134,33 @@ def stage(df: DataFrame) -> DataFrame:
     Later steps read only the columns they need, and a lost executor costs no more
     than reading a part again.
     """
-    spark = df.sparkSession
-    path = f"{_stage_dir(spark)}/{uuid.uuid4().hex}"
+    return _staged_at(df, f"{_stage_dir(df.sparkSession)}/{uuid.uuid4().hex}")
+
+
+def _staged_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame):
+    """The staged table, for a block of code; it is deleted at the end of the block."""
+    path = f"{_stage_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    try:
+        yield _staged_at(df, path)
+    finally:
+        delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if there is one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.operators.joins import join_checked
+from logweave.operators.joins import join_checked, semi_join
 from logweave.operators.ordered import chunk_of, first_rows, with_distance
 
 THREAD = ["file", "app", "thread"]
@@ -48,6 +48,14 @@ def first_selected(lines: DataFrame, selected: str, n: int) -> DataFrame:
     return found.withColumn(selected, kept).drop("_last")
 
 
+def until_limit(lines: DataFrame, selected: DataFrame, n: int) -> DataFrame:
+    """Lines of each file up to its ``n``-th selected one, where reading it ends; all if it has fewer."""
+    first = max_count(selected.select("file", "line_no"), n).groupBy("file")
+    ends = first.agg(F.count(F.lit(1)).alias("_n"), F.max("line_no").alias("_last")).filter(F.col("_n") == n)
+    found = join_checked(lines, ends.select("file", "_last"), ["file"], "left")
+    return found.filter(F.col("_last").isNull() | (F.col("line_no") <= F.col("_last"))).drop("_last")
+
+
 def any_match(lines: DataFrame, selected: Column) -> DataFrame:
     """One row that tells whether a line is selected."""
     return lines.agg(F.coalesce(F.bool_or(selected), F.lit(False)).alias("any_match"))
@@ -123,6 +131,9 @@ def thread_context(parsed: DataFrame, selected: Column, before: int = 0, after:
     flagged = parsed.withColumn("_selected", F.coalesce(selected, F.lit(False)))
     threaded = flagged.filter(F.col("thread").isNotNull() & F.col("app").isNotNull())
     alone = flagged.filter("(thread is null or app is null) and _selected")
+    # only threads with a selected line go on
+    threads = threaded.filter("_selected").select(*THREAD).distinct()
+    threaded = semi_join(threaded, threads, THREAD)
     near = with_distance(threaded, THREAD, "_selected", before, after)
     return _kind(near.unionByName(alone))
 
@@ -132,7 +143,7 @@ def whole_threads(parsed: DataFrame, selected: Column) -> DataFrame:
     flagged = parsed.withColumn("_selected", F.coalesce(selected, F.lit(False)))
     alone = flagged.filter("(thread is null or app is null) and _selected").drop("_selected")
     threads = flagged.filter("_selected").select(*THREAD).dropna().distinct()
-    return join_checked(parsed, threads, THREAD, "left_semi").unionByName(alone)
+    return semi_join(parsed, threads, THREAD).unionByName(alone)
 
 
 def run_stats(lines: DataFrame, selected: Column) -> DataFrame:

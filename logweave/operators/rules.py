@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.regex import JavaRegex, captures_sql, compute_once, expand, sql_text, to_java
-from logweave.operators.joins import join_checked, stage
-from logweave.operators.ordered import Running, running
+from logweave.operators.joins import BROADCAST_ROWS, join_checked, stage
+from logweave.operators.ordered import Running, chunk_of, running
 from logweave.packs.fields import FIELDS, FRAGMENTS
 
 Filter = dict[str, str]
 
+# Lines whose weights are held together, and weights that are broadcast in such arrays, at some 30 bytes each.
+NOTICE_LINES, ARRAY_NOTICES = 256, 8_000_000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -350,7 +353,10 @@ def fold_repeats(parsed: DataFrame) -> DataFrame:
     only the first counts.
 
     Only notices and unknown lines are shuffled.  A stretch of such lines ends
-    just after the line the notice is about, whose number is then known.
+    just after the line the notice is about, whose number is then known.  The
+    weights are broadcast, each by itself or, if they are many, as one array for
+    every ``NOTICE_LINES`` lines.  Beyond that, only stretches of lines that hold a
+    weight move to them.
     """
     odd = parsed.filter(F.col("format").isNull() | F.col("repeat").isNotNull())
     odd = stage(odd.select("file", "line_no", "repeat"))
@@ -363,11 +369,37 @@ def fold_repeats(parsed: DataFrame) -> DataFrame:
         .select("file", "line_no", "_times")
     )
     plain = parsed.filter(F.col("format").isNotNull() & F.col("repeat").isNull())
-    return (
-        join_checked(plain, about, ["file", "line_no"], "left", staged=False, rows=odd.count())
-        .withColumn("weight", (F.lit(1) + F.coalesce("_times", F.lit(0))).cast("bigint"))
-        .drop("_times")
-    )
+    return add_weights(plain, stage(about))
+
+
+def add_weights(
+    plain: DataFrame,
+    about: DataFrame,
+    broadcast_rows: int = BROADCAST_ROWS,
+    array_rows: int = ARRAY_NOTICES,
+    notice_lines: int = NOTICE_LINES,
+) -> DataFrame:
+    """Lines with ``weight``: 1, plus the ``_times`` that ``about`` has for a ``file`` and ``line_no``."""
+    columns = [F.col(c) for c in plain.columns]
+    count = about.count()
+    if count <= broadcast_rows:
+        found = plain.join(F.broadcast(about), ["file", "line_no"], "left")
+        return found.select(*columns, (F.lit(1) + F.coalesce("_times", F.lit(0))).cast("bigint").alias("weight"))
+    stretch = chunk_of(lines=notice_lines).alias("_chunk")
+    of_lines = about.select("file", stretch, F.struct("line_no", "_times").alias("_notice"))
+    of_lines = of_lines.groupBy("file", "_chunk").agg(F.collect_list("_notice").alias("_notices"))
+    own = F.filter("_notices", lambda n: n["line_no"] == F.col("line_no"))
+    weight = (F.lit(1) + F.coalesce(F.get(own, F.lit(0))["_times"], F.lit(0))).cast("bigint").alias("weight")
+    plain = plain.withColumn("_chunk", stretch)
+    if count <= array_rows:
+        found = plain.join(F.broadcast(of_lines), ["file", "_chunk"], "left")
+        return found.select(*columns, weight)
+    # large chunks tell where weights are; the lines of the others are read again and stay where they are
+    chunks = about.select("file", chunk_of().alias("_large"), F.lit(True).alias("_near")).distinct()
+    marked = join_checked(plain.withColumn("_large", chunk_of()), chunks, ["file", "_large"], "left", hot_rows=None)
+    near = marked.filter("_near").drop("_near", "_large").join(of_lines, ["file", "_chunk"], "left")
+    far = marked.filter("_near is null").select(*columns, F.lit(1).cast("bigint").alias("weight"))
+    return near.select(*columns, weight).unionByName(far)
 
 
 def rule_results(

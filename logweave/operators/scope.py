@@ -16,14 +16,19 @@ def _naive(moment: dt.datetime) -> Column:
     return F.lit(moment.replace(microsecond=0, tzinfo=None).isoformat(" ")).cast("timestamp_ntz")
 
 
-def in_period(events: DataFrame, period: Period) -> DataFrame:
-    """Events within the period, ends included; an event without time is left out.
+def period_holds(period: Period) -> Column:
+    """Whether an event lies within the period, ends included; false without a time.
 
-    One ``BETWEEN``, so that the time is worked out once in the filter.
+    One ``BETWEEN``, so that the time is worked out once.
     """
     start = _naive(period[0] or dt.datetime(1, 1, 1))
     end = _naive(period[1] or dt.datetime(9999, 12, 31, 23, 59, 59))
-    return events.filter(F.coalesce(F.col("event_ts").between(start, end), F.lit(False)))
+    return F.coalesce(F.col("event_ts").between(start, end), F.lit(False))
+
+
+def in_period(events: DataFrame, period: Period) -> DataFrame:
+    """Events within the period; an event without time is left out."""
+    return events.filter(period_holds(period))
 
 
 def until_newer(events: DataFrame, end: dt.datetime) -> DataFrame:

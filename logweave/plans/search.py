@@ -21,7 +21,7 @@ from logweave.operators.headers import (
     parse_headers,
     unknown_files,
 )
-from logweave.operators.joins import join_checked
+from logweave.operators.joins import join_checked, stage
 from logweave.operators.mapping import map_fields, rewrite_raw
 from logweave.operators.patternindex import PatternTable
 from logweave.operators.rules import (
@@ -36,7 +36,7 @@ from logweave.operators.rules import (
     rule_results,
     select_mode,
 )
-from logweave.operators.scope import in_period, in_time_range, on_hosts, until_newer
+from logweave.operators.scope import host_matches, in_period, in_time_range, on_hosts, period_holds, until_newer
 from logweave.operators.search import Patterns
 from logweave.packs import default_sections, shipped
 from logweave.streaming.stream import require_batch
@@ -129,6 +129,40 @@ class LogSearch:
             events = in_time_range(events, self.time_range, self.wrap)
         return on_hosts(events, list(self.hosts))
 
+    @property
+    def by_line(self) -> bool:
+        """Whether the lines in scope, and those selected, can be told one by one."""
+        ends = self.stop_at_newer and self.period[1] is not None
+        return not (self.repeats or ends or self.max_count or isinstance(self.patterns, PatternTable))
+
+    def _all_flagged(self, lines: DataFrame) -> DataFrame:
+        """All lines, those out of scope too, with ``selected``: nothing is left out, so counts need one scan.
+
+        For runs that tell lines one by one.
+        """
+        inside = F.col("format").isNotNull() & F.col("repeat").isNull() & period_holds(self.period)
+        if self.time_range is not None:
+            given = self.time_range
+            parsed = TimeRange.parse(given) if isinstance(given, str) else given
+            inside = inside & parsed.contains(F.col("ltime"), self.wrap)
+        if self.hosts:
+            inside = inside & host_matches(list(self.hosts))
+        hit = F.coalesce(inside, F.lit(False)) & self.patterns.selects()
+        found = compute_once(self.parse(lines), "hit", hit)
+        return self._selected_of(found)
+
+    def _selected_of(self, scope: DataFrame) -> DataFrame:
+        """Rules run only on hits: a line without message matches none."""
+        if self.mode == "unruled":
+            found = route(scope, self.active_apps)
+        else:
+            hidden = scope.withColumn("_message", F.col("message")).withColumn(
+                "message", F.when(F.col("hit"), F.col("message"))
+            )
+            found = apply_rules(hidden, self.active_apps, self.filters)
+            found = found.withColumn("message", F.col("_message")).drop("_message")
+        return found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
+
     def _flag_hits(self, scope: DataFrame) -> DataFrame:
         if isinstance(self.patterns, PatternTable):
             require_batch(scope, "a table of patterns")
@@ -145,22 +179,14 @@ class LogSearch:
     def flagged(self, lines: DataFrame) -> DataFrame:
         """Lines in scope with ``hit`` (by the patterns), ``selected``, ``app`` and the rule columns.
 
-        Rules run only on lines that the patterns hit, unless threads are wanted or
-        lines are mapped.
+        Rules run only on lines that the patterns hit, unless threads are wanted.
         """
         scope = self._flag_hits(self.in_scope(lines))
-        if self.mode == "unruled":
-            found = route(scope, self.active_apps)
-        elif self.threads or self.mapped:
+        if self.threads and self.mode != "unruled":
             found = apply_rules(scope, self.active_apps, self.filters, threads=True)
+            found = found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
         else:
-            # a line without message matches no rule
-            hidden = scope.withColumn("_message", F.col("message")).withColumn(
-                "message", F.when(F.col("hit"), F.col("message"))
-            )
-            found = apply_rules(hidden, self.active_apps, self.filters)
-            found = found.withColumn("message", F.col("_message")).drop("_message")
-        found = found.withColumn("selected", F.col("hit") & select_mode(found, self.mode))
+            found = self._selected_of(scope)
         if self.max_count:
             require_batch(lines, "a limit per file")
             found = output.first_selected(found, "selected", self.max_count)
@@ -198,24 +224,34 @@ class LogSearch:
         """Selected lines with neighbours; lines of unknown tag that the patterns hit are no neighbours."""
         require_batch(lines, "context")
         flagged = self.flagged(lines)
-        near = self._shown(flagged.filter(F.col("app").isNotNull() | ~F.col("hit")))
+        near = flagged.filter(F.col("app").isNotNull() | ~F.col("hit"))
         # neighbours are shown as they are: the parts of their headers are not kept
-        near = near.drop(*[c for c in HEADER_COLUMNS if c != "host"], "fields")
-        return output.context(near, self.selected, before, after, around)
+        parts = [*[c for c in HEADER_COLUMNS if c != "host"], "fields"]
+        if not self.mapped:
+            return output.context(near.drop(*parts), self.selected, before, after, around)
+        shown = output.context(near, self.selected, before, after, around)
+        # only what is shown is mapped, so rules run on neighbours here
+        shown = stage(shown.drop("app", "rule", "thread", "fields", "matched", "full_match"))
+        ruled = apply_rules(shown, self.active_apps, self.filters, threads=True)
+        return self._shown(ruled).drop(*parts)
 
     def threads_of(self, lines: DataFrame, before: int | None = None, after: int | None = None) -> DataFrame:
         """Whole threads with a selected line, or a part of them around it."""
         require_batch(lines, "threads")
-        flagged = self._shown(self.but(threads=True).flagged(lines).filter("matched"))
+        flagged = self.but(threads=True).flagged(lines).filter("matched")
         if before is None and after is None:
-            return output.whole_threads(flagged, self.selected)
-        return output.thread_context(flagged, self.selected, before or 0, after or 0)
+            shown = output.whole_threads(flagged, self.selected)
+        else:
+            shown = output.thread_context(flagged, self.selected, before or 0, after or 0)
+        return self._shown(stage(shown) if self.mapped else shown)
 
     def counts(self, lines: DataFrame) -> DataFrame:
         """Matches per file, files without any included.
 
         Repetitions count, but not towards a limit of lines.
         """
+        if self.by_line and not self.skip_unknown_files:
+            return output.count_per_file(self._all_flagged(lines), F.coalesce(self.selected, F.lit(False)))
         found = output.count_per_file(self.flagged(lines), self.selected)
         files = lines.select("file").distinct()
         return files.join(found, "file", "left").select("file", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"))
@@ -225,13 +261,19 @@ class LogSearch:
 
         Of a file that is skipped for its unknown format one line counts as read.
         """
-        read = file_counts(self.parse(lines), self.skip_unknown_files)
-        flagged = self.flagged(lines).filter("selected")
-        weight = F.col("weight") if "weight" in flagged.columns else F.lit(1)
-        matches = flagged.groupBy("file").agg(
-            F.sum(weight).alias("matches"), F.min("event_ts").alias("first_event"), F.max("event_ts").alias("last_event")
-        )
-        return read.join(matches, "file", "left").agg(
+        selected = F.coalesce(self.selected, F.lit(False))
+        if self.by_line:
+            found = self._all_flagged(lines)
+            counted = file_counts(found, self.skip_unknown_files, *_selected_counts(found, selected))
+            # what is selected in a file that is skipped does not count
+            kept = lambda c: F.when(~F.coalesce("skipped", F.lit(False)), F.col(c)).alias(c)
+            per_file = counted.select("file", "lines", "unknown", *(kept(c) for c in ("matches", "first_event", "last_event")))
+        else:
+            read = file_counts(self.parse(lines), self.skip_unknown_files)
+            flagged = self.flagged(lines).filter("selected")
+            matches = flagged.groupBy("file").agg(*_selected_counts(flagged, F.lit(True)))
+            per_file = read.join(matches, "file", "left")
+        return per_file.agg(
             F.count(F.lit(1)).alias("files"),
             F.coalesce(F.sum("lines"), F.lit(0)).cast("bigint").alias("lines"),
             F.coalesce(F.sum("matches"), F.lit(0)).cast("bigint").alias("matches"),
@@ -241,11 +283,19 @@ class LogSearch:
         )
 
     def app_counters(self, lines: DataFrame) -> DataFrame:
-        scope = self.hits(lines)
-        return app_counters(apply_rules(scope, self.active_apps, self.filters))
+        """Per app, events that a rule matched and events that none did, in the lines read before a limit."""
+        return app_counters(self._until_limit(apply_rules(self.hits(lines), self.active_apps, self.filters), lines))
 
     def extra_tags(self, lines: DataFrame) -> DataFrame:
-        return extra_tags(self.hits(lines), self.active_apps)
+        """Tags of no app, in the lines read before a limit."""
+        return extra_tags(self._until_limit(self.hits(lines), lines), self.active_apps)
+
+    def _until_limit(self, found: DataFrame, lines: DataFrame) -> DataFrame:
+        if not self.max_count:
+            return found
+        require_batch(lines, "a limit per file")
+        selected = self.but(max_count=0).flagged(lines).filter("selected")
+        return output.until_limit(found, selected, self.max_count)
 
     def results(self, lines: DataFrame) -> DataFrame:
         """Events per rule, host and fields."""
@@ -261,3 +311,10 @@ class LogSearch:
         needed = reports.needed_fields(self.active_apps, sections, active)
         results = rule_results(self.select(lines), needed)
         return reports.report(results, self.active_apps, sections, limit, active)
+
+
+def _selected_counts(found: DataFrame, selected: Column) -> list[Column]:
+    """Matches, and the first and last event of those, as aggregates."""
+    weight = F.col("weight") if "weight" in found.columns else F.lit(1)
+    event = F.when(selected, F.col("event_ts"))
+    return [F.sum(F.when(selected, weight)).alias("matches"), F.min(event).alias("first_event"), F.max(event).alias("last_event")]
