@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from catalog import apps, views
 from catalog.registry import query
+from logweave import streaming
 from logweave.functions.timespec import date_path, date_period, host_path
 from logweave.operators.joins import checkpoint_dir
 from logweave.operators.search import Patterns
+from logweave.sources import sinks
 from logweave.sources.files import (
     decode_lines,
     file_included,
@@ -203,3 +205,34 @@ def stream_pattern_search(spark, sf_dir):
     return spark.read.schema("raw string").parquet(f"{out}/data").groupBy("raw").agg(
         F.count(F.lit(1)).alias("copies")
     )
+
+
+@query(
+    f"""WITH {views.NUMBERED} SELECT 'json' AS channel, '2024-01-31' AS run_date, raw FROM l WHERE event_type = 'error'
+    UNION ALL SELECT 'text', '2024-01-31', raw FROM l WHERE event_type = 'error'"""
+)
+def write_all(spark, sf_dir):
+    """One result to two channels, read back."""
+    path = f"{checkpoint_dir(spark)}/all-{uuid.uuid4().hex}"
+    found = views.lines(spark, sf_dir).filter(Patterns.of(r"error\[").selects()).select("file", "raw")
+    day = dt.date(2024, 1, 31)
+    sinks.write_all(found, [to_directory(f"{path}/{fmt}", fmt, day) for fmt in ("json", "text")])
+    schemas = {"json": "raw string, run_date string", "text": "value string, run_date string"}
+    one, two = (spark.read.format(f).schema(schemas[f]).load(f"{path}/{f}").toDF("raw", "run_date").withColumn("channel", F.lit(f)) for f in schemas)
+    return one.union(two).select("channel", "run_date", "raw")
+
+
+@query(
+    f"""WITH {views.NUMBERED} SELECT 'errors' AS stream, raw, count(*) AS copies FROM l WHERE event_type = 'error' GROUP BY raw
+    UNION ALL SELECT 'signups', raw, count(*) FROM l WHERE event_type = 'signup' GROUP BY raw"""
+)
+def stream_to(spark, sf_dir):
+    """Two streams into one folder, one of them started twice: each line is written once."""
+    lines, path = f"{_written(spark, sf_dir)}/*", f"{checkpoint_dir(spark)}/streams-{uuid.uuid4().hex}"
+    target = to_directory(path, "parquet", dt.date(2024, 1, 31))
+    for name, tag in (("errors", "error"), ("signups", "signup"), ("errors", "error")):
+        found = read_line_stream(spark, lines).filter(Patterns.of(rf"{tag}\[").selects()).select("raw")
+        streaming.stream_to(found, [target], f"{name}-{path.rsplit('-', 1)[1]}").awaitTermination()
+    back = spark.read.schema("raw string, run_date string, stream string, batch int").parquet(path)
+    stream = F.substring_index("stream", "-", 1).alias("stream")
+    return back.groupBy(stream, "raw").agg(F.count(F.lit(1)).alias("copies"))

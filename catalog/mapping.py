@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog import daemons, views
 from catalog.daemons import ADDRESS, USER
 from catalog.registry import query
+from logweave import LogSearch, Patterns
 from logweave.operators import mapping
 from logweave.operators.headers import parse_headers
 from logweave.operators.rules import apply_rules
@@ -119,3 +120,29 @@ def name_addresses_and_users(spark, sf_dir):
         _parsed(spark, sf_dir), _APPS, addresses=_names(spark, sf_dir), users=_users(spark, sf_dir)
     )
     return named.select("event_id", F.col("fields")["client"].alias("client"), F.col("fields")["uid"].alias("uid"))
+
+
+_SHOWN = _TOKENS.replace(
+    "f AS (SELECT event_id",
+    """n0 AS (SELECT e.*, row_number() OVER (PARTITION BY file ORDER BY ts, event_id) AS line_no FROM e),
+near AS (SELECT DISTINCT n0.event_id FROM n0 JOIN n0 AS hit ON n0.file = hit.file AND n0.line_no BETWEEN hit.line_no - 1 AND hit.line_no + 2
+         WHERE hit.event_type = 'error' AND hit.k = 7),
+f AS (SELECT event_id""",
+    1,
+).replace("user_id FROM e),", "user_id FROM e WHERE event_id IN (SELECT event_id FROM near)),", 1)
+
+
+@query(
+    f"""{_SHOWN} SELECT event_id, {_PREFIX} || host_t || ' sshd[' || thread_t || ']: ' || CASE event_type
+        WHEN 'signup' THEN 'Accepted publickey for ' || user_t || ' from ' || client_t || ' port 22 ssh2'
+        WHEN 'purchase' THEN 'Accepted password for ' || user_t || ' from ' || client_t || ' port 22 ssh2'
+        WHEN 'error' THEN 'Failed password for ' || user_t || ' from ' || client_t || ' port 22 ssh2'
+        WHEN 'view' THEN 'Connection closed by ' || client_t
+        ELSE 'pam_unix(sshd:session): session opened for user ' || user_t || ' by (uid=' || uid_t || ')' END AS raw,
+        CASE WHEN event_type = 'error' AND k = 7 THEN 'match' ELSE 'context' END AS kind
+    FROM m"""
+)
+def masked_context(spark, sf_dir):
+    """Matches and their neighbours, all masked; tokens are numbered over what is shown."""
+    run = LogSearch(patterns=Patterns.of(r"Failed password for \w+ from 10\.0\.\d\.7 "), apps=(sshd.APP,), mask=True)
+    return run.context(views.numbered(spark, sf_dir, daemons.SSHD), before=1, after=2).select("event_id", "raw", "kind")

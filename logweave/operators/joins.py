@@ -80,13 +80,14 @@ def semi_join(left: DataFrame, right: DataFrame, on: list[str], broadcast_rows:
     """
     right = stage(right.select(*on))
     rows = right.count()
+    columns = left.columns
     if rows <= broadcast_rows:
-        return left.join(F.broadcast(right), on, "left_semi")
+        return left.join(F.broadcast(right), on, "left_semi").select(*columns)
     bit = F.pmod(F.xxhash64(*on), F.lit(BITMAP_BITS)).cast("int").alias("_bit")
     set_ = stage(right.select(bit).distinct())
-    columns = left.columns
-    left = left.withColumn("_bit", bit).join(F.broadcast(set_), ["_bit"], "left_semi").select(*columns)
-    return join_checked(left, right, on, "left_semi", staged=False, rows=rows, broadcast_rows=broadcast_rows)
+    left = left.withColumn("_bit", bit).join(F.broadcast(set_), ["_bit"], "left_semi").drop("_bit")
+    kept = join_checked(left, right, on, "left_semi", staged=False, rows=rows, broadcast_rows=broadcast_rows)
+    return kept.select(*columns)
 
 
 def row_hash(df: DataFrame, keys: list[str]) -> Column:

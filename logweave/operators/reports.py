@@ -161,13 +161,14 @@ def totals(results: DataFrame, picks: Iterable[Pick]) -> DataFrame:
 
 
 def top_values(
-    results: DataFrame, picks: Iterable[tuple[int, int, Pick]]
+    results: DataFrame, picks: Iterable[tuple[int, int, Pick]], lines: DataFrame | None = None
 ) -> DataFrame:
     """``list_no, pick_no, rank, total, value`` for ``(list_no, size, pick)`` triples.
 
     The ``size`` highest distinct totals of every pick; equal totals share a rank
     and each value has its own row.  With a value field that is not added up, the
-    largest counter rows count instead, and a value can appear more than once.
+    largest counter rows count instead, and a value can appear more than once; they
+    are taken from ``lines`` with ``rule, host, fields``, if given.
     """
     picks = list(picks)
     parts = []
@@ -176,14 +177,15 @@ def top_values(
     if summed:
         parts.append(_top_summed(results, summed))
     if largest:
-        parts.append(_top_largest(results, largest))
+        parts.append(_top_largest(results if lines is None else lines, largest))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _exploded(results: DataFrame, picks, amount) -> DataFrame:
+def _exploded(results: DataFrame, picks, amount, whole: Column | None = None) -> DataFrame:
+    more = [] if whole is None else [whole.alias("whole")]
     entry = F.array(
         *[
             F.when(
@@ -194,6 +196,7 @@ def _exploded(results: DataFrame, picks, amount) -> DataFrame:
                     F.lit(size).alias("_size"),
                     value_of(p.fields[0]).alias("value"),
                     amount(p).cast("bigint").alias("total"),
+                    *more,
                 ),
             )
             for n, i, size, p in picks
@@ -215,9 +218,24 @@ def _top_summed(results: DataFrame, picks) -> DataFrame:
 
 
 def _top_largest(results: DataFrame, picks) -> DataFrame:
+    """The rows of largest values, each counter key once.
+
+    First the values alone: of those each task keeps the largest distinct ones, and the
+    last of a list is a value that no row of the list is below.  Then only the rows
+    from there on are told apart by their keys.
+    """
     key = ["list_no", "pick_no", "_size"]
-    rows = _exploded(results, picks, lambda p: value_of(p.value).try_cast("bigint"))
-    ranked = _ranked(rows.filter("total is not null"), key, ["total", "value"], picks)
+    # the counter key of a row: a row of ``results`` may be a line, of which a key has many
+    whole = F.struct("rule", "host", F.array_sort(F.map_entries("fields")))
+    rows = _exploded(results, picks, lambda p: value_of(p.value).try_cast("bigint"), whole).filter("total is not null")
+    biggest = max(size for _, _, size, _ in picks)
+    if biggest <= 1000:
+        by = W.partitionBy(*key).orderBy(F.col("total").desc())
+        values = rows.select(*key, "total").distinct().withColumn("_rank", F.dense_rank().over(by)).filter(F.col("_rank") <= biggest)
+        # one row per pick
+        least = values.filter("_rank <= _size").groupBy("pick_no").agg(F.min("total").alias("_least"))
+        rows = rows.join(F.broadcast(least), "pick_no").filter("total >= _least")
+    ranked = _ranked(rows.select(*key, "value", "total", "whole").distinct(), key, ["total", "value"], picks)
     return ranked.select("list_no", "pick_no", "rank", "total", "value")
 
 
@@ -371,25 +389,38 @@ def _place_items(apps, sections: Iterable[Section], active: dict[str, set[str]])
 
 def needed_fields(
     apps, sections: Iterable[Section], active: dict[str, set[str]] | None = None
-) -> dict[tuple[str, str], set[str] | None]:
+) -> dict[tuple[str, str], set[str]]:
     """What a report asks of ``rule_results``: rules, and the fields of each.
 
-    A list of largest values shows single counters, so it needs all fields.
+    Lists of largest values need no counters but the lines themselves (``largest_rules``).
     """
     apps = list(apps)
-    needed: dict[tuple[str, str], set[str] | None] = {}
-    for entry in _place_items(apps, sections, active or _all_rules(apps)):
-        for pick in entry.item.picks:
-            key = (entry.app, pick.rule)
+    needed: dict[tuple[str, str], set[str]] = {}
+    for entry, pick in _picks(_place_items(apps, sections, active or _all_rules(apps))):
+        if not _is_largest(entry.item, pick):
             used = {*pick.fields, *([pick.value] if pick.value else [])}
             used |= {pick.where.field} if pick.where else set()
-            if entry.item.function == "top" and pick.value and not pick.add:
-                needed[key] = None
-            elif needed.get(key, used) is not None:
-                needed[key] = needed.get(key, set()) | used
+            needed.setdefault((entry.app, pick.rule), set()).update(used)
     return needed
 
 
+def largest_rules(
+    apps, sections: Iterable[Section], active: dict[str, set[str]] | None = None
+) -> dict[tuple[str, str], None]:
+    """The rules of lists of largest values, whose lines are told apart by all fields."""
+    apps = list(apps)
+    placed = _place_items(apps, sections, active or _all_rules(apps))
+    return {(entry.app, pick.rule): None for entry, pick in _picks(placed) if _is_largest(entry.item, pick)}
+
+
+def _picks(placed: list[_Placed]) -> list[tuple[_Placed, Pick]]:
+    return [(entry, pick) for entry in placed for pick in entry.item.picks]
+
+
+def _is_largest(item: Item, pick: Pick) -> bool:
+    return item.function == "top" and pick.value is not None and not pick.add
+
+
 def _all_rules(apps) -> dict[str, set[str]]:
     return {a.name: {r.name for r in a.rules} for a in apps}
 
@@ -400,6 +431,7 @@ def report(
     sections: Iterable[Section],
     limit: int = 5,
     active: dict[str, set[str]] | None = None,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of a report: ``item_no, subreport, title, app, row_no, part, cols``.
 
@@ -407,24 +439,23 @@ def report(
     follow each other and are told apart by ``part``; other rows have part 0.
 
     ``results`` is the output of ``rule_results``.  The counters are staged once and
-    read three times, by the totals, the top lists and the tables.  Items without
-    rows do not appear.
+    read three times, by the totals, the top lists and the tables.  Lists of largest
+    values are made from ``lines`` with ``app, rule, host, fields``, if given; the
+    counters then need no more than the other items ask for.  Items without rows do
+    not appear.
     """
     apps = list(apps)
     active = active or _all_rules(apps)
     placed = _place_items(apps, sections, active)
     results = stage(results)
     rows = []
-    flat = []
-    # every pick makes at most one row of a counter
-    bound = results.count() * sum(len(e.item.picks) for e in placed)
-    for entry in placed:
-        for pick in entry.item.picks:
-            flat.append((entry, pick))
+    flat = _picks(placed)
+    # every pick makes at most one row of a counter, or as many as the list of largest values has
+    bound = results.count() * len(flat) + sum(e.item.top for e, p in flat if _is_largest(e.item, p))
     if totals_ := [(i, e, p) for i, (e, p) in enumerate(flat) if e.item.function == "total"]:
         rows.append(_total_rows(results, totals_))
     if tops := [(i, e, p) for i, (e, p) in enumerate(flat) if e.item.function == "top"]:
-        rows.append(_top_rows(results, tops))
+        rows.append(_top_rows(results, tops, lines))
     if any(e.item.function == "table" for e in placed):
         rows.append(_table_rows(results, [e for e in placed if e.item.function == "table"], limit, bound))
     if not rows:
@@ -497,9 +528,9 @@ def _total_rows(results: DataFrame, entries) -> DataFrame:
     )
 
 
-def _top_rows(results: DataFrame, entries) -> DataFrame:
+def _top_rows(results: DataFrame, entries, lines: DataFrame | None = None) -> DataFrame:
     triples = [(e.no, e.item.top, _scoped(e, p)) for _, e, p in entries]
-    found = top_values(_qualified(results), triples)
+    found = top_values(_qualified(results), triples, None if lines is None else _qualified(lines))
     entries = [(i, e, p) for i, (_, e, p) in enumerate(entries)]
     cols = F.array(_with_unit(F.col("total"), entries), F.col("value"))
     return found.select(

@@ -419,6 +419,11 @@ def rule_results(
     )
 
 
+def lines_of_rules(selected: DataFrame, rules: Iterable[tuple[str, str]]) -> DataFrame:
+    """What counters are made from, of the lines that the given rules matched."""
+    return _only_needed(selected, dict.fromkeys(rules))
+
+
 def _only_needed(selected: DataFrame, needed: dict[tuple[str, str], set[str] | None]) -> DataFrame:
     label = "concat_ws('/', app, rule)"
     labels = {f"{app}/{rule}": fields for (app, rule), fields in needed.items()}

@@ -32,6 +32,7 @@ from logweave.operators.rules import (
     choose_apps,
     extra_tags,
     fold_repeats,
+    lines_of_rules,
     route,
     rule_results,
     select_mode,
@@ -309,8 +310,14 @@ class LogSearch:
         # under filters only rules that use all fields of a group can select
         active = {a.name: {r.name for r in bind_rules(a, self.filters) if r.full} for a in self.active_apps}
         needed = reports.needed_fields(self.active_apps, sections, active)
-        results = rule_results(self.select(lines), needed)
-        return reports.report(results, self.active_apps, sections, limit, active)
+        largest = reports.largest_rules(self.active_apps, sections, active)
+        selected, of_largest = self.select(lines), None
+        if largest:
+            # the rules run once; the counters and the largest values are made from what they found
+            selected = stage(lines_of_rules(selected, dict.fromkeys(needed | largest)))
+            of_largest = lines_of_rules(selected, largest)
+        results = rule_results(selected, needed)
+        return reports.report(results, self.active_apps, sections, limit, active, of_largest)
 
 
 def _selected_counts(found: DataFrame, selected: Column) -> list[Column]:

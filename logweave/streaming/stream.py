@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.joins import checkpoint_dir, stage
+from logweave.operators.joins import checkpoint_dir, staged
 from logweave.sources.files import file_name
 
 
@@ -36,19 +36,22 @@ def require_batch(df: DataFrame, what: str) -> None:
         raise ValueError(f"{what} needs a batch, not a stream")
 
 
-def stream_to(df: DataFrame, channels: Iterable[Callable[[DataFrame, int], None]], name: str, **trigger):
-    """Send every micro-batch, with its number, to all channels.
+def stream_to(df: DataFrame, channels: Iterable[Callable[..., None]], name: str, **trigger):
+    """Send every micro-batch, with its number and the stream's name, to all channels.
 
-    Progress, and a batch for several channels, are kept in the shared folder.  A
-    batch may be sent again after a failure; channels that write replace it then.
+    Progress is kept in the shared folder, and so is a batch for several channels while
+    it is sent.  A batch may be sent again after a failure; channels that write know by
+    their log what they have of it.  Streams of one run need names of their own.
     """
     channels = list(channels)
 
     def send(batch: DataFrame, number: int) -> None:
-        if len(channels) > 1:
-            batch = stage(batch)
-        for channel in channels:
-            channel(batch, number)
+        if len(channels) == 1:
+            channels[0](batch, number, name)
+            return
+        with staged(batch) as table:
+            for channel in channels:
+                channel(table, number, name)
 
     return (
         df.writeStream.foreachBatch(send)

@@ -167,10 +167,53 @@ def test_stream(spark, tmp_path):
     run_.awaitTermination()
     assert spark.read.json(str(tmp_path / "json")).select("user", "rule").collect() == [("eve", "accepted")]
     assert [r.value for r in spark.read.text(str(tmp_path / "raw")).collect()] == [LOG[1]]
-    assert list((tmp_path / "raw" / "run_date=2015-01-06" / "batch=0").glob("*.gz"))
-    again = sinks.to_directory(str(tmp_path / "raw"), "text", dt.date(2015, 1, 6), gzip=True)
-    again(spark.createDataFrame([(LOG[1],)], "raw string"), 0)  # a batch sent once more
-    assert [r.value for r in spark.read.text(str(tmp_path / "raw")).collect()] == [LOG[1]]
+    (folder,) = (tmp_path / "raw" / "run_date=2015-01-06").glob("stream=*/batch=0")
+    assert list(folder.glob("*.gz"))
+
+
+def test_batches_sent_again(spark, tmp_path):
+    """A batch is written once: passed over when it is complete, replaced on its first day when it is not."""
+    path = str(tmp_path / "out")
+    batch = lambda *texts: spark.createDataFrame([(t,) for t in texts], "raw string")
+    first, later = sinks.to_directory(path, run_date=dt.date(2015, 1, 6)), sinks.to_directory(path, run_date=dt.date(2015, 1, 7))
+    written = lambda: sorted((r.value, str(r.run_date), r.batch) for r in spark.read.text(path).collect())
+    first(batch("a"), 0, "one")
+    later(batch("a"), 0, "one")
+    assert written() == [("a", "2015-01-06", 0)]
+    log = sinks.CommitLog(spark, path, "one")
+    assert log.open(1, "2015-01-06") == "2015-01-06"  # the writer was lost behind this
+    later(batch("b", "c"), 1, "one")
+    assert log.open(1, "2015-01-09") is None
+    assert written() == [("a", "2015-01-06", 0), ("b", "2015-01-06", 1), ("c", "2015-01-06", 1)]
+    later(batch("d"), 0, "two")  # another stream into the same folder
+    later(batch("e"), 0, "t_wo/")
+    assert [w for w in written() if w[0] in "de"] == [("d", "2015-01-07", 0), ("e", "2015-01-07", 0)]
+
+
+def test_streams_into_one_folder_and_restarts(spark, tmp_path):
+    """Nothing is lost or written twice, and no stage of a batch stays behind."""
+    from logweave.operators.joins import _stage_dir
+
+    write(tmp_path / "in" / "a.log", LOG)
+    names = [f"s{n}-{uuid.uuid4().hex}" for n in range(2)]
+    out = str(tmp_path / "out")
+    stages = lambda: set(os.listdir(_stage_dir(spark).removeprefix("file:"))) if os.path.isdir(_stage_dir(spark).removeprefix("file:")) else set()
+    before = stages()
+
+    def run(name):
+        found = read_line_stream(spark, str(tmp_path / "in")).select("raw")
+        stream_to(found, [sinks.to_directory(out), sinks.to_directory(out + "-json", "json")], name).awaitTermination()
+
+    run(names[0])
+    run(names[1])
+    write(tmp_path / "in" / "b.log", ["later"])
+    run(names[0])  # taken up again: only the new file
+    for back in (spark.read.text(out).toDF("raw", "run_date", "stream", "batch"), spark.read.json(out + "-json")):
+        got = {}
+        for r in back.collect():
+            got.setdefault(r.stream, []).append(r.raw)
+        assert sorted(map(sorted, got.values())) == sorted([sorted(LOG), sorted([*LOG, "later"])])
+    assert stages() == before
 
 
 @pytest.mark.parametrize(
