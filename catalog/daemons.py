@@ -66,8 +66,11 @@ CRON = _by_type(
 ASA = _by_type(
     signup=f"'%ASA-4-106023: Deny inbound udp from ' || {ADDRESS} || '/53 to 10.9.0.1/' || k || ' on interface inside'",
     purchase=f"'%ASA-5-111008: User ''' || {USER} || ''' executed the ''show run ' || k || ''' command'",
-    view=f"'%ASA-6-1: connect from ' || {CLIENT}",
-    error=f"'%ASA-6-2: ' || {QUEUE} || ': from=<' || {MAIL} || '>, size=' || v || ', nrcpt=2'",
+    view=f"'%ASA-6-605005: Login permitted from ' || {ADDRESS} || '/99 to inside:10.9.0.1/ssh for user \"' || {USER} || '\"'",
+    error=(
+        f"'%ASA-6-302014: Teardown TCP connection ' || event_id || ' for outside:' || {ADDRESS}"
+        " || '/80 to inside:10.9.0.1/99 duration 0:00:10 bytes ' || v || ' TCP FINs'"
+    ),
     click="'%ASA-7-609001: Built local-host ' || k",
 )
 

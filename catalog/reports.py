@@ -311,10 +311,22 @@ def report_barracuda(spark, sf_dir):
     return _report(spark, sf_dir, barracuda.APP, daemons.BARRACUDA)
 
 
-_ENVELOPES = "count(*) FILTER (WHERE event_type = 'error')"
+_TORN = "event_type = 'error'"
 
 
-@query(f"WITH {views.EVENTS} " + _total_item("Inspected mail", [(_ENVELOPES, "Messages seen")]))
+@query(
+    f"WITH {views.EVENTS} "
+    + _total_item(
+        "Connections",
+        [
+            (f"CAST(count(*) FILTER (WHERE {_TORN}) AS VARCHAR)", "Torn down"),
+            (_bytes(f"CAST(sum(CASE WHEN {_TORN} THEN v ELSE 0 END) AS BIGINT)"), "Bytes of those torn down"),
+            ("CAST(count(*) FILTER (WHERE event_type = 'signup') AS VARCHAR)", "Denied"),
+        ],
+    ).replace("'Mail report'", "'Network'")
+    + " UNION ALL "
+    + _top_item("Peers with most bytes", _TORN, ADDRESS, 5, "sum(v)", _bytes("t"), section="Network")
+)
 def report_asa(spark, sf_dir):
     return _report(spark, sf_dir, asa.APP, daemons.ASA)
 

@@ -251,10 +251,10 @@ def pack_dovecot(spark, sf_dir):
 @query(
     f"""WITH {views.EVENTS} SELECT event_id,
         CASE event_type WHEN 'signup' THEN 'denied' WHEN 'purchase' THEN 'command'
-             WHEN 'view' THEN 'connect' WHEN 'error' THEN 'envelope' END AS rule,
-        CASE WHEN event_type = 'signup' THEN {ADDRESS} END AS client1,
-        CASE WHEN event_type = 'signup' THEN 'udp' END AS protocol,
-        CASE WHEN event_type = 'purchase' THEN {USER} END AS user,
+             WHEN 'view' THEN 'login_permitted' WHEN 'error' THEN 'torn_down' END AS rule,
+        CASE WHEN event_type IN ('signup', 'error') THEN {ADDRESS} END AS client1,
+        CASE event_type WHEN 'signup' THEN 'udp' WHEN 'error' THEN 'TCP' END AS protocol,
+        CASE WHEN event_type IN ('purchase', 'view') THEN {USER} END AS user,
         CASE WHEN event_type = 'purchase' THEN 'show run ' || k END AS command,
         CASE WHEN event_type = 'error' THEN CAST(v AS VARCHAR) END AS size FROM e"""
 )

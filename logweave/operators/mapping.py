@@ -276,6 +276,17 @@ def map_fields(
     return _name_values(parsed, (by_address, addresses), (by_uid, users), BROADCAST_ROWS)
 
 
+#: Names whose values are withheld where they stand as ``name=value`` outside the groups of a rule.
+NAMED = "user|ruser|login|logname|owner|client|host|rhost|addr|laddr|from|to|rcpt|orig_to|mail|uid|euid|auid|rip|lip|ip"
+
+
+def withhold_named(text: Column) -> Column:
+    """Hide the values of ``name=value`` that are no tokens: what a rule took no notice of may still tell who it was."""
+    value = r"""(?:<[^>]*>|"[^"]*"|'[^']*'|[^\s,;()\[\]<>"']+)"""
+    token = r"""[<"']?[A-Z][A-Z_]*_[0-9]{2,}(?![0-9A-Za-z])"""
+    return F.regexp_replace(text, rf"(?i)(?<![\w.-])({NAMED})=(?-i:(?!{token})){value}", "$1=?")
+
+
 def rewrite_raw(
     mapped: DataFrame,
     apps: Iterable[App],

@@ -15,6 +15,7 @@ def default_sections():
     return [
         Section("login", "Logins"),
         Section("mail", "Mail report"),
+        Section("network", "Network"),
         Section("command", "System commands"),
         Section("query", "Database lookups"),
     ]

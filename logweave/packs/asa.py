@@ -1,7 +1,7 @@
 """Cisco ASA security appliance.
 
 Every message has a number, documented in the vendor's list of system messages; a rule takes the messages
-of one or a few numbers.  ``connect`` and ``envelope`` are of the mail inspection.
+of one or a few numbers.
 """
 
 from logweave.operators.reports import Item, Pick
@@ -33,13 +33,17 @@ APP = App(
             r"Built (?:inbound|outbound) {protocol:word} connection {thread:number} for "
             r"{interface:interface}:{client1:client}/\d+ .*to [^\s:]+:{client2:client}/\d+",
         ),
-        _message("torn_down", "3020\\d\\d", r"Teardown {protocol:word} connection {thread:number} .*bytes {size:number}"),
+        _message("torn_down", "3020\\d\\d", r"Teardown {protocol:word} connection {thread:number} for [^\s:/]+:{client1:client}/\d+ .*bytes {size:number}"),
         _message("login_denied", "605004", r"Login denied from {client}/\d+ to \S+ for user [\"']{user}[\"']"),
         _message("authentication_rejected", "113005|113015", "AAA user authentication Rejected : reason = {reason:clause} : .*user = {user}"),
         _message("login_permitted", "605005", r"Login permitted from {client}/\d+ to \S+ for user [\"']{user}[\"']"),
-        Rule("connect", ": connect from {client}"),
-        Rule("envelope", ": {thread:queue}: from=<{from}>, size={size:number}, nrcpt={mult:number}"),
     ),
     fragments={"quoted": "[^']*", "clause": "[^:]+", "interface": r"[^\s:]+"},
-    items=(Item("mail", "Inspected mail", "total", (Pick("envelope", ('"Messages seen"',)),)),),
+    items=(
+        Item("network", "Connections", "total", (
+            Pick("built", ('"Built"',)), Pick("torn_down", ('"Torn down"',)),
+            Pick("torn_down", ('"Bytes of those torn down"',), value="size", unit="B"), Pick("denied", ('"Denied"',)),
+        )),
+        Item("network", "Peers with most bytes", "top", (Pick("torn_down", ("client1",), value="size", add=True, unit="B"),), ("Peer",), top=5),
+    ),
 )

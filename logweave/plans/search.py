@@ -22,7 +22,7 @@ from logweave.operators.headers import (
     unknown_files,
 )
 from logweave.operators.joins import join_checked, stage
-from logweave.operators.mapping import map_fields, rewrite_raw
+from logweave.operators.mapping import map_fields, rewrite_raw, withhold_named
 from logweave.operators.patternindex import PatternTable
 from logweave.operators.rules import (
     App,
@@ -57,7 +57,8 @@ class LogSearch:
 
     With ``mask``, ``addresses`` or ``users`` all lines that are given out are mapped,
     neighbours too.  Masked lines that no rule matched have no known values, so their
-    text is withheld.  A mode without rules cannot be mapped.
+    text is withheld; so are values that stand as ``user=...`` and the like in what a
+    rule took no notice of.  A mode without rules cannot be mapped.
     """
 
     patterns: Patterns | PatternTable = Patterns()
@@ -203,8 +204,8 @@ class LogSearch:
         found = rewrite_raw(found, self.active_apps, self.formats)
         if not self.mask:
             return found
-        hidden = [c for c in ("raw", "message", "host") if c in found.columns]
-        found = found.withColumns({c: F.when(F.col("matched"), F.col(c)) for c in hidden})
+        hidden = {c: withhold_named(F.col(c)) for c in ("raw", "message") if c in found.columns} | {"host": F.col("host")}
+        found = found.withColumns({c: F.when(F.col("matched"), value) for c, value in hidden.items()})
         # a process id may be the thread
         return found.withColumn("procid", F.lit(None).cast("string"))
 

@@ -212,8 +212,6 @@ RULE_LINES = {
         "%ASA-4-605004: Login denied from 1.1.1.1/99 to inside:2.2.2.2/ssh for user \"ann\"",
         "%ASA-6-113005: AAA user authentication Rejected : reason = Invalid password : server = 3.3.3.3 : user = ann",
         "%ASA-6-605005: Login permitted from 1.1.1.1/99 to inside:2.2.2.2/ssh for user \"ann\"",
-        "%ASA-6-1: connect from 1.1.1.1",
-        "%ASA-6-1: 0123456789A: from=<a@x.org>, size=12, nrcpt=1",
         "%ASA-7-609001: Built local-host inside:1.1.1.1",
     ],
     "barracuda": [

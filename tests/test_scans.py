@@ -143,3 +143,22 @@ def test_counters_stay_narrow_beside_largest_values(spark, lines_of):
     rows = [(r.title, *r.cols) for r in got]
     assert [r for r in rows if r[0] == "All"] == [("All", "20", "sent"), ("All", "40", "bytes")]
     assert [r[1] for r in rows if r[0] == "Largest"] == ["4", "4"]
+
+
+def test_values_that_no_rule_took_are_withheld(lines_of):
+    message = "pam_unix(sshd:auth): authentication failure; logname=ann uid=0 euid=0 tty=ssh ruser=bobby rhost=10.0.0.1  user=eve"
+    run = LogSearch(apps=(sshd.APP,), mask=True)
+    (row,) = run.select(lines_of([HEAD + "sshd[7]: " + message])).collect()
+    assert row.raw.endswith("; logname=? uid=? euid=? tty=ssh ruser=? rhost=CLIENT_0001  user=USER_0001")
+    assert "bobby" not in row.message and "ann" not in row.message
+
+
+def test_what_counts_as_a_named_value(spark):
+    from logweave.operators.mapping import withhold_named
+
+    cases = {
+        "user=<bob>, x=1": "user=?, x=1", 'User="a b" to=<c@d>': "User=? to=?", "user=<USER_0001>, rip=CLIENT_12": "user=<USER_0001>, rip=CLIENT_12",
+        "superuser=bob myuser=bob": "superuser=bob myuser=bob", "(uid=UID_0001) uid=0": "(uid=UID_0001) uid=?", "user= next": "user= next",
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", withhold_named(F.col("t")).alias("got")).collect()
+    assert {r.t: r.got for r in rows} == cases

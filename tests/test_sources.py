@@ -258,7 +258,7 @@ def test_csv_tables(spark, tmp_path, lines_of):
     (path,) = sinks.write_csv_tables(report, {no: item}, str(tmp_path / "csv"))
     texts = [r.value for r in spark.read.text(path).collect()]
     assert texts == [
-        "Username|Service|Server::client",
+        "User|Access|Server and client",
         "bob|password|gate::10.0.0.1(2)",
         "eve|password|gate::10.0.0.2(2)",
     ]
