@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from logweave.llm import neighbours as N
 
@@ -34,8 +35,9 @@ def test_small_tables_are_exact(spark):
     rows += [(100, rows[3][1]), (101, rows[3][1])]  # ties
     bad = [(200, None), (201, [0.0] * 8), (202, [1.0, None] + [0.0] * 6), (203, [float("nan")] * 8), (204, [float("inf")] * 8), (205, [1.0]), (206, []), (None, rows[0][1])]
     queries = [rows[0], rows[3], (100, rows[3][1]), *bad]
-    index = N.Index(8, np.zeros((1, 8)), np.eye(8))
+    index = N.Index(8, np.zeros((1, 8)), np.eye(8), 1, np.zeros((0, 8)), np.zeros(0, np.int64))
     assert run(spark, rows + bad, queries, k=20, index=index) == brute(rows, queries[:3], 20)
+    assert run(spark, rows + bad, queries, k=20) == brute(rows, queries[:3], 20)
     assert run(spark, rows[:1], rows[:1]) == {}
     assert run(spark, [], []) == {}
     assert run(spark, bad, bad[:-1] + [rows[0]])== {}
@@ -55,6 +57,56 @@ def test_recall_with_a_common_vector(spark):
     assert [i for _, i in got[7]] == list(range(10_000, 10_010))
 
 
+@pytest.mark.parametrize("count", [2, 5, 10, 12, 60, 100])
+def test_the_default_index_is_exact_on_few_rows(spark, count):
+    rng = np.random.default_rng(count)
+    rows = [(i, floats(rng.normal(size=16))) for i in range(count)]
+    assert run(spark, rows, rows) == brute(rows, rows, 10)
+
+
+def test_rows_with_the_own_id_do_not_crowd_out_others(spark, monkeypatch):
+    """All near rows have the query's id; the others are far away, in lists that are not probed at first."""
+    monkeypatch.setattr(N, "LEAST_CANDIDATES", 50)
+    rng = np.random.default_rng(4)
+    rows = [(7, floats(rng.normal(size=8) * 0.01)) for _ in range(600)] + [(100 + i, floats(20 + rng.normal(size=8))) for i in range(15)]
+    index = N.Index(8, np.array([np.zeros(8), np.full(8, 20.0)]), np.eye(8), 1, np.zeros((0, 8)), np.zeros(0, np.int64))
+    least = (7, min(v for i, v in rows if i == 7))
+    assert run(spark, rows, [least], index=index) == brute(rows, [least], 10)
+
+
+def test_probes_are_measured():
+    """Few lists for vectors in clusters, many for those without."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32)) * 10
+    clustered = centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 32))
+    plain = rng.normal(size=(4000, 32))
+    probes = []
+    for found in (clustered, plain):
+        index = N.Index(32, found[rng.permutation(4000)[:60]], np.eye(32), 1, found[:10], np.arange(10))
+        probes.append(N._probes(index, found, 10, rng))
+    assert probes[0] <= 6 < 20 < probes[1] <= 60
+
+
+def test_bounds_are_never_too_small():
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(300, 8))
+    index = N.Index(8, rows[:1], np.eye(8), 1, rows[:100], np.arange(100))
+    bounds = index.bounds(np.arange(300), rows, 5)
+    for i in range(300):
+        exact = sorted(((rows - rows[i]) ** 2).sum(axis=1)[np.arange(300) != i])
+        assert bounds[i] >= exact[4] - 1e-12
+    assert np.isinf(index.bounds(np.arange(3), rows[:3], 200)).all()
+
+
+def test_fewer_distances_with_a_bound():
+    rng = np.random.default_rng(7)
+    block = rng.normal(size=(512, 64))
+    query = rng.normal(size=64)
+    exact = np.sort(((block - query) ** 2).sum(axis=1))
+    kept = len(N.scan(block, block, query, query, 11)[0])
+    assert len(N.scan(block, block, query, query, 11, exact[3])[0]) < kept
+
+
 def test_scan_gives_up_far_candidates():
     rng = np.random.default_rng(3)
     block = np.r_[rng.normal(size=(50, 64)) * 0.1, rng.normal(size=(500, 64)) * 3]
