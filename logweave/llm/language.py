@@ -5,13 +5,14 @@ document frequency, of length 1.  Each language has a few centroids from spheric
 language of the centroid with the largest cosine; it is rejected if that is less than the centroid's
 threshold for texts with about as many distinct n-grams.
 
-Centroids come from at most about ``MAX_ROWS`` texts of each language, chosen by a hash of the id, and have
+Centroids come from at most ``MAX_ROWS`` different texts of each language, chosen by a hash of the text, and have
 ``CENTROIDS * 2 ** BITS`` numbers per language.  Thresholds come from all texts to learn from: counts of
 their cosines, at most ``CENTROIDS * CLASSES * BINS`` numbers per language.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import text as T
+from logweave.llm.sampling import at_most
 
 #: A text of m distinct n-grams in random buckets has a cosine of about sqrt(m / 2 ** BITS) to dense centroids.
 BITS = 14
 CENTROIDS = 3
-#: Texts of a language that training uses, about.
+#: Texts of a language that centroids are fitted on, at most.
 MAX_ROWS = 1500
 ROUNDS = 8
 #: A text is rejected below what all but this share of a centroid's members reach, less a tenth for texts unseen.
@@ -113,12 +115,8 @@ def cluster(rows: np.ndarray, count: int) -> np.ndarray:
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", learnt: str = "true", max_rows: int = MAX_ROWS) -> Model:
     """A model from rows with text and language for which ``learnt`` holds."""
     known = docs.filter(f"`{text}` IS NOT NULL AND `{lang}` IS NOT NULL").filter(learnt)
-    sizes = known.groupBy(F.col(lang).alias("lang")).count()
-    place = F.pmod(F.xxhash64(F.lit(11), id), F.lit(1 << 30))
-    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("place"))
-    known = known.join(F.broadcast(sizes), "lang")  # a row per language
-    every = known.select("lang", "text")
-    known = known.filter(F.col("place").cast("double") * F.col("count") < float(max_rows << 30)).select("lang", "place", "text")
+    every = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = at_most(every, max_rows, ["lang"])
 
     def seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
@@ -130,14 +128,14 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
             both = np.r_[total, n]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both)], ["bucket", "n"])
 
-    found = known.select("text").mapInArrow(seen, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = every.select("text").mapInArrow(seen, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = np.zeros((1 << BITS) + 1)
     for row in found.collect():
         frequency[row.bucket] = row.n
     idf = (np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 0.1).astype(np.float32)
 
     def clustered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "text"])
+        rows = rows.sort_values("text", key=lambda texts: texts.map(lambda t: hashlib.sha256(t.encode()).digest()))
         texts = pa.array(rows["text"], pa.string())
         found = np.concatenate([vectors(texts[i : i + TEXTS], idf) for i in range(0, len(texts), TEXTS)])
         centres = cluster(found, CENTROIDS)
@@ -188,14 +186,18 @@ def reached(known: DataFrame, model: Model) -> np.ndarray:
 def thresholds(found: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Least cosine by centroid and class.
 
-    A class without members of any language takes the next smaller class's threshold, which is lower as a rule,
+    The cosines of a centroid's members count together with ``LEAST_MEMBERS`` of its language's, and those with as
+    many of all languages', so that a threshold moves from the pool's to its own as members come.  A class
+    without members of any language takes the next smaller class's threshold, which is lower as a rule,
     or else what the next larger one's comes to when cosines shrink with the root of the number of n-grams.
     """
     out = np.full(found.shape[:2], np.nan)
     for c, k in np.ndindex(out.shape):
-        pools = found[c, k], found[owner == owner[c], k].sum(axis=0), found[:, k].sum(axis=0)
-        pool = next((p for p in pools if p.sum() >= LEAST_MEMBERS), pools[-1])
+        pools = found[:, k].sum(axis=0), found[owner == owner[c], k].sum(axis=0), found[c, k]
+        pool = pools[0].astype(float)
         if pool.any():
+            for own in pools[1:]:
+                pool = own + pool * (LEAST_MEMBERS / pool.sum())
             below = np.cumsum(pool)
             out[c, k] = np.searchsorted(below, REJECT_SHARE * below[-1], "right") / BINS * REJECT_PART
     some = np.flatnonzero(~np.isnan(out).any(axis=0))

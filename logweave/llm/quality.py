@@ -5,8 +5,7 @@ visible characters.  Its features are hashed n-grams of tokens, hashed n-grams o
 digits, punctuation as it is, same as the token before), and its length.  The score is the sigmoid of the
 sparse dot product of weights and feature shares.
 
-Training takes at most about ``max_rows`` labelled rows, chosen by a hash of the id, in one task; the
-weights are one vector of ``2 ** BITS`` numbers, whatever the size of the corpus.
+Training takes at most ``max_rows`` labelled rows, chosen by hashes, in one task; the weights are one vector of ``2 ** BITS`` numbers, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -19,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm import text as T
+from logweave.llm.sampling import at_most, below
 
 BITS = 18
-#: Rows that training uses, about.
+#: Rows that training uses, at most.
 MAX_ROWS = 8000
 EPOCHS = 4
 #: Learning rate, its smoothing, and the two penalties.
@@ -123,13 +123,18 @@ def _trained(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id: str, label: str, held_out: str, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Labelled rows that are not held out, about ``max_rows`` of them by a hash of the id."""
+    """Labelled rows that are not held out, at most ``max_rows`` of them.
+
+    Ids are chosen by a hash, then rows of ``docs`` with those ids, of which one id may have any number.  Equal
+    rows count once.  An id whose labels contradict each other teaches nothing and is left out.
+    """
     known = labels.filter(f"`{label}` IS NOT NULL AND `{id}` IS NOT NULL").filter(f"NOT ({held_out})")
+    known = known.groupBy(id).agg(F.min(label).alias(label), F.max(label).alias("_other")).filter(F.col(label) == F.col("_other")).drop("_other")
     rows = known.count()
     if rows > max_rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit(7), id), F.lit(1 << 30)) < int(max_rows / rows * (1 << 30)))
-    # at most about max_rows small rows
-    return docs.join(F.broadcast(known.select(id, label).dropDuplicates([id])), id)
+        known = known.filter(below(F.xxhash64(F.lit(7), id), F.lit(max_rows / rows)))
+    # about max_rows small rows
+    return at_most(docs.drop(label).join(F.broadcast(known), id), max_rows)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str = "score", kept: list[str] | None = None) -> DataFrame:
