@@ -14,17 +14,31 @@ from logweave.llm.jaccard import jaccard_join
 from logweave.operators.joins import join_checked, stage
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones of ``docs``, does not reject."""
     weights = quality.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, weights, name="_quality")
-    return scored.filter(F.col("_quality") >= quality.KEPT_FROM).select(*docs.columns)
+    (score,) = unused(docs, "_quality")
+    scored = quality.score(docs, weights, name=score)
+    return scored.filter(F.col(score) >= quality.KEPT_FROM).select(*docs.columns)
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a letter and are near enough to a centroid of a language."""
-    found = language.predict(docs, language.fitted(docs), names=("_lang", "_cosine", "_rejected"))
-    return found.filter("NOT _rejected").select(*docs.columns)
+    names = unused(docs, "_lang", "_cosine", "_rejected")
+    found = language.predict(docs, language.fitted(docs), names=tuple(names))
+    return found.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +48,17 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     smallest hash of all columns comes first.  Rows without words are in no group and all stay.
     """
     columns = [F.col(c) for c in docs.columns]
+    _order, _row = unused(docs, "_order", "_row")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*columns, *(c.isNull() for c in columns)))
     # the number differs between equal rows and is read from the table from here on, never made again
-    rows = stage(docs.select(*columns, order.alias("_order"), F.monotonically_increasing_id().alias("_row")))
-    grouped = jaccard_join(rows, id="_row", size=5, percent=75).filter("n_shingles > 0").drop("n_shingles")
-    grouped = stage(grouped.join(rows.select("_row", "_order"), "_row"))
-    firsts = grouped.groupBy("component_id").agg(F.min(F.struct("_order", "_row"))["_row"].alias("_row"))
-    others = grouped.select("_row").join(firsts.select("_row"), "_row", "left_anti")
-    return join_checked(rows, others, ["_row"], "left_anti", hot_rows=None).select(*docs.columns)
+    rows = stage(docs.select(*columns, order.alias(_order), F.monotonically_increasing_id().alias(_row)))
+    # the join gets the number and the text alone: other columns cannot clash with its own
+    grouped = jaccard_join(rows.select(F.col(_row).alias("row"), "text"), id="row", size=5, percent=75)
+    grouped = grouped.filter("n_shingles > 0").select("row", "component_id")
+    grouped = stage(grouped.join(rows.select(F.col(_row).alias("row"), F.col(_order).alias("order")), "row"))
+    firsts = grouped.groupBy("component_id").agg(F.min(F.struct("order", "row"))["row"].alias("row"))
+    others = grouped.select("row").join(firsts.select("row"), "row", "left_anti").withColumnRenamed("row", _row)
+    return join_checked(rows, others, [_row], "left_anti", hot_rows=None).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
