@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators.joins import stage
+from logweave.operators.joins import join_checked, stage
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -13,9 +13,8 @@ def connected(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until no link changes: every node is tied to the
     smallest neighbour, so the number of steps grows with the logarithm of the longest path.  Each
-    step is kept in shared storage.  Of a node with very many links the join splits the rows (adaptive
-    execution).  Links with a
-    null end or to the node itself are ignored.
+    step is kept in shared storage.  The links of a node with very many are spread over several tasks
+    (``join_checked``).  Links with a null end or to the node itself are ignored.
     """
     links = stage(
         links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -37,7 +36,7 @@ def _star(pairs: DataFrame, kept: str) -> DataFrame:
     """Link each node's neighbours, and in a small star the node itself, to the smallest of them."""
     least = pairs.groupBy("a").agg(F.min("b").alias("least"))
     least = least.withColumn("least", F.least("a", "least"))
-    joined = pairs.join(least, "a")
+    joined = join_checked(pairs, least, ["a"], "inner")
     ends = F.array("b") if kept != "true" else F.array("b", "a")
     moved = joined.filter(kept).select(F.explode(ends).alias("b"), F.col("least").alias("a"))
     return moved.filter("a < b").select("a", "b").distinct()

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -45,8 +44,6 @@ COMMON_SHARE, COMMON_LEAST = 0.001, 64
 CLUSTER_VALUES = 2_000_000
 #: Entries of short lists up to which they are merged with a heap.
 HEAP_ENTRIES = 4096
-#: Least hashes, each by an order of its own, by which sets meet first.
-FIRST_KEYS = 3
 #: How much a binary probe costs against a step of the merge.
 PROBE_COST = 0.01
 _COMMON = np.uint32(0xFFFFFFFF)
@@ -159,16 +156,12 @@ def _merge_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]
                 heappush(heap, (lists[i][place[i]], i))
 
 
-def new_links(
-    sets: list[np.ndarray], sizes: list[int], groups: list[int], percent: int, sides: list[int] | None = None
-) -> list[tuple[int, int]]:
-    """Links of a block that connect different groups, as few as connect all that link.
+def all_links(sets: list[np.ndarray], sizes: list[int], percent: int, sides: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set of a block with the sets before it that it links with; with ``sides`` only with those of side 0.
 
-    Each set in turn searches the inverted lists for sets before it, largest groups first.  A set whose
-    group already has all of them need not.  With ``sides`` only sets of different sides are compared.
+    Each set in turn searches the inverted lists of the block.
     """
-    often = Counter(groups)
-    order = sorted(range(len(sets)), key=lambda i: (sides[i] if sides else 0, -often[groups[i]], groups[i]))
+    order = sorted(range(len(sets)), key=lambda i: sides[i] if sides else 0)
     values = np.concatenate([sets[i] for i in order])
     owner = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
     by = np.argsort(values, kind="stable")
@@ -176,53 +169,58 @@ def new_links(
     begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     ends = np.r_[begins[1:], len(values)]
     keys = values[begins]
-
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
-        return x
-
-    before_other = sum(1 for i in order if sides and sides[i] == 0)
-    out: list[tuple[int, int]] = []
-    known: set[int] = set()
+    numbers, n = np.array(order), np.array([sizes[i] for i in order], np.int64)
+    ahead = sum(1 for i in order if sides and sides[i] == 0)
     for k, i in enumerate(order):
-        if not sides or sides[i] == 0:
-            here = k
-        else:
-            here = before_other
-        known = {root(g) for g in known}
-        if known - {root(groups[i])} and not (sides and sides[i] == 0):
-            lists = []
-            for at in np.searchsorted(keys, sets[i]).tolist():
-                own = owner[begins[at] : ends[at]]
-                if own[0] < here:
-                    lists.append(own if own[-1] < here else own[: np.searchsorted(own, here)])
-            for j, overlap in zip(*(x.tolist() for x in divide_skip(lists, required(sizes[i], percent))), strict=True):
-                j = order[j]
-                a, b = root(groups[i]), root(groups[j])
-                if a != b and links(overlap, sizes[i], sizes[j], percent):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((i, j))
-        if not sides or sides[i] == 0:
-            known.add(groups[i])
-    return out
+        here = k if not sides else ahead if sides[i] else 0
+        lists = []
+        for at in np.searchsorted(keys, sets[i]).tolist() if here else ():
+            own = owner[begins[at] : ends[at]]
+            if own[0] < here:
+                lists.append(own if own[-1] < here else own[: np.searchsorted(own, here)])
+        j, overlap = divide_skip(lists, required(sizes[i], percent))
+        linked = j[links(overlap, sizes[i], n[j], percent)]
+        if len(linked):
+            yield i, numbers[linked]
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Each row's id, ``n_shingles`` and ``component_id``: the smallest id reachable by links.
+    """Each row's id, ``n_shingles``, ``component_id`` (the smallest id reachable by links) and ``n_links``.
 
-    Null or empty texts have no shingles and link with nothing; their component is their own id.
-    Equal sets link.  Repeated rows are rows of their own, with the same result.  Other columns of
+    ``n_links`` is the number of other rows that a row links with.  Null or empty texts have no shingles and
+    link with nothing; their component is their own id.  Equal sets link.  Repeated rows are rows of their own, with the same result.  Other columns of
     ``docs`` are not read.  An empty table gives an empty result.
     """
+    rows, classes, found = class_links(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), size, percent)
+    tied = connected(found).selectExpr("node AS sid", "root")
+    both = found.union(found.select("b", "a"))
+    sizes = classes.select(F.col("sid").alias("b"), "size")
+    others = both.join(sizes, "b").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("others"))
+    classes = classes.join(tied, "sid", "left").join(others, "sid", "left")
+    n_links = F.col("size") - 1 + F.coalesce("others", F.lit(0))
+    classes = stage(classes.select("sid", F.coalesce("root", "sid").alias("root"), "least", n_links.alias("n_links")))
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = classes.join(least, "root").select("sid", "component_id", "n_links")
+    out = rows.withColumn("sid", F.expr("if(n = 0, null, sid)")).join(classes, "sid", "left")
+    return out.select(
+        F.col("id").alias(id),
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def class_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All links between different sets, for ``docs`` with ``id`` and ``text``.
+
+    Rows (``id``, ``n``, ``sid``: the set they have), classes of rows with equal sets (``sid``, ``least`` id, ``size``),
+    and every two classes that link (``a`` < ``b``, by ``sid``).
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     seen = stage(docs.mapInArrow(lambda rows: _summaries(rows, size), _SUMMARY))
     rows = seen.filter("kind = 0")
     classes = rows.filter("n > 0").groupBy("sid").agg(
-        F.min("id").alias("least"), F.min("other").alias("one"), F.max("other").alias("two"), F.min("n").alias("n"), F.max("n").alias("m")
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("other").alias("one"), F.max("other").alias("two"), F.min("n").alias("n"), F.max("n").alias("m")
     )
     totals = classes.agg(
         F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.expr("int(one != two or n != m)")), F.lit(0))
@@ -231,6 +229,9 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
         raise ArithmeticError("two different sets have the same 63-bit signature")
     common_at = max(COMMON_LEAST, math.ceil(COMMON_SHARE * totals[0]))
     common = seen.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") >= common_at)
+    # copies count once for each task, so there may be more than the share allows; which ones are taken only matters for speed
+    most = math.ceil(totals[1] / max(totals[0], 1) / COMMON_SHARE)
+    common = common.orderBy(F.desc("n"), "sid").limit(most)
     common = np.array([r.sid for r in common.select("sid").collect()], np.int64).astype(np.uint64)
     common = spark.sparkContext.broadcast(np.sort(common))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -241,81 +242,34 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     repeated = repeated.repartition(parts, "bucket").sortWithinPartitions("bucket")
     live = stage(repeated.mapInArrow(lambda rows: _live(rows, percent), _LIVE))
 
-    first = live.selectExpr("sid", "sid AS root", "explode(first) AS key")
-    found = stage(_search(live, _first_blocks(first), percent, parts))
-    grouped = connected(found)
+    # two sets that link share a hash of their prefixes
     routed = live.selectExpr("sid", "explode(routed) AS key")
-    routed = routed.join(grouped.selectExpr("node AS sid", "root"), "sid", "left")
-    routed = routed.withColumn("root", F.coalesce("root", "sid"))
-    more = stage(_search(live, _clusters(stage(_tied(routed)), live), percent, parts))
-    if not more.isEmpty():
-        grouped = connected(grouped.selectExpr("root AS a", "node AS b").union(more))
-    tied = grouped.selectExpr("node AS sid", "root")
-
-    classes = classes.select("sid", "least").join(tied, "sid", "left")
-    classes = stage(classes.select("sid", F.coalesce("root", "sid").alias("root"), "least"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.select("sid", "root").join(least, "root").select("sid", "component_id")
-    out = rows.withColumn("sid", F.expr("if(n = 0, null, sid)")).join(classes, "sid", "left")
-    return out.select(
-        F.col("id").alias(id),
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    found = stage(_search(live, _clusters(stage(_tied(routed)), live), percent, parts))
+    return rows, stage(classes.select("sid", "least", "size")), found
 
 
 def _lists(members: DataFrame) -> DataFrame:
-    """Lists with several roots; of lists with the same members one.
-
-    ``main`` is the root with most members, ``others`` the number of members with other roots.
-    """
-    roots = members.groupBy("key", "root").agg(
+    """Lists of several sets; of lists with the same members one."""
+    lists = members.groupBy("key").agg(
         F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("sid")).alias("x"),
         F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"),
     )
-    lists = roots.groupBy("key").agg(
-        F.sum("n").alias("n"),
-        F.max("n").alias("most"),
-        F.max_by("root", F.struct("n", "root")).alias("main"),
-        F.min("root").alias("low"),
-        F.max("root").alias("high"),
-        F.bit_xor("x").alias("x"),
-        F.bit_xor("y").alias("y"),
-    )
-    lists = lists.filter("low < high").groupBy("n", "x", "y").agg(
-        *(F.min_by(c, "key").alias(c) for c in ("main", "most", "low", "high")), F.min("key").alias("key")
-    )
-    parts = F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    return stage(lists.select("key", "main", (F.col("n") - F.col("most")).alias("others"), "low", "high", parts))
+    lists = lists.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    return stage(lists.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
 
 
 def _part() -> Column:
     return F.pmod(F.xxhash64("sid", F.lit(2)), F.col("parts")).cast("int")
 
 
-def _first_blocks(members: DataFrame) -> DataFrame:
-    """Blocks of the lists in ``members``; a long list is cut by hash, and the sets with the least and
-    the greatest root are in all its parts."""
-    lists = _lists(members)
-    found = members.join(lists.select("key", "parts"), "key").select("key", "sid", _part().alias("part"))
-    ends = lists.filter("parts > 1").select(
-        "key",
-        F.explode(F.array("low", "high")).alias("sid"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-    )
-    found = found.union(ends).distinct()
-    return found.select("sid", F.col("sid").alias("root"), F.xxhash64("key", "part").alias("block"), F.lit(-1).alias("side"))
-
-
 def _tied(members: DataFrame) -> DataFrame:
-    """Members of lists that hold several roots, with the list's figures and its least member."""
-    lists = _lists(members)
-    return members.join(lists, "key")
+    """Members of lists of several sets, with the number of parts of the list."""
+    return members.join(_lists(members), "key")
 
 
 def _clusters(tied: DataFrame, live: DataFrame) -> DataFrame:
-    """Blocks in which every two members of a list that have different roots meet.
+    """Blocks in which every two members of a list meet.
 
     Sets that lists tie together, directly or by others, are a block if they have at most
     ``CLUSTER_VALUES`` hashes.  Else each list has blocks of its own.
@@ -326,32 +280,22 @@ def _clusters(tied: DataFrame, live: DataFrame) -> DataFrame:
     bound = bound.union(bound.selectExpr("cluster AS sid", "cluster").distinct())
     weights = bound.join(live.select("sid", "n"), "sid").groupBy("cluster").agg(F.sum("n").alias("weight"))
     bound = stage(bound.join(weights, "cluster").selectExpr("sid", "cluster", f"weight <= {CLUSTER_VALUES} AS small"))
-    small = bound.filter("small").join(tied.select("sid", "root").distinct(), "sid")
-    small = small.select("sid", "root", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"))
+    small = bound.filter("small").select("sid", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"))
     return small.union(_list_blocks(tied.join(bound.filter("not small").select("sid"), "sid", "left_semi")))
 
 
 def _list_blocks(tied: DataFrame) -> DataFrame:
-    """Blocks of each list.
-
-    A list of more than ``BLOCK`` members is cut by hash into parts.  If at most ``BLOCK`` are not of
-    its main root, they are in all parts.  Else every two parts meet, the part itself included.
-    """
-    few = F.col("others") <= BLOCK
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    own = F.when(few & (F.col("root") == F.col("main")), F.array(_part())).otherwise(other)
-    found = tied.select("sid", "root", "key", few.alias("few"), _part().alias("part"), F.explode(own).alias("other"))
+    """Blocks of each list; of one of more than ``BLOCK`` members, cut by hash into parts, every two parts
+    meet, the part itself included."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    found = tied.select("sid", "key", _part().alias("part"), other)
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    return found.select(
-        "sid",
-        "root",
-        F.when(F.col("few"), F.xxhash64("key", "other")).otherwise(F.xxhash64("key", low, high)).alias("block"),
-        F.when(F.col("few") | (F.col("part") == F.col("other")), -1).otherwise(F.expr("int(part > other)")).alias("side"),
-    )
+    side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.expr("int(part > other)"))
+    return found.select("sid", F.xxhash64("key", low, high).alias("block"), side.alias("side"))
 
 
 def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> DataFrame:
-    """New links ``a``, ``b`` found within blocks."""
+    """All links ``a``, ``b`` found within blocks, each once."""
     sets = live.select("sid", "n", "tokens")
     met = blocks.join(sets, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
     return met.mapInArrow(lambda rows: _linked(rows, percent), "a long, b long").distinct()
@@ -360,7 +304,7 @@ def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> Dat
 _SUMMARY = "kind int, id long, n long, sid long, other long"
 _POSTING = "shard int, docs binary, values binary"
 _ENTRY = "bucket int, docs binary, tokens binary, sets binary"
-_LIVE = "sid long, n int, tokens binary, first array<long>, routed array<long>"
+_LIVE = "sid long, n int, tokens binary, routed array<long>"
 _DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
 
 
@@ -520,7 +464,7 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
             if b - a >= least:
                 own = values[a:b]
                 routed = own[np.lexsort((own, sets[a:b]))[: b - a - least + 1]]
-                out.append((int(sid[a]), int(n[a]), own.tobytes(), _least(own), routed.astype(np.int64)))
+                out.append((int(sid[a]), int(n[a]), own.tobytes(), routed.astype(np.int64)))
             if len(out) >= 256:
                 yield _live_batch(out)
                 out = []
@@ -528,32 +472,23 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
         yield _live_batch(out)
 
 
-def _least(values: np.ndarray) -> np.ndarray:
-    """The hashes that come first, each by an order of its own."""
-    orders = (T.mix(values ^ np.uint64(k)) for k in range(FIRST_KEYS))
-    return np.unique([values[np.argmin(o)] for o in orders]).astype(np.int64)
-
-
 def _live_batch(rows: list) -> pa.RecordBatch:
-    sid, n, tokens, first, routed = zip(*rows, strict=True)
+    sid, n, tokens, routed = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(routed, pa.list_(pa.int64()))],
-        ["sid", "n", "tokens", "first", "routed"],
+        [pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary()), pa.array(routed, pa.list_(pa.int64()))],
+        ["sid", "n", "tokens", "routed"],
     )
 
 
 def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that connect the sets of each block."""
-    a, b = [], []
+    """Links between the sets of each block."""
     for table in _runs(rows, "block"):
-        sid = table.column("sid").to_pylist()
+        sid = table.column("sid").to_numpy()
         sides = table.column("side").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        sizes, groups = table.column("n").to_pylist(), table.column("root").to_pylist()
-        for i, j in new_links(sets, sizes, groups, percent, None if sides[0] < 0 else sides):
-            a.append(min(sid[i], sid[j]))
-            b.append(max(sid[i], sid[j]))
-    yield _batch("a long, b long", np.array(a, np.int64), np.array(b, np.int64))
+        for i, others in all_links(sets, table.column("n").to_pylist(), percent, None if sides[0] < 0 else sides):
+            own = np.full(len(others), sid[i])
+            yield _batch("a long, b long", np.minimum(own, sid[others]), np.maximum(own, sid[others]))
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:

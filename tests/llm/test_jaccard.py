@@ -20,16 +20,19 @@ def brute(rows, size=5, percent=75):
             i = root[i]
         return i
 
+    links = [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             both = len(a & sets[j])
             if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     groups = {}
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             groups.setdefault(find(i), []).append(doc)
-    return sorted(((doc, len(s), (min(groups.get(find(i), [0])) if find(i) in groups else None) if s else doc) for i, ((doc, _), s) in enumerate(zip(rows, sets))), key=str)
+    return sorted(((doc, len(s), (min(groups.get(find(i), [0])) if find(i) in groups else None) if s else doc, links[i]) for i, ((doc, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
 def run(df, **more):
@@ -86,7 +89,7 @@ def test_other_sizes(table):
 
 def test_empty_table(table):
     assert run(table([])) == []
-    assert run(table([(3, None), (4, "")])) == [(3, 0, 3), (4, 0, 4)]
+    assert run(table([(3, None), (4, "")])) == [(3, 0, 3, 0), (4, 0, 4, 0)]
 
 
 @pytest.mark.parametrize("heap", [0, 10**9])
@@ -99,3 +102,27 @@ def test_divide_skip(heap, monkeypatch):
         counts = Counter(x for one in lists for x in one.tolist())
         members, found = J.divide_skip(lists, least, rnd.choice([0.01, 1, 100]))
         assert dict(zip(members.tolist(), found.tolist())) == {m: c for m, c in counts.items() if c >= least}
+
+
+def test_all_links_of_a_block():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(30, size=rng.integers(3, 20)).astype(np.uint64)) for _ in range(60)]
+    sizes = [len(x) for x in sets]
+    for sides in (None, [int(x) for x in rng.integers(2, size=60)]):
+        got = {(min(i, j), max(i, j)) for i, others in J.all_links(sets, sizes, 30, sides) for j in others.tolist()}
+        pairs = ((i, j) for i in range(60) for j in range(i + 1, 60) if sides is None or sides[i] != sides[j])
+        want = {(i, j) for i, j in pairs if (o := len(set(sets[i].tolist()) & set(sets[j].tolist()))) and J.links(o, sizes[i], sizes[j], 30)}
+        assert got == want and want
+
+
+def test_components_of_a_node_with_many_links(spark, monkeypatch):
+    """Its links are spread over tasks where they are not broadcast."""
+    from logweave.llm.components import connected
+    from logweave.operators import joins
+
+    links = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(30)] + [(399, 1000), (None, 3), (5000, 5000), (6001, 6000)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    want = {**{i: 0 for i in range(1, 400)}, **{1000 + i: 0 for i in range(31)}, 6001: 6000}
+    assert {r.node: r.root for r in connected(frame).collect()} == want
+    found = joins._join_salted(frame, spark.createDataFrame([(0, 7), (1000, 8)], "a long, least long"), ["a"], "inner", 50)
+    assert found.filter("a = 0").count() == 399 and found.count() == 400

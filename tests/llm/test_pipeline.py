@@ -29,7 +29,7 @@ def test_stages(spark):
 
     single = stage(steps["n-gram Jaccard join"](spark, known, SF))
     assert single.columns == docs.columns
-    want = {i for i, _, c in brute([(r.doc_id, r.text) for r in known.collect()]) if i == c}
+    want = {i for i, _, c, _ in brute([(r.doc_id, r.text) for r in known.collect()]) if i == c}
     assert {r.doc_id for r in single.collect()} == want
 
     pieces = steps["packing"](spark, single, SF).collect()
