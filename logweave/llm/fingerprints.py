@@ -1,11 +1,12 @@
 """Context-triggered piecewise hashing.
 
 A rolling hash over the last seven bytes cuts a text into pieces; each piece gives one character of a
-signature; of pieces that repeat in a row, singly or as a sequence, the first count.  The block size, three times a power of two, grows with the
-length and is halved until the signature has at least half of ``LENGTH`` characters.  A text has a signature
-for its block size and one for twice that, so texts up to twice as long can still be compared.  Likeness is
-one minus the edit distance of two signatures of the same block size over the longer one's length, the
-best of those sizes they share.
+signature, of equal pieces in a row the first.  The block size, three times a power of two, grows with the
+length and is halved until the signature has at least half of ``LENGTH`` characters.  A text has signatures
+for all sizes up to twice the one of its length; a signature that is full ends in one character for all the
+rest, so those of small sizes cost little.  Likeness is one minus the edit distance of two signatures of the
+same block size over the longer one's length: the best of the sizes that both have, from the smaller one's
+own on.  Sizes at which both have few characters count only if there is no other.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ WINDOW = 7
 LEAST_BLOCK = 3
 #: Characters of a signature that the block size aims at, and that it has at most.
 LENGTH = 64
+#: Characters from which on a signature says enough.
+FEW = 8
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _ROLL = (T.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -48,23 +51,30 @@ def rolling(raw: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(data: bytes) -> str:
-    """``block:signature:signature at twice the block``; an empty text has two empty signatures."""
+    """``block:signature:signature...``: the own block size, and signatures from ``LEAST_BLOCK`` on; two of an empty text."""
     raw = np.frombuffer(data, np.uint8)
-    block = block_size(len(raw))
+    nominal = block_size(len(raw))
     if not len(raw):
-        return f"{block}::"
+        return f"{nominal}::"
     h, sums = rolling(raw), T.prefix_sums(raw)
-    double, own = _signature(h, sums, 2 * block), _signature(h, sums, block)
-    while block > LEAST_BLOCK and len(own) < LENGTH // 2:
-        block //= 2
-        double, own = own, _signature(h, sums, block)
-    return f"{block}:{own}:{double}"
+    sizes = [LEAST_BLOCK << k for k in range((2 * nominal // LEAST_BLOCK).bit_length())]
+    found = [_signature(h, sums, block) for block in sizes]
+    own = next((b for b, s in zip(sizes[-2::-1], found[-2::-1], strict=True) if len(s) >= LENGTH // 2), LEAST_BLOCK)
+    return ":".join([str(own), *found])
 
 
 def _signature(h: np.ndarray, sums, block: int) -> str:
-    bounds = np.unique(np.r_[0, np.flatnonzero(h % np.uint32(block) == block - 1) + 1, len(h)])
-    pieces = T.hashes_between(sums, bounds[:-1], bounds[1:])
-    fresh = first_of_runs(pieces)
+    reach = 4 * LENGTH * block  # far enough as a rule, if the signature is full
+    while True:
+        bounds = np.r_[0, np.flatnonzero(h[:reach] % np.uint32(block) == block - 1) + 1]
+        if reach >= len(h) and bounds[-1] < len(h):
+            bounds = np.r_[bounds, len(h)]
+        pieces = T.hashes_between(sums, bounds[:-1], bounds[1:])
+        fresh = np.ones(len(pieces), bool)
+        fresh[1:] = pieces[1:] != pieces[:-1]
+        if reach >= len(h) or fresh.sum() > LENGTH:
+            break
+        reach *= 4
     pieces = pieces[fresh]
     if len(pieces) > LENGTH:  # the last piece takes the rest of the text
         begin = bounds[:-1][fresh][LENGTH - 1 : LENGTH]
@@ -72,19 +82,6 @@ def _signature(h: np.ndarray, sums, block: int) -> str:
     return _ALPHABET[(pieces >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
-def first_of_runs(pieces: np.ndarray) -> np.ndarray:
-    """Which pieces are not part of a repetition, as a whole, of up to ``LENGTH`` pieces right before it."""
-    fresh = np.ones(len(pieces), bool)
-    if len(np.unique(pieces)) == len(pieces):
-        return fresh
-    for period in range(1, min(LENGTH, len(pieces) // 2) + 1):
-        same = np.flatnonzero(np.diff(np.r_[False, pieces[period:] == pieces[:-period], False]))
-        for begin, end in zip(same[::2].tolist(), same[1::2].tolist(), strict=True):
-            if end - begin >= period:
-                fresh[period + begin : period + end] = False
-    return fresh
-
-
 def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     """Edit distance of each pair of signatures, by bit vectors over all pairs at once."""
     n = len(pairs)
@@ -114,16 +111,22 @@ def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     return np.where(lengths == 0, others, score)
 
 
+def signatures(found: str) -> tuple[int, dict[int, str]]:
+    """The own block size of a fingerprint, and its signatures by block size."""
+    block, *parts = found.split(":")
+    return int(block), {LEAST_BLOCK << k: part for k, part in enumerate(parts)}
+
+
 def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     """0 to 1 for each pair of fingerprints: 1 for equal ones, 0 at block sizes that do not meet."""
     signed, owner, exact = [], [], []
     for i, (a, b) in enumerate(pairs):
-        x, y = a.split(":"), b.split(":")
-        of_a = {int(x[0]): x[1], 2 * int(x[0]): x[2]}
-        of_b = {int(y[0]): y[1], 2 * int(y[0]): y[2]}
+        (of_a, one), (of_b, two) = signatures(a), signatures(b)
         exact.append(a == b)
-        for block in of_a.keys() & of_b.keys():
-            signed.append((of_a[block], of_b[block]))
+        shared = sorted(block for block in one.keys() & two.keys() if block >= min(of_a, of_b))
+        long = [block for block in shared if max(len(one[block]), len(two[block])) >= FEW]
+        for block in long or shared[:1]:
+            signed.append((one[block], two[block]))
             owner.append(i)
     out = np.zeros(len(pairs))
     if signed:

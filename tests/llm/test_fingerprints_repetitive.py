@@ -19,9 +19,14 @@ def like(a, b):
 
 def test_the_block_is_halved_until_the_signature_is_long_enough():
     for text in [line(k) * 1000 for k in range(20)] + [line(1) * 300 + prose(2, 100), prose(3, 5000), "a" * 50_000]:
-        block, own, _ = P.fingerprint(text.encode()).split(":")
-        assert int(block) == P.LEAST_BLOCK or len(own) >= P.LENGTH // 2
-        assert len(own) <= P.LENGTH
+        block, found = P.signatures(P.fingerprint(text.encode()))
+        assert block == P.LEAST_BLOCK or len(found[block]) >= P.LENGTH // 2
+        assert all(len(s) <= P.LENGTH for s in found.values())
+
+
+def test_another_number_of_repetitions_shows():
+    prints = {n: P.fingerprint((line(3) * n).encode()) for n in (40, 41, 400)}
+    assert len(set(prints.values())) == 3
 
 
 def test_near_copies_of_repetitive_texts():
@@ -32,8 +37,11 @@ def test_near_copies_of_repetitive_texts():
         assert like(one, other) < 0.4
 
 
-def test_what_follows_repeated_lines_counts():
-    """A run of equal pieces takes one character, so the signature reaches the prose behind it."""
+def test_what_follows_a_run_counts():
+    """A run of equal pieces takes one character, so the signature reaches the prose behind it.
+
+    Of lines that repeat as a sequence of pieces that is not so: they are text like any other.
+    """
     ends = [prose(k, 60) for k in range(3)]
-    one, near, far = line(1) * 500 + ends[0], line(1) * 500 + ends[0] + " more", line(1) * 500 + ends[1]
+    one, near, far = "-" * 30_000 + ends[0], "-" * 30_000 + ends[0] + " more", "-" * 30_000 + ends[1]
     assert like(one, near) > 0.8 and like(one, near) > like(one, far) + 0.2
