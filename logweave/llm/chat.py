@@ -1,8 +1,8 @@
 """Chat formatting of heterogeneous records.
 
 A record is JSON in any of several layouts: a message, lists of messages under different names, or prompt,
-instruction and answer fields.  Its nested field paths are hashed into a fingerprint, and the fingerprint
-selects a declarative mapping to canonical turns.  Turns are then written in one template in which control
+instruction and answer fields.  Those of its nested field paths that some mapping knows are hashed into a
+fingerprint, and the fingerprint selects a declarative mapping to canonical turns; other paths are ignored.  Turns are then written in one template in which control
 strings inside texts are escaped, so the template can be read back without loss.
 
 Every step but the reading back is done per record, without moving it.  A conversation may have any number
@@ -25,14 +25,27 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class Mapping:
     """``turns``: of each turn the list it is in (or ""), its role (``=name`` for a fixed one, else a field)
-    and its text's field.  ``optional``: fields that may be missing."""
+    and its text's field.  ``paths`` must be there; ``optional`` ones need not, and a turn whose text is missing
+    then is none."""
 
     paths: frozenset[str]
     turns: tuple[tuple[str, str, str], ...]
+    optional: frozenset[str] = frozenset()
 
+    @property
+    def path_sets(self) -> list[frozenset[str]]:
+        """Each set of paths that the mapping is for."""
+        out = [self.paths]
+        for path in sorted(self.optional):
+            out += [paths | {path} for paths in out]
+        return out
 
-def _layout(paths: str, *turns: tuple[str, str, str]) -> Mapping:
-    return Mapping(frozenset(paths.split()), turns)
+
+def _layout(paths: str, *turns: tuple[str, str, str], optional: str = "") -> Mapping:
+    return Mapping(frozenset(paths.split()), turns, frozenset(optional.split()))
+
+
+_SYSTEM = ("", "=system", "system")
 
 
 MAPPINGS = [
@@ -40,12 +53,11 @@ MAPPINGS = [
     _layout("from value", ("", "from", "value")),
     _layout("messages[].role messages[].content", ("messages", "role", "content")),
     _layout("conversations[].from conversations[].value", ("conversations", "from", "value")),
-    _layout("prompt completion", ("", "=user", "prompt"), ("", "=assistant", "completion")),
-    _layout("prompt response", ("", "=user", "prompt"), ("", "=assistant", "response")),
-    _layout("instruction output", ("", "=user", "instruction"), ("", "=assistant", "output")),
+    _layout("prompt completion", _SYSTEM, ("", "=user", "prompt"), ("", "=assistant", "completion"), optional="system"),
+    _layout("prompt response", _SYSTEM, ("", "=user", "prompt"), ("", "=assistant", "response"), optional="system"),
+    _layout("instruction output", _SYSTEM, ("", "=user", "instruction"), ("", "=assistant", "output"), optional="system"),
     _layout("instruction input output", ("", "=system", "instruction"), ("", "=user", "input"), ("", "=assistant", "output")),
-    _layout("system prompt response", ("", "=system", "system"), ("", "=user", "prompt"), ("", "=assistant", "response")),
-    _layout("system", ("", "=system", "system")),
+    _layout("system", _SYSTEM),
     _layout("prompt", ("", "=user", "prompt")),
     _layout("response", ("", "=assistant", "response")),
 ]
@@ -66,29 +78,44 @@ def schema_fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-_BY_FINGERPRINT = {schema_fingerprint(m.paths): m for m in MAPPINGS}
+_BY_FINGERPRINT = {schema_fingerprint(paths): m for m in MAPPINGS for paths in m.path_sets}
+_KNOWN = frozenset().union(*(m.paths | m.optional for m in MAPPINGS))
 
 
 def canonical_turns(record: str | None) -> tuple[str | None, list[tuple[str, str]]]:
-    """Fingerprint of a record and its turns; none if it is null, no JSON or of unknown layout."""
+    """Fingerprint of a record and its turns.
+
+    None if it is null, no JSON, nested deeper than the interpreter follows, or of unknown layout.  What is no
+    object in a list of turns is no turn.  Halves of surrogate pairs that stand alone become U+FFFD.
+    """
     try:
         value = json.loads(record) if record is not None else None
-    except ValueError:
-        return None, []
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return None, []
+        found = schema_fingerprint(paths_of(value) & _KNOWN)
+        mapping = _BY_FINGERPRINT.get(found)
+        return found, _turns(value, mapping) if mapping else []
+    except (ValueError, RecursionError):
         return None, []
-    found = schema_fingerprint(paths_of(value))
-    mapping = _BY_FINGERPRINT.get(found)
+
+
+def _turns(value: dict, mapping: Mapping) -> list[tuple[str, str]]:
     out = []
-    for where, role, text in mapping.turns if mapping else ():
+    for where, role, text in mapping.turns:
         for one in value[where] if where else [value]:
+            if not isinstance(one, dict) or (text in mapping.optional and text not in one):
+                continue
             name = role[1:] if role.startswith("=") else _text(one.get(role))
             out.append((ROLES.get(name, name) if role == "from" else name, _text(one.get(text))))
-    return found, out
+    return out
 
 
 def _text(value) -> str:
-    return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _LONE.sub("\ufffd", text)
+
+
+_LONE = re.compile("[\ud800-\udfff]")
 
 
 # The template.  A turn is an opening mark, its text, a closing mark; a role without marks of its own is

@@ -68,3 +68,32 @@ def test_empty_and_unknown(spark):
     got = {r.conv_id: r for r in C.read_back(C.format_chats(odd, "conv_id", "turn", "record"), "conv_id").collect()}
     assert (got[1].n_turns, got[1].formatted_chars) == (0, 0)
     assert (got[2].n_turns, got[2].loss_chars) == (4, 2)
+
+
+def test_further_paths_are_ignored_and_optional_ones_may_be_missing():
+    def turns(value):
+        return C.canonical_turns(json.dumps(value))[1]
+
+    pair = [("user", "p"), ("assistant", "r")]
+    assert turns({"prompt": "p", "response": "r", "id": 7, "meta": {"a": [1, {"b": 2}]}}) == pair
+    assert turns({"prompt": "p", "response": "r", "system": "s"}) == [("system", "s"), *pair]
+    assert turns({"instruction": "p", "output": "r", "system": ""}) == [("system", ""), *pair]
+    messages = [{"role": "user", "content": "p", "name": "x"}, {"role": "assistant", "content": "r"}]
+    assert turns({"messages": messages, "id": "k"}) == pair
+    assert turns({"messages": [messages[0], "no object", None, 3, messages[1]]}) == pair
+    assert turns({"conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "r", "weight": 0}]}) == pair
+    assert turns({"prompt": "p", "messages": messages}) == [] and turns({"other": 1}) == [] and turns({"messages": []}) == []
+    sets = [paths for m in C.MAPPINGS for paths in m.path_sets]
+    assert len(set(sets)) == len(sets)  # no record has two mappings
+
+
+def test_records_that_cannot_be_followed(spark):
+    deep = '{"prompt": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    nested = '{"prompt": ' + '{"a": ' * 900 + "1" + "}" * 900 + "}"
+    lone = r'{"role": "user", "content": "a\ud800b \ud83d\ude00"}'
+    rows = [(1, 0, deep), (2, 0, nested), (3, 0, lone), (4, 0, None), (5, 0, "[1"), (6, 0, '{"\\ud800": 1, "prompt": "p"}')]
+    found = C.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, record string"), "conv_id", "turn", "record").collect()
+    by = {r.conv_id: r.formatted for r in found}
+    assert by.keys() == {1, 2, 3, 4, 5, 6} and by[1] is by[4] is by[5] is None
+    assert by[3] == "[INST] a\ufffdb \U0001f600 [/INST]" and by[6] == "[INST] p [/INST]"
+    assert by[2] is None or "[INST]" in by[2]
