@@ -99,11 +99,11 @@ def test_stop_at_newer(lines_of):
 
 
 def test_hosts(lines_of):
-    names = ["raptor", "velociraptor", "raptor.example.com", "web1", "-"]
+    names = ["gate", "floodgate", "gate.example.com", "web1", "-"]
     texts = [f"2015-01-05T10:00:00Z {h} a - - x" for h in names]
     parsed = parse_headers(lines_of(texts))
-    assert plain(on_hosts(parsed, ["raptor"])) == [1, 5]
-    assert plain(on_hosts(parsed, ["raptor.example.com"])) == [1, 3, 5]
+    assert plain(on_hosts(parsed, ["gate"])) == [1, 5]
+    assert plain(on_hosts(parsed, ["gate.example.com"])) == [1, 3, 5]
     assert plain(on_hosts(parsed, ["*.example.com", "web?"])) == [3, 4, 5]
     assert plain(on_hosts(parsed, ["*"])) == [1, 2, 3, 4, 5]
 

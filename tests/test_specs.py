@@ -71,8 +71,8 @@ def test_date_tokens_agree_with_strftime(spark):
 
 
 def test_globs(spark):
-    names = ["host1", "host12", "a.b", "a-b", "x[1]", "velociraptor", "raptor", "a^b", "ab"]
-    globs = ["host?", "host*", "a.b", "[ax]*", "[!a]*", "raptor", "rapto?", "x[[]1]", "a[^]b", "*"]
+    names = ["host1", "host12", "a.b", "a-b", "x[1]", "floodgate", "gate", "a^b", "ab"]
+    globs = ["host?", "host*", "a.b", "[ax]*", "[!a]*", "gate", "gat?", "x[[]1]", "a[^]b", "*"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     for glob in globs:
         got = {r.n for r in df.filter(F.col("n").rlike(glob_to_java(glob))).collect()}
