@@ -55,6 +55,57 @@ def read_files_with_line_numbers(spark, sf_dir):
     )
 
 
+def _one_file_a_day(spark, sf_dir: str) -> str:
+    """The lines in order of their events, as one text file a day."""
+    path = f"{checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"
+    lines = views.lines(spark, sf_dir).select("file", "event_id", F.col("raw").alias("value"))
+    ordered = lines.repartition("file").sortWithinPartitions("file", "event_id")
+    ordered.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query(
+    f"""WITH {views.NUMBERED}
+    SELECT file AS day, row_number() OVER (PARTITION BY file ORDER BY event_id) AS line_no, raw FROM l"""
+)
+def number_lines_of_files(spark, sf_dir):
+    """Which line has which number, in files written in a known order."""
+    back = read_lines(spark, _one_file_a_day(spark, sf_dir), recursive=True)
+    return back.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("day"), "line_no", "raw")
+
+
+@query(
+    f"""WITH {views.EVENTS} SELECT file AS day, count(*) AS lines FROM e
+    WHERE CAST(strptime(substr(file, 5), '%Y%m%d') AS DATE) >= DATE '2024-01-20' GROUP BY file"""
+)
+def prune_files_by_their_times(spark, sf_dir):
+    """Files whose modification time is set to their day; those of earlier days are not read."""
+    root = _one_file_a_day(spark, sf_dir)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/file=*/*.txt")):  # a file a day
+        day = status.getPath().getParent().getName()[-8:]
+        noon = dt.datetime.strptime(day, "%Y%m%d").replace(hour=12, tzinfo=dt.timezone.utc)
+        fs.setTimes(status.getPath(), int(noon.timestamp() * 1000), -1)
+    kept = read_lines(spark, root, recursive=True, modified_after=dt.datetime(2024, 1, 20))
+    day = F.regexp_extract("file", "file=([^/]+)/", 1).alias("day")
+    return kept.groupBy(day).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    r"""SELECT CAST(doc_id AS VARCHAR) AS file, text AS raw,
+        doc_id % 2 = 0 AND regexp_matches(text, '[\x{80}-\x{FF}]') AND NOT regexp_matches(text, '[^\x{00}-\x{FF}]') AS other
+    FROM documents"""
+)
+def decode_other_bytes(spark, sf_dir):
+    """Every other text in Latin-1, where it can be, which is no valid UTF-8 if it has accents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), "doc_id", "text")
+    fits = (F.col("doc_id") % 2 == 0) & ~F.col("text").rlike(r"[^\x{00}-\x{FF}]")
+    data = F.when(fits, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    decoded = decode_lines(docs.select("file", data.alias("value")))
+    return decoded.select("file", "raw", (~F.is_valid_utf8(F.col("value").cast("string"))).alias("other"))
+
+
 @query(
     f"""WITH {views.EVENTS}
     SELECT file AS day, count(*) AS lines FROM e WHERE file LIKE 'day-2024010%' GROUP BY file"""
