@@ -21,22 +21,22 @@ def connected(links: DataFrame) -> DataFrame:
         .filter("a < b")
         .distinct()
     )
-    before = None
+    before, nodes = None, 2 * links.count()  # at most
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links = _star(both, "a < b")
-        links = stage(_star(links.select(F.col("b").alias("a"), F.col("a").alias("b")), "true").distinct())
+        links = _star(both, "a < b", nodes)
+        links = stage(_star(links.select(F.col("b").alias("a"), F.col("a").alias("b")), "true", nodes).distinct())
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == before or not state[0]:
             return links.select(F.col("b").alias("node"), F.col("a").alias("root"))
         before = state
 
 
-def _star(pairs: DataFrame, kept: str) -> DataFrame:
+def _star(pairs: DataFrame, kept: str, nodes: int) -> DataFrame:
     """Link each node's neighbours, and in a small star the node itself, to the smallest of them."""
     least = pairs.groupBy("a").agg(F.min("b").alias("least"))
     least = least.withColumn("least", F.least("a", "least"))
-    joined = join_checked(pairs, least, ["a"], "inner")
+    joined = join_checked(pairs, least, ["a"], "inner", staged=False, rows=nodes)
     ends = F.array("b") if kept != "true" else F.array("b", "a")
     moved = joined.filter(kept).select(F.explode(ends).alias("b"), F.col("least").alias("a"))
     return moved.filter("a < b").select("a", "b").distinct()

@@ -192,10 +192,8 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
     ``docs`` are not read.  An empty table gives an empty result.
     """
     rows, classes, found = class_links(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), size, percent)
-    tied = connected(found).selectExpr("node AS sid", "root")
-    both = found.union(found.select("b", "a"))
-    sizes = classes.select(F.col("sid").alias("b"), "size")
-    others = both.join(sizes, "b").groupBy(F.col("a").alias("sid")).agg(F.sum("size").alias("others"))
+    tied = connected(found.filter("b IS NOT NULL").select("a", "b")).selectExpr("node AS sid", "root")
+    others = found.filter("b IS NULL").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("others"))
     classes = classes.join(tied, "sid", "left").join(others, "sid", "left")
     n_links = F.col("size") - 1 + F.coalesce("others", F.lit(0))
     classes = stage(classes.select("sid", F.coalesce("root", "sid").alias("root"), "least", n_links.alias("n_links")))
@@ -211,10 +209,12 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", size:
 
 
 def class_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All links between different sets, for ``docs`` with ``id`` and ``text``.
+    """What links, for ``docs`` with ``id`` and ``text``.
 
-    Rows (``id``, ``n``, ``sid``: the set they have), classes of rows with equal sets (``sid``, ``least`` id, ``size``),
-    and every two classes that link (``a`` < ``b``, by ``sid``).
+    Rows (``id``, ``n``, ``sid``: the set they have); classes of rows with equal sets (``sid``, ``least`` id, ``size``);
+    and, with ``b``, links that connect all classes that others connect, or, without, how many rows (``n``) of other
+    classes the class ``a`` links with, which is summed up over blocks.  A group of many different texts would
+    have links as the square of its size, so they are counted where they are found and not given out.
     """
     spark = docs.sparkSession
     seen = stage(docs.mapInArrow(lambda rows: _summaries(rows, size), _SUMMARY))
@@ -244,8 +244,10 @@ def class_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[Data
 
     # two sets that link share a hash of their prefixes
     routed = live.selectExpr("sid", "explode(routed) AS key")
+    classes = stage(classes.select("sid", "least", "size"))
+    live = live.select("sid", "n", "tokens").join(classes.select("sid", "size"), "sid")
     found = stage(_search(live, _clusters(stage(_tied(routed)), live), percent, parts))
-    return rows, stage(classes.select("sid", "least", "size")), found
+    return rows, classes, found
 
 
 def _lists(members: DataFrame) -> DataFrame:
@@ -280,31 +282,35 @@ def _clusters(tied: DataFrame, live: DataFrame) -> DataFrame:
     bound = bound.union(bound.selectExpr("cluster AS sid", "cluster").distinct())
     weights = bound.join(live.select("sid", "n"), "sid").groupBy("cluster").agg(F.sum("n").alias("weight"))
     bound = stage(bound.join(weights, "cluster").selectExpr("sid", "cluster", f"weight <= {CLUSTER_VALUES} AS small"))
-    small = bound.filter("small").select("sid", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"))
+    none = F.array().cast("array<long>").alias("earlier")
+    small = bound.filter("small").select("sid", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"), none)
     return small.union(_list_blocks(tied.join(bound.filter("not small").select("sid"), "sid", "left_semi")))
 
 
 def _list_blocks(tied: DataFrame) -> DataFrame:
     """Blocks of each list; of one of more than ``BLOCK`` members, cut by hash into parts, every two parts
-    meet, the part itself included."""
+    meet, the part itself included.  ``earlier`` are the lists of a set that come before: two sets that share
+    one of them have met there."""
+    keys = tied.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # at most the prefix of a set
+    tied = tied.join(keys, "sid").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    found = tied.select("sid", "key", _part().alias("part"), other)
+    found = tied.select("sid", "key", "earlier", _part().alias("part"), other)
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.expr("int(part > other)"))
-    return found.select("sid", F.xxhash64("key", low, high).alias("block"), side.alias("side"))
+    return found.select("sid", F.xxhash64("key", low, high).alias("block"), side.alias("side"), "earlier")
 
 
 def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> DataFrame:
-    """All links ``a``, ``b`` found within blocks, each once."""
-    sets = live.select("sid", "n", "tokens")
-    met = blocks.join(sets, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
-    return met.mapInArrow(lambda rows: _linked(rows, percent), "a long, b long").distinct()
+    """What ``class_links`` says of links, from blocks."""
+    met = blocks.join(live, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
+    return met.mapInArrow(lambda rows: _linked(rows, percent), _FOUND)
 
 
 _SUMMARY = "kind int, id long, n long, sid long, other long"
 _POSTING = "shard int, docs binary, values binary"
 _ENTRY = "bucket int, docs binary, tokens binary, sets binary"
 _LIVE = "sid long, n int, tokens binary, routed array<long>"
+_FOUND = "a long, b long, n long"
 _DOC = np.dtype([("sid", "<i8"), ("n", "<i4"), ("count", "<i4")])
 
 
@@ -481,14 +487,29 @@ def _live_batch(rows: list) -> pa.RecordBatch:
 
 
 def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links between the sets of each block."""
+    """Of each block, links that connect what its links connect, and each set's number of linked rows."""
     for table in _runs(rows, "block"):
-        sid = table.column("sid").to_numpy()
-        sides = table.column("side").to_pylist()
+        sid, weight = (table.column(c).to_numpy() for c in ("sid", "size"))
+        sides, earlier = (table.column(c).to_pylist() for c in ("side", "earlier"))
+        earlier = [frozenset(x) for x in earlier] if any(earlier) else None
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        group, count, ties = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         for i, others in all_links(sets, table.column("n").to_pylist(), percent, None if sides[0] < 0 else sides):
-            own = np.full(len(others), sid[i])
-            yield _batch("a long, b long", np.minimum(own, sid[others]), np.maximum(own, sid[others]))
+            if earlier and earlier[i]:
+                others = others[[earlier[i].isdisjoint(earlier[j]) for j in others.tolist()]]
+            count[i] += weight[others].sum()
+            count[others] += weight[i]
+            apart, first = np.unique(group[others], return_index=True)
+            for k, j in zip(apart.tolist(), others[first].tolist(), strict=True):
+                if k != group[i]:
+                    ties.append((int(sid[i]), int(sid[j])))
+                    group[group == k] = group[i]
+        some = np.flatnonzero(count)
+        a, b = [x for x, _ in ties], [x for _, x in ties]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*a, *sid[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *count[some].tolist()], pa.int64())],
+            ["a", "b", "n"],
+        )
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
