@@ -276,8 +276,9 @@ def map_fields(
     return _name_values(parsed, (by_address, addresses), (by_uid, users), BROADCAST_ROWS)
 
 
-#: Names whose values are withheld where they stand as ``name=value`` outside the groups of a rule.
-NAMED = "user|ruser|login|logname|owner|client|host|rhost|addr|laddr|from|to|rcpt|orig_to|mail|uid|euid|auid|rip|lip|ip"
+#: Names whose values are withheld where they stand as ``name=value`` outside the groups of a rule; those of the
+#: server itself (``lip``) are not.
+NAMED = "user|ruser|login|logname|owner|client|host|rhost|addr|from|to|rcpt|orig_to|mail|uid|euid|auid|rip"
 
 
 def withhold_named(text: Column) -> Column:

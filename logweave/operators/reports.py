@@ -388,19 +388,24 @@ def _place_items(apps, sections: Iterable[Section], active: dict[str, set[str]])
 
 
 def needed_fields(
-    apps, sections: Iterable[Section], active: dict[str, set[str]] | None = None
-) -> dict[tuple[str, str], set[str]]:
+    apps, sections: Iterable[Section], active: dict[str, set[str]] | None = None, largest: bool = True
+) -> dict[tuple[str, str], set[str] | None]:
     """What a report asks of ``rule_results``: rules, and the fields of each.
 
-    Lists of largest values need no counters but the lines themselves (``largest_rules``).
+    A list of largest values shows single counters, so it needs all fields; leave it out (``largest``) if it is
+    made from the lines themselves (``largest_rules``).
     """
     apps = list(apps)
-    needed: dict[tuple[str, str], set[str]] = {}
+    needed: dict[tuple[str, str], set[str] | None] = {}
     for entry, pick in _picks(_place_items(apps, sections, active or _all_rules(apps))):
-        if not _is_largest(entry.item, pick):
-            used = {*pick.fields, *([pick.value] if pick.value else [])}
-            used |= {pick.where.field} if pick.where else set()
-            needed.setdefault((entry.app, pick.rule), set()).update(used)
+        key = (entry.app, pick.rule)
+        used = {*pick.fields, *([pick.value] if pick.value else [])}
+        used |= {pick.where.field} if pick.where else set()
+        if _is_largest(entry.item, pick):
+            if largest:
+                needed[key] = None
+        elif needed.get(key, used) is not None:
+            needed[key] = needed.get(key, set()) | used
     return needed
 
 

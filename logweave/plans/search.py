@@ -310,7 +310,7 @@ class LogSearch:
         sections = list(default_sections() if sections is None else sections)
         # under filters only rules that use all fields of a group can select
         active = {a.name: {r.name for r in bind_rules(a, self.filters) if r.full} for a in self.active_apps}
-        needed = reports.needed_fields(self.active_apps, sections, active)
+        needed = reports.needed_fields(self.active_apps, sections, active, largest=False)
         largest = reports.largest_rules(self.active_apps, sections, active)
         selected, of_largest = self.select(lines), None
         if largest:
