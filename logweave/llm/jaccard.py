@@ -445,6 +445,7 @@ def _repeated(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             own["count"] = np.diff(np.r_[firsts, b - a])
             blobs = (pa.array([x.tobytes()]) for x in (own, values[a:b], sets[a:b]))
             yield _batch(_ENTRY, bucket[a : a + 1], *blobs)
+    T.release()
 
 
 def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -476,6 +477,7 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
                 out = []
     if out:
         yield _live_batch(out)
+    T.release()
 
 
 def _live_batch(rows: list) -> pa.RecordBatch:
@@ -510,6 +512,7 @@ def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             [pa.array([*a, *sid[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *count[some].tolist()], pa.int64())],
             ["a", "b", "n"],
         )
+    T.release()
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:

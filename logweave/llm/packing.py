@@ -54,7 +54,8 @@ class SumOfSquares:
         for start in range(0, full, self.capacity):
             self.closed.append([(row, start, ids[start : start + self.capacity])])
         if full < len(ids):
-            self._place((row, full, ids[full:]))
+            # a copy: a view would keep the ids of the whole document while the window is open
+            self._place((row, full, ids[full:].copy()))
         if self.open > self.open_windows:
             self.close()
 
@@ -210,7 +211,12 @@ def pack(
     with open(path, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
     docs = docs.selectExpr(f"cast(`{id}` AS bigint) AS id", f"`{text}` AS text")
-    out = docs.mapInArrow(lambda rows: _packed(rows, _encoder(spec.value), capacity, end), _PIECE)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.release()  # what earlier stages left
+        return _packed(rows, _encoder(spec.value), capacity, end)
+
+    out = docs.mapInArrow(run, _PIECE)
     return out.withColumnRenamed("id", id)
 
 

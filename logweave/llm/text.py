@@ -6,6 +6,8 @@ and 64-bit hashes come from a few passes over the buffer instead of a loop over
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass
 
 import numpy as np
@@ -111,6 +113,15 @@ def hashes_between(sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 _cache: dict = {}
 
 
+def release() -> None:
+    """Give memory back to the system at the end of a task: later stages use the same workers."""
+    _cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     key = int(base)
     if key not in _cache or len(_cache[key]) < n:
