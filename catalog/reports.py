@@ -131,7 +131,8 @@ def _cells(keys: str, source: str, entry: str, order: str, limit: int) -> str:
 def report_counted_cells(spark, sf_dir):
     """Cells like ``12::7(3), 13::8(1) [4 more skipped]``."""
     entries = reports.table_entries(_results(spark, sf_dir), [(0, _TABLE)])
-    cells = reports.counted_cells(entries, ["pick_no", "cols"], limit=10)
+    keys = ["pick_no", "cols"]
+    cells = reports.whole_cells(reports.counted_cells(entries, keys, limit=10), keys)
     return cells.select(
         "pick_no", F.col("cols")[0].alias("host"), F.col("cols")[1].alias("service"), "cell"
     )

@@ -342,6 +342,15 @@ def counted_cells(
     )
 
 
+def whole_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of ``counted_cells`` with one row per key: the parts in order, as one text.
+
+    A text is one value, so all shown entries of a key must fit a row here.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("part", "cell")))
+    return cells.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["cell"]), ", ").alias("cell"))
+
+
 # -- reports -----------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from catalog import ORACLES, QUERIES
+from logweave.operators import reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +40,14 @@ def test_query(spark, tables, name):
     assert rows(df.columns, got) == rows(names, expected.fetchall())
 
 
+def test_long_cells_are_one_row(spark, tables, monkeypatch):
+    """A cell of more entries than a row takes is still one cell."""
+    monkeypatch.setattr(reports, "CELL_ENTRIES", 2)
+    got = QUERIES["report_counted_cells"](spark, SF).select("pick_no", "host", "service", "cell")
+    expected = tables.execute(f"SELECT pick_no, host, service, cell FROM ({ORACLES['report_counted_cells']})")
+    assert rows(got.columns, got.collect()) == rows(got.columns, expected.fetchall())
+
+
 def test_flagship(spark):
     import importlib.util
 
