@@ -320,7 +320,8 @@ def required_texts(pattern: str, ignore_case: bool = False, least: int = 3) -> l
         if not ignore_case:
             return text
         folded = "".join(FOLDED.get(c, c) for c in text)
-        return max(re.split(r"[^\x00-\x7f]+", folded), key=len)
+        # of equally long ones the last
+        return max(reversed(re.split(r"[^\x00-\x7f]+", folded)), key=len)
 
     def best(found: list[list[str]]) -> list[str] | None:
         found = [texts for texts in (sorted({indexed(t) for t in texts}) for texts in found) if min(map(len, texts)) >= least]
@@ -349,6 +350,19 @@ def required_texts(pattern: str, ignore_case: bool = False, least: int = 3) -> l
     return of(tree)
 
 
+def whole_word(pattern: str) -> str | None:
+    """The text of a pattern that is a plain text between two word boundaries; None for any other.
+
+    Where that text is made of word characters alone, the pattern is found where the text is a whole word.
+    """
+    tree = rp.parse(pattern)
+    nodes = list(_flat(tree))
+    boundary, inner = (rc.AT, rc.AT_BOUNDARY), nodes[1:-1]
+    if tree.state.flags & (re.IGNORECASE | re.ASCII) or len(nodes) < 3 or not nodes[0] == nodes[-1] == boundary:
+        return None
+    return "".join(chr(arg) for _, arg in inner) if all(op is rc.LITERAL for op, _ in inner) else None
+
+
 def _flat(nodes):
     """Nodes with those of groups that change no flag in their place."""
     for op, arg in nodes:

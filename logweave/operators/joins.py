@@ -168,10 +168,16 @@ def spread(df: DataFrame) -> DataFrame:
     """Spread an input of fewer splits than cores over all cores.
 
     A small file is one split, and the regular expressions that follow would run
-    on one core.  An input with enough splits is left as it is.
+    on one core.  So they would where a file of many splits has its rows in few row
+    groups: the other splits are empty.  Where a table can be counted without reading
+    it, as Parquet can, that is found out.  An input with enough filled splits is left as it is.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    if splits >= cores and all(f.endswith(".parquet") for f in df.inputFiles()):
+        filled = df.select(F.spark_partition_id().alias("split")).distinct().count()
+    else:
+        filled = splits
+    return df.repartition(max(cores, splits)) if filled < cores else df

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave import LogSearch, Patterns
-from logweave.functions.regex import required_texts
+from logweave.functions.regex import required_texts, whole_word
 from logweave.operators import patternindex
+from logweave.operators.joins import spread
 from logweave.operators.patternindex import PatternTable, read_pattern_table
 from logweave.operators.search import select_lines
 
@@ -116,3 +117,34 @@ def test_texts_that_matches_hold():
         assert required_texts(pattern) == texts, pattern
     assert required_texts("ÉTÉ Straße KIM", ignore_case=True) == ["e kim"]
     assert required_texts("ÉÉÉ", ignore_case=True) is None
+
+
+def test_whole_words_take_no_pattern(spark, lines_of):
+    """They meet the words of lines; only the other patterns are tested, and those by their text first."""
+    texts = drawn(3, 300) + ["Été", "étéx", "x-Été-y", "a_b", "a b", "user_17", "x\U00010400y", "\U00010400"]
+    words = ["Été", "password", "a", "a_b", "nowhere", "\U00010400"]
+    plan = PatternTable(table(spark, words), word=True).select(lines_of(texts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+    for patterns, shape in ((words, r"\b(?:{})\b"), ([*words, r"10\.0\.0\.1", "use[r]-17"], r"\b(?:{})\b"), ([r"\bKelvin|kelvin\b", r"\bzz\b", "Straße"], "{}")):
+        found = PatternTable(table(spark, patterns), word=shape != "{}")
+        assert sorted(r.line_no for r in found.select(lines_of(texts)).collect()) == hits(texts, patterns, shape=shape)
+        missed = PatternTable(table(spark, patterns), word=shape != "{}", invert=True).select(lines_of(texts))
+        assert sorted(r.line_no for r in missed.collect()) == sorted(set(range(1, len(texts) + 1)) - set(hits(texts, patterns, shape=shape)))
+
+
+def test_which_patterns_are_whole_words():
+    cases = {r"\bab\b": "ab", r"\b(?:ab)\b": "ab", r"\b(?:a|b)\b": None, r"\b\b": None, r"ab\b": None, r"(?i)\bab\b": None, r"(?a)\bab\b": None, r"\bab+\b": None, r"\b(?i:a)b\b": None, r"\Bab\b": None}
+    assert {p: whole_word(p) for p in cases} == cases
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file may have many splits and its rows in one of them."""
+    rows = spark.range(50_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        out = spread(spark.read.parquet(str(tmp_path / "t.parquet")))
+        assert out.rdd.getNumPartitions() >= 8
+        assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 50_000 / 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
