@@ -57,15 +57,25 @@ def _join_salted(left: DataFrame, right: DataFrame, on: list[str], how: str, hot
     rows, and only its row of the right side is copied.  The table of hot keys has
     at most (left rows / ``hot_rows``) rows, so it is broadcast.
     """
-    counts = left.select(*on).groupBy(*on).count().filter(F.col("count") > hot_rows).dropna()
+    counts = left.select(*on).groupBy(*on).count().dropna()
+    return join_counted(left, right, on, how, counts, row_hash(left, on), hot_rows)
+
+
+def join_counted(
+    left: DataFrame, right: DataFrame, on: list[str], how: str, counts: DataFrame, spread_by: Column, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The same for keys whose rows on the left are known: ``counts`` has them as ``count``.
+
+    Rows of a hot key go by ``spread_by``, a hash of what tells them apart.
+    """
     salts = F.ceil(F.col("count") / hot_rows).cast("int")
-    hot = F.broadcast(stage(counts.select(*on, salts.alias("_salts"))))
+    hot = F.broadcast(stage(counts.filter(F.col("count") > hot_rows).select(*on, salts.alias("_salts"))))
     no_key = F.lit(False)
     for key in on:
         no_key = no_key | F.col(key).isNull()
     # rows without key never match; they are spread to keep them out of one task
     buckets = F.coalesce(F.col("_salts"), F.when(no_key, 1024), F.lit(1))
-    left = left.join(hot, on, "left").withColumn("_salt", F.pmod(row_hash(left, on), buckets).cast("int"))
+    left = left.join(hot, on, "left").withColumn("_salt", F.pmod(spread_by, buckets).cast("int"))
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies))
     return left.drop("_salts").join(right.drop("_salts"), [*on, "_salt"], how).drop("_salt")

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.regex import compute_once, expand, sql_text, to_java
-from logweave.operators.headers import BUILT_IN, HeaderFormat
-from logweave.operators.joins import BROADCAST_ROWS, HOT_ROWS, stage
+from logweave.operators.headers import BUILT_IN, HEADER_COLUMNS, HeaderFormat
+from logweave.operators.joins import BROADCAST_ROWS, HOT_ROWS, join_counted, row_hash, stage
 from logweave.operators.ordered import number_rows
 from logweave.operators.rules import App, bind_rules
 from logweave.packs.fields import FIELDS, FRAGMENTS
@@ -19,6 +19,10 @@ from logweave.packs.fields import FIELDS, FRAGMENTS
 # Fields whose values may hold an address, or a user id.
 ADDRESS_FIELDS = ("client", "mail", "from", "rcpt", "user")
 UID_FIELDS = ("user", "uid")
+# Fields beyond the broadcast limit that are looked up one after another; more are looked up at once.
+JOINED_FIELDS = 2
+# Columns that are made from the text of a line.
+_MADE = [*HEADER_COLUMNS, "format", "format_app", "event_ts", "app", "rule", "thread", "matched", "full_match"]
 
 
 def base_field(name: str) -> str:
@@ -131,6 +135,34 @@ def _looked_up(
     return whole.select("_line.*", *[F.col("_names")[n].alias(f"_v_{n}") for n in keys])
 
 
+def _looked_up_by_size(
+    df: DataFrame,
+    keys: dict[str, _Key],
+    table: DataFrame,
+    sizes: dict[str, int],
+    broadcast_rows: int,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``_looked_up`` with only those fields shuffled whose base has too many rows (``sizes``) to be broadcast.
+
+    Up to ``JOINED_FIELDS`` of these take a join each, which moves the columns that
+    are asked for once; the table must have ``uses``.
+    """
+    large = {n: k for n, k in keys.items() if sizes.get(k.base, 0) > broadcast_rows}
+    if len(large) > JOINED_FIELDS:
+        df = _looked_up(df, large, table, max(sizes.values()), broadcast_rows, hot_rows)
+    else:
+        # what a line came with tells it apart; other columns need not be made for that
+        came = row_hash(df, [c for c in _MADE if c in df.columns])
+        for name, key in large.items():
+            of_base = table.filter(F.col("base") == key.base).withColumn("_k", F.col("value").cast("string"))
+            side = of_base.select("_k", F.col("name").alias(f"_v_{name}"))
+            counts = of_base.select("_k", F.col("uses").alias("count"))
+            df = join_counted(df.withColumn("_k", key.value.cast("string")), side, ["_k"], "left", counts, came, hot_rows).drop("_k")
+    small = {n: k for n, k in keys.items() if n not in large}
+    return _looked_up(df, small, table, 0, broadcast_rows) if small else df
+
+
 def _with_fields(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """Replace values of the ``fields`` map (and ``host`` and ``thread``) that are present."""
     if not new:
@@ -168,7 +200,7 @@ def mask_fields(
             keys[name] = _Key(base_field(name), F.when(F.col("matched"), value))
     new = {n: F.col(f"_v_{n}") for n in keys}
     new["host"] = F.coalesce(F.col("_v_host"), F.col("host")) if "host" in keys else F.col("host")
-    found = _looked_up(parsed, keys, tokens, max(sizes.values(), default=0), broadcast_rows) if keys else parsed
+    found = _looked_up_by_size(parsed, keys, tokens, sizes, broadcast_rows) if keys else parsed
     return _with_fields(found, new).drop(*[f"_v_{n}" for n in keys])
 
 

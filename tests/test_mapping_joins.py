@@ -76,3 +76,31 @@ def test_two_shuffles_of_the_lines_for_any_number_of_fields(spark, parsed):
         text = looked_up(parsed, table, names, 10**6)._jdf.queryExecution().executedPlan().toString()
         assert text.count("Exchange hashpartitioning") == 3
         assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def no_auto_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_large_field_moves_lines_once(spark, parsed, no_auto_broadcast):
+    """Only clients are too many to be broadcast: one join for them, the other fields are looked up in place."""
+    want = as_rows(mapping.mask_fields(parsed, [sshd.APP]))
+    got = mapping.mask_fields(parsed, [sshd.APP], broadcast_rows=50)
+    assert plan_of(got).count("Exchange hashpartitioning") == 2 and "collect_list" not in plan_of(got)
+    assert as_rows(got) == want
+
+
+def test_hot_values_and_missing_ones_of_a_joined_field_are_spread(spark, parsed, no_auto_broadcast):
+    table = spark.createDataFrame([("client", "10.0.0.1", "one", 134), ("client", "10.0.1.1", "two", 3)], "base string, value string, name string, uses long")
+    keys = {"a": mapping._Key("client", F.col("fields")["client"])}
+    got = mapping._looked_up_by_size(parsed, keys, table, {"client": 10**9}, 0, hot_rows=20)
+    assert "_salt" in plan_of(got) and got.count() == parsed.count()
+    assert got.filter("_v_a = 'one'").count() == parsed.filter("fields['client'] = '10.0.0.1'").count()
+    assert got.filter("_v_a = 'two'").count() == parsed.filter("fields['client'] = '10.0.1.1'").count()
