@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.regex import compute_once, expand, sql_text, to_java
 from logweave.operators.headers import BUILT_IN, HEADER_COLUMNS, HeaderFormat
-from logweave.operators.joins import BROADCAST_ROWS, HOT_ROWS, join_counted, row_hash, stage
+from logweave.operators.joins import BROADCAST_ROWS, HOT_ROWS, join_checked, join_counted, row_hash, stage
 from logweave.operators.ordered import number_rows
 from logweave.operators.rules import App, bind_rules
 from logweave.packs.fields import FIELDS, FRAGMENTS
@@ -209,14 +209,17 @@ def address_pattern() -> str:
 
 
 def _address_names(names: DataFrame) -> DataFrame:
-    """One name per address, or lines would multiply."""
-    table = names.filter("address is not null").groupBy(F.col("address").cast("string").alias("value"))
-    return table.agg(F.min("name").alias("name"))
+    return names.filter("address is not null").select(F.col("address").cast("string").alias("value"), "name")
 
 
 def _user_names(users: DataFrame) -> DataFrame:
-    table = users.filter("uid is not null").groupBy(F.col("uid").cast("bigint").cast("string").alias("value"))
-    return table.agg(F.min("name").alias("name"))
+    return users.filter("uid is not null").select(F.col("uid").cast("bigint").cast("string").alias("value"), "name")
+
+
+def _used(parsed: DataFrame, keys: Iterable[_Key]) -> DataFrame:
+    """``value, uses``: the distinct values that lines are looked up by."""
+    values = parsed.select(F.explode(F.array(*[k.value for k in keys])).alias("value"))
+    return values.filter("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def _address_key(value: Column) -> Column:
@@ -244,22 +247,33 @@ def _user_written(value: Column, name: Column) -> Column:
 
 def _name_values(parsed: DataFrame, addresses: tuple[list[str], DataFrame | None], users: tuple[list[str], DataFrame | None], broadcast_rows: int) -> DataFrame:
     """Write names for the values of fields: some by address, some by user id, all looked up at once."""
-    keys, new, tables, rows = {}, {}, [], 0
+    keys, new, tables, sizes = {}, {}, [], {}
     sides = (("address", addresses, _address_names, _address_key, _address_written), ("uid", users, _user_names, _user_key, _user_written))
     for base, (groups, table), names, key, written in sides:
-        if table is None:
+        if table is None or not groups:
             continue
-        tables.append(names(table).withColumn("base", F.lit(base)))
-        # the rows that there may be; they are not counted further than it matters
-        rows += table.limit(broadcast_rows + 1).count()
+        own = {}
         for g in groups:
             value = F.col("fields")[g]
-            keys[g] = _Key(base, key(value))
+            own[g] = _Key(base, key(value))
             new[g] = written(value, F.col(f"_v_{g}"))
+        keys |= own
+        # one name per value, or lines would multiply
+        first = F.min("name").alias("name")
+        # the rows that there may be; they are not counted further than it matters
+        sizes[base] = table.limit(broadcast_rows + 1).count()
+        if sizes[base] <= broadcast_rows:
+            some = names(table).groupBy("value").agg(first).withColumn("uses", F.lit(None).cast("bigint"))
+        else:
+            # lines hold few of many values, as a rule: only names of those are kept
+            used = join_checked(names(table), _used(parsed, own.values()), ["value"], "inner", broadcast_rows=broadcast_rows, hot_rows=None)
+            some = stage(used.groupBy("value").agg(first, F.max("uses").alias("uses")))
+            sizes[base] = some.count()
+        tables.append(some.withColumn("base", F.lit(base)))
     if not keys:
         return parsed
     table = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
-    return _with_fields(_looked_up(parsed, keys, table, rows, broadcast_rows), new).drop(*[f"_v_{n}" for n in keys])
+    return _with_fields(_looked_up_by_size(parsed, keys, table, sizes, broadcast_rows), new).drop(*[f"_v_{n}" for n in keys])
 
 
 def name_addresses(

@@ -104,3 +104,13 @@ def test_hot_values_and_missing_ones_of_a_joined_field_are_spread(spark, parsed,
     assert "_salt" in plan_of(got) and got.count() == parsed.count()
     assert got.filter("_v_a = 'one'").count() == parsed.filter("fields['client'] = '10.0.0.1'").count()
     assert got.filter("_v_a = 'two'").count() == parsed.filter("fields['client'] = '10.0.1.1'").count()
+
+
+def test_only_names_that_lines_hold_are_kept(spark, parsed, no_auto_broadcast):
+    """Of many names few are used: those are broadcast, and lines are not shuffled."""
+    users = spark.range(1, 1000).selectExpr("id AS uid", "concat('n', id) AS name")
+    users = users.union(users.selectExpr("uid", "concat('z', uid)"))
+    want = as_rows(mapping.name_uids(parsed, APPS, users))
+    got = mapping.name_uids(parsed, APPS, users, broadcast_rows=50)
+    assert "Exchange hashpartitioning" not in plan_of(got)
+    assert as_rows(got) == want and any("n42" in r for r in want)
