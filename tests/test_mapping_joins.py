@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import mapping
+from logweave.operators.headers import parse_headers
+from logweave.operators.rules import apply_rules
 from logweave.packs import dovecot, sshd
 
 APPS = [sshd.APP, dovecot.APP]
@@ -114,3 +116,16 @@ def test_only_names_that_lines_hold_are_kept(spark, parsed, no_auto_broadcast):
     got = mapping.name_uids(parsed, APPS, users, broadcast_rows=50)
     assert "Exchange hashpartitioning" not in plan_of(got)
     assert as_rows(got) == want and any("n42" in r for r in want)
+
+
+def test_masked_text_after_one_join(spark, no_auto_broadcast):
+    """The text of a line moves once, to the one field that is looked up in a shuffle."""
+    rows = [(n, f"Jan  5 10:00:{n % 60:02d} gate sshd[{n}]: Failed password for bob from 10.0.0.{n % 9} port 22 ssh2") for n in range(300)]
+    lines = spark.createDataFrame([*rows, (300, "no header"), (301, "")], "line_no long, raw string")
+    lines = lines.selectExpr("line_no", "raw", "'a' AS file", "timestamp '2024-01-31' AS file_mtime")
+    parsed = apply_rules(parse_headers(lines), [sshd.APP])
+    masked = [mapping.rewrite_raw(mapping.mask_fields(parsed, [sshd.APP], broadcast_rows=n), [sshd.APP]) for n in (100, 10**6)]
+    got, want = (df.select("line_no", "raw") for df in masked)
+    assert plan_of(got).count("Exchange hashpartitioning") == 2
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.filter("line_no = 0").first().raw.endswith("sshd[THREAD_0001]: Failed password for USER_0001 from CLIENT_0001 port 22 ssh2")
