@@ -49,7 +49,8 @@ def mask_tokens(spark, sf_dir):
         uid_t AS uid FROM m"""
 )
 def mask_fields(spark, sf_dir):
-    masked = mapping.mask_fields(_parsed(spark, sf_dir), _APPS)
+    parsed = _parsed(spark, sf_dir).select("event_id", "host", "fields", "matched")
+    masked = mapping.mask_fields(parsed, _APPS)
     return masked.select(
         "event_id", "host", "thread", *[F.col("fields")[n].alias(n) for n in ("user", "client", "uid")]
     )
@@ -68,8 +69,9 @@ _PREFIX = "strftime(ts, '%b') || ' ' || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') |
     FROM m"""
 )
 def mask_raw_lines(spark, sf_dir):
-    """The masked values stand in the line where the old ones stood."""
-    masked = mapping.mask_fields(_parsed(spark, sf_dir), _APPS)
+    """The masked values stand in the line where the old ones stood; lines are kept with the parts that takes."""
+    parts = ("event_id", "raw", "format", "host", "message", "app", "rule", "fields", "matched")
+    masked = mapping.mask_fields(_parsed(spark, sf_dir).select(*parts), _APPS)
     return mapping.rewrite_raw(masked, _APPS).select("event_id", "raw")
 
 

@@ -244,11 +244,8 @@ class _Printer:
             was, self.split = self.split, False
             inner = self.sequence(body, guard, named)
             self.split = was
-        elif self.split:
-            # not named: only its parts are wanted, so it need not capture
-            self.count -= 1
-            return f"(?:{self.sequence(body, guard, named)})"
         else:
+            # also where only parts of it are wanted: it may be referred to
             inner = self.sequence(body, guard, named)
         return f"({inner})"
 
@@ -383,11 +380,12 @@ def _leading(nodes) -> str:
 
 
 @lru_cache(maxsize=4096)
-def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False) -> JavaRegex:
+def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False, only: frozenset[str] | None = None) -> JavaRegex:
     """Translate a Python pattern.
 
     With ``pieces`` the text between named groups is captured too, so that a
-    matched string can be put together again around changed group values.
+    matched string can be put together again around changed group values.  If
+    ``only`` some groups may change, the others belong to the text between.
     """
     try:
         tree = rp.parse(pattern, re.IGNORECASE if ignore_case else 0)
@@ -403,7 +401,8 @@ def to_java(pattern: str, ignore_case: bool = False, pieces: bool = False) -> Ja
         split=pieces,
         count=1 if pieces else 0,  # group 1 holds the text before the match
     )
-    body = f"(?:{printer.sequence(tree, None, set(names))})"
+    named = {number for number, name in names.items() if only is None or name in only}
+    body = f"(?:{printer.sequence(tree, None, named)})"
     groups = tuple(
         Group(names[n], printer.numbers[n], printer.guards[n])
         for n in sorted(names)
@@ -450,12 +449,16 @@ def captures_sql(
     return f"split({column}, '\n', -1)"
 
 
-def compute_once(df, name: str, value: Column):
+def compute_once(df, name: str, value: Column, apart: bool = False):
     """Add a column that later filters and projections cannot evaluate again.
 
     Catalyst copies the definition of a projected column into every filter
     pushed below it.  A one-element ``explode`` stops that for this column only,
-    while filters on other columns still reach the scan.
+    while filters on other columns still reach the scan.  A value of many patterns
+    is computed ``apart`` from the generated code around it: in there it would make
+    a method so long that the JVM only interprets it.
     """
     value = F.expr(value) if isinstance(value, str) else value
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    # no code is generated for a lambda
+    values = F.transform(F.array(F.lit(0)), lambda _: value) if apart else F.array(value)
+    return df.select("*", F.explode(values).alias(name))

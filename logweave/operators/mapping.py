@@ -186,8 +186,13 @@ def _with_fields(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 def mask_fields(
     parsed: DataFrame, apps: Iterable[App], width: int = 4, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Replace field values and the host of matched lines by tokens."""
+    """Replace field values and the host of matched lines by tokens.
+
+    The lines are kept in shared storage: they are read twice, for the values that
+    get tokens and to write these, and the rules need run only once.
+    """
     apps = list(apps)
+    parsed = stage(parsed)
     maskable = _maskable(apps)
     names = [n for n in group_names(apps) if base_field(n) in maskable] + ["host"]
     tokens = stage(_tokens(parsed, apps, width).withColumnRenamed("token", "name"))
@@ -351,22 +356,23 @@ def rewrite_raw(
     )
     df = df.withColumn("_values", F.expr("map('host', host, 'message', _message)"))
     headers = {f.name: f.pattern for f in formats}
-    df = _put_together(df, "raw", headers, "format", "_values", "_raw", anchored=True)
+    df = _put_together(df, "raw", headers, "format", "_values", "_raw", anchored=True, only=frozenset({"host", "message"}))
     changed = F.when(F.col("matched"), F.col("_raw")).otherwise(F.col("raw"))
     message = F.when(F.col("matched"), F.col("_message")).otherwise(F.col("message"))
     return df.withColumns({"raw": changed, "message": message}).drop("_raw", "_values", "_message")
 
 
 def _put_together(
-    df: DataFrame, column: str, patterns: dict[str, str], which: str, values: str, name: str, anchored: bool
+    df: DataFrame, column: str, patterns: dict[str, str], which: str, values: str, name: str, anchored: bool, only: frozenset[str] | None = None
 ) -> DataFrame:
-    """Add ``name``: the text of ``column`` with new values for the groups of a pattern.
+    """Add ``name``: the text of ``column`` with new values for the groups of a pattern, on matched lines.
 
-    ``which`` is the label of the pattern of a row, ``values`` a map by group name.
+    ``which`` is the label of the pattern of a row, ``values`` a map by group name, that
+    has ``only`` some of the groups if these are given.
     """
     cuts, names = [], []
     for label, pattern in patterns.items():
-        regex = to_java(pattern, pieces=True)
+        regex = to_java(pattern, pieces=True, only=only)
         numbers = "\n".join(f"${i}" for _, i in regex.pieces)
         cuts.append(
             f"WHEN {sql_text(label)} THEN split(regexp_replace({column}, "
@@ -374,9 +380,10 @@ def _put_together(
         )
         pieces = ", ".join(sql_text(n or "") for n, _ in regex.pieces)
         names.append(f"WHEN {sql_text(label)} THEN array({pieces})")
-    df = compute_once(df, "_cut", f"CASE {which} {' '.join(cuts)} END")
+    df = df.withColumn("_which", F.expr(f"CASE WHEN matched THEN {which} END"))
+    df = compute_once(df, "_cut", f"CASE _which {' '.join(cuts)} END", apart=True)
     new = (
-        f"array_join(zip_with(_cut, CASE {which} {' '.join(names)} END,"
+        f"array_join(zip_with(_cut, CASE _which {' '.join(names)} END,"
         f" (old, n) -> CASE WHEN n = '' THEN old ELSE coalesce({values}[n], old) END), '')"
     )
-    return df.withColumn(name, F.expr(f"CASE WHEN _cut IS NULL THEN {column} ELSE {new} END")).drop("_cut")
+    return df.withColumn(name, F.expr(f"CASE WHEN _cut IS NULL THEN {column} ELSE {new} END")).drop("_cut", "_which")

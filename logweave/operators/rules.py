@@ -269,7 +269,7 @@ def apply_rules(
         for app, rules in zip(routes.apps, bound, strict=True)
         if rules
     ]
-    df = compute_once(df, "_hit", f"coalesce({', '.join(tries)})")
+    df = compute_once(df, "_hit", f"coalesce({', '.join(tries)})", apart=True)
     df = df.selectExpr("*", "CAST(get(_hit, 0) AS INT) AS _no")
     columns = [
         f"get({_texts(r.app for r in flat)}, _no) AS _app",

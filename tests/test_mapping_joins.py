@@ -1,10 +1,12 @@
 """Values are looked up alike whether the names are broadcast or shuffled."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.functions.regex import to_java
 from logweave.operators import mapping
 from logweave.operators.headers import parse_headers
 from logweave.operators.rules import apply_rules
@@ -129,3 +131,45 @@ def test_masked_text_after_one_join(spark, no_auto_broadcast):
     assert plan_of(got).count("Exchange hashpartitioning") == 2
     assert sorted(got.collect()) == sorted(want.collect())
     assert got.filter("line_no = 0").first().raw.endswith("sshd[THREAD_0001]: Failed password for USER_0001 from CLIENT_0001 port 22 ssh2")
+
+
+def sshd_lines(spark, texts):
+    rows = [(n, f"Jan  5 10:00:{n % 60:02d} gate sshd[{n}]: {text}") for n, text in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "line_no long, raw string")
+    return lines.selectExpr("line_no", "raw", "'a' AS file", "timestamp '2024-01-31' AS file_mtime")
+
+
+def test_rules_run_once_when_masking(spark):
+    """Masked lines come from the parsed ones that were kept: no pattern of a header or a rule runs again."""
+    lines = sshd_lines(spark, ["Failed password for bob from 10.0.0.1 port 22 ssh2", "Connection closed by 10.0.0.2", "other"])
+    parsed = apply_rules(parse_headers(lines), [sshd.APP])
+    masked = mapping.mask_fields(parsed, [sshd.APP])
+    assert "regexp_replace" in plan_of(parsed) and "Failed" in plan_of(parsed)
+    assert "regexp_replace" not in plan_of(masked) and "Failed" not in plan_of(masked)
+    assert [r.client for r in masked.orderBy("line_no").selectExpr("fields['client'] AS client").collect()] == ["CLIENT_0001", "CLIENT_0002", None]
+
+
+def test_chains_of_rules_stay_out_of_generated_code(spark):
+    """A method with all rules of an app in it is too long for the JVM to compile."""
+    lines = sshd_lines(spark, ["Failed password for bob from 10.0.0.1 port 22 ssh2", "other"])
+    parsed = apply_rules(parse_headers(lines), [sshd.APP])
+    for df in (parsed, mapping.rewrite_raw(parsed, [sshd.APP])):
+        steps = [line for line in plan_of(df).splitlines() if "Generate explode(" in line]
+        # the header is parsed in generated code, by two patterns
+        assert len(steps) > 1 and sum("*(" in line.split("Generate")[0] for line in steps) <= 1
+
+
+def test_only_the_groups_that_change_are_cut_out():
+    pattern = r"(?P<day>\d+) (?P<apptag>x-(?P<host>\w+)): (?:(?P<procid>\d+) )?(?P=apptag) (?P<message>.*)"
+    regex = to_java(pattern, pieces=True, only=frozenset({"host", "message"}))
+    assert [name for name, _ in regex.pieces] == [None, None, None, "host", None, "message", None]
+    found = re.match(regex.cutting(anchored=True).replace("\\p{Nd}", "0-9").replace("\\p{L}\\p{N}", "0-9a-z").replace("\\z", "$"), "5 x-gate: 7 x-gate on")
+    assert [found[number] for _, number in regex.pieces] == ["", "5 ", "x-", "gate", ": 7 x-gate ", "on", ""]
+
+
+def test_unmatched_lines_stay_as_they_are(spark):
+    lines = sshd_lines(spark, ["Failed password for bob from 10.0.0.1 port 22 ssh2", "bob came from 10.0.0.1 on gate"])
+    parsed = apply_rules(parse_headers(lines), [sshd.APP])
+    got = mapping.rewrite_raw(mapping.mask_fields(parsed, [sshd.APP]), [sshd.APP]).orderBy("line_no").collect()
+    assert got[0].raw.startswith("Jan  5 10:00:00 HOST_0001 sshd[THREAD_0001]: Failed password for USER_0001")
+    assert got[1].raw == lines.orderBy("line_no").collect()[1].raw and got[1].message.endswith("bob came from 10.0.0.1 on gate")
