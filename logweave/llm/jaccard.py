@@ -217,7 +217,7 @@ def class_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[Data
     have links as the square of its size, so they are counted where they are found and not given out.
     """
     spark = docs.sparkSession
-    seen = stage(docs.mapInArrow(lambda rows: _summaries(rows, size), _SUMMARY))
+    seen = stage(docs.mapInArrow(lambda rows: T.releasing(_summaries(rows, size)), _SUMMARY))
     rows = seen.filter("kind = 0")
     classes = rows.filter("n > 0").groupBy("sid").agg(
         F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.min("other").alias("one"), F.max("other").alias("two"), F.min("n").alias("n"), F.max("n").alias("m")
@@ -236,11 +236,11 @@ def class_links(docs: DataFrame, size: int = 5, percent: int = 75) -> tuple[Data
     common = spark.sparkContext.broadcast(np.sort(common))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     shards = max(parts, math.ceil(totals[1] / SHARD_VALUES))
-    dealt = docs.select("text").mapInArrow(lambda rows: _postings(rows, size, shards, common.value), _POSTING)
+    dealt = docs.select("text").mapInArrow(lambda rows: T.releasing(_postings(rows, size, shards, common.value)), _POSTING)
     dealt = dealt.repartition(parts, "shard").sortWithinPartitions("shard")
-    repeated = dealt.mapInArrow(lambda rows: _repeated(rows, shards), _ENTRY)
+    repeated = dealt.mapInArrow(lambda rows: T.releasing(_repeated(rows, shards)), _ENTRY)
     repeated = repeated.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    live = stage(repeated.mapInArrow(lambda rows: _live(rows, percent), _LIVE))
+    live = stage(repeated.mapInArrow(lambda rows: T.releasing(_live(rows, percent)), _LIVE))
 
     # two sets that link share a hash of their prefixes
     routed = live.selectExpr("sid", "explode(routed) AS key")
@@ -303,7 +303,7 @@ def _list_blocks(tied: DataFrame) -> DataFrame:
 def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> DataFrame:
     """What ``class_links`` says of links, from blocks."""
     met = blocks.join(live, "sid").repartition(parts, "block").sortWithinPartitions("block", "sid")
-    return met.mapInArrow(lambda rows: _linked(rows, percent), _FOUND)
+    return met.mapInArrow(lambda rows: T.releasing(_linked(rows, percent)), _FOUND)
 
 
 _SUMMARY = "kind int, id long, n long, sid long, other long"
@@ -318,7 +318,7 @@ def _sets(rows: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     """Slices of the rows with their sets, signatures, and which sets the task sees first."""
     seen: set[int] = set()
     for batch in rows:
-        for part in T.batches(batch, "text"):
+        for part in T.batches(batch, "text", T.SLICE):
             values, at = shingle_sets(part.column("text"), size)
             signed = signatures(values, at)
             fresh = np.zeros(part.num_rows, bool)
@@ -445,7 +445,6 @@ def _repeated(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             own["count"] = np.diff(np.r_[firsts, b - a])
             blobs = (pa.array([x.tobytes()]) for x in (own, values[a:b], sets[a:b]))
             yield _batch(_ENTRY, bucket[a : a + 1], *blobs)
-    T.release()
 
 
 def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -477,7 +476,6 @@ def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBat
                 out = []
     if out:
         yield _live_batch(out)
-    T.release()
 
 
 def _live_batch(rows: list) -> pa.RecordBatch:
@@ -512,7 +510,6 @@ def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
             [pa.array([*a, *sid[some].tolist()], pa.int64()), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array([*[None] * len(a), *count[some].tolist()], pa.int64())],
             ["a", "b", "n"],
         )
-    T.release()
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:

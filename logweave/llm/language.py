@@ -99,16 +99,38 @@ def classes(found: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum((found > 0).sum(axis=1), 1)).astype(np.int64)
 
 
-def cluster(rows: np.ndarray, count: int) -> np.ndarray:
+class Sparse:
+    """Rows of few numbers other than 0, as their places and values."""
+
+    def __init__(self, rows: np.ndarray):
+        self.shape = rows.shape
+        self.at = np.flatnonzero(rows).astype(np.int32)
+        self.values = rows.ravel()[self.at]
+
+    def rows(self) -> np.ndarray:
+        out = np.zeros(self.shape, np.float32)
+        out.ravel()[self.at] = self.values
+        return out
+
+
+def cluster(parts: list[Sparse], count: int) -> np.ndarray:
     """Spherical k-means from rows spread by their cosine to the mean; centroids of under a hundredth
-    of the rows are dropped."""
-    order = np.argsort(rows @ unit(rows.mean(axis=0, keepdims=True))[0], kind="stable")
-    centres = rows[order[((np.arange(count) + 0.5) / count * len(rows)).astype(int)]]
+    of the rows are dropped.  One part at a time is written out."""
+    begins = np.cumsum([0, *(p.shape[0] for p in parts)])
+    mean = unit(sum(p.rows().sum(axis=0, keepdims=True) for p in parts) / begins[-1])[0]
+    order = np.argsort(np.concatenate([p.rows() @ mean for p in parts]), kind="stable")
+    centres = []
+    for row in order[((np.arange(count) + 0.5) / count * begins[-1]).astype(int)]:
+        part = np.searchsorted(begins, row, "right") - 1
+        centres.append(parts[part].rows()[row - begins[part]])
+    centres = np.array(centres)
     for _ in range(ROUNDS):
-        nearest = np.argmax(rows @ centres.T, axis=1)
-        members = np.arange(len(centres))[:, None] == nearest
-        size = members.sum(axis=1)
-        centres = unit((members.astype(np.float32) @ rows)[(size > 0) & (size >= len(rows) / 100)])
+        size, sums = np.zeros(len(centres), np.int64), np.zeros(centres.shape, np.float32)
+        for rows in (p.rows() for p in parts):
+            members = np.arange(len(centres))[:, None] == np.argmax(rows @ centres.T, axis=1)
+            size += members.sum(axis=1)
+            sums += members.astype(np.float32) @ rows
+        centres = unit(sums[(size > 0) & (size >= begins[-1] / 100)])
     return centres.astype(np.float32)
 
 
@@ -128,7 +150,7 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
             both = np.r_[total, n]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both))), pa.array(both)], ["bucket", "n"])
 
-    found = every.select("text").mapInArrow(seen, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = every.select("text").mapInArrow(lambda rows: T.releasing(seen(rows)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     frequency = np.zeros((1 << BITS) + 1)
     for row in found.collect():
         frequency[row.bucket] = row.n
@@ -137,9 +159,12 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     def clustered(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("text", key=lambda texts: texts.map(lambda t: hashlib.sha256(t.encode()).digest()))
         texts = pa.array(rows["text"], pa.string())
-        found = np.concatenate([vectors(texts[i : i + TEXTS], idf) for i in range(0, len(texts), TEXTS)])
+        found = [Sparse(vectors(part.column("text"), idf)) for part in _parts(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
         centres = cluster(found, CENTROIDS)
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.tobytes() for c in centres]})
+        lang = rows["lang"].iloc[0]
+        del rows, texts, found
+        T.release()
+        return pd.DataFrame({"lang": lang, "centre": [c.tobytes() for c in centres]})
 
     rows = known.groupBy("lang").applyInPandas(clustered, "lang string, centre binary").collect()
     rows.sort(key=lambda r: (r.lang, r.centre))
@@ -176,7 +201,7 @@ def reached(known: DataFrame, model: Model) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["place", "n"])
 
-    found = known.mapInArrow(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    found = known.mapInArrow(lambda rows: T.releasing(counted(rows)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     out = np.zeros(shape, np.int64)
     for row in found.collect():
         out.flat[row.place] = row.n
@@ -208,7 +233,7 @@ def thresholds(found: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    for part in T.batches(batch, text):
+    for part in T.batches(batch, text, T.SLICE):
         for i in range(0, part.num_rows, TEXTS):
             yield part.slice(i, TEXTS)
 
@@ -252,7 +277,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", kept: list[str] |
                 columns = [*(part.column(c) for c in kept), pa.array(languages, pa.string()), pa.array(value), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(lambda rows: T.releasing(run(rows)), schema)
 
 
 #: Rows whose languages are not learnt.

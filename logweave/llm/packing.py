@@ -11,7 +11,7 @@ Every task packs its own part of the input: nothing is shuffled, and a task hold
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -185,16 +185,6 @@ class WordEncoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
-_encoders: dict[int, WordEncoder] = {}
-
-
-def _encoder(spec: str) -> WordEncoder:
-    key = hash(spec)
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(spec)
-    return _encoders[key]
-
-
 _PIECE = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -213,15 +203,15 @@ def pack(
     docs = docs.selectExpr(f"cast(`{id}` AS bigint) AS id", f"`{text}` AS text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        T.release()  # what earlier stages left
-        return _packed(rows, _encoder(spec.value), capacity, end)
+        key = "words", hash(spec.value)
+        return T.releasing(_packed(rows, lambda: T.kept(key, lambda: WordEncoder(spec.value)), capacity, end), key)
 
     out = docs.mapInArrow(run, _PIECE)
     return out.withColumnRenamed("id", id)
 
 
-def _packed(rows: Iterator[pa.RecordBatch], encoder: WordEncoder, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
-    packer = SumOfSquares(capacity)
+def _packed(rows: Iterator[pa.RecordBatch], encoder: Callable[[], WordEncoder], capacity: int, end: int) -> Iterator[pa.RecordBatch]:
+    encoder, packer = encoder(), SumOfSquares(capacity)
     sequence = TaskContext.get().partitionId() << 40
     ids, tokens = [], []  # of all documents of the task
     closing = np.array([end], "<u4")

@@ -100,7 +100,7 @@ class Ftrl:
 def train(rows: DataFrame, id: str, text: str, label: str, max_rows: int = MAX_ROWS) -> np.ndarray:
     """Weights from labelled rows; rows without label are left out.  Without rows all weights are 0."""
     rows = rows.selectExpr(f"xxhash64(`{id}`) AS place", f"`{text}` AS text", f"int(`{label}`) AS label").filter("label IS NOT NULL")
-    one = rows.repartition(1).sortWithinPartitions("place", "text").mapInArrow(_trained, "weights binary")
+    one = rows.repartition(1).sortWithinPartitions("place", "text").mapInArrow(lambda rows: T.releasing(_trained(rows)), "weights binary")
     found = one.collect()
     return np.frombuffer(found[0].weights, np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
@@ -108,7 +108,7 @@ def train(rows: DataFrame, id: str, text: str, label: str, max_rows: int = MAX_R
 def _trained(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model, samples = Ftrl((1 << BITS) + 1), []
     for batch in rows:
-        for part in T.batches(batch, "text"):
+        for part in T.batches(batch, "text", T.SLICE):
             found, at = features(part.column("text"))
             for i, label in enumerate(part.column("label").to_pylist()):
                 own, counts = np.unique(found[at[i] : at[i + 1]], return_counts=True)
@@ -149,11 +149,11 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: str =
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for part in T.batches(batch, text):
+            for part in T.batches(batch, text, T.SLICE):
                 found = scores(*features(part.column(text)), shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found)], [*kept, name])
 
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(lambda rows: T.releasing(run(rows)), schema)
 
 
 #: Rows whose labels are not learnt.

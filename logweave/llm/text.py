@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +112,38 @@ def hashes_between(sums, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+#: Bytes of text in a slice where a text takes a hundred times its bytes for a moment.
+SLICE = 250_000
 _cache: dict = {}
 
 
-def release() -> None:
-    """Give memory back to the system at the end of a task: later stages use the same workers."""
-    _cache.clear()
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What tasks of a worker share until another stage's ``release``."""
+    if key not in _cache:
+        _cache[key] = make()
+    return _cache[key]
+
+
+def release(but: Hashable = None) -> None:
+    """Give memory back to the system, what is kept for ``but`` excepted: later stages use the same workers."""
+    for key in _cache.keys() - {but}:
+        del _cache[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(ctypes.CDLL(None), "malloc_trim"):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(rows: Iterator, but: Hashable = None) -> Iterator:
+    """The same rows, made by a task that finds no memory of earlier stages and leaves none to later ones.
+
+    Memory is given back after ``rows`` has ended, when nothing of it holds arrays any more.
+    """
+    release(but)
+    yield from rows
+    release(but)
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     key = int(base)
     if key not in _cache or len(_cache[key]) < n:
