@@ -11,10 +11,10 @@ How the work is spread:
   there, and a set with fewer than the required overlap left cannot link at all;
 * hashes in more than a thousandth of the sets are known before.  There are at most a thousand times
   the mean set size of them, so they are broadcast, and their lists are never gathered in a shard;
-* the other sets meet in blocks of at most ``BLOCK`` by a few least hashes each, and what links there
-  becomes one component.  Then a second pass compares the sets in every inverted list that the prefix
-  filter keeps and that still holds several components; lists that share sets are one block while that
-  is of bounded size.  Only links that connect
+* sets that share a list of the prefix filter, directly or by others, are a cluster, and searched as one
+  block while that is of bounded size.  A larger cluster is cut into parts, near copies together, and every
+  two parts of which members share a list are a block, with those members alone.  A set goes to as many
+  blocks as there are such parts, however many lists it is in.  Only links that connect
   something new are written, so a group of copies gives as many rows as it has members.
 """
 
@@ -34,18 +34,20 @@ from logweave.llm import text as T
 from logweave.llm.components import connected
 from logweave.operators.joins import stage
 
-#: Sets that are searched together.
-BLOCK = 128
+#: Sets of a part of a cluster, about; a block has two parts.
+BLOCK = 2048
 #: Hash values in a shard, about, and values a task gathers before it deals them out.
 SHARD_VALUES = 4_000_000
 #: A hash is common if it is in this share of sets, and in so many at least.
 COMMON_SHARE, COMMON_LEAST = 0.001, 64
-#: Hash values of sets that are searched together because lists tie them, at most.
-CLUSTER_VALUES = 2_000_000
+#: Hash values of sets that are searched together because lists tie them, about.
+CLUSTER_VALUES = 1_000_000
+#: Bytes of rows that tasks deal out in one Arrow batch, about; each shard or bucket has a row in it.
+BATCH_BYTES = 4_000_000
 #: Entries of short lists up to which they are merged with a heap.
 HEAP_ENTRIES = 4096
-#: How much a binary probe costs against a step of the merge.
-PROBE_COST = 0.01
+#: How much a binary probe costs against a step of the merge, and against an entry that is counted.
+PROBE_COST, PROBE_ENTRIES = 0.01, 8
 _COMMON = np.uint32(0xFFFFFFFF)
 
 
@@ -104,7 +106,8 @@ def divide_skip(lists: list[np.ndarray], least: int, probe_cost: float = PROBE_C
 
     The longest lists, ``least / (probe_cost * log2(longest) + 1)`` of them, are put aside.  The rest
     are merged with a heap that skips members which cannot reach ``least`` less the lists put aside;
-    what remains is probed in the long lists by binary search.
+    what remains is probed in the long lists by binary search; those that are short against the number
+    of probes are gone through once instead.
     """
     none = np.empty(0, np.int64)
     lists = sorted((x for x in lists if len(x)), key=len, reverse=True)
@@ -120,7 +123,10 @@ def divide_skip(lists: list[np.ndarray], least: int, probe_cost: float = PROBE_C
         counts = np.bincount(np.concatenate(short))
         members = np.flatnonzero(counts >= needed)
         counts = counts[members]
-    for one in lists[:aside]:
+    scanned = [x for x in lists[:aside] if len(x) < PROBE_ENTRIES * len(members)]
+    if scanned:
+        counts = counts + np.bincount(np.concatenate(scanned), minlength=members[-1] + 1)[members]
+    for one in lists[: aside - len(scanned)]:
         if not len(members):
             break
         place = np.minimum(np.searchsorted(one, members), len(one) - 1)
@@ -257,47 +263,56 @@ def _lists(members: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("sid")).alias("x"),
         F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y"),
     )
-    lists = lists.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    return stage(lists.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
-
-
-def _part() -> Column:
-    return F.pmod(F.xxhash64("sid", F.lit(2)), F.col("parts")).cast("int")
+    return stage(lists.filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"))
 
 
 def _tied(members: DataFrame) -> DataFrame:
-    """Members of lists of several sets, with the number of parts of the list."""
+    """Members of lists of several sets."""
     return members.join(_lists(members), "key")
 
 
+def _cuts(values: str, sets: str) -> Column:
+    """In how many parts a group of so many ``values`` and ``sets`` goes."""
+    return F.greatest(F.ceil(F.col(values) * 2 / CLUSTER_VALUES), F.ceil(F.col(sets) / BLOCK))
+
+
 def _clusters(tied: DataFrame, live: DataFrame) -> DataFrame:
-    """Blocks in which every two members of a list meet.
+    """Blocks in which every two members of a list meet once.
 
     Sets that lists tie together, directly or by others, are a block if they have at most
-    ``CLUSTER_VALUES`` hashes.  Else each list has blocks of its own.
+    ``CLUSTER_VALUES`` hashes and are no more than twice ``BLOCK``.  Else they are cut into parts.
     """
     least = tied.groupBy("key").agg(F.min("sid").alias("b"))
     bound = connected(tied.select("key", F.col("sid").alias("a")).join(least, "key"))
     bound = bound.select(F.col("node").alias("sid"), F.col("root").alias("cluster"))
-    bound = bound.union(bound.selectExpr("cluster AS sid", "cluster").distinct())
-    weights = bound.join(live.select("sid", "n"), "sid").groupBy("cluster").agg(F.sum("n").alias("weight"))
-    bound = stage(bound.join(weights, "cluster").selectExpr("sid", "cluster", f"weight <= {CLUSTER_VALUES} AS small"))
-    none = F.array().cast("array<long>").alias("earlier")
-    small = bound.filter("small").select("sid", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"), none)
-    return small.union(_list_blocks(tied.join(bound.filter("not small").select("sid"), "sid", "left_semi")))
-
-
-def _list_blocks(tied: DataFrame) -> DataFrame:
-    """Blocks of each list; of one of more than ``BLOCK`` members, cut by hash into parts, every two parts
-    meet, the part itself included.  ``earlier`` are the lists of a set that come before: two sets that share
-    one of them have met there."""
-    keys = tied.groupBy("sid").agg(F.collect_list("key").alias("keys"))  # at most the prefix of a set
-    tied = tied.join(keys, "sid").withColumn("earlier", F.filter("keys", lambda k: k < F.col("key")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    found = tied.select("sid", "key", "earlier", _part().alias("part"), other)
-    low, high = F.least("part", "other"), F.greatest("part", "other")
+    bound = bound.union(bound.selectExpr("cluster AS sid", "cluster").distinct()).join(live.select("sid", "n"), "sid")
+    weights = bound.groupBy("cluster").agg(F.sum("n").alias("weight"), F.count("*").alias("sets"))
+    cuts = F.when(_cuts("weight", "sets") > 2, _cuts("weight", "sets")).otherwise(1)
+    bound = stage(bound.join(weights.select("cluster", cuts.alias("cuts")), "cluster"))
+    small = bound.filter("cuts = 1").select("sid", F.xxhash64("cluster").alias("block"), F.lit(-1).alias("side"))
+    return small.union(_part_blocks(tied, bound.filter("cuts > 1")))
+
+
+def _part_blocks(tied: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks of clusters that are cut: of each part, and of every two parts, the members that share a list there.
+
+    Sets with the same least key, as near copies tend to have, are in one part, or in as many of their own
+    as they need.  Two sets are in one block together, as it is that of their parts.
+    """
+    tied = tied.join(sets, "sid")
+    near = tied.groupBy("sid", "n", "cluster", "cuts").agg(F.min("key").alias("near"))
+    own = near.groupBy("near").agg(F.sum("n").alias("weight"), F.count("*").alias("sets"))
+    own = own.select("near", _cuts("weight", "sets").alias("own"))
+    pooled = F.xxhash64("cluster", F.pmod(F.xxhash64("near"), "cuts"))
+    part = F.when(F.col("own") > 1, F.xxhash64("near", F.pmod(F.xxhash64("sid", F.lit(2)), "own"))).otherwise(pooled)
+    placed = stage(near.join(own, "near").select("sid", part.alias("part")))
+    tied = stage(tied.select("sid", "key").join(placed, "sid"))
+    # most lists of a set are in the same parts, so they are made one before each part gets a row
+    others = tied.groupBy("key").agg(F.sort_array(F.collect_set("part")).alias("others"))
+    others = tied.join(others, "key").groupBy("sid", "part").agg(F.collect_set("others").alias("others"))
+    met = others.select("sid", "part", F.explode(F.array_distinct(F.flatten("others"))).alias("other"))
     side = F.when(F.col("part") == F.col("other"), -1).otherwise(F.expr("int(part > other)"))
-    return found.select("sid", F.xxhash64("key", low, high).alias("block"), side.alias("side"), "earlier")
+    return met.select("sid", F.xxhash64(F.least("part", "other"), F.greatest("part", "other")).alias("block"), side.alias("side"))
 
 
 def _search(live: DataFrame, blocks: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -376,7 +391,7 @@ def _postings(rows: Iterator[pa.RecordBatch], size: int, shards: int, common: np
             own["count"] = np.diff(np.r_[begins, len(o)])
             if a < 0:  # not looked up in lists, so it goes anywhere
                 a = -1 - own["sid"][0] % (1 << 31)
-            yield _batch(_POSTING, np.array([a], np.int32), pa.array([own.tobytes()]), pa.array([v.tobytes()]))
+            yield int(a), own.tobytes(), v.tobytes()
 
     for _, values, at, (sid, _), fresh in _sets(rows, size):
         n = np.diff(at)
@@ -387,10 +402,10 @@ def _postings(rows: Iterator[pa.RecordBatch], size: int, shards: int, common: np
             gathered.append(values[np.repeat(fresh, n)])
             total += len(gathered[-1])
         if total >= SHARD_VALUES // 2:
-            yield from dealt()
+            yield from _dealt(_POSTING, dealt())
             docs, gathered, total = [], [], 0
     if gathered:
-        yield from dealt()
+        yield from _dealt(_POSTING, dealt())
 
 
 def _runs(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -414,6 +429,10 @@ def _runs(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def _repeated(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    yield from _dealt(_ENTRY, _entries(rows, buckets))
+
+
+def _entries(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple]:
     """Of each shard's lists, those of two or more sets, dealt out by set with the lists' lengths."""
     for table in _runs(rows, "shard"):
         heads = np.concatenate([np.frombuffer(x, _DOC) for x in table.column("docs").to_pylist()])
@@ -443,8 +462,7 @@ def _repeated(rows: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             firsts = np.flatnonzero(np.r_[True, doc[a + 1 : b] != doc[a : b - 1]])
             own = heads[doc[a:b][firsts]]
             own["count"] = np.diff(np.r_[firsts, b - a])
-            blobs = (pa.array([x.tobytes()]) for x in (own, values[a:b], sets[a:b]))
-            yield _batch(_ENTRY, bucket[a : a + 1], *blobs)
+            yield int(bucket[a]), own.tobytes(), values[a:b].tobytes(), sets[a:b].tobytes()
 
 
 def _live(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -490,13 +508,10 @@ def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
     """Of each block, links that connect what its links connect, and each set's number of linked rows."""
     for table in _runs(rows, "block"):
         sid, weight = (table.column(c).to_numpy() for c in ("sid", "size"))
-        sides, earlier = (table.column(c).to_pylist() for c in ("side", "earlier"))
-        earlier = [frozenset(x) for x in earlier] if any(earlier) else None
+        sides = table.column("side").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
         group, count, ties = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
         for i, others in all_links(sets, table.column("n").to_pylist(), percent, None if sides[0] < 0 else sides):
-            if earlier and earlier[i]:
-                others = others[[earlier[i].isdisjoint(earlier[j]) for j in others.tolist()]]
             count[i] += weight[others].sum()
             count[others] += weight[i]
             apart, first = np.unique(group[others], return_index=True)
@@ -512,6 +527,24 @@ def _linked(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordB
         )
 
 
+def _dealt(schema: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of a number and binaries, in batches of ``BATCH_BYTES``: a batch a row would cost more than its row."""
+    held, size = [], 0
+
+    def batch():
+        number, *blobs = zip(*held, strict=True)
+        return _batch(schema, np.array(number, np.int32), *(pa.array(x, pa.binary()) for x in blobs))
+
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row[1:]))
+        if size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     names = [x.split()[0] for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)

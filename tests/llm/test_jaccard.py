@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logweave.llm import jaccard as J
@@ -126,3 +127,33 @@ def test_components_of_a_node_with_many_links(spark, monkeypatch):
     assert {r.node: r.root for r in connected(frame).collect()} == want
     found = joins._join_salted(frame, spark.createDataFrame([(0, 7), (1000, 8)], "a long, least long"), ["a"], "inner", 50)
     assert found.filter("a = 0").count() == 399 and found.count() == 400
+
+
+def test_a_set_goes_to_a_block_for_each_part_not_for_each_list(spark, monkeypatch):
+    """Two sets that share a list meet in one block; many lists make no more blocks."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "CLUSTER_VALUES", 400)
+    rnd = random.Random(11)
+    keys = {sid: rnd.sample(range(36), 28) for sid in range(40)} | {100: [90, 91], 101: [90, 91], 102: [35, 90]}
+    live = spark.createDataFrame([(sid, 40) for sid in keys], "sid long, n int")
+    routed = spark.createDataFrame([(sid, key) for sid, own in keys.items() for key in own], "sid long, key long")
+    blocks = {}
+    for r in J._clusters(J._tied(routed), live).collect():
+        blocks.setdefault(r.block, []).append((r.sid, r.side))
+    met = Counter()
+    for own in blocks.values():
+        assert len({side < 0 for _, side in own}) == 1
+        met.update((min(a, b), max(a, b)) for i, (a, x) in enumerate(own) for b, y in own[:i] if x < 0 or x != y)
+    assert set(met.values()) == {1}
+    assert all(met[a, b] for a in keys for b in keys if a < b and set(keys[a]) & set(keys[b]))
+    parts = sum(own[0][1] < 0 for own in blocks.values())
+    assert 3 < parts < 28 and sum(map(len, blocks.values())) <= parts * len(keys)
+
+
+def test_shards_and_buckets_share_batches():
+    """A batch for each of them would make their number the cost of dealing."""
+    texts = [" ".join(f"w{(i + k) % 300}" for k in range(200)) for i in range(20)]
+    dealt = list(J._postings(iter([pa.record_batch({"text": texts})]), 5, 50, np.empty(0, np.uint64)))
+    assert len(dealt) == 1 and len(set(dealt[0].column("shard").to_pylist())) == dealt[0].num_rows > 40
+    entries = list(J._repeated(iter([dealt[0].sort_by("shard")]), 7))
+    assert len(entries) == 1 and set(entries[0].column("bucket").to_pylist()) == set(range(7))
