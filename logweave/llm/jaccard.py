@@ -169,22 +169,29 @@ def all_links(sets: list[np.ndarray], sizes: list[int], percent: int, sides: lis
     """
     order = sorted(range(len(sets)), key=lambda i: sides[i] if sides else 0)
     values = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
+    at = np.cumsum([0, *(len(sets[i]) for i in order)])
+    owner = np.repeat(np.arange(len(order)), np.diff(at))
     by = np.argsort(values, kind="stable")
     values, owner = values[by], owner[by]
     begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    ends = np.r_[begins[1:], len(values)]
-    keys = values[begins]
+    lengths = np.diff(np.r_[begins, len(values)])
+    first = np.repeat(begins, lengths)  # of the list that each entry is in
+    place = np.empty(len(by), np.int64)  # of each set's hashes one after the other
+    place[by] = np.arange(len(by))
     numbers, n = np.array(order), np.array([sizes[i] for i in order], np.int64)
-    ahead = sum(1 for i in order if sides and sides[i] == 0)
+    if sides:
+        ahead = sum(1 for i in order if sides[i] == 0)
+        ends = np.repeat(begins + np.add.reduceat(owner < ahead, begins, dtype=np.int64), lengths)
     for k, i in enumerate(order):
-        here = k if not sides else ahead if sides[i] else 0
-        lists = []
-        for at in np.searchsorted(keys, sets[i]).tolist() if here else ():
-            own = owner[begins[at] : ends[at]]
-            if own[0] < here:
-                lists.append(own if own[-1] < here else own[: np.searchsorted(own, here)])
-        j, overlap = divide_skip(lists, required(sizes[i], percent))
+        if sides and not sides[i]:
+            continue
+        own, least = place[at[k] : at[k + 1]], required(sizes[i], percent)
+        begin, end = first[own], ends[own] if sides else own
+        some = begin < end
+        if np.count_nonzero(some) < least:
+            continue
+        lists = [owner[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)]
+        j, overlap = divide_skip(lists, least)
         linked = j[links(overlap, sizes[i], n[j], percent)]
         if len(linked):
             yield i, numbers[linked]

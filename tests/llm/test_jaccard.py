@@ -157,3 +157,19 @@ def test_shards_and_buckets_share_batches():
     assert len(dealt) == 1 and len(set(dealt[0].column("shard").to_pylist())) == dealt[0].num_rows > 40
     entries = list(J._repeated(iter([dealt[0].sort_by("shard")]), 7))
     assert len(entries) == 1 and set(entries[0].column("bucket").to_pylist()) == set(range(7))
+
+
+@pytest.mark.parametrize("sided", [False, True])
+def test_a_dense_block_is_counted_not_probed(sided, monkeypatch):
+    """Where most sets are candidates, no list is searched for each of them."""
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.choice(130, 120, replace=False)).astype(np.uint64) for _ in range(80)]
+    probes, search = [], np.searchsorted
+    monkeypatch.setattr(J, "HEAP_ENTRIES", 0)
+    monkeypatch.setattr(np, "searchsorted", lambda *a, **b: probes.append(1) or search(*a, **b))
+    sides = [i % 2 for i in range(80)] if sided else None
+    got = {(min(i, j), max(i, j)) for i, others in J.all_links(sets, [120] * 80, 75, sides) for j in others.tolist()}
+    monkeypatch.undo()
+    want = {(i, j) for j in range(80) for i in range(j) if not sided or i % 2 != j % 2}
+    assert got == {(i, j) for i, j in want if J.links(len(np.intersect1d(sets[i], sets[j])), 120, 120, 75)} and got
+    assert len(probes) < 80
